@@ -156,15 +156,14 @@ def thr_at_precision(src: str, keys: Sequence[str], p: float, alias: str = "thre
 def confusion(name: str, agg: str, ths: str, keys: Sequence[str], extra: Sequence[str] = ("kind",),
               where: str = "TRUE") -> str:
     """Confusion counts and metrics at the thresholds of ``ths`` (A1)."""
-    kk = k(keys, "a")
-    ex = k(extra, "t")
+    grp = ", ".join([k(keys, "a")] + ([k(extra, "t")] if extra else []))
     return f"""
-{name}_c AS (SELECT {kk}, {ex}, first(t.threshold) AS threshold,
+{name}_c AS (SELECT {grp}, first(t.threshold) AS threshold,
    CAST(SUM(CASE WHEN a.score >= t.threshold THEN a.pos ELSE 0 END) AS BIGINT) AS tp,
    CAST(SUM(CASE WHEN a.score >= t.threshold THEN a.neg ELSE 0 END) AS BIGINT) AS fp,
    CAST(SUM(CASE WHEN a.score >= t.threshold THEN 0 ELSE a.pos END) AS BIGINT) AS fn,
    CAST(SUM(CASE WHEN a.score >= t.threshold THEN 0 ELSE a.neg END) AS BIGINT) AS tn
-   FROM {agg} a JOIN {ths} t ON {on(keys, 'a', 't')} WHERE {where} GROUP BY {kk}, {ex}),
+   FROM {agg} a JOIN {ths} t ON {on(keys, 'a', 't')} WHERE {where} GROUP BY {grp}),
 {name} AS (SELECT *, {metric_cols()} FROM {name}_c)"""
 
 

@@ -6,6 +6,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import folds as fo
+from ..session import checkpoint
 from . import fixtures as fx
 from . import oracle as oq
 
@@ -16,9 +17,9 @@ SIDE_COLS = ("row_id", "project", "cwe", "label")
 
 def corpus_sides(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = SEEDS,
                  n_splits: int = N_SPLITS) -> DataFrame:
-    c = fx.corpus(spark, sf_dir).select(*SIDE_COLS)
-    f = fo.group_folds(c, n_splits, seeds)
-    return fo.evaluation_sides(c, f)
+    c = checkpoint(fx.corpus(spark, sf_dir).select(*SIDE_COLS))
+    f = checkpoint(fo.group_folds(c, n_splits, seeds))
+    return checkpoint(fo.evaluation_sides(c, f))
 
 
 def transfer_pt(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = SEEDS,
@@ -30,8 +31,8 @@ def transfer_pt(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = SEEDS,
 def events_transfer_pt(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = SEEDS,
                        n_splits: int = N_SPLITS, models=None) -> DataFrame:
     c = fx.events_corpus(spark, sf_dir)
-    f = fo.group_folds(c, n_splits, seeds)
-    return fx.with_scores(fo.evaluation_sides(c, f), models)
+    f = checkpoint(fo.group_folds(c, n_splits, seeds))
+    return fx.with_scores(checkpoint(fo.evaluation_sides(c, f)), models)
 
 
 def sql_transfer_pt(src: str = "corpus", seeds: Sequence[int] = SEEDS, n_splits: int = N_SPLITS,
