@@ -237,3 +237,184 @@ JOIN _br r ON {oq.on(RK, 'b', 'r')}
 GROUP BY {oq.k(RK, 'b')}, bb.budget, b.n_pos""".replace("\n, _br AS", ",\n_br AS", 1)))
 def q_budget_recall(spark, d):
     return rp.budget_study(ptm.transfer_pt(spark, d))
+
+
+# ------------------------------------------------------------ calibration
+def _adaptive_sql() -> str:
+    kk = RK
+    base = oq.transfer_runs("pt", with_projects=False)
+    gv = sql_grid_value("r.j", 0.01, 0.99, 1000)
+    kinds = [("fixed_05", "0.5::DOUBLE"), ("source_calibrated", "thr_source"),
+             ("ppr_adapted", "thr_ppr"), ("density_valley", "thr_valley"), ("oracle", "thr_oracle")]
+    ths = "\n   UNION ALL ".join(f"SELECT {RKS}, '{n}' AS kind, {c} AS threshold FROM _at"
+                                for n, c in kinds)
+    piv = ", ".join(f"max(CASE WHEN kind = '{n}' THEN {c} END) AS {c}_{n}"
+                    for n, _ in kinds for c in ["f1", "recall", "precision"])
+    return ",".join([base, f"""
+_atest AS (SELECT {RKS}, score, pos, neg FROM _tagg WHERE side = 'test')""",
+        sql_grid_counts("_apg", "_atest", kk, 0.01, 0.99, 1000), f"""
+_appr AS (SELECT {RKS}, CASE WHEN min(_d) < 1.0{D} THEN min_by(threshold, (_d, j)) ELSE 0.5{D} END AS thr_ppr
+   FROM (SELECT *, abs(CAST(tp + fp AS DOUBLE) / CAST(n_pos + n_neg AS DOUBLE) - 0.057{D}) AS _d FROM _apg)
+   GROUP BY {RKS}),
+_vst AS (SELECT {RKS}, stddev_samp(score) AS _sd, COUNT(*) AS _n FROM pt WHERE side = 'test' GROUP BY {RKS}),
+_vcn AS (SELECT {RKS}, score AS _s, COUNT(*) AS _c FROM pt WHERE side = 'test' GROUP BY {RKS}, score),
+_vgr AS (SELECT CAST(r.j AS INTEGER) AS j, {gv} AS _x FROM range(0, 1000) r(j)),
+_vden AS (SELECT {oq.k(kk, 'c')}, g.j, g._x,
+   SUM(CAST(c._c AS DOUBLE) * exp(-0.5{D} * ((g._x - c._s) / (0.05{D} * s._sd)) * ((g._x - c._s) / (0.05{D} * s._sd)))) AS _dens
+   FROM _vcn c JOIN _vst s ON {oq.on(kk, 'c', 's')} CROSS JOIN _vgr g
+   WHERE g._x > 0.05{D} AND g._x < 0.95{D} GROUP BY {oq.k(kk, 'c')}, g.j, g._x),
+_avl AS (SELECT {oq.k(kk, 's')}, CASE WHEN s._n >= 2 AND s._sd IS NOT NULL AND s._sd > 0 THEN v._t ELSE 0.5{D} END AS thr_valley
+   FROM _vst s LEFT JOIN (SELECT {RKS}, min_by(_x, (_dens, j)) AS _t FROM _vden GROUP BY {RKS}) v
+   ON {oq.on(kk, 's', 'v')}),
+_at AS (SELECT {oq.k(kk, 't')}, t.thr_source, t.thr_oracle, p.thr_ppr, v.thr_valley FROM _tthr t
+   JOIN _appr p ON {oq.on(kk, 't', 'p')} JOIN _avl v ON {oq.on(kk, 't', 'v')}),
+_aths AS ({ths})""",
+        oq.confusion("_am", "_atest", "_aths", kk), f"""
+adaptive AS (SELECT a.*, w.* EXCLUDE ({RKS}) FROM _at a JOIN (SELECT {RKS}, {piv} FROM _am GROUP BY {RKS}) w
+   ON {oq.on(kk, 'a', 'w')})"""])
+
+
+_METHODS = rp.METHODS
+_LONG_SQL = " UNION ALL ".join(f"SELECT {RKS}, '{m}' AS method, f1_{m} AS f1 FROM adaptive" for m in _METHODS)
+
+
+@register("adaptive_thresholds", W(PT_SQL + "," + _adaptive_sql(), "SELECT * FROM adaptive"))
+def q_adaptive(spark, d):
+    return rp.adaptive_thresholds(ptm.transfer_pt(spark, d))
+
+
+@register("method_summary", W(PT_SQL + "," + _adaptive_sql(), f"""
+SELECT method, round(avg(f1), 9) AS mean_f1, round(stddev_pop(f1), 9) AS std_f1, min(f1) AS min_f1,
+  max(f1) AS max_f1, COUNT(*) AS n FROM ({_LONG_SQL}) GROUP BY method"""))
+def q_method_summary(spark, d):
+    return rp.method_summary(rp.adaptive_thresholds(ptm.transfer_pt(spark, d)))
+
+
+@register("gap_closed", W(PT_SQL + "," + _adaptive_sql(), f"""
+SELECT l.method, round(avg(100.0{D} * (l.f1 - a.f1_source_calibrated) / (a.f1_oracle - a.f1_source_calibrated)), 9) AS mean_gap_closed_pct,
+  round(stddev_pop(100.0{D} * (l.f1 - a.f1_source_calibrated) / (a.f1_oracle - a.f1_source_calibrated)), 9) AS std_gap_closed_pct,
+  COUNT(*) AS n
+FROM ({_LONG_SQL}) l JOIN adaptive a ON {oq.on(RK, 'l', 'a')}
+WHERE l.method NOT IN ('source_calibrated', 'oracle') AND a.f1_oracle - a.f1_source_calibrated > 0.01{D}
+GROUP BY l.method"""))
+def q_gap_closed(spark, d):
+    return rp.gap_closed(rp.adaptive_thresholds(ptm.transfer_pt(spark, d)))
+
+
+@register("temperature_scaling", None)
+def q_temperature(spark, d):
+    return rp.temperature_study(ptm.events_transfer_pt(spark, d))
+
+
+# ------------------------------------------------------------ drift
+def _drift_sql() -> str:
+    kk = RK
+    ks = RK + ["side"]
+    edges = ", ".join(f"({i}, {sql_grid_value(str(i), 0.0, 1.0, 51)})" for i in range(51))
+    from ..operators.drift import _bin_widths
+    widths = ", ".join(f"({i}, {w!r}::DOUBLE)" for i, w in enumerate(_bin_widths(50)))
+    ent = ("-(least(greatest(score, 1e-10::DOUBLE), 0.9999999999::DOUBLE) * ln(least(greatest(score, 1e-10::DOUBLE), 0.9999999999::DOUBLE))"
+           " + (1 - least(greatest(score, 1e-10::DOUBLE), 0.9999999999::DOUBLE)) * ln(1 - least(greatest(score, 1e-10::DOUBLE), 0.9999999999::DOUBLE)))")
+    return ",".join([oq.transfer_runs("pt", with_projects=False), f"""
+_dm AS (SELECT {oq.k(ks)}, avg(score) AS _mean, avg({ent}) AS _ent,
+   avg(CASE WHEN score >= 0.5{D} THEN 1.0{D} ELSE 0.0{D} END) AS _ppr FROM pt GROUP BY {oq.k(ks)}),
+_dmw AS (SELECT {RKS},
+   round(abs(max(CASE WHEN side = 'test' THEN _mean END) - max(CASE WHEN side = 'val' THEN _mean END)), 9) AS mean_shift,
+   round(abs(max(CASE WHEN side = 'test' THEN _ent END) - max(CASE WHEN side = 'val' THEN _ent END)), 9) AS entropy_diff,
+   abs(max(CASE WHEN side = 'test' THEN _ppr END) - max(CASE WHEN side = 'val' THEN _ppr END)) AS ppr_diff
+   FROM _dm GROUP BY {RKS}),
+_edges AS (SELECT * FROM (VALUES {edges}) AS e(i, e)),
+_widths AS (SELECT * FROM (VALUES {widths}) AS w(bin, w)),
+_dbin AS (SELECT {oq.k(ks, 'p')}, p.row_id, least(max(e.i), 49) AS bin FROM pt p JOIN _edges e ON e.e <= p.score
+   GROUP BY {oq.k(ks, 'p')}, p.row_id),
+_dcnt AS (SELECT {oq.k(ks)}, bin, COUNT(*) AS _c FROM _dbin GROUP BY {oq.k(ks)}, bin),
+_dtot AS (SELECT {oq.k(ks)}, SUM(_c) AS _n FROM _dcnt GROUP BY {oq.k(ks)}),
+_dfull AS (SELECT {oq.k(ks, 't')}, CAST(r.bin AS INTEGER) AS bin, t._n, coalesce(c._c, 0) AS _c
+   FROM _dtot t CROSS JOIN range(0, 50) r(bin) LEFT JOIN _dcnt c ON {oq.on(ks, 't', 'c')} AND c.bin = r.bin),
+_dd AS (SELECT f.*, CAST(f._c AS DOUBLE) / (CAST(f._n AS DOUBLE) * w.w) + 1e-10{D} AS _d
+   FROM _dfull f JOIN _widths w ON f.bin = w.bin),
+_dp AS (SELECT {oq.k(ks)}, bin, _d / SUM(_d) OVER (PARTITION BY {oq.k(ks)}) AS p FROM _dd),
+_dpw AS (SELECT {RKS}, bin, max(CASE WHEN side = 'val' THEN p END) AS ps,
+   max(CASE WHEN side = 'test' THEN p END) AS pt FROM _dp GROUP BY {RKS}, bin),
+_dkl AS (SELECT {RKS}, round(SUM(pt * ln(pt / ps)), 9) AS kl_divergence,
+   round(0.5{D} * SUM(ps * ln(ps / (0.5{D} * (ps + pt)))) + 0.5{D} * SUM(pt * ln(pt / (0.5{D} * (ps + pt)))), 9) AS js_divergence
+   FROM _dpw GROUP BY {RKS}),
+_kc AS (SELECT {RKS}, score, SUM(CASE WHEN side = 'val' THEN 1 ELSE 0 END) AS cs,
+   SUM(CASE WHEN side = 'test' THEN 1 ELSE 0 END) AS ct FROM pt GROUP BY {RKS}, score),
+_kw AS (SELECT *, SUM(cs) OVER (PARTITION BY {RKS} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ls,
+   SUM(ct) OVER (PARTITION BY {RKS} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lt,
+   SUM(cs) OVER (PARTITION BY {RKS}) AS ns, SUM(ct) OVER (PARTITION BY {RKS}) AS nt FROM _kc),
+_dks AS (SELECT {RKS}, max(abs(ls{D} / ns{D} - lt{D} / nt{D})) AS ks_statistic FROM _kw GROUP BY {RKS}),
+drift AS (SELECT {oq.k(kk, 'r')}, r.f1_gap, r.f1_source, r.f1_oracle, r.test_projects, r.test_vuln_rate,
+   m.mean_shift, m.entropy_diff, m.ppr_diff, k.kl_divergence, k.js_divergence, s.ks_statistic
+   FROM _truns_out r JOIN _dmw m ON {oq.on(kk, 'r', 'm')} JOIN _dkl k ON {oq.on(kk, 'r', 'k')}
+   JOIN _dks s ON {oq.on(kk, 'r', 's')})"""])
+
+
+@register("drift", W(PT_SQL + "," + _drift_sql(), "SELECT * FROM drift"))
+def q_drift(spark, d):
+    return rp.drift_report(ptm.transfer_pt(spark, d))
+
+
+# ------------------------------------------------------------ logits, losses, scalars
+_L1 = "ln((score + 0.0005::DOUBLE) / (1.0005::DOUBLE - score))"
+
+
+@register("logit_diagnostics", W("", f"""
+SELECT model, round(avg({_L1}), 9) AS logit_pos_mean, round(avg(0.0{D}), 9) AS logit_neg_mean,
+  round(avg({_L1} - 0.0{D}), 9) AS margin_mean, round(stddev_pop({_L1} - 0.0{D}), 9) AS margin_std,
+  stddev_pop({_L1} - 0.0{D}) < 1e-3{D} AS is_constant,
+  avg(CASE WHEN {_L1} - 0.0{D} > 0 THEN 1.0{D} ELSE 0.0{D} END) AS frac_predicts_pos
+FROM scored GROUP BY model"""))
+def q_logit_diagnostics(spark, d):
+    from ..operators.losses import logit_diagnostics
+    return logit_diagnostics(fx.scored(spark, d), ["model"])
+
+
+def _loss_sql() -> str:
+    m = f"greatest(0.0{D}, {_L1})"
+    lse = f"({m} + ln(exp(0.0{D} - {m}) + exp({_L1} - {m})))"
+    nll = f"({lse} - CASE WHEN label = 1 THEN {_L1} ELSE 0.0{D} END)"
+    py = f"exp(-{nll})"
+    out = []
+    for name, w0, w1 in [("ce", 1.0, 1.0), ("weighted_ce", 1.0, 30.0)]:
+        w = f"(CASE WHEN label = 1 THEN {w1!r}{D} ELSE {w0!r}{D} END)"
+        out.append(f"SELECT model, '{name}' AS loss, round(SUM({w} * {nll}) / SUM({w}), 9) AS value "
+                   f"FROM scored GROUP BY model")
+    wf = f"(CASE WHEN label = 1 THEN 0.95{D} ELSE {1 - 0.95!r}{D} END)"
+    out.append(f"SELECT model, 'focal' AS loss, round(avg(-{wf} * pow(1.0{D} - {py}, 2.0{D}) * (-{nll})), 9) "
+               f"AS value FROM scored GROUP BY model")
+    return "\nUNION ALL ".join(out)
+
+
+@register("losses", W("", _loss_sql()))
+def q_losses(spark, d):
+    from ..operators.losses import loss_table
+    return loss_table(fx.scored(spark, d), ["model"], ["ce", "weighted_ce", "focal"])
+
+
+@register("softmax_scores", W("", f"""
+SELECT model, row_id,
+  round(exp({_L1} - greatest(0.0{D}, {_L1})) / (exp(0.0{D} - greatest(0.0{D}, {_L1})) + exp({_L1} - greatest(0.0{D}, {_L1}))), 9) AS p_softmax,
+  round({_L1} - 0.0{D}, 9) AS margin, least(greatest(score, 0.1{D}), 0.9{D}) AS score_clipped,
+  abs(score - 0.5{D}) AS confidence
+FROM scored"""))
+def q_softmax(spark, d):
+    s = fx.scored(spark, d)
+    return s.select("model", "row_id",
+                    F.round(sc.softmax_pos("logit0", "logit1"), 9).alias("p_softmax"),
+                    F.round(sc.margin("logit0", "logit1"), 9).alias("margin"),
+                    sc.clip("score", 0.1, 0.9).alias("score_clipped"),
+                    F.abs(F.col("score") - F.lit(0.5)).alias("confidence"))
+
+
+@register("risk_zones", W("", f"""
+SELECT project, COUNT(*) AS n, SUM(label){D} / COUNT(*){D} AS base_rate,
+  CASE WHEN SUM(label){D} / COUNT(*){D} < 0.03{D} THEN 'low' WHEN SUM(label){D} / COUNT(*){D} < 0.08{D}
+       THEN 'medium' ELSE 'high' END AS risk_zone
+FROM events_corpus GROUP BY project"""))
+def q_risk_zones(spark, d):
+    g = fx.events_corpus(spark, d).groupBy("project").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("_p"))
+    g = g.withColumn("base_rate", F.col("_p").cast("double") / F.col("n").cast("double"))
+    return g.select("project", "n", "base_rate", sc.risk_zone("base_rate").alias("risk_zone"))
