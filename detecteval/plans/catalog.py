@@ -41,6 +41,11 @@ EV_PT_SQL = ptm.sql_transfer_pt(src="events_corpus")
 
 
 def W(ctes: str, select: str) -> str:
+    """Fixture CTEs + extra CTEs + final statement; a statement that starts
+    with more CTE definitions (``_name AS (...)``) continues the list."""
+    body = select.lstrip()
+    if body.startswith("_"):
+        select = ",\n" + body
     return fx.with_ctes(ctes, select)
 
 
@@ -418,3 +423,175 @@ def q_risk_zones(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("_p"))
     g = g.withColumn("base_rate", F.col("_p").cast("double") / F.col("n").cast("double"))
     return g.select("project", "n", "base_rate", sc.risk_zone("base_rate").alias("risk_zone"))
+
+
+# ------------------------------------------------------------ sampling
+from ..functions.hashing import sql_hash  # noqa: E402
+from ..operators import sampling as sa  # noqa: E402
+from ..operators import stats as st  # noqa: E402
+
+
+def _h(seed: str, salt: str, col: str = "row_id") -> str:
+    return sql_hash(seed, f"'{salt}'", col)
+
+
+@register("hard_balance", W("", f"""
+_bc AS (SELECT label, COUNT(*) AS n FROM corpus GROUP BY label),
+_bk AS (SELECT CASE WHEN COUNT(*) < 2 THEN 0 ELSE min(n) END AS k FROM _bc)
+SELECT row_id, label, project FROM (SELECT row_id, label, project,
+  ROW_NUMBER() OVER (PARTITION BY label ORDER BY {_h('0', 'balance')}, row_id) AS _r FROM corpus) c, _bk
+WHERE c._r <= _bk.k"""))
+def q_hard_balance(spark, d):
+    return sa.hard_balance(fx.corpus(spark, d).select("row_id", "label", "project"), seed=0)
+
+
+@register("epoch_balance", W("", f"""
+_e AS (SELECT c.*, CAST(e.epoch AS INTEGER) AS epoch FROM corpus c CROSS JOIN range(0, 3) e(epoch)),
+_ec AS (SELECT epoch, label, COUNT(*) AS n FROM _e GROUP BY epoch, label),
+_ek AS (SELECT epoch, CASE WHEN COUNT(*) < 2 THEN 0 ELSE min(n) END AS k FROM _ec GROUP BY epoch)
+SELECT e.row_id, e.label, e.epoch FROM (SELECT row_id, label, epoch,
+  ROW_NUMBER() OVER (PARTITION BY epoch, label ORDER BY {_h('epoch', 'balance')}, row_id) AS _r FROM _e) e
+JOIN _ek k ON e.epoch = k.epoch WHERE e._r <= k.k"""))
+def q_epoch_balance(spark, d):
+    return sa.epoch_balance(fx.corpus(spark, d).select("row_id", "label"), epochs=3)
+
+
+def _split_sql() -> str:
+    frac = 0.1 / (1.0 - 0.2)
+    return ",".join([
+        "_s0 AS (SELECT row_id, label, project, 1 AS _one FROM corpus)",
+        oq.stratified_take("_st", "_s0", ["_one"], f"ceil(n{D} * 0.2{D})", "0", "split_test",
+                           ["row_id"]),
+        "_s1 AS (SELECT * FROM _s0 WHERE row_id NOT IN (SELECT row_id FROM _st))",
+        oq.stratified_take("_sv", "_s1", ["_one"], f"ceil(n{D} * {frac!r}{D})", "0", "split_val",
+                           ["row_id"])])
+
+
+@register("random_split", W(_split_sql(), """
+SELECT row_id, label, project, CASE WHEN row_id IN (SELECT row_id FROM _st) THEN 'test'
+  WHEN row_id IN (SELECT row_id FROM _sv) THEN 'val' ELSE 'train' END AS split FROM _s0"""))
+def q_random_split(spark, d):
+    return sa.random_split(fx.corpus(spark, d).select("row_id", "label", "project"), seed=0)
+
+
+@register("downsample_positives", W("", f"""
+_dc AS (SELECT SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS _pos, SUM(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS _neg
+        FROM events_corpus),
+_dk AS (SELECT least(CAST(floor({0.05 / 0.95!r}{D} * _neg) AS BIGINT), _pos) AS k FROM _dc)
+SELECT row_id, project, cwe, label FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {_h('0', 'downsample')}, row_id) AS _r
+  FROM events_corpus WHERE label = 1) p, _dk WHERE p._r <= _dk.k
+UNION ALL SELECT row_id, project, cwe, label FROM events_corpus WHERE label = 0"""))
+def q_downsample(spark, d):
+    return sa.downsample_positives(fx.events_corpus(spark, d), ratio=0.05, seed=0)
+
+
+def _cal_sql() -> str:
+    return ",".join([
+        "_cs AS (SELECT e.*, CAST(s.cal_size AS INTEGER) AS cal_size FROM events_corpus e "
+        "CROSS JOIN (VALUES (20), (50), (100), (200)) s(cal_size))",
+        "_cn AS (SELECT cal_size FROM _cs GROUP BY cal_size HAVING COUNT(*) >= cal_size + 100)",
+        "_cs2 AS (SELECT s.* FROM _cs s JOIN _cn n ON s.cal_size = n.cal_size)",
+        oq.stratified_take("_ct", "_cs2", ["cal_size"], "cal_size", "0", "calibration",
+                           ["cal_size", "row_id"])])
+
+
+@register("calibration_draw", W(_cal_sql(), """
+SELECT s.row_id, s.project, s.cwe, s.label, s.cal_size,
+  CASE WHEN t.row_id IS NULL THEN 'eval' ELSE 'cal' END AS part
+FROM _cs2 s LEFT JOIN _ct t ON s.cal_size = t.cal_size AND s.row_id = t.row_id"""))
+def q_calibration_draw(spark, d):
+    return sa.calibration_draw(fx.events_corpus(spark, d), [20, 50, 100, 200], 0)
+
+
+@register("sample_k", W("", f"""
+SELECT row_id, project, cwe, label FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {_h('0', 'sample')}, row_id) AS _r
+  FROM events_corpus) WHERE _r <= 100"""))
+def q_sample_k(spark, d):
+    return sa.sample_k(fx.events_corpus(spark, d), 100, 0)
+
+
+@register("validation_groups", W("", f"""
+SELECT project, ROW_NUMBER() OVER (ORDER BY {_h('0', 'val_frac', 'project')}, project)
+  <= greatest(round_even(COUNT(*) OVER () * 0.15{D}, 0), 1) AS is_val
+FROM (SELECT DISTINCT project FROM corpus)"""))
+def q_validation_groups(spark, d):
+    return fo.validation_groups_fraction(fx.corpus(spark, d), 0.15, 0)
+
+
+# ------------------------------------------------------------ statistics
+def _runs_sql():
+    return PT_SQL + "," + oq.transfer_runs("pt")
+
+
+@register("bootstrap_ci", W(_runs_sql(), f"""
+, _bv AS (SELECT model, f1_gap AS _v, ROW_NUMBER() OVER (PARTITION BY model ORDER BY seed, fold) - 1 AS _idx,
+   COUNT(*) OVER (PARTITION BY model) AS _n FROM runs),
+_bs AS (SELECT model, first(_n) AS _n, avg(_v) AS _mean FROM _bv GROUP BY model),
+_bd AS (SELECT s.model, s._n, b.b, j.j FROM _bs s CROSS JOIN range(0, 10000) b(b) JOIN LATERAL
+   (SELECT * FROM range(0, s._n) j(j)) j ON TRUE),
+_bm AS (SELECT d.model, d.b, round(avg(v._v), 12) AS _m FROM _bd d JOIN _bv v ON v.model = d.model
+   AND v._idx = CAST({sql_hash('0', "'boot'", 'd.b', 'd.j')} % d._n AS INTEGER) GROUP BY d.model, d.b)
+SELECT s.model, s._n AS n, round(s._mean, 9) AS mean,
+  round(quantile_cont(m._m, 0.025), 9) AS ci_lo, round(quantile_cont(m._m, 0.975), 9) AS ci_hi
+FROM _bs s JOIN _bm m ON s.model = m.model GROUP BY s.model, s._n, s._mean""".replace("\n, _bv AS", ",\n_bv AS", 1)))
+def q_bootstrap(spark, d):
+    runs = tr.threshold_transfer_runs(ptm.transfer_pt(spark, d).drop("logit0", "logit1"))
+    return st.bootstrap_ci(runs, ["model"], "f1_gap", ["seed", "fold"])
+
+
+@register("wilcoxon_paired", None)
+def q_wilcoxon(spark, d):
+    runs = tr.threshold_transfer_runs(ptm.transfer_pt(spark, d).drop("logit0", "logit1"),
+                                      with_projects=False)
+    a = runs.filter(F.col("model") == "m0").select("seed", "fold", F.col("f1_source").alias("a"))
+    b = runs.filter(F.col("model") == "m1").select("seed", "fold", F.col("f1_source").alias("b"))
+    return st.wilcoxon(a.join(b, ["seed", "fold"]).withColumn("test", F.lit("m0_vs_m1")),
+                       ["test"], "a", "b")
+
+
+_DRIFT_METRICS = ["mean_shift", "kl_divergence", "js_divergence", "ks_statistic", "entropy_diff",
+                  "ppr_diff"]
+
+
+def _rank_sql(src: str, col: str) -> str:
+    return (f"(rank() OVER (PARTITION BY metric ORDER BY {col}) + "
+            f"(COUNT(*) OVER (PARTITION BY metric, {col}) - 1) / 2.0{D})")
+
+
+@register("spearman_drift", W(PT_SQL + "," + _drift_sql(), f"""
+, _sl AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {m} AS value, f1_gap FROM drift" for m in _DRIFT_METRICS)}),
+_sr AS (SELECT metric, value, {_rank_sql('_sl', 'value')} AS _rv, {_rank_sql('_sl', 'f1_gap')} AS _rt FROM _sl)
+SELECT metric, COUNT(*) AS n, COUNT(DISTINCT value) AS n_distinct,
+  CASE WHEN COUNT(DISTINCT value) > 2 THEN round(corr(_rv, _rt), 9) END AS rho
+FROM _sr GROUP BY metric""".replace("\n, _sl AS", ",\n_sl AS", 1)))
+def q_spearman(spark, d):
+    dr_ = rp.drift_report(ptm.transfer_pt(spark, d))
+    return st.spearman(dr_, _DRIFT_METRICS, "f1_gap").drop("p_value")
+
+
+@register("spearman_pvalues", None)
+def q_spearman_p(spark, d):
+    dr_ = rp.drift_report(ptm.transfer_pt(spark, d))
+    return st.spearman(dr_, _DRIFT_METRICS, "f1_gap")
+
+
+@register("gap_shift_fit", W(PT_SQL + "," + _drift_sql(), """
+SELECT model, round(regr_slope(f1_gap, mean_shift), 9) AS slope,
+  round(regr_intercept(f1_gap, mean_shift), 9) AS intercept, COUNT(*) AS n FROM drift GROUP BY model"""))
+def q_gap_fit(spark, d):
+    return st.linear_fit(rp.drift_report(ptm.transfer_pt(spark, d)), ["model"], "f1_gap", "mean_shift")
+
+
+@register("method_boxplot", W(PT_SQL + "," + _adaptive_sql(), f"""
+, _l AS ({_LONG_SQL}),
+_q AS (SELECT method, quantile_cont(f1, 0.25) AS q1, quantile_cont(f1, 0.5) AS median,
+   quantile_cont(f1, 0.75) AS q3, avg(f1) AS _mean FROM _l GROUP BY method)
+SELECT q.method, round(q.q1, 9) AS q1, round(q.median, 9) AS median, round(q.q3, 9) AS q3,
+  round(q._mean, 9) AS mean,
+  min(CASE WHEN l.f1 >= q.q1 - 1.5{D} * (q.q3 - q.q1) THEN l.f1 END) AS whisker_lo,
+  max(CASE WHEN l.f1 <= q.q3 + 1.5{D} * (q.q3 - q.q1) THEN l.f1 END) AS whisker_hi, COUNT(*) AS n
+FROM _l l JOIN _q q ON l.method = q.method GROUP BY q.method, q.q1, q.median, q.q3, q._mean"""
+   .replace("\n, _l AS", ",\n_l AS", 1)))
+def q_boxplot(spark, d):
+    return st.box_table(rp.method_long(rp.adaptive_thresholds(ptm.transfer_pt(spark, d))),
+                        ["method"], "f1")
