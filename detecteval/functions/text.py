@@ -34,9 +34,14 @@ def n_lines(col: Column) -> Column:
     return (F.length(col) - F.length(F.regexp_replace(col, "\n", ""))) + F.lit(1)
 
 
+# Unicode word characters (letters, digits, underscore): Python's ``\w``,
+# spelled so Java regex and RE2 agree.
+WORD_RUN = "[\\p{L}\\p{N}_]+"
+
+
 def word_tokens(col: Column) -> Column:
     """Lower-cased Unicode word tokens, length 1 kept."""
-    return F.regexp_extract_all(F.lower(col), F.lit("(?U)\\w+"), 0)
+    return F.regexp_extract_all(F.lower(col), F.lit(WORD_RUN), 0)
 
 
 def code_tokens(col: Column, max_tokens: int = 512) -> Column:

@@ -595,3 +595,67 @@ FROM _l l JOIN _q q ON l.method = q.method GROUP BY q.method, q.q1, q.median, q.
 def q_boxplot(spark, d):
     return st.box_table(rp.method_long(rp.adaptive_thresholds(ptm.transfer_pt(spark, d))),
                         ["method"], "f1")
+
+
+# ------------------------------------------------------------ text, models, explain (X, M, E)
+from . import studies as sd  # noqa: E402
+from ..operators import perturb as pe  # noqa: E402
+from ..functions.text import WORD_RUN  # noqa: E402
+
+
+@register("tfidf", W("", f"""
+_tok AS (SELECT row_id, unnest(regexp_extract_all(lower(func), '{WORD_RUN.replace(chr(92) * 2, chr(92))}')) AS term FROM corpus),
+_tc AS (SELECT row_id, term, COUNT(*) AS tf FROM _tok GROUP BY row_id, term),
+_st AS (SELECT term, SUM(tf) AS cnt, COUNT(*) AS df FROM _tc GROUP BY term),
+_top AS (SELECT * FROM _st ORDER BY cnt DESC, term LIMIT 10000),
+_voc AS (SELECT term, ROW_NUMBER() OVER (ORDER BY term) - 1 AS idx,
+   ln((1 + (SELECT COUNT(DISTINCT row_id) FROM corpus))::DOUBLE / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM _top),
+_w AS (SELECT c.row_id, c.term, v.idx, (1.0::DOUBLE + ln(c.tf::DOUBLE)) * v.idf AS _w FROM _tc c JOIN _voc v ON c.term = v.term)
+SELECT row_id, term, idx, round(_w / sqrt(SUM(_w * _w) OVER (PARTITION BY row_id)), 9) AS weight FROM _w"""))
+def q_tfidf(spark, d):
+    return sd.tfidf_table(spark, d).withColumn("weight", F.round("weight", 9))
+
+
+@register("token_drift", None)
+def q_token_drift(spark, d):
+    c = fx.corpus(spark, d).select("row_id", "func")
+    return pe.token_drift(pe.perturb(c, ("rename", "deadcode", "whitespace", "whitespace_safe")))
+
+
+@register("perturbations", None)
+def q_perturbations(spark, d):
+    c = fx.corpus(spark, d).select("row_id", "func")
+    p = pe.perturb(c, ("rename", "deadcode", "whitespace", "whitespace_safe"), n_variants=2)
+    return p.select("row_id", "kind", "variant", F.length("func").alias("n_chars"),
+                    F.length("func_perturbed").alias("n_chars_perturbed"),
+                    F.sha2("func_perturbed", 256).alias("digest"))
+
+
+@register("simple_baselines", None)
+def q_simple_baselines(spark, d):
+    return sd.simple_baselines(spark, d)
+
+
+@register("weight_balance_grid", None)
+def q_weight_grid(spark, d):
+    return sd.weight_balance_grid(spark, d)
+
+
+@register("robustness", None)
+def q_robustness(spark, d):
+    return sd.robustness(spark, d)
+
+
+@register("per_category_robustness", None)
+def q_per_category(spark, d):
+    return sd.per_category_robustness(spark, d)
+
+
+@register("counterfactual_flips", None)
+def q_counterfactual(spark, d):
+    return sd.counterfactual_study(spark, d)
+
+
+@register("attributions", None)
+def q_attributions(spark, d):
+    return sd.attribution_study(spark, d)
