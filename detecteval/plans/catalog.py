@@ -659,3 +659,12 @@ def q_counterfactual(spark, d):
 @register("attributions", None)
 def q_attributions(spark, d):
     return sd.attribution_study(spark, d)
+
+
+@register("top_projects", W(EV_PT_SQL + "," + oq.transfer_runs("pt"), f"""
+SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {RKS} ORDER BY f1_gap DESC, project) AS rank
+  FROM per_project) WHERE rank <= 20"""))
+def q_top_projects(spark, d):
+    p = ptm.events_transfer_pt(spark, d).drop("logit0", "logit1")
+    curve = cv.pr_curve(p, RK + ["side"])
+    return tr.top_projects(tr.per_project(p, tr.run_thresholds(curve, RK), RK), RK, 20)

@@ -88,7 +88,7 @@ def scored_lineitem(spark: SparkSession, sf_dir: str, models=None) -> DataFrame:
                     (F.col("l_discount") * 100).cast("long"),
                     (F.col("l_tax") * 100).cast("long"),
                     "l_returnflag", "l_linestatus",
-                    F.unix_micros(F.col("l_shipdate"))).alias("row_key"),
+                    F.date_format(F.col("l_shipdate"), "yyyyMMddHHmmss")).alias("row_key"),
         F.col("l_suppkey").cast("string").alias("project"),
         F.lit("").alias("cwe"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"))
