@@ -79,8 +79,8 @@ def budget_recall(pt: DataFrame, keys: Sequence[str], budgets: Sequence[int] = B
     that straddles position K is ranked row by row.
     """
     keys = list(keys)
-    agg = cv.score_table(pt, keys, score)
-    cur = cv.descending_running_sums(agg, keys, score, ["pos", "neg"])
+    agg = cv.materialised_score_table(pt, keys, score)
+    cur = cv.descending_running_sums(agg, keys, score, ["pos", "neg"], cv.choose_buckets(agg, keys))
     cur = cur.withColumn("_cnt", F.col("pos") + F.col("neg")) \
         .withColumn("_cum", F.col("cum_pos") + F.col("cum_neg")) \
         .withColumn("_n", F.col("tot_pos") + F.col("tot_neg"))

@@ -21,9 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import f1_counts, safe_div
+from ..session import checkpoint
 
 N_BUCKETS = 64
 EPS_F1 = 1e-12
+# A key with at most this many distinct scores is summed by a plain window
+# (bounded rows per task); larger keys take the bucketed path.
+WINDOW_LIMIT = 1_000_000
 
 
 def score_table(pt: DataFrame, keys: Sequence[str], score: str = "score",
@@ -75,15 +79,34 @@ def descending_running_sums(agg: DataFrame, keys: Sequence[str], order_col: str,
                     *["tot_" + v for v in vals])
 
 
+def materialised_score_table(pt: DataFrame, keys: Sequence[str], score: str = "score",
+                             label: str = "label") -> DataFrame:
+    """Score table written once to the checkpoint folder: every consumer
+    (edges, bucket totals, windows, confusion joins) then reads the reduced
+    table instead of rescanning and rehashing the raw rows."""
+    return checkpoint(score_table(pt, keys, score, label))
+
+
+def choose_buckets(agg: DataFrame, keys: Sequence[str], n_buckets: int = N_BUCKETS) -> int:
+    """1 (plain window) when no key has more than WINDOW_LIMIT distinct
+    scores, else ``n_buckets``; one small job over the score table."""
+    mx = agg.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
+    return 1 if mx <= WINDOW_LIMIT else n_buckets
+
+
 def pr_curve(pt: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label",
-             n_buckets: int = N_BUCKETS) -> DataFrame:
+             n_buckets: int | None = None, agg: DataFrame | None = None) -> DataFrame:
     """Per distinct score: ``pos, neg, tp, fp, n_pos, n_neg, precision, recall, f1``
     with tp/fp = positives/negatives scored >= score (A6).
 
     ``recall`` is 1 when a group has no positives (as sklearn does) and
     ``f1 = 2pr/(p+r+1e-12)`` is the curve F1 used for threshold choice.
+    ``n_buckets=None`` picks the plan from the score table's key sizes.
     """
-    agg = score_table(pt, keys, score, label)
+    if agg is None:
+        agg = materialised_score_table(pt, keys, score, label)
+    if n_buckets is None:
+        n_buckets = choose_buckets(agg, keys)
     cur = descending_running_sums(agg, keys, score, ["pos", "neg"], n_buckets)
     cur = cur.select(*keys, score, "pos", "neg",
                      F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
@@ -172,14 +195,14 @@ def metrics_from_confusion(conf: DataFrame) -> DataFrame:
 
 def compute_metrics(pt: DataFrame, keys: Sequence[str], threshold: float = 0.5,
                     score: str = "score", label: str = "label",
-                    n_buckets: int = N_BUCKETS) -> DataFrame:
+                    n_buckets: int | None = None) -> DataFrame:
     """Full metric row per group at a fixed threshold, with AP and AUC (A1-A4)."""
     keys = list(keys)
     if not keys:
         return compute_metrics(pt.withColumn("_one", F.lit(1)), ["_one"], threshold,
                                score, label, n_buckets).drop("_one")
-    agg = score_table(pt, keys, score, label)
+    agg = materialised_score_table(pt, keys, score, label)
     thr = agg.select(*keys).distinct().withColumn("threshold", F.lit(float(threshold)))
     m = metrics_from_confusion(confusion_at(agg, thr, keys, score))
-    cur = pr_curve(pt, keys, score, label, n_buckets)
+    cur = pr_curve(pt, keys, score, label, n_buckets, agg=agg)
     return m.join(curve_summary(cur, keys), keys, "left")

@@ -33,7 +33,7 @@ def chosen_fold(pt: DataFrame, seed: int = 0) -> DataFrame:
 def cost_inputs(pt: DataFrame, seed: int = 0):
     sel = chosen_fold(pt, seed)
     p = pt.join(sel, ["seed", "fold"])
-    test_agg = cv.score_table(p.filter(F.col("side") == "test"), RUN_KEYS)
+    test_agg = cv.materialised_score_table(p.filter(F.col("side") == "test"), RUN_KEYS)
     val_curve = cv.pr_curve(p.filter(F.col("side") == "val"), RUN_KEYS)
     runs = test_agg.select(*RUN_KEYS).distinct()
     f1_thr = runs.join(cv.threshold_max_f1(val_curve, RUN_KEYS), RUN_KEYS, "left") \
@@ -79,7 +79,7 @@ def adaptive_thresholds(pt: DataFrame, keys: Sequence[str] = RUN_KEYS,
     curve = cv.pr_curve(pt, ks)
     thr = tr.run_thresholds(curve, keys)
     test = pt.filter(F.col("side") == "test")
-    agg = cv.score_table(test, keys)
+    agg = cv.materialised_score_table(test, keys)
     ppr = cb.ppr_threshold(agg, keys, target)
     val = cb.density_valley_threshold(test, keys)
     t = thr.join(ppr, keys).join(val, keys)

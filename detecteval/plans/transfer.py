@@ -51,13 +51,15 @@ def run_thresholds(curve: DataFrame, keys: Sequence[str], min_precision: float =
 
 
 def per_project(pt: DataFrame, thr: DataFrame, keys: Sequence[str] = RUN_KEYS,
-                min_pos: int = 2, min_rows: int = 10, n_buckets: int = cv.N_BUCKETS) -> DataFrame:
+                min_pos: int = 2, min_rows: int = 10, n_buckets: int | None = None) -> DataFrame:
     """Per held-out group with >= min_pos positives and >= min_rows rows: own
     max-F1 threshold, F1 at the source threshold and at its own, gap (A17)."""
     keys = list(keys)
     pk = keys + ["project"]
     test = pt.filter(F.col("side") == "test")
-    agg = cv.score_table(test, pk)
+    agg = cv.materialised_score_table(test, pk)
+    if n_buckets is None:
+        n_buckets = cv.choose_buckets(agg, pk)
     sizes = agg.groupBy(*pk).agg(F.sum("pos").alias("n_pos"),
                                  (F.sum("pos") + F.sum("neg")).alias("n"))
     elig = sizes.filter((F.col("n_pos") >= min_pos) & (F.col("n") >= min_rows))
@@ -83,15 +85,15 @@ def per_project(pt: DataFrame, thr: DataFrame, keys: Sequence[str] = RUN_KEYS,
 
 
 def threshold_transfer_runs(pt: DataFrame, keys: Sequence[str] = RUN_KEYS,
-                            min_precision: float = 0.3, n_buckets: int = cv.N_BUCKETS,
+                            min_precision: float = 0.3, n_buckets: int | None = None,
                             with_projects: bool = True) -> DataFrame:
     """One row per run: thresholds, F1/recall/precision at source, oracle,
     fixed 0.5 and precision-0.3 points, and the per-group roll-up (T4, C7,
     A18). Floating roll-ups (std, mean) are rounded to 9 digits."""
     keys = list(keys)
     ks = keys + ["side"]
-    agg = cv.score_table(pt, ks)
-    curve = cv.pr_curve(pt, ks, n_buckets=n_buckets)
+    agg = cv.materialised_score_table(pt, ks)
+    curve = cv.pr_curve(pt, ks, n_buckets=n_buckets, agg=agg)
     thr = run_thresholds(curve, keys, min_precision)
     kinds = {"source": "thr_source", "oracle": "thr_oracle", "p30_source": "thr_p30_source",
              "p30_target": "thr_p30_target"}
