@@ -668,3 +668,8 @@ def q_top_projects(spark, d):
     p = ptm.events_transfer_pt(spark, d).drop("logit0", "logit1")
     curve = cv.pr_curve(p, RK + ["side"])
     return tr.top_projects(tr.per_project(p, tr.run_thresholds(curve, RK), RK), RK, 20)
+
+
+@register("cross_project_cv", None)
+def q_cross_project_cv(spark, d):
+    return sd.cross_project_cv(spark, d)
