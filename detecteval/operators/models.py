@@ -158,3 +158,42 @@ def evaluate(pt: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> Data
     """Score-and-measure."""
     from .curves import compute_metrics
     return compute_metrics(pt, keys, threshold)
+
+
+def score_with(df: DataFrame, predict, text_col: str = "func", id_col: str = "row_id",
+               keep: Sequence[str] = ("label",)) -> DataFrame:
+    """Bring-your-own scorer (E1): ``predict(pandas.Series of text) ->
+    array of P(class 1)`` runs on Arrow batches with ``mapInPandas``; the
+    output is a PT with ``score`` and ``logit0 = 0``, ``logit1 = logit(score)``."""
+    import numpy as np
+    keep = [c for c in keep if c in df.columns]
+    cols = [id_col, text_col] + keep
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"{id_col} {types[id_col]}"] + [f"{c} {types[c]}" for c in keep]
+                       + ["score double", "logit0 double", "logit1 double"])
+
+    def run(batches):
+        for pdf in batches:
+            p = np.clip(np.asarray(predict(pdf[text_col]), dtype="float64"), 1e-7, 1 - 1e-7)
+            out = pdf[[id_col] + keep].copy()
+            out["score"] = p
+            out["logit0"] = 0.0
+            out["logit1"] = np.log(p / (1 - p))
+            yield out
+
+    return df.select(*cols).mapInPandas(run, schema)
+
+
+# Per-occurrence weights of the lexicon scorer (sinks raise,
+# bounds checks lower the score).
+LEXICON = {"strcpy": 2.0, "gets": 2.0, "sprintf": 1.5, "strcat": 1.5, "scanf": 1.0,
+           "memcpy": 0.5, "if": -0.5, "len": -0.25}
+
+
+def lexicon_predict(texts):
+    """Vectorised keyword scorer used as an example external model."""
+    import numpy as np
+    z = np.full(len(texts), -1.0)
+    for w, c in LEXICON.items():
+        z = z + c * texts.str.count(rf"\b{w}\b").to_numpy(dtype="float64")
+    return 1.0 / (1.0 + np.exp(-z))

@@ -78,9 +78,13 @@ def wilcoxon(pairs: DataFrame, keys: Sequence[str], a: str, b: str, exact_max: i
     g = r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"),
-        F.sort_array(F.collect_list((F.col("_r") * 2).cast("long"))).alias("_r2"))
+        F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"))
     g = g.withColumn("statistic", F.least("w_plus", "w_minus"))
+    # Rank lists are gathered only for groups with n <= exact_max (bounded);
+    # larger groups use the normal approximation from n and W alone.
+    small = r.join(g.filter(F.col("n") <= exact_max).select(*keys), keys, "left_semi") \
+        .groupBy(*keys).agg(F.sort_array(F.collect_list((F.col("_r") * 2).cast("long"))).alias("_r2"))
+    g = g.join(small, keys, "left").withColumn("_r2", F.coalesce("_r2", F.array().cast("array<bigint>")))
 
     @F.pandas_udf("double")
     def pval(n: pd.Series, r2: pd.Series, w: pd.Series) -> pd.Series:
@@ -97,16 +101,12 @@ def wilcoxon(pairs: DataFrame, keys: Sequence[str], a: str, b: str, exact_max: i
                 out.append(min(1.0, math.erfc(abs(z) / math.sqrt(2))))
         return pd.Series(out, dtype="float64")
 
-    # The sorted rank list is only kept for n <= exact_max (bounded); the
-    # normal path needs only n and W.
-    g = g.withColumn("_r2", F.when(F.col("n") <= exact_max, F.col("_r2")).otherwise(F.array()))
     return g.withColumn("p_value", pval("n", "_r2", "statistic")).drop("_r2")
 
 
 def _t_sf(t: float, df: int) -> float:
     """Survival function of Student's t for integer df (finite series)."""
-    x = df / (df + t * t)
-    # Regularised incomplete beta I_x(df/2, 1/2) via the finite series.
+    # Closed-form series in theta = atan(|t| / sqrt(df)).
     th = math.atan(abs(t) / math.sqrt(df))
     if df % 2 == 1:
         s = 0.0
@@ -125,7 +125,6 @@ def _t_sf(t: float, df: int) -> float:
             term *= (k - 1) / k * math.cos(th) ** 2
             s += term
         p2 = 1 - math.sin(th) * s
-    del x
     return max(0.0, min(1.0, p2)) / 2.0
 
 

@@ -673,3 +673,12 @@ def q_top_projects(spark, d):
 @register("cross_project_cv", None)
 def q_cross_project_cv(spark, d):
     return sd.cross_project_cv(spark, d)
+
+
+@register("external_scorer_metrics", None)
+def q_external_scorer(spark, d):
+    from ..operators import models as md_
+    from ..sources.synthetic import code_for_rows
+    code = code_for_rows(fx.corpus(spark, d).select("row_id", "func", "label", "project"))
+    pt = md_.score_with(code, md_.lexicon_predict, keep=("label", "project"))
+    return cv.compute_metrics(pt.withColumn("model", F.lit("lexicon")), ["model"])

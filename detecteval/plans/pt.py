@@ -25,14 +25,14 @@ def corpus_sides(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = SEEDS,
 def transfer_pt(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = SEEDS,
                 n_splits: int = N_SPLITS, models=None) -> DataFrame:
     """``model, seed, fold, side, row_id, project, cwe, label, score, logit0, logit1``."""
-    return fx.with_scores(corpus_sides(spark, sf_dir, seeds, n_splits), models)
+    return checkpoint(fx.with_scores(corpus_sides(spark, sf_dir, seeds, n_splits), models))
 
 
 def events_transfer_pt(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = SEEDS,
                        n_splits: int = N_SPLITS, models=None) -> DataFrame:
     c = fx.events_corpus(spark, sf_dir)
     f = checkpoint(fo.group_folds(c, n_splits, seeds))
-    return fx.with_scores(checkpoint(fo.evaluation_sides(c, f)), models)
+    return checkpoint(fx.with_scores(checkpoint(fo.evaluation_sides(c, f)), models))
 
 
 def sql_transfer_pt(src: str = "corpus", seeds: Sequence[int] = SEEDS, n_splits: int = N_SPLITS,
