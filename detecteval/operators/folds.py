@@ -98,11 +98,12 @@ def validation_groups_fraction(df: DataFrame, frac: float = 0.15, seed=0,
                                group_col: str = "project") -> DataFrame:
     """``round(frac * n_groups)`` groups (half-even, at least 1) by seeded
     hash (J6); returns ``(project, is_val)`` over the distinct groups."""
+    from .sampling import take_k_global
     g = df.select(group_col).distinct()
-    w = Window.orderBy(H(seed, "val_frac", F.col(group_col)), F.col(group_col))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    m = F.greatest(F.bround(n * F.lit(frac), 0), F.lit(1))
-    return g.select(group_col, (F.row_number().over(w) <= m).alias("is_val"))
+    n = g.count()
+    m = max(int(df.sparkSession.range(1).select(F.bround(F.lit(n) * F.lit(frac), 0)).collect()[0][0]), 1)
+    h = g.withColumn("_h", H(seed, "val_frac", F.col(group_col)))
+    return take_k_global(h, m, id_col=group_col, mark="is_val").select(group_col, "is_val")
 
 
 def validation_split(df: DataFrame, folds: DataFrame, group_col: str = "project",

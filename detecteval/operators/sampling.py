@@ -54,6 +54,46 @@ def take_k_by_hash(df: DataFrame, keys: Sequence[str], quota: DataFrame,
                                         .alias(mark)))
 
 
+def take_k_global(df: DataFrame, k: int, hash_col: str = "_h", id_col: str = "row_id",
+                  bucket_bits: int = 20, mark: str | None = None) -> DataFrame:
+    """Exact-k over the whole frame without a global sort: the <= 4096
+    bucket counts (a bounded list) are summed on the driver; buckets below
+    the boundary pass, only the boundary bucket is ranked (by a window
+    partitioned by bucket, never a single partition)."""
+    b = df.withColumn("_b", F.shiftright(F.col(hash_col), bucket_bits))
+    counts = sorted((r[0], r[1]) for r in b.groupBy("_b").count().collect())
+    cum, edge, before = 0, None, 0
+    for bk, c in counts:
+        if cum + c >= k:
+            edge, before = bk, cum
+            break
+        cum += c
+    cols = df.columns
+    if edge is None:  # k >= n: everything is taken
+        return df.withColumn(mark, F.lit(True)) if mark else df
+    need = int(k - before)
+    w = Window.partitionBy("_b").orderBy(F.col(hash_col), F.col(id_col))
+    e = b.filter(F.col("_b") == edge).withColumn("_r", F.row_number().over(w))
+    if not mark:
+        return b.filter(F.col("_b") < edge).select(*cols).unionByName(
+            e.filter(F.col("_r") <= need).select(*cols))
+    rest = b.filter(F.col("_b") != edge).select(*cols, (F.col("_b") < edge).alias(mark))
+    return rest.unionByName(e.select(*cols, (F.col("_r") <= need).alias(mark)))
+
+
+def _label_quota_table(spark, rows, label: str) -> DataFrame:
+    return spark.createDataFrame([(int(l), int(k)) for l, k in rows], f"{label} int, k long")
+
+
+def largest_remainder_py(counts: dict, total: int) -> dict:
+    """Driver twin of ``largest_remainder_quota`` for a bounded label list."""
+    n = sum(counts.values())
+    fl = {l: (total * c) // n for l, c in counts.items()}
+    rem = sorted(counts, key=lambda l: (-((total * counts[l]) % n), l))
+    left = total - sum(fl.values())
+    return {l: fl[l] + (1 if i < left else 0) for i, l in enumerate(rem)}
+
+
 def class_counts(df: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
     return df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n_label"))
 
@@ -89,9 +129,17 @@ def stratified_take(df: DataFrame, keys: Sequence[str], size_fn, seed, salt: str
     """Exact stratified draw: group size ``size_fn(n)`` (a Column over ``n``)
     split across labels by largest remainder, hash-ranked within label."""
     keys = list(keys)
+    hashed = df.withColumn("_h", H(seed, salt, F.col(id_col)))
+    if not keys:
+        # Global draw: the class counts are a bounded list (one row per label).
+        cc = {r[0]: r[1] for r in class_counts(df, [], label).collect()}
+        n = sum(cc.values())
+        total = df.sparkSession.range(1).select(size_fn(F.lit(n)).cast("long")).collect()[0][0] if n else 0
+        q = largest_remainder_py(cc, int(total)) if n else {}
+        quota = _label_quota_table(df.sparkSession, q.items(), label)
+        return take_k_by_hash(hashed, [label], quota, id_col=id_col, mark=mark).drop("_h")
     counts = _with_group_n(class_counts(df, keys, label), keys)
     quota = largest_remainder_quota(counts, keys, size_fn(F.col("n")), label)
-    hashed = df.withColumn("_h", H(seed, salt, F.col(id_col)))
     return take_k_by_hash(hashed, keys + [label], quota, id_col=id_col, mark=mark).drop("_h")
 
 
@@ -102,18 +150,23 @@ def hard_balance(df: DataFrame, seed=0, keys: Sequence[str] = (), label: str = "
     The union of the two class samples is one filter over the input.
     ``shuffle`` orders by a seeded hash (a global sort: only when asked).
     """
-    keys = list(keys) or ["_one"]
-    src = df if "_one" not in keys else df.withColumn("_one", F.lit(1))
-    counts = class_counts(src, keys, label)
-    kmin = counts.groupBy(*keys).agg(F.min("n_label").alias("k"),
-                                     F.count(F.lit(1)).alias("_nc"))
-    kmin = kmin.withColumn("k", F.when(F.col("_nc") < 2, F.lit(0)).otherwise(F.col("k")))
-    quota = counts.join(kmin, keys).select(*keys, label, "k")
-    hashed = src.withColumn("_h", H(seed, "balance", F.col(id_col)))
-    out = take_k_by_hash(hashed, keys + [label], quota, id_col=id_col)
+    keys = list(keys)
+    hashed = df.withColumn("_h", H(seed, "balance", F.col(id_col)))
+    if not keys:
+        cc = {r[0]: r[1] for r in class_counts(df, [], label).collect()}  # <= #labels rows
+        k = min(cc.values()) if len(cc) >= 2 else 0
+        quota = _label_quota_table(df.sparkSession, [(l, k) for l in cc], label)
+        out = take_k_by_hash(hashed, [label], quota, id_col=id_col)
+    else:
+        counts = class_counts(df, keys, label)
+        kmin = counts.groupBy(*keys).agg(F.min("n_label").alias("k"),
+                                         F.count(F.lit(1)).alias("_nc"))
+        kmin = kmin.withColumn("k", F.when(F.col("_nc") < 2, F.lit(0)).otherwise(F.col("k")))
+        quota = counts.join(kmin, keys).select(*keys, label, "k")
+        out = take_k_by_hash(hashed, keys + [label], quota, id_col=id_col)
     if shuffle:
         out = out.orderBy(H(seed, "shuffle", F.col(id_col)), F.col(id_col))
-    return out.drop("_h", "_one")
+    return out.drop("_h")
 
 
 def epoch_balance(df: DataFrame, epochs: int, base_seed: int = 0, vary: bool = True,
@@ -173,8 +226,8 @@ def downsample_positives(df: DataFrame, ratio: float = 0.05, seed=0,
     if keys:
         taken = take_k_by_hash(pos, keys, quota, id_col=id_col)
     else:
-        taken = take_k_by_hash(pos.withColumn("_one", F.lit(1)), ["_one"],
-                               quota.withColumn("_one", F.lit(1)), id_col=id_col).drop("_one")
+        k = quota.collect()[0]["k"] or 0  # one row
+        taken = take_k_global(pos, int(k), id_col=id_col)
     return taken.drop("_h").unionByName(df.filter(F.col(label) == 0))
 
 
@@ -198,9 +251,8 @@ def calibration_draw(df: DataFrame, sizes: Sequence[int], seed, keys: Sequence[s
 
 def sample_k(df: DataFrame, k: int, seed=0, id_col: str = "row_id") -> DataFrame:
     """Exactly ``k`` rows without replacement."""
-    hashed = df.withColumn("_h", H(seed, "sample", F.col(id_col))).withColumn("_one", F.lit(1))
-    quota = df.sparkSession.createDataFrame([(1, int(k))], "_one int, k long")
-    return take_k_by_hash(hashed, ["_one"], quota, id_col=id_col).drop("_h", "_one")
+    hashed = df.withColumn("_h", H(seed, "sample", F.col(id_col)))
+    return take_k_global(hashed, int(k), id_col=id_col).drop("_h")
 
 
 def shuffle_rows(df: DataFrame, seed=0, id_col: str = "row_id") -> DataFrame:
