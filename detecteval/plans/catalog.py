@@ -682,3 +682,8 @@ def q_external_scorer(spark, d):
     code = code_for_rows(fx.corpus(spark, d).select("row_id", "func", "label", "project"))
     pt = md_.score_with(code, md_.lexicon_predict, keep=("label", "project"))
     return cv.compute_metrics(pt.withColumn("model", F.lit("lexicon")), ["model"])
+
+
+@register("weight_sweep", None)
+def q_weight_sweep(spark, d):
+    return sd.weight_sweep(spark, d)

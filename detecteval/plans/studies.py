@@ -202,3 +202,34 @@ def cross_project_cv(spark: SparkSession, sf_dir: str, n_splits: int = 5, seed:
     return ci.withColumn("wilcoxon_w", F.lit(w["wilcoxon_w"] if w else None).cast("double")) \
         .withColumn("wilcoxon_p", F.lit(w["wilcoxon_p"] if w else None).cast("double")) \
         .withColumn("wilcoxon_n", F.lit(w["wilcoxon_n"] if w else 0).cast("long"))
+
+
+# Class weights of the weight sweep.
+SWEEP_WEIGHTS = [1.0, 10.0, 20.0, 30.0, 50.0, 100.0]
+
+
+def weight_sweep(spark: SparkSession, sf_dir: str, weights: Sequence[float] = SWEEP_WEIGHTS,
+                 test_ratio: float = 0.05) -> DataFrame:
+    """Logistic regression per positive-class weight, evaluated on a 95:5
+    down-sampled test set at 0.5 and at the validation threshold (R6: M5,
+    J8). Features are built once and shared by every fit."""
+    from pyspark.ml.functions import vector_to_array
+    s = _split_corpus(spark, sf_dir)
+    train = s.filter(F.col("split") == "train")
+    tf = md.fit_tfidf(train)
+    tr = checkpoint(md.features(tf, train))
+    rest = checkpoint(md.features(tf, s.filter(F.col("split") != "train")))
+    n = tr.count()
+    out = None
+    for w1 in weights:
+        clf = md.make_classifier("lr", quick=True).setRegParam(1.0 / max(n, 1))
+        m = clf.fit(tr.withColumn("w", md.class_weight_col("label", w1))
+                    .withColumn("label", F.col("label").cast("double")))
+        pt = checkpoint(m.transform(rest).withColumn("score", vector_to_array("probability")[1])
+                        .select("row_id", "label", "split", "score"))
+        thr = _val_threshold(pt.filter(F.col("split") == "val"))
+        test = downsample_positives(pt.filter(F.col("split") == "test"), test_ratio, 0) \
+            .withColumn("w1", F.lit(float(w1)))
+        r = _metrics_row(test, thr, ["w1"])
+        out = r if out is None else out.unionByName(r)
+    return out
