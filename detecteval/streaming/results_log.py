@@ -40,15 +40,15 @@ def follow_latest(spark: SparkSession, path: str, schema, keys: Sequence[str], o
     kk = list(keys) + ["experiment"]
 
     def upsert(batch_df: DataFrame, epoch: int) -> None:
+        # Snapshot of epoch e = latest rows of (snapshot e-1) + batch e. Epoch
+        # numbers survive restarts through the checkpoint, so e-1 is found
+        # again after a failure; a replayed epoch rewrites its own folder.
         sess = batch_df.sparkSession
         try:
-            old = sess.read.parquet(out_path)
-            merged = old.unionByName(batch_df)
-        except Exception:  # noqa: BLE001  first batch: no snapshot yet
+            merged = sess.read.parquet(f"{out_path}/_epoch={epoch - 1}").unionByName(batch_df)
+        except Exception:  # noqa: BLE001  first epoch: no previous snapshot
             merged = batch_df
-        latest = latest_results(merged, kk)
-        latest.write.mode("overwrite").parquet(out_path + f"/_epoch={epoch}")
-        # The newest epoch folder is the snapshot; readers pick the max epoch.
+        latest_results(merged, kk).write.mode("overwrite").parquet(f"{out_path}/_epoch={epoch}")
 
     w = src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -52,3 +52,23 @@ def test_result_log_latest_and_nesting(spark, tmp_dir):
     write_documents(docs, out)
     back = flatten_runs(spark, out).orderBy("model").collect()
     assert [r["f1"] for r in back] == [0.1, 0.2]
+
+
+def test_follow_latest_stream(spark, tmp_dir):
+    from detecteval.streaming.results_log import follow_latest
+    p = os.path.join(tmp_dir, "log2")
+    a = spark.createDataFrame([("m0", 0, 0.1), ("m1", 0, 0.2)], "model string, fold int, f1 double")
+    append_results(a, p, "exp", batch=1)
+    append_results(a.withColumn("f1", F.col("f1") + 1), p, "exp", batch=2)
+    schema = spark.read.parquet(p).schema
+    out = os.path.join(tmp_dir, "snap")
+    ck = os.path.join(tmp_dir, "ck")
+    q = follow_latest(spark, p, schema, ["model", "fold"], out, ck)
+    q.awaitTermination(120)
+    # A later cell appends again; the next run of the follower merges it.
+    append_results(a.filter("model = 'm0'").withColumn("f1", F.lit(5.0)), p, "exp", batch=3)
+    q = follow_latest(spark, p, schema, ["model", "fold"], out, ck)
+    q.awaitTermination(120)
+    snaps = sorted((int(d.split("=")[1]), d) for d in os.listdir(out) if d.startswith("_epoch="))
+    latest = spark.read.parquet(os.path.join(out, snaps[-1][1])).orderBy("model").collect()
+    assert [r["f1"] for r in latest] == [5.0, 1.2]
