@@ -687,3 +687,56 @@ def q_external_scorer(spark, d):
 @register("weight_sweep", None)
 def q_weight_sweep(spark, d):
     return sd.weight_sweep(spark, d)
+
+
+def _pairs_sql() -> str:
+    return f"""
+_wp AS (SELECT a.seed, a.fold, a.f1_source - b.f1_source AS _d FROM runs a JOIN runs b
+   ON a.seed = b.seed AND a.fold = b.fold WHERE a.model = 'm0' AND b.model = 'm1'),
+_wr AS (SELECT _d, rank() OVER (ORDER BY abs(_d)) + (COUNT(*) OVER (PARTITION BY abs(_d)) - 1) / 2.0{D} AS _r
+   FROM _wp WHERE _d <> 0)"""
+
+
+@register("wilcoxon_statistic", W(PT_SQL + "," + oq.transfer_runs("pt", with_projects=False)
+                                  + "," + _pairs_sql(), """
+SELECT 'm0_vs_m1' AS test, COUNT(*) AS n, SUM(CASE WHEN _d > 0 THEN _r ELSE 0.0 END) AS w_plus,
+  SUM(CASE WHEN _d < 0 THEN _r ELSE 0.0 END) AS w_minus,
+  least(SUM(CASE WHEN _d > 0 THEN _r ELSE 0.0 END), SUM(CASE WHEN _d < 0 THEN _r ELSE 0.0 END)) AS statistic
+FROM _wr"""))
+def q_wilcoxon_stat(spark, d):
+    return q_wilcoxon(spark, d).drop("p_value")
+
+
+def _code_sql() -> str:
+    from ..sources.synthetic import SAFE_BODY, SINK_STATEMENTS
+    nl = "' || chr(10) || '"
+    sinks = ", ".join(f"'{x}'" for x in SINK_STATEMENTS)
+    h = sql_hash("0", "'sink'", "row_id")
+    safe = SAFE_BODY.replace("\n", nl)
+    return f"""
+_code AS (SELECT row_id, label, project, 'int func_' || CAST(row_id AS VARCHAR) || '(char *src, int len) {{' || chr(10) ||
+  CASE WHEN label = 1 THEN '  char buf[10];' || chr(10) || '  ' || (list_value({sinks}))[CAST({h} % 4 AS INTEGER) + 1]
+       || chr(10) || '  return 0;' ELSE '{safe}' END || chr(10) || '}}' AS func FROM corpus)"""
+
+
+def _lexicon_sql() -> str:
+    from ..operators.models import LEXICON
+    z = "-1.0::DOUBLE"
+    for w, c in LEXICON.items():
+        z = f"({z} + {float(c)!r}::DOUBLE * CAST(len(regexp_extract_all(func, '\\b{w}\\b')) AS DOUBLE))"
+    return z
+
+
+@register("external_scorer_metrics", W(",".join([
+    _code_sql(),
+    f"_xs AS (SELECT 'lexicon' AS model, row_id, label, least(greatest(1.0::DOUBLE / (1.0::DOUBLE + exp(-{_lexicon_sql()})), 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS score FROM _code)",
+    oq.score_table("_agg", "_xs", ["model"]), oq.curve("_cur", "_agg", ["model"]),
+    f"_th AS (SELECT DISTINCT model, 0.5{D} AS threshold FROM _agg)",
+    oq.confusion("_m", "_agg", "_th", ["model"], extra=[]),
+    oq.curve_summary("_s", "_cur", ["model"])]), """
+SELECT m.model, m.threshold, m.tp, m.fp, m.fn, m.tn, m.precision, m.recall, m.f1, m.pred_pos_rate,
+       m.base_pos_rate, m.collapsed, round(s.pr_auc, 9) AS pr_auc, s.roc_auc
+FROM _m m LEFT JOIN _s s ON m.model = s.model"""))
+def q_external_scorer2(spark, d):
+    m = q_external_scorer(spark, d)
+    return m.withColumn("pr_auc", F.round("pr_auc", 9))
