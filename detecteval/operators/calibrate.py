@@ -23,18 +23,29 @@ def ppr_threshold(agg: DataFrame, keys: Sequence[str], target: float = 0.057,
                     .alias("thr_ppr"))
 
 
+EXACT_KDE_LIMIT = 100_000
+PRE_BIN = 1e-5
+
+
 def density_valley_threshold(pt: DataFrame, keys: Sequence[str], score: str = "score",
                              bw: float = 0.05, lo: float = 0.01, hi: float = 0.99,
                              n: int = 1000, inner_lo: float = 0.05, inner_hi: float = 0.95,
-                             pre_bin: float | None = None) -> DataFrame:
+                             pre_bin: float | None | str = "auto") -> DataFrame:
     """Minimum of a Gaussian KDE (bandwidth ``bw * stddev_samp``) on the grid,
     restricted to (inner_lo, inner_hi); 0.5 when degenerate (T2, D9).
 
-    Distinct scores are counted first; each distinct score (optionally
-    pre-binned to ``pre_bin`` for very large inputs) emits one row per grid
-    point, a fixed multiplier, and densities are summed per grid point.
+    Distinct scores are counted first; each distinct score emits one row per
+    grid point, and densities are summed per grid point. With
+    ``pre_bin='auto'`` the sum is exact while every key has at most
+    EXACT_KDE_LIMIT distinct scores; above that, scores are rounded to
+    PRE_BIN first (at most 1/PRE_BIN bins per key: a bounded expansion,
+    an approximation far below the kernel width).
     """
     keys = list(keys)
+    if pre_bin == "auto":
+        mx = (pt.groupBy(*keys, score).count().groupBy(*keys).count()
+              .agg(F.max("count")).collect()[0][0] or 0)
+        pre_bin = None if mx <= EXACT_KDE_LIMIT else PRE_BIN
     s = F.col(score)
     if pre_bin:
         s = F.round(s / F.lit(pre_bin)) * F.lit(pre_bin)
