@@ -8,7 +8,7 @@ from detecteval.session import get_spark
 from detecteval.plans.catalog import CATALOG
 spark = get_spark()
 mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-skip = {"simple_baselines","weight_balance_grid","robustness","per_category_robustness","counterfactual_flips","attributions","cross_project_cv","temperature_scaling","external_scorer_metrics"}
+skip = {"simple_baselines","weight_balance_grid","robustness","per_category_robustness","counterfactual_flips","attributions","cross_project_cv","temperature_scaling","weight_sweep"}
 for n,(fn,_) in CATALOG.items():
     if n in skip: continue
     df = fn(spark, '/root/testdata/sf0.001')
