@@ -85,6 +85,7 @@ def main() -> None:
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "16g")
              .getOrCreate())

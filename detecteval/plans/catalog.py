@@ -740,3 +740,21 @@ FROM _m m LEFT JOIN _s s ON m.model = s.model"""))
 def q_external_scorer2(spark, d):
     m = q_external_scorer(spark, d)
     return m.withColumn("pr_auc", F.round("pr_auc", 9))
+
+
+def _summary_ci_sql() -> str:
+    boot = CATALOG["bootstrap_ci"][1]
+    summ = CATALOG["transfer_summary"][1]
+    b_sel = boot[boot.index("SELECT s.model, s._n AS n"):]
+    b_ctes = boot[len("WITH RECURSIVE "):boot.index("SELECT s.model, s._n AS n")].rstrip().rstrip(",")
+    s_sel = summ[summ.index("SELECT model, round(avg(f1_gap)"):]
+    return (f"WITH RECURSIVE {b_ctes},\n_ci AS ({b_sel}),\n_su AS ({s_sel})\n"
+            f"SELECT u.*, CASE WHEN c.n >= 3 THEN c.ci_lo ELSE 0.0{D} END AS ci95_lo, "
+            f"CASE WHEN c.n >= 3 THEN c.ci_hi ELSE 0.0{D} END AS ci95_hi "
+            f"FROM _su u JOIN _ci c ON u.model = c.model")
+
+
+@register("transfer_summary_ci", _summary_ci_sql())
+def q_transfer_summary_ci(spark, d):
+    runs = tr.threshold_transfer_runs(ptm.transfer_pt(spark, d).drop("logit0", "logit1"))
+    return tr.summary_with_ci(runs)

@@ -165,3 +165,17 @@ def transfer_summary(runs: DataFrame, keys: Sequence[str] = ("model",)) -> DataF
         F.round(F.avg("per_project_thr_std"), ROUND).alias("mean_per_project_thr_std"),
         F.count(F.lit(1)).alias("n_runs"))
     return g.withColumn("verdict", verdict("mean_f1_gap"))
+
+
+def summary_with_ci(runs: DataFrame, keys: Sequence[str] = ("model",), n_boot: int = 10000,
+                    min_runs: int = 3) -> DataFrame:
+    """Run summary with a bootstrap CI of the mean gap when there are at
+    least ``min_runs`` runs, else (0, 0) (A25)."""
+    from ..operators.stats import bootstrap_ci
+    keys = list(keys)
+    s = transfer_summary(runs, keys)
+    ci = bootstrap_ci(runs, keys, "f1_gap", ["seed", "fold"], n_boot=n_boot).select(*keys, "n", "ci_lo", "ci_hi")
+    j = s.join(ci, keys)
+    ok = F.col("n") >= min_runs
+    return j.select(*s.columns, F.when(ok, F.col("ci_lo")).otherwise(F.lit(0.0)).alias("ci95_lo"),
+                    F.when(ok, F.col("ci_hi")).otherwise(F.lit(0.0)).alias("ci95_hi"))
