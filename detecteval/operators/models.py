@@ -122,7 +122,7 @@ def fit_score(train: DataFrame, score_on: DataFrame, name: str = "lr", w1: float
     if name == "lr":
         n = tr.count()
         clf = clf.setRegParam(1.0 / (reg_c * max(n, 1)))
-    m = clf.fit(tr.withColumnRenamed("label", "label").withColumn("label", F.col("label").cast("double")))
+    m = clf.fit(tr.withColumn("label", F.col("label").cast("double")))
     te = checkpoint(features(tf, score_on))
     sc = m.transform(te)
     sc = sc.withColumn("score", vector_to_array("probability")[1]) \
