@@ -2,9 +2,10 @@
 
 All edits are built from Spark's regex and higher-order array functions,
 so they run inside whole-stage code generation over whole texts. Random
-choices use ``H``: the reference seeds one generator per call, so draws
-depend on the seed and on positions (line, run, insert number), not on the
-row; that is kept.
+choices are seeded hashes (``H`` for the few per-name / per-insert draws,
+``xxhash64`` for the per-line and per-blank-run draws): the reference seeds
+one generator per call, so draws depend on the seed and on positions (line,
+run, insert number), not on the row; that is kept.
 """
 from __future__ import annotations
 
@@ -96,15 +97,18 @@ def perturb_whitespace(text: Column, seed: int = 0, mode: str = "naive") -> Colu
                 out = F.replace(out, F.lit(op), F.lit(f" {op} "))
             else:
                 out = F.regexp_replace(out, _SAFE_OPS[op], f" {op} ")
+    # Per-line and per-run draws use the JVM-native xxhash64 of (seed, salt,
+    # position): one call per line / blank run, no md5 in the hot loop.
     lines = F.split(out, "\n", -1)
     lines = F.flatten(F.transform(lines, lambda ln, i: F.when(
-        H(seed, "ws_line", i) < F.lit(int(0.3 * 4294967296)), F.array(ln, F.lit("")))
-        .otherwise(F.array(ln))))
+        F.pmod(F.xxhash64(F.lit(seed), F.lit("ws_line"), i), F.lit(1000)) < 300,
+        F.array(ln, F.lit(""))).otherwise(F.array(ln))))
     out = F.array_join(lines, "\n")
     pieces = F.split(out, "[ \t]+", -1)
     n = F.size(pieces)
     return F.array_join(F.transform(pieces, lambda p, j: F.when(
-        j < n - 1, F.concat(p, F.repeat(F.lit(" "), (F.lit(1) + H(seed, "ws_run", j) % 3).cast("int"))))
+        j < n - 1, F.concat(p, F.repeat(F.lit(" "), (F.lit(1) + F.pmod(
+            F.xxhash64(F.lit(seed), F.lit("ws_run"), j), F.lit(3))).cast("int"))))
         .otherwise(p)), "")
 
 
