@@ -121,3 +121,25 @@ def test_density_valley_bimodal(spark):
     df = spark.createDataFrame(rows, "row_id long, score double").withColumn("g", F.lit(1))
     t = density_valley_threshold(df, ["g"]).collect()[0]["thr_valley"]
     assert 0.2 < t < 0.8
+
+
+def test_budget_recall_matches_brute_force_with_ties(spark):
+    from detecteval.operators.cost import budget_recall
+    rows = [(i, int(py_hash(1, "l", i) % 4 == 0), (py_hash(1, "s", i) % 7) / 10.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, label int, score double").withColumn("g", F.lit("a"))
+    got = {r["budget"]: r["found"] for r in budget_recall(df, ["g"], [1, 7, 50, 133, 400, 1000]).collect()}
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    for b, f in got.items():
+        assert f == sum(r[1] for r in order[:min(b, len(order))]), b
+
+
+def test_random_split_sizes_are_exact(spark):
+    import math as m
+    df = spark.range(1003).withColumnRenamed("id", "row_id") \
+        .withColumn("label", (H(3, "lab", F.col("row_id")) % 5 == 0).cast("int"))
+    s = sa.random_split(df, seed=4)
+    c = dict(s.groupBy("split").count().collect())
+    n_test = m.ceil(1003 * 0.2)
+    assert c["test"] == n_test
+    assert c["val"] == m.ceil((1003 - n_test) * (0.1 / 0.8))
+    assert sum(c.values()) == 1003
