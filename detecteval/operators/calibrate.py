@@ -30,7 +30,8 @@ PRE_BIN = 1e-5
 def density_valley_threshold(pt: DataFrame, keys: Sequence[str], score: str = "score",
                              bw: float = 0.05, lo: float = 0.01, hi: float = 0.99,
                              n: int = 1000, inner_lo: float = 0.05, inner_hi: float = 0.95,
-                             pre_bin: float | None | str = "auto") -> DataFrame:
+                             pre_bin: float | None | str = "auto",
+                             agg: DataFrame | None = None) -> DataFrame:
     """Minimum of a Gaussian KDE (bandwidth ``bw * stddev_samp``) on the grid,
     restricted to (inner_lo, inner_hi); 0.5 when degenerate (T2, D9).
 
@@ -42,15 +43,19 @@ def density_valley_threshold(pt: DataFrame, keys: Sequence[str], score: str = "s
     an approximation far below the kernel width).
     """
     keys = list(keys)
+    # ``agg`` (a score table of ``pt``: keys, score, pos, neg) saves the
+    # per-score count over the raw rows when the caller already has it.
+    per_score = (agg.select(*keys, F.col(score), (F.col("pos") + F.col("neg")).alias("_c"))
+                 if agg is not None else
+                 pt.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c")))
     if pre_bin == "auto":
-        mx = (pt.groupBy(*keys, score).count().groupBy(*keys).count()
-              .agg(F.max("count")).collect()[0][0] or 0)
+        mx = per_score.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
         pre_bin = None if mx <= EXACT_KDE_LIMIT else PRE_BIN
     s = F.col(score)
     if pre_bin:
         s = F.round(s / F.lit(pre_bin)) * F.lit(pre_bin)
     stats = pt.groupBy(*keys).agg(F.stddev_samp(score).alias("_sd"), F.count(F.lit(1)).alias("_n"))
-    cnt = pt.groupBy(*keys, s.alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    cnt = per_score.groupBy(*keys, s.alias("_s")).agg(F.sum("_c").alias("_c"))
     j = cnt.join(stats, keys)
     j = j.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     x = grid_value(F.col("j"), lo, hi, n)

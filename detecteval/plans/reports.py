@@ -81,7 +81,7 @@ def adaptive_thresholds(pt: DataFrame, keys: Sequence[str] = RUN_KEYS,
     test = pt.filter(F.col("side") == "test")
     agg = cv.materialised_score_table(test, keys)
     ppr = cb.ppr_threshold(agg, keys, target)
-    val = cb.density_valley_threshold(test, keys)
+    val = cb.density_valley_threshold(test, keys, agg=agg)
     t = thr.join(ppr, keys).join(val, keys)
     kinds = {"fixed_05": F.lit(0.5), "source_calibrated": F.col("thr_source"),
              "ppr_adapted": F.col("thr_ppr"), "density_valley": F.col("thr_valley"),
