@@ -20,9 +20,13 @@ Steps, each a Spark job that splits hot groups:
 3. Candidates within the distance are confirmed on full sets, and connected
    components give each class a label.
 4. All pairs of one key whose labels still differ are compared by signature
-   (hot keys in blocks of ``block_rows`` rows, block against block), those
-   within the distance confirmed too. So no link between components is lost,
-   and a group that step 3 has joined costs nothing here.
+   (hot keys in blocks of ``block_rows`` rows, block against block), each pair
+   under the first key it shares only. A pair within the distance must also
+   pass an exact bound: the shingles of a set are counted in 512 cells, and the
+   sum of the smaller counts is never below the size of the intersection. What
+   is left is confirmed on full sets. So no link between components is lost,
+   and neither a group that step 3 has joined nor one of unlinked look-alikes
+   comes out as all its pairs.
 
 Defined cases: a text without words has an empty set, size 0, and is linked
 with nothing; null text counts as empty. Rows that share a doc_id count as one
@@ -42,6 +46,7 @@ from ..session import checkpoint
 from .arrays import distinct_per_text, lower_ascii, map_batches, shingles, split_words, stream, text_pieces
 
 SYMBOLS, CHUNK, ERRORS = 64, 4, 1
+CELLS, FULL_CELL = 512, 255
 MAX_DISTANCE = (SYMBOLS // CHUNK) * (ERRORS + 1) - 1
 _XOR = stream(31, SYMBOLS)
 _MUL = stream(37, SYMBOLS) | np.uint64(1)
@@ -64,7 +69,7 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """doc_id, n_shingles, set digest (d1, d2) and signature of each document."""
+    """doc_id, n_shingles, set digest (d1, d2), signature and cell counts of each document."""
     def run(batch):
         for p in text_pieces(batch.column(1)):
             sets = text_sets(p, size)
@@ -73,20 +78,40 @@ def signatures(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
                                for s in sets])
             full = np.flatnonzero(n)
             sig = [None] * len(sets)
+            cells = [np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS),
+                                FULL_CELL).astype(np.uint8).tobytes() for s in sets]
             if len(full):
                 for i, row in zip(full.tolist(), minhash([sets[i] for i in full])):
                     sig[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(p.lo, p.hi - p.lo), pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                 pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+                 pa.array(sig, pa.binary()), pa.array(cells, pa.binary())],
+                names=["doc_id", "n_shingles", "d1", "d2", "sig", "cells"])
     return map_batches(docs.select(docs[key].cast("long").alias("doc_id"), docs[text]), run,
-                       "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+                       "doc_id long, n_shingles long, d1 long, d2 long, sig binary, cells binary")
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SYMBOLS)
 
 
+def _first_shared_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of the first chunk key that two signatures share (rows that share one)."""
+    same = (x == y).reshape(-1, SYMBOLS // CHUNK, CHUNK)
+    agree = same.sum(axis=2)
+    chunk = (agree >= CHUNK - ERRORS).argmax(axis=1)
+    row = np.arange(len(x))
+    skip = np.where(agree[row, chunk] == CHUNK, 0, same[row, chunk].argmin(axis=1))
+    return chunk * CHUNK + skip
+
+
+def _may_link(cx: np.ndarray, cy: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """False only where the cell counts prove that the sets are too unlike."""
+    low = np.minimum(cx, cy)
+    both = low.sum(axis=1, dtype=np.int64)
+    return (100 * both >= percent * (nx + ny - both)) | (low == FULL_CELL).any(axis=1)
+
+
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """[rows, 64] keys: each chunk of 4 symbols without each one of them."""
     out = []
@@ -257,17 +282,18 @@ def components(links: DataFrame) -> DataFrame:
 
 def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of one key with different components, fitting sizes and signatures
-    within the distance. ``rows``: key, i, j (blocks that meet), s (own block),
-    n, id, component, sig."""
+    within the distance, unless the cell counts rule them out. ``rows``: key, i, j
+    (blocks that meet), s (own block), n, id, component, sig, cells."""
     def run(batches):
         held = None
         for batch in batches:
             new = [batch.column(c).to_numpy() for c in range(7)] + [_symbols(batch.column(7))]
+            new.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, CELLS))
             fresh = 0
             if held is not None:
                 fresh = len(held[0])
                 new = [np.concatenate((x, y)) for x, y in zip(held, new)]
-            key, i, j, s, n, ident, comp, sig = new
+            key, i, j, s, n, ident, comp, sig, cells = new
             found = []
             step = 1
             cand = np.arange(max(fresh, 1), len(key))
@@ -282,9 +308,14 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
                 for lo in range(0, len(x), 20_000):
                     u, w = x[lo:lo + 20_000], y[lo:lo + 20_000]
                     ok = (sig[u] != sig[w]).sum(axis=1) <= MAX_DISTANCE
-                    found.append(np.stack((np.minimum(ident[u], ident[w]), np.maximum(ident[u], ident[w])))[:, ok])
+                    u, w = u[ok], w[ok]
+                    ok = _first_shared_key(sig[u], sig[w]) == key[u] >> 48
+                    u, w = u[ok], w[ok]
+                    ok = _may_link(cells[u], cells[w], n[u], n[w], percent)
+                    u, w = u[ok], w[ok]
+                    found.append(np.stack((np.minimum(ident[u], ident[w]), np.maximum(ident[u], ident[w]))))
                 step += 1
-            open_ = ((key == key[-1]) & (i == i[-1]) & (j == j[-1]) & (100 * n[-1:] * 1 >= 0)
+            open_ = ((key == key[-1]) & (i == i[-1]) & (j == j[-1])
                      & (100 * n >= percent * n[-1]))
             held = [x[open_] for x in new]
             if found:
@@ -292,7 +323,7 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     order = ["key", "i", "j", "n", "id"]
-    return (rows.select("key", "i", "j", "s", "n", "id", "component", "sig")
+    return (rows.select("key", "i", "j", "s", "n", "id", "component", "sig", "cells")
             .repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct())
 
 
@@ -319,7 +350,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     mixed = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                          F.count(F.lit(1)).alias("members"))
              .where("lo < hi").select("key", F.ceil(F.col("members") / block_rows).alias("blocks")))
-    blocks = (labelled.join(mixed, "key").join(classes.select("id", "sig"), "id")
+    own = signed.select(F.col("doc_id").alias("id"), "d1", "d2", "cells").dropDuplicates(["id", "d1", "d2"])
+    cells = classes.select("id", "d1", "d2", "sig").join(own, ["id", "d1", "d2"]).select("id", "sig", "cells")
+    blocks = (labelled.join(mixed, "key").join(cells, "id")
               .withColumn("s", F.pmod(F.xxhash64("id"), "blocks"))
               .withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
               .withColumn("i", F.least("s", "t")).withColumn("j", F.greatest("s", "t")))
