@@ -35,21 +35,29 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only when unset.
+    """Return the session's checkpoint folder; set a scratch one only when none is set.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only a local test session without the setting gets a fresh temp dir.
+    A folder that the caller or ``spark.checkpoint.dir`` has set stays as it is.
+    Only a local session without either gets a fresh temporary folder.
     """
-    cur = spark.conf.get("spark.checkpoint.dir", None)
-    if not cur:
-        cur = spark.sparkContext.getCheckpointDir()
-    if not cur:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        cur = tempfile.mkdtemp(prefix="detecteval-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", cur)
-    spark.sparkContext.setCheckpointDir(cur)
-    return cur
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+            named = tempfile.mkdtemp(prefix="detecteval-ckpt-", dir="/tmp")
+        context.setCheckpointDir(named)
+    return named or context.getCheckpointDir()
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package from where the
+    driver did. On a cluster without that folder, ship it with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
 def checkpoint(df, eager: bool = True):
