@@ -362,5 +362,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     # rows that share a doc_id but differ in text are one document
     own = (signed.join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left")
            .join(final, "id", "left")
-           .select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id")))
+           .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
+                   .alias("component_id")))
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
