@@ -44,12 +44,10 @@ def word_tokens(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(WORD_RUN), 0)
 
 
-def code_tokens(col: Column, max_tokens: int = 512) -> Column:
-    """Word runs, punctuation runs and blank runs, first ``max_tokens``."""
-    toks = F.regexp_extract_all(col, F.lit("(?U)\\w+|[^\\w\\s]+|\\s+"), 0)
-    return F.slice(toks, 1, max_tokens)
+def code_tokens(col: Column) -> Column:
+    """Word runs, punctuation runs and blank runs of the whole text."""
+    return F.regexp_extract_all(col, F.lit("(?U)\\w+|[^\\w\\s]+|\\s+"), 0)
 
 
-def code_tokens_no_blank(col: Column, max_tokens: int = 512) -> Column:
-    toks = F.regexp_extract_all(col, F.lit("(?U)\\w+|[^\\w\\s]+"), 0)
-    return F.slice(toks, 1, max_tokens)
+def code_tokens_no_blank(col: Column) -> Column:
+    return F.regexp_extract_all(col, F.lit("(?U)\\w+|[^\\w\\s]+"), 0)

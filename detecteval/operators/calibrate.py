@@ -23,24 +23,18 @@ def ppr_threshold(agg: DataFrame, keys: Sequence[str], target: float = 0.057,
                     .alias("thr_ppr"))
 
 
-EXACT_KDE_LIMIT = 100_000
-PRE_BIN = 1e-5
-
-
 def density_valley_threshold(pt: DataFrame, keys: Sequence[str], score: str = "score",
                              bw: float = 0.05, lo: float = 0.01, hi: float = 0.99,
                              n: int = 1000, inner_lo: float = 0.05, inner_hi: float = 0.95,
-                             pre_bin: float | None | str = "auto",
+                             digits: int | None = 4,
                              agg: DataFrame | None = None) -> DataFrame:
     """Minimum of a Gaussian KDE (bandwidth ``bw * stddev_samp``) on the grid,
     restricted to (inner_lo, inner_hi); 0.5 when degenerate (T2, D9).
 
-    Distinct scores are counted first; each distinct score emits one row per
-    grid point, and densities are summed per grid point. With
-    ``pre_bin='auto'`` the sum is exact while every key has at most
-    EXACT_KDE_LIMIT distinct scores; above that, scores are rounded to
-    PRE_BIN first (at most 1/PRE_BIN bins per key: a bounded expansion,
-    an approximation far below the kernel width).
+    Scores are rounded to ``digits`` decimals (None: not at all) at every
+    size, so a key has at most 10^digits distinct ones; each emits one row per
+    inner grid point, and densities are summed per grid point. The standard
+    deviation is that of the scores as given.
     """
     keys = list(keys)
     # ``agg`` (a score table of ``pt``: keys, score, pos, neg) saves the
@@ -48,12 +42,7 @@ def density_valley_threshold(pt: DataFrame, keys: Sequence[str], score: str = "s
     per_score = (agg.select(*keys, F.col(score), (F.col("pos") + F.col("neg")).alias("_c"))
                  if agg is not None else
                  pt.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c")))
-    if pre_bin == "auto":
-        mx = per_score.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
-        pre_bin = None if mx <= EXACT_KDE_LIMIT else PRE_BIN
-    s = F.col(score)
-    if pre_bin:
-        s = F.round(s / F.lit(pre_bin)) * F.lit(pre_bin)
+    s = F.col(score) if digits is None else F.round(F.col(score), digits)
     stats = pt.groupBy(*keys).agg(F.stddev_samp(score).alias("_sd"), F.count(F.lit(1)).alias("_n"))
     cnt = per_score.groupBy(*keys, s.alias("_s")).agg(F.sum("_c").alias("_c"))
     j = cnt.join(stats, keys)

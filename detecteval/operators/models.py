@@ -94,22 +94,23 @@ def class_weight_col(label: str = "label", w1: float = 1.0, w0: float = 1.0):
 
 
 # Classifier settings of the baseline study.
-def make_classifier(name: str, quick: bool = False):
+def make_classifier(name: str, iterations: int = 1000, trees: int = 200, depth: int = 30,
+                    rounds: int = 200):
     """LR (C=1, 1000 iterations), RF (200 trees, depth 50 -> Spark max 30),
-    GBT (200 rounds, depth 5) (M2-M4). ``quick`` shrinks the ensembles."""
+    GBT (200 rounds, depth 5) (M2-M4)."""
     if name == "lr":
-        return LogisticRegression(maxIter=100 if quick else 1000, regParam=0.0,
+        return LogisticRegression(maxIter=iterations, regParam=0.0,
                                   elasticNetParam=0.0, standardization=False, weightCol="w")
     if name == "rf":
-        return RandomForestClassifier(numTrees=20 if quick else 200, maxDepth=10 if quick else 30,
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth,
                                       weightCol="w", seed=0)
     if name == "gbt":
-        return GBTClassifier(maxIter=10 if quick else 200, maxDepth=5, weightCol="w", seed=0)
+        return GBTClassifier(maxIter=rounds, maxDepth=5, weightCol="w", seed=0)
     raise ValueError(f"unknown model {name}")
 
 
 def fit_score(train: DataFrame, score_on: DataFrame, name: str = "lr", w1: float = 1.0,
-              balance: bool = False, seed: int = 0, quick: bool = False,
+              balance: bool = False, seed: int = 0, settings: dict | None = None,
               max_features: int = 10_000, reg_c: float = 1.0):
     """Fit TF-IDF + classifier on ``train`` (optionally hard-balanced, M6),
     score ``score_on`` (E1). Returns (scored PT, tfidf, fitted model)."""
@@ -118,10 +119,10 @@ def fit_score(train: DataFrame, score_on: DataFrame, name: str = "lr", w1: float
     tf = fit_tfidf(train, max_features)
     # Iterative fits re-read their input many times: cut the lineage once.
     tr = checkpoint(features(tf, train).withColumn("w", class_weight_col("label", w1)))
-    clf = make_classifier(name, quick)
+    clf = make_classifier(name, **(settings or {}))
     if name == "lr":
-        n = tr.count()
-        clf = clf.setRegParam(1.0 / (reg_c * max(n, 1)))
+        total = tr.agg(F.sum("w")).first()[0] or 1.0  # the loss is a weighted mean
+        clf = clf.setRegParam(1.0 / (reg_c * total))
     m = clf.fit(tr.withColumn("label", F.col("label").cast("double")))
     te = checkpoint(features(tf, score_on))
     sc = m.transform(te)

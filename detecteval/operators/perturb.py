@@ -23,11 +23,11 @@ LIB_CALLS = ["strcpy", "strncpy", "memcpy", "memmove", "sprintf", "snprintf", "g
              "realloc", "read", "write"]
 # Fixed value: C type keywords that introduce a declared name.
 TYPE_KW = ["int", "char", "float", "double", "long", "short", "unsigned", "signed", "void", "size_t"]
-# Side-effect-free dead-code templates; {n} is _<seed>_<k>.
+# Statements without effect; {n} is _<seed>_<k>.
 DEAD_CODE_TEMPLATES = [
-    "if (0) {{ int __vg{n} = 0; (void)__vg{n}; }}",
-    "int __vg{n} = 0; (void)__vg{n};",
-    "for (int __vg{n} = 0; __vg{n} < 0; __vg{n}++) {{ }}",
+    "while (0) {{ break; }}",
+    "{{ long idle{n} = 1; idle{n} -= 1; }}",
+    "do {{ unsigned idle{n} = 3u; (void) sizeof(idle{n}); }} while (0);",
 ]
 # Fixed value: operators that the whitespace edit may pad with spaces.
 WS_OPERATORS = ["+", "-", "<", ">", "=", "=="]
@@ -140,14 +140,13 @@ def perturb(df: DataFrame, kinds: Sequence[str] = ("rename", "deadcode", "whites
                       F.col("_o.p").alias("func_perturbed"))
 
 
-def token_drift(pert: DataFrame, keys: Sequence[str] = ("kind",), text_col: str = "func",
-                max_tokens: int = 512) -> DataFrame:
-    """Did an edit change the (first ``max_tokens``) token list? Share and
+def token_drift(pert: DataFrame, keys: Sequence[str] = ("kind",), text_col: str = "func") -> DataFrame:
+    """Did an edit change the token list of the whole text? Share and
     count per kind, with and without blank tokens (X6)."""
-    a = code_tokens(F.col(text_col), max_tokens)
-    b = code_tokens(F.col("func_perturbed"), max_tokens)
-    a2 = code_tokens_no_blank(F.col(text_col), max_tokens)
-    b2 = code_tokens_no_blank(F.col("func_perturbed"), max_tokens)
+    a = code_tokens(F.col(text_col))
+    b = code_tokens(F.col("func_perturbed"))
+    a2 = code_tokens_no_blank(F.col(text_col))
+    b2 = code_tokens_no_blank(F.col("func_perturbed"))
     ch = (a != b).cast("int")
     ch2 = (a2 != b2).cast("int")
     return pert.groupBy(*keys).agg(

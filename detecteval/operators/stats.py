@@ -51,57 +51,67 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "r
     return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
 
 
-def _wilcoxon_p(n: int, ranks2: list, w: float) -> float:
+def _wilcoxon_exact(ranks2: list, w: float) -> float:
     """Exact two-sided p of the signed-rank statistic (ranks doubled to
-    integers), by enumerating the 2**n sign patterns (n <= 16)."""
+    integers): sign patterns counted by their sum, one rank after the other."""
     counts = {0: 1}
     for r in ranks2:
         nxt = dict(counts)
         for s, c in counts.items():
             nxt[s + r] = nxt.get(s + r, 0) + c
         counts = nxt
-    tot = 2 ** n
-    lo = sum(c for s, c in counts.items() if s <= round(2 * w))
-    return min(1.0, 2.0 * lo / tot)
+    low = sum(c for s, c in counts.items() if s <= round(2 * w))
+    return min(1.0, 2.0 * low / 2 ** len(ranks2))
 
 
-def wilcoxon(pairs: DataFrame, keys: Sequence[str], a: str, b: str, exact_max: int = 16,
+def _wilcoxon_normal(n: int, w: float, ties: float) -> float:
+    """Normal form with the tie correction ``ties`` = sum of t^3 - t."""
+    var = n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0
+    if var <= 0:
+        return 1.0
+    return min(1.0, math.erfc(abs(w - n * (n + 1) / 4.0) / math.sqrt(2 * var)))
+
+
+def wilcoxon(pairs: DataFrame, keys: Sequence[str], a: str, b: str, method: str = "exact",
              min_n: int = 5) -> DataFrame:
-    """Wilcoxon signed-rank test of paired columns ``a``/``b`` per group:
-    zeros dropped, mid-ranks of |d|, W = min(W+, W-), two-sided p (exact for
-    n <= 16, normal approximation above); NULL p if n < min_n or no
-    difference (A11, K4)."""
+    """Wilcoxon signed-rank test of paired columns ``a``/``b`` per group.
+
+    Zeros are dropped, |d| gets mid-ranks, W = min(W+, W-), p is two-sided. The
+    caller chooses ``method``: ``exact`` counts all sign patterns at every n
+    (for run tables: it gathers a group's ranks), ``normal`` works from
+    aggregates with the tie correction. p is NULL for fewer than ``min_n``
+    pairs, zeros counted, or when no pair differs.
+    """
+    if method not in ("exact", "normal"):
+        raise ValueError(f"method must be exact or normal, not {method!r}")
     keys = list(keys)
-    d = pairs.withColumn("_d", F.col(a) - F.col(b)).filter(F.col("_d") != 0) \
-        .withColumn("_ad", F.abs("_d"))
-    r = average_ranks(d, keys, "_ad", "_r")
+    d = pairs.withColumn("_d", F.col(a) - F.col(b)).filter(F.col("_d").isNotNull())
+    n_pairs = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs"))
+    r = average_ranks(d.filter("_d <> 0").withColumn("_ad", F.abs("_d")), keys, "_ad", "_r")
     g = r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"))
+        F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"),
+        *([F.sort_array(F.collect_list((F.col("_r") * 2).cast("long"))).alias("_x")] if method == "exact" else []))
+    if method == "normal":
+        t = r.groupBy(*keys, "_ad").agg(F.count(F.lit(1)).cast("double").alias("_t"))
+        g = g.join(t.groupBy(*keys).agg(F.sum(F.pow("_t", F.lit(3.0)) - F.col("_t")).alias("_x")), keys)
+    g = n_pairs.join(g, keys, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     g = g.withColumn("statistic", F.least("w_plus", "w_minus"))
-    # Rank lists are gathered only for groups with n <= exact_max (bounded);
-    # larger groups use the normal approximation from n and W alone.
-    small = r.join(g.filter(F.col("n") <= exact_max).select(*keys), keys, "left_semi") \
-        .groupBy(*keys).agg(F.sort_array(F.collect_list((F.col("_r") * 2).cast("long"))).alias("_r2"))
-    g = g.join(small, keys, "left").withColumn("_r2", F.coalesce("_r2", F.array().cast("array<bigint>")))
 
     @F.pandas_udf("double")
-    def pval(n: pd.Series, r2: pd.Series, w: pd.Series) -> pd.Series:
+    def pval(n_all: pd.Series, n: pd.Series, x: pd.Series, w: pd.Series) -> pd.Series:
         out = []
-        for nn, rr, ww in zip(n, r2, w):
-            if nn < min_n:
+        for total, used, extra, ww in zip(n_all, n, x, w):
+            if total < min_n or not used:
                 out.append(None)
-            elif nn <= exact_max:
-                out.append(_wilcoxon_p(int(nn), [int(x) for x in rr], float(ww)))
+            elif method == "exact":
+                out.append(_wilcoxon_exact([int(v) for v in extra], float(ww)))
             else:
-                mu = nn * (nn + 1) / 4.0
-                sd = math.sqrt(nn * (nn + 1) * (2 * nn + 1) / 24.0)
-                z = (ww - mu) / sd
-                out.append(min(1.0, math.erfc(abs(z) / math.sqrt(2))))
+                out.append(_wilcoxon_normal(int(used), float(ww), float(extra)))
         return pd.Series(out, dtype="float64")
 
-    return g.withColumn("p_value", pval("n", "_r2", "statistic")).drop("_r2")
+    return g.withColumn("p_value", pval("_pairs", "n", "_x", "statistic")).drop("_x", "_pairs")
 
 
 def _t_sf(t: float, df: int) -> float:

@@ -262,7 +262,7 @@ _appr AS (SELECT {RKS}, CASE WHEN min(_d) < 1.0{D} THEN min_by(threshold, (_d, j
    FROM (SELECT *, abs(CAST(tp + fp AS DOUBLE) / CAST(n_pos + n_neg AS DOUBLE) - 0.057{D}) AS _d FROM _apg)
    GROUP BY {RKS}),
 _vst AS (SELECT {RKS}, stddev_samp(score) AS _sd, COUNT(*) AS _n FROM pt WHERE side = 'test' GROUP BY {RKS}),
-_vcn AS (SELECT {RKS}, score AS _s, COUNT(*) AS _c FROM pt WHERE side = 'test' GROUP BY {RKS}, score),
+_vcn AS (SELECT {RKS}, round(score, 4) AS _s, COUNT(*) AS _c FROM pt WHERE side = 'test' GROUP BY {RKS}, round(score, 4)),
 _vgr AS (SELECT CAST(r.j AS INTEGER) AS j, {gv} AS _x FROM range(0, 1000) r(j)),
 _vden AS (SELECT {oq.k(kk, 'c')}, g.j, g._x,
    SUM(CAST(c._c AS DOUBLE) * exp(-0.5{D} * ((g._x - c._s) / (0.05{D} * s._sd)) * ((g._x - c._s) / (0.05{D} * s._sd)))) AS _dens
@@ -631,9 +631,14 @@ def q_perturbations(spark, d):
                     F.sha2("func_perturbed", 256).alias("digest"))
 
 
+#: Classifier sizes of the registered baseline query: 200 trees of depth 30 and 200
+#: boosting rounds, the library's defaults, take minutes on the smallest tables.
+BASELINE_SETTINGS = {"trees": 20, "depth": 10, "rounds": 10}
+
+
 @register("simple_baselines", None)
 def q_simple_baselines(spark, d):
-    return sd.simple_baselines(spark, d)
+    return sd.simple_baselines(spark, d, settings=BASELINE_SETTINGS)
 
 
 @register("weight_balance_grid", None)
@@ -675,7 +680,6 @@ def q_cross_project_cv(spark, d):
     return sd.cross_project_cv(spark, d)
 
 
-@register("external_scorer_metrics", None)
 def q_external_scorer(spark, d):
     from ..operators import models as md_
     from ..sources.synthetic import code_for_rows
@@ -684,6 +688,15 @@ def q_external_scorer(spark, d):
     return cv.compute_metrics(pt.withColumn("model", F.lit("lexicon")), ["model"])
 
 
+@register("project_codes", W("", """
+SELECT project, CAST(dense_rank() OVER (ORDER BY project) - 1 AS BIGINT) AS code, n_rows
+FROM (SELECT project, COUNT(*) AS n_rows FROM corpus GROUP BY project) t"""))
+def q_project_codes(spark, d):
+    from ..operators.prep import ordinal_codes
+    sizes = fx.corpus(spark, d).groupBy("project").agg(F.count(F.lit(1)).alias("n_rows"))
+    return ordinal_codes(sizes, "project").select("project", "code", "n_rows")
+
+
 @register("weight_sweep", None)
 def q_weight_sweep(spark, d):
     return sd.weight_sweep(spark, d)

@@ -43,24 +43,26 @@ def _val_threshold(val_pt: DataFrame) -> float:
 
 
 def fit_protocol(spark: SparkSession, sf_dir: str, name: str = "lr", w1: float = 1.0,
-                 balance: bool = False, quick: bool = True, code: bool = False):
+                 balance: bool = False, code: bool = False,
+                 settings: dict | None = None):
     """Fit on train, pick the max-F1 threshold on validation, score test (M7)."""
     s = _split_corpus(spark, sf_dir, code)
     train = s.filter(F.col("split") == "train")
     rest = s.filter(F.col("split") != "train")
-    pt, tf, m = md.fit_score(train, rest, name, w1, balance, quick=quick)
+    pt, tf, m = md.fit_score(train, rest, name, w1, balance, settings=settings)
     pt = checkpoint(pt)
     thr = _val_threshold(pt.filter(F.col("split") == "val"))
     return pt, thr, tf, m, s
 
 
 def simple_baselines(spark: SparkSession, sf_dir: str, models=("lr", "rf", "gbt"),
-                     quick: bool = True) -> DataFrame:
+                     settings: dict | None = None) -> DataFrame:
     """TF-IDF + LR / RF / GBT on the random split: metrics at 0.5 and at the
-    validation threshold (R14, R4)."""
+    validation threshold (R14, R4). ``settings`` passes classifier sizes to
+    ``make_classifier``; without it they are the full ones of the study."""
     out = None
     for name in models:
-        pt, thr, *_ = fit_protocol(spark, sf_dir, name, quick=quick)
+        pt, thr, *_ = fit_protocol(spark, sf_dir, name, settings=settings)
         test = pt.filter(F.col("split") == "test").withColumn("model", F.lit(name))
         nat = _metrics_row(test, thr, ["model"]).withColumn("test_kind", F.lit("natural"))
         down = downsample_positives(test, 0.05, 0)
@@ -132,24 +134,23 @@ def per_category_robustness(spark: SparkSession, sf_dir: str, top: int = 10,
         .select("cwe", "kind", "tp", "fp", "fn", "tn", "f1", "recall", "precision")
 
 
-def counterfactual_study(spark: SparkSession, sf_dir: str, n_rows: int = 100) -> DataFrame:
-    """First ``n_rows`` positives of the test split (P12) on the code corpus:
-    sink removal flips and rates (R7, R12: E3, E4)."""
+def counterfactual_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All positives of the test split on the code corpus: sink removal flips and rates (R7, R12: E3, E4)."""
     pt, thr, tf, m, s = fit_protocol(spark, sf_dir, "lr", code=True)
     scorer = ex.make_linear_scorer(tf, md.linear_weights(tf, m), float(m.intercept))
     pos = s.filter((F.col("split") == "test") & (F.col("label") == 1)) \
-        .orderBy("row_id").limit(n_rows).select("row_id", "func", "label")
+        .select("row_id", "func", "label")
     cf = ex.counterfactual_sink_removal(pos, scorer)
     return ex.flip_rates(cf, pos)
 
 
-def attribution_study(spark: SparkSession, sf_dir: str, n_rows: int = 10, k: int = 10) -> DataFrame:
-    """Top-k occlusion and integrated-gradient terms for the first positives
+def attribution_study(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """Top-k occlusion and integrated-gradient terms for all positives of the test split
     (R7: E5, E6, W1, W3)."""
     pt, thr, tf, m, s = fit_protocol(spark, sf_dir, "lr", code=True)
     w = md.linear_weights(tf, m)
     pos = s.filter((F.col("split") == "test") & (F.col("label") == 1)) \
-        .orderBy("row_id").limit(n_rows).select("row_id", "func")
+        .select("row_id", "func")
     occ = ex.top_k_by_abs(ex.occlusion_linear(tf, w, float(m.intercept), pos), k, "delta") \
         .select("row_id", "rank", "term", F.col("delta").alias("value")).withColumn("method", F.lit("occlusion"))
     ig = ex.top_k_by_abs(ex.integrated_gradients_linear(tf, w, float(m.intercept), pos), k, "attribution") \
@@ -185,7 +186,7 @@ def cross_project_cv(spark: SparkSession, sf_dir: str, n_splits: int = 5, seed:
         tr = tr_full.join(vg, "project", "left_anti")
         te = a.filter(F.col("fold") == k).withColumn("side", F.lit("test"))
         pt, _, _ = md.fit_score(tr.drop("seed", "fold"), va.unionByName(te).drop("seed", "fold"),
-                                "lr", quick=True)
+                                "lr")
         pt = checkpoint(pt)
         thr = _val_threshold(pt.filter(F.col("side") == "val"))
         m = _metrics_row(pt.filter(F.col("side") == "test").withColumn("fold", F.lit(k)), thr, ["fold"])
@@ -219,12 +220,12 @@ def weight_sweep(spark: SparkSession, sf_dir: str, weights: Sequence[float] = SW
     tf = md.fit_tfidf(train)
     tr = checkpoint(md.features(tf, train))
     rest = checkpoint(md.features(tf, s.filter(F.col("split") != "train")))
-    n = tr.count()
     out = None
     for w1 in weights:
-        clf = md.make_classifier("lr", quick=True).setRegParam(1.0 / max(n, 1))
-        m = clf.fit(tr.withColumn("w", md.class_weight_col("label", w1))
-                    .withColumn("label", F.col("label").cast("double")))
+        weighted = tr.withColumn("w", md.class_weight_col("label", w1))
+        total = weighted.agg(F.sum("w")).first()[0] or 1.0
+        m = md.make_classifier("lr").setRegParam(1.0 / total).fit(
+            weighted.withColumn("label", F.col("label").cast("double")))
         pt = checkpoint(m.transform(rest).withColumn("score", vector_to_array("probability")[1])
                         .select("row_id", "label", "split", "score"))
         thr = _val_threshold(pt.filter(F.col("split") == "val"))

@@ -55,7 +55,7 @@ def canonicalise(df: DataFrame) -> DataFrame:
     missing = [c for c in REQUIRED_COLS if c not in df.columns]
     if missing:
         raise ValueError(f"frame is missing {missing}; got {df.columns}")
-    rid = F.col("row_id").cast("long") if "row_id" in df.columns else F.monotonically_increasing_id()
+    rid = F.col("row_id").cast("long") if "row_id" in df.columns else _content_id(df)
     out = df.select(
         rid.alias("row_id"),
         F.col("func").cast("string").alias("func"),
@@ -66,9 +66,14 @@ def canonicalise(df: DataFrame) -> DataFrame:
     return out.filter(F.col("func").isNotNull() & (F.length("func") > 0))
 
 
+def _content_id(df: DataFrame) -> Column:
+    """Hash of all columns: the same under any partitioning. Equal rows share it."""
+    return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+
+
 def _row_id_from_file(df: DataFrame) -> Column:
-    # Stable, partition-independent order key of a raw file: (file, offset).
-    return F.monotonically_increasing_id()
+    """Hash of the file's path and the row's content."""
+    return F.xxhash64(F.col("_metadata.file_path"), _content_id(df))
 
 
 def load_csv_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -44,10 +44,9 @@ def follow_latest(spark: SparkSession, path: str, schema, keys: Sequence[str], o
         # numbers survive restarts through the checkpoint, so e-1 is found
         # again after a failure; a replayed epoch rewrites its own folder.
         sess = batch_df.sparkSession
-        try:
+        merged = batch_df
+        if epoch > 0:  # a missing or unreadable snapshot raises: history is never dropped
             merged = sess.read.parquet(f"{out_path}/_epoch={epoch - 1}").unionByName(batch_df)
-        except Exception:  # noqa: BLE001  first epoch: no previous snapshot
-            merged = batch_df
         latest_results(merged, kk).write.mode("overwrite").parquet(f"{out_path}/_epoch={epoch}")
 
     w = src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
