@@ -38,6 +38,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,6 +209,27 @@ def _within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                        "a long, b long")
 
 
+def _likely(docs: DataFrame, wanted: DataFrame, most_bits: int = 1 << 24) -> DataFrame:
+    """``docs`` without most rows whose id is not wanted, so that few texts
+    travel to the join that follows and decides. A bit map of hashed ids, of
+    ``most_bits`` bits (2 MB) at most, whatever the number of ids; with far more
+    ids than bits it lets all rows pass."""
+    bits = min(most_bits, 1 << max(16, (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = (wanted.select(F.floor(place / 64).alias("w"), F.shiftleft(F.lit(1).cast("long"), (place % 64).cast("int")).alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
+    table = np.zeros(bits // 64, np.uint64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_be(at: pd.Series) -> pd.Series:
+        p = at.fillna(0).to_numpy(dtype=np.int64)
+        return pd.Series((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return docs.where(may_be(place))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group_rows: int = 256) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
@@ -217,8 +239,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group_ro
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
     dealt = pairs.join(sizes, "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / group_rows)).alias("part"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = checkpoint(docs.join(wanted, "id"))
+    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = checkpoint(_likely(docs, wanted).join(wanted, "id"))
     rows = (dealt.join(texts.withColumnRenamed("id", "b"), "b")
             .select("a", "part", F.lit(1).alias("role"), F.col("b").alias("id"), "text")
             .unionByName(dealt.select("a", "part").distinct()
