@@ -216,7 +216,7 @@ def _likely(docs: DataFrame, wanted: DataFrame, most_bits: int = 1 << 24) -> Dat
     ids than bits it lets all rows pass."""
     bits = min(most_bits, 1 << max(16, (16 * wanted.count()).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = (wanted.select(F.floor(place / 64).alias("w"), F.shiftleft(F.lit(1).cast("long"), (place % 64).cast("int")).alias("b"))
+    words = (wanted.select(place.alias("p")).selectExpr("p div 64 as w", "shiftleft(1L, cast(p % 64 as int)) as b")
              .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
     table = np.zeros(bits // 64, np.uint64)
     table[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint64)
