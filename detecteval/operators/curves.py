@@ -9,7 +9,7 @@ Curve kernel (kernel B): rows are first aggregated to one row per
 third of all rows still spreads over all reducers by score. Inclusive
 running sums in descending score order are then computed per score bucket:
 bucket edges are per-key approximate quantiles of the distinct scores,
-bucket totals get a running offset over <= ``n_buckets`` rows per key, and
+bucket totals get a running offset over ``n_buckets`` rows per key, and
 the window runs partitioned by ``(keys, bucket)``. Equal scores always share
 a bucket, so ties are exact; the result does not depend on the edges.
 """
@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import f1_counts, safe_div
 from ..session import checkpoint
 
-N_BUCKETS = 64
 EPS_F1 = 1e-12
-# A key with at most this many distinct scores is summed by a plain window
-# (bounded rows per task); larger keys take the bucketed path.
-WINDOW_LIMIT = 1_000_000
+#: Distinct scores of one key that a task sums; larger keys are cut into as many
+#: buckets as it takes, so a task's rows do not grow with the data.
+BUCKET_ROWS = 250_000
 
 
 def score_table(pt: DataFrame, keys: Sequence[str], score: str = "score",
@@ -40,7 +39,7 @@ def score_table(pt: DataFrame, keys: Sequence[str], score: str = "score",
 
 
 def descending_running_sums(agg: DataFrame, keys: Sequence[str], order_col: str,
-                            value_cols: Sequence[str], n_buckets: int = N_BUCKETS,
+                            value_cols: Sequence[str], n_buckets: int = 1,
                             prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``value_cols`` over descending ``order_col``
     within ``keys`` (kernel B), plus per-key totals ``tot_<v>``.
@@ -58,7 +57,7 @@ def descending_running_sums(agg: DataFrame, keys: Sequence[str], order_col: str,
                           *[F.sum(v).over(wt).alias("tot_" + v) for v in vals])
     probs = [i / n_buckets for i in range(1, n_buckets)]
     edges = agg.groupBy(*keys).agg(
-        F.percentile_approx(order_col, probs, 1000).alias("_edges"))
+        F.percentile_approx(order_col, probs, max(1000, 10 * n_buckets)).alias("_edges"))
     if not keys:
         raise ValueError("keys must not be empty; add a constant key column")
     b = agg.join(edges, keys)
@@ -87,11 +86,11 @@ def materialised_score_table(pt: DataFrame, keys: Sequence[str], score: str = "s
     return checkpoint(score_table(pt, keys, score, label))
 
 
-def choose_buckets(agg: DataFrame, keys: Sequence[str], n_buckets: int = N_BUCKETS) -> int:
-    """1 (plain window) when no key has more than WINDOW_LIMIT distinct
-    scores, else ``n_buckets``; one small job over the score table."""
+def choose_buckets(agg: DataFrame, keys: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> int:
+    """Buckets that hold about ``bucket_rows`` distinct scores of the largest
+    key (1 is a plain window); one small job over the score table."""
     mx = agg.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
-    return 1 if mx <= WINDOW_LIMIT else n_buckets
+    return max(1, -(-mx // bucket_rows))
 
 
 def pr_curve(pt: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label",

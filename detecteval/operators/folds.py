@@ -1,22 +1,24 @@
 """Grouped K-fold, leak checks, validation by group, fold choice.
 
 Folds are a small table ``(seed, project, fold)``; train and test are the
-predicates ``fold <> k`` and ``fold = k``. Nothing row-level passes through
-the driver: only the bounded list of the ``heavy_limit`` largest groups is
-assigned there (greedy lightest-fold, like a grouped K-fold); every other
-group takes ``H(seed,'fold',project) % k``.
+predicates ``fold <> k`` and ``fold = k``. Groups go to the lightest fold, by
+size descending. Groups of equal size are interchangeable for the loads, so the
+driver only sees the *size classes* (n, number of groups): at most
+``sqrt(2 * rows)`` of them, whatever the number of groups. Which group of a class
+takes which place is a distributed rank by hash.
 """
 from __future__ import annotations
 
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import H, py_hash
+from ..functions.hashing import H, TWO32
 from .sampling import stratified_take
 
-HEAVY_LIMIT = 10_000
+RANK_BUCKETS = 4096
 
 
 def group_sizes(df: DataFrame, group_col: str = "project") -> DataFrame:
@@ -24,37 +26,76 @@ def group_sizes(df: DataFrame, group_col: str = "project") -> DataFrame:
                                      F.sum("label").cast("long").alias("n_pos"))
 
 
+def _class_cycles(classes: Sequence[tuple[int, int]], n_splits: int) -> list[tuple[int, list, list]]:
+    """For each size class (n, number of groups), largest n first: the ranks at
+    which another fold joins in, and the cycle of folds from there on.
+
+    The r-th group of a class goes to the fold of the r-th smallest
+    ``(load_f + j * n, f)``. From the value on at which a fold has been caught up
+    with, it takes one group per round, so the folds form a cycle until the next
+    fold joins: ``n_splits`` cycles describe a class of any number of groups.
+    """
+    loads = [0] * n_splits
+    out = []
+    for n, groups in sorted(classes, reverse=True):
+        starts, cycles = [], []
+        taken = [0] * n_splits
+        active: list[int] = []
+        for f in sorted(range(n_splits), key=lambda x: (loads[x], x)):
+            # groups that the folds before this one take until it is the lightest
+            before = {g: -((loads[g] - loads[f]) // n) + (g < f and (loads[f] - loads[g]) % n == 0) for g in active}
+            start = sum(before.values())
+            if start >= groups:
+                break
+            active.append(f)
+            before[f] = 0
+            cycle = sorted(active, key=lambda g: (loads[g] + before[g] * n, g))
+            starts.append(start)
+            cycles.append(cycle)
+            rounds, rest = divmod(groups - start, len(cycle))
+            taken = [0] * n_splits
+            for at, g in enumerate(cycle):
+                taken[g] = before[g] + rounds + (at < rest)
+        loads = [load + n * t for load, t in zip(loads, taken)]
+        out.append((n, starts, cycles))
+    return out
+
+
 def group_folds(df: DataFrame, n_splits: int = 5, seeds: Sequence[int] = (0,),
-                group_col: str = "project", heavy_limit: int = HEAVY_LIMIT) -> DataFrame:
+                group_col: str = "project") -> DataFrame:
     """Leave-groups-out fold table ``(seed, project, fold)``.
 
     Groups are taken by size descending, ties by seeded hash, and each goes
-    to the currently lightest fold (lowest index on ties). Raises if there
-    are fewer groups than folds.
+    to the currently lightest fold (lowest index on ties); one rule for all
+    groups. Raises if there are fewer groups than folds.
     """
-    spark = df.sparkSession
     sizes = group_sizes(df, group_col).select(group_col, "n")
-    n_groups = sizes.count()
+    classes = [(r["n"], r["g"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("g")).collect()]
+    n_groups = sum(g for _, g in classes)
     if n_groups < n_splits:
-        raise ValueError(f"Only {n_groups} groups but n_splits={n_splits}")
-    # Bounded: at most heavy_limit rows reach the driver.
-    heavy = sizes.orderBy(F.col("n").desc(), F.col(group_col)).limit(heavy_limit).collect()
-    rows = []
-    for seed in seeds:
-        order = sorted(heavy, key=lambda r: (-r["n"], py_hash(seed, "fold", r[group_col]),
-                                             r[group_col]))
-        loads = [0] * n_splits
-        for r in order:
-            f = loads.index(min(loads))
-            loads[f] += r["n"]
-            rows.append((int(seed), r[group_col], f))
-    heavy_df = spark.createDataFrame(rows, f"seed int, {group_col} string, _hf int")
-    seeds_df = sizes.select(group_col).withColumn(
-        "seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    # The heavy table has <= heavy_limit * len(seeds) rows: a proven bound.
-    out = seeds_df.join(F.broadcast(heavy_df), ["seed", group_col], "left")
-    tail = (H(F.col("seed"), "fold", F.col(group_col)) % n_splits).cast("int")
-    return out.select("seed", group_col, F.coalesce(F.col("_hf"), tail).alias("fold"))
+        raise ValueError(f"{n_splits} folds need as many groups, found {n_groups}")
+    plan = _class_cycles(classes, n_splits)
+    table = df.sparkSession.createDataFrame(pa.table({
+        "n": pa.array([p[0] for p in plan], pa.int64()),
+        "_starts": pa.array([p[1] for p in plan], pa.list_(pa.int64())),
+        "_cycles": pa.array([p[2] for p in plan], pa.list_(pa.list_(pa.int32())))}))
+    # Rank within (seed, class) by hash: counts of hash buckets give the offsets,
+    # so the groups of one class spread over tasks.
+    hashed = (sizes.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+              .withColumn("_h", H(F.col("seed"), "fold", F.col(group_col)))
+              .withColumn("_b", F.floor(F.col("_h") / F.lit(TWO32 // RANK_BUCKETS))))
+    by_bucket = Window.partitionBy("seed", "n").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (hashed.groupBy("seed", "n", "_b").agg(F.count(F.lit(1)).alias("_c"))
+               .select("seed", "n", "_b", F.coalesce(F.sum("_c").over(by_bucket), F.lit(0)).alias("_o")))
+    inside = Window.partitionBy("seed", "n", "_b").orderBy("_h", group_col)
+    ranked = (hashed.join(offsets, ["seed", "n", "_b"])
+              .withColumn("_r", F.col("_o") + F.row_number().over(inside) - 1))
+    # The class table is bounded by the number of distinct sizes, sqrt(2 * rows).
+    placed = ranked.join(F.broadcast(table), "n").withColumn(
+        "_s", F.size(F.filter("_starts", lambda x: x <= F.col("_r"))))
+    cycle = F.element_at("_cycles", F.col("_s"))
+    step = F.pmod(F.col("_r") - F.element_at("_starts", F.col("_s")), F.size(cycle)).cast("int")
+    return placed.select("seed", group_col, F.element_at(cycle, step + 1).alias("fold"))
 
 
 def assign_folds(df: DataFrame, folds: DataFrame, group_col: str = "project") -> DataFrame:

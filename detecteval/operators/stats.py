@@ -164,6 +164,16 @@ def spearman(df: DataFrame, metrics: Sequence[str], target: str) -> DataFrame:
     return g.withColumn("p_value", pv("rho", "n"))
 
 
+def best_predictor(rhos: DataFrame, metrics: Sequence[str], usable_above: float = 0.4) -> DataFrame:
+    """The metric of largest |rho| (the first of ``metrics`` on ties) of a
+    :func:`spearman` table, and whether |rho| is above ``usable_above`` (A12).
+    No row when no metric has a rho other than 0."""
+    place = F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("metric"))
+    best = F.max_by(F.struct("metric", "rho", "n"), F.struct(F.abs("rho"), -place))
+    return (rhos.where("abs(rho) > 0 and not isnan(rho)").agg(best.alias("_b")).where("_b is not null")
+            .select("_b.metric", "_b.rho", "_b.n", (F.abs("_b.rho") > usable_above).alias("usable")))
+
+
 def linear_fit(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
     """Degree-1 least squares ``y ~ x``."""
     g = df.groupBy(*keys) if keys else df.groupBy()

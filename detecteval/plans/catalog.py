@@ -156,6 +156,14 @@ def q_pr_curve(spark, d):
     return cv.pr_curve(fx.scored(spark, d), ["model"])
 
 
+@register("pr_curve_fine", W(",".join([oq.score_table("_agg", "scored_fine", ["model"]),
+                                       oq.curve("_cur", "_agg", ["model"])]), """
+SELECT model, score, pos, neg, tp, fp, n_pos, n_neg, precision, recall, f1 FROM _cur"""))
+def q_pr_curve_fine(spark, d):
+    """As many distinct scores as rows, summed in 64 buckets a model."""
+    return cv.pr_curve(fx.scored_fine(spark, d), ["model"], n_buckets=64)
+
+
 @register("thresholds", W(",".join([oq.score_table("_agg", "scored_events", ["model"]),
                                     oq.curve("_cur", "_agg", ["model"])]), f"""
 SELECT a.model, a.thr_max_f1, b.thr_p30, c.thr_p50 FROM {oq.thr_max_f1('_cur', ['model'], 'thr_max_f1')} a
@@ -558,17 +566,28 @@ def _rank_sql(src: str, col: str) -> str:
             f"(COUNT(*) OVER (PARTITION BY metric, {col}) - 1) / 2.0{D})")
 
 
-@register("spearman_drift", W(PT_SQL + "," + _drift_sql(), f"""
-, _sl AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {m} AS value, f1_gap FROM drift" for m in _DRIFT_METRICS)}),
-_sr AS (SELECT metric, value, {_rank_sql('_sl', 'value')} AS _rv, {_rank_sql('_sl', 'f1_gap')} AS _rt FROM _sl)
-SELECT metric, COUNT(*) AS n, COUNT(DISTINCT value) AS n_distinct,
-  CASE WHEN COUNT(DISTINCT value) > 2 THEN round(corr(_rv, _rt), 9) END AS rho
-FROM _sr GROUP BY metric""".replace("\n, _sl AS", ",\n_sl AS", 1)))
+_RANKED_SQL = W(PT_SQL + "," + _drift_sql(), f"""
+, _sl AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {i} AS place, {m} AS value, f1_gap FROM drift" for i, m in enumerate(_DRIFT_METRICS))}),
+_sr AS (SELECT metric, place, value, {_rank_sql('_sl', 'value')} AS _rv, {_rank_sql('_sl', 'f1_gap')} AS _rt FROM _sl),
+_rho AS (SELECT metric, place, COUNT(*) AS n, COUNT(DISTINCT value) AS n_distinct,
+  CASE WHEN COUNT(DISTINCT value) > 2 THEN round(corr(_rv, _rt), 9) END AS rho FROM _sr GROUP BY metric, place)
+""".replace("\n, _sl AS", ",\n_sl AS", 1))
+
+
+@register("spearman_drift", _RANKED_SQL + "SELECT metric, n, n_distinct, rho FROM _rho")
 def q_spearman(spark, d):
     dr_ = rp.drift_report(ptm.transfer_pt(spark, d))
     return st.spearman(dr_, _DRIFT_METRICS, "f1_gap").drop("p_value")
 
 
+@register("best_predictor", _RANKED_SQL + """
+SELECT metric, rho, n, abs(rho) > 0.4 AS usable FROM _rho WHERE abs(rho) > 0 AND NOT isnan(rho)
+ORDER BY abs(rho) DESC, place LIMIT 1""")
+def q_best_predictor(spark, d):
+    dr_ = rp.drift_report(ptm.transfer_pt(spark, d))
+    return st.best_predictor(st.spearman(dr_, _DRIFT_METRICS, "f1_gap"), _DRIFT_METRICS)
+
+
 @register("spearman_pvalues", None)
 def q_spearman_p(spark, d):
     dr_ = rp.drift_report(ptm.transfer_pt(spark, d))

@@ -79,6 +79,13 @@ def scored_events(spark: SparkSession, sf_dir: str, models=None) -> DataFrame:
     return with_scores(events_corpus(spark, sf_dir), models)
 
 
+def scored_fine(spark: SparkSession, sf_dir: str, models=None) -> DataFrame:
+    """Events with scores on a grid of 2^33 steps: nearly every row has its own."""
+    out = events_corpus(spark, sf_dir).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models or MODELS])))
+    h = H(0, F.concat(F.lit("fine"), F.col("model")), F.col("row_id"))
+    return out.withColumn("score", (h + F.col("label") * F.lit(1 << 31)).cast("double") / F.lit(float(1 << 33)))
+
+
 def scored_lineitem(spark: SparkSession, sf_dir: str, models=None) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     base = li.select(
@@ -111,9 +118,10 @@ def sql_nlines(x: str) -> str:
 
 
 def sql_ctes(models=None) -> str:
-    """``corpus_raw, corpus, scored, events_corpus, scored_events`` CTEs."""
+    """``corpus_raw, corpus, scored, events_corpus, scored_events, scored_fine`` CTEs."""
     h_c = sql_hash("0", "'score' || mm.model", "c.row_id")
     h_e = sql_hash("0", "'score' || mm.model", "e.row_id")
+    h_f = sql_hash("0", "'fine' || mm.model", "e.row_id")
     return f"""
 corpus_raw AS (
   SELECT d.doc_id AS row_id, d.text AS func, CAST(CAST(CAST(l.toxic AS VARCHAR) AS DOUBLE) AS INTEGER) AS label,
@@ -137,6 +145,10 @@ events_corpus AS (
 scored_events AS (
   SELECT mm.model, e.row_id, e.project, e.cwe, e.label,
          CAST(300 * e.label + {h_e} % 701 AS DOUBLE) / CAST(1000 AS DOUBLE) AS score
+  FROM events_corpus e CROSS JOIN {sql_models(models)}),
+scored_fine AS (
+  SELECT mm.model, e.row_id, e.project, e.cwe, e.label,
+         CAST({h_f} + e.label * {1 << 31} AS DOUBLE) / CAST({1 << 33} AS DOUBLE) AS score
   FROM events_corpus e CROSS JOIN {sql_models(models)})"""
 
 

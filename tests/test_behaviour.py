@@ -2,8 +2,11 @@
 import re
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
+from detecteval.functions.hashing import py_hash
 from detecteval.operators import curves as cv
 from detecteval.operators import folds as fo
 from detecteval.operators import perturb as pe
@@ -49,6 +52,46 @@ def test_every_group_is_held_out_once(spark, folds, seeds):
         fo.group_folds(df, 1000, [0])
 
 
+@given(hs.dictionaries(hs.sampled_from([1, 2, 3, 4, 6, 7, 11, 40]), hs.integers(1, 40), min_size=1),
+       hs.integers(1, 6))
+def test_class_cycles_are_the_lightest_fold_rule(classes, k):
+    loads = [0] * k
+    for n, starts, cycles in fo._class_cycles(list(classes.items()), k):
+        for r in range(classes[n]):
+            s = sum(x <= r for x in starts) - 1
+            f = cycles[s][(r - starts[s]) % len(cycles[s])]
+            assert f == loads.index(min(loads))
+            loads[f] += n
+
+
+def test_more_groups_than_any_list_follow_the_same_rule(spark):
+    """12,000 groups: one large, the others of one or two rows."""
+    df = (spark.range(12_000).withColumn("project", F.concat(F.lit("g"), "id"))
+          .withColumn("n", F.when(F.col("id") == 0, 9_000).when(F.col("id") % 7 == 0, 2).otherwise(1))
+          .selectExpr("project", "explode(sequence(1, n)) as i", "0 as label"))
+    sizes = {r["project"]: r["n"] for r in fo.group_sizes(df).collect()}
+    order = sorted(sizes, key=lambda g: (-sizes[g], py_hash(3, "fold", g), g))
+    loads, want = [0] * 5, {}
+    for g in order:
+        want[g] = loads.index(min(loads))
+        loads[want[g]] += sizes[g]
+    assert {r["project"]: r["fold"] for r in fo.group_folds(df, 5, [3]).collect()} == want
+
+
+def test_best_predictor_prefers_the_first_of_equals(spark):
+    def best(rows):
+        return [tuple(r) for r in st.best_predictor(
+            spark.createDataFrame(rows, "metric string, rho double, n long"), ["a", "b", "c"]).collect()]
+    assert best([("c", 0.5, 9), ("b", -0.5, 9), ("a", 0.1, 9)]) == [("b", -0.5, 9, True)]
+    assert best([("a", 0.4, 9), ("b", None, 9), ("c", float("nan"), 9)]) == [("a", 0.4, 9, False)]
+    assert best([("a", 0.0, 9)]) == []
+
+
+def test_buckets_grow_with_the_distinct_scores(spark):
+    agg = spark.range(1000).selectExpr("id % 3 as k", "id as score")
+    assert [cv.choose_buckets(agg, ["k"], n) for n in (1000, 100, 10)] == [1, 4, 34]
+
+
 def test_generated_corpus_depends_on_its_seed_only(spark):
     one, two = (synthetic_corpus(spark.newSession(), 120, seed=4).orderBy("row_id").collect() for _ in range(2))
     assert [tuple(r) for r in one] == [tuple(r) for r in two]
