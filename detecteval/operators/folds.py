@@ -147,6 +147,19 @@ def validation_groups_fraction(df: DataFrame, frac: float = 0.15, seed=0,
     return take_k_global(h, m, id_col=group_col, mark="is_val").select(group_col, "is_val")
 
 
+def validation_by_fraction(df: DataFrame, frac: float = 0.15, seed=0, group_col: str = "project",
+                           label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """(training rows, validation rows) by :func:`validation_groups_fraction`.
+
+    A threshold needs both classes: if the chosen groups hold only one, or no
+    rows, all rows of ``df`` serve for validation; training rows stay the same.
+    """
+    groups = validation_groups_fraction(df, frac, seed, group_col).where("is_val").select(group_col)
+    val = df.join(groups, group_col, "left_semi")
+    n, pos = val.agg(F.count(F.lit(1)), F.sum(label)).first()
+    return df.join(groups, group_col, "left_anti"), (val if n and 0 < pos < n else df)
+
+
 def validation_split(df: DataFrame, folds: DataFrame, group_col: str = "project",
                      min_pos: int = 3, fallback_test_size: float = 0.2) -> DataFrame:
     """Validation rows of every (seed, fold).

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import curves as cv
@@ -116,7 +116,8 @@ def robustness(spark: SparkSession, sf_dir: str, kinds=("rename", "deadcode", "w
 def per_category_robustness(spark: SparkSession, sf_dir: str, top: int = 10,
                             min_rows: int = 10) -> DataFrame:
     """Ten most frequent categories (blank counted, then dropped), >= 10 rows:
-    F1 clean and per perturbation kind (R12: A20, W2)."""
+    F1 clean and per perturbation kind, with the drop from the clean F1
+    (R12: A20, W2)."""
     pt, thr, tf, m, s = fit_protocol(spark, sf_dir, "lr")
     scorer = ex.make_linear_scorer(tf, md.linear_weights(tf, m), float(m.intercept))
     test = s.filter(F.col("split") == "test").select("row_id", "func", "label", "cwe")
@@ -130,8 +131,11 @@ def per_category_robustness(spark: SparkSession, sf_dir: str, top: int = 10,
     allp = allp.withColumn("_key", F.concat_ws("#", "row_id", "kind", "variant"))
     sc = scorer(allp.select(F.col("_key").alias("row_id"), F.col("func_perturbed").alias("func")),
                 "func", "score").select(F.col("row_id").alias("_key"), "score")
-    return cv.compute_metrics(allp.join(sc, "_key"), ["cwe", "kind"], thr) \
+    m = cv.compute_metrics(allp.join(sc, "_key"), ["cwe", "kind"], thr) \
         .select("cwe", "kind", "tp", "fp", "fn", "tn", "f1", "recall", "precision")
+    clean = F.max(F.when(F.col("kind") == "clean", F.col("f1"))).over(Window.partitionBy("cwe"))
+    return m.withColumn("abs_drop", clean - F.col("f1")).withColumn(
+        "rel_drop_pct", F.lit(100.0) * F.col("abs_drop") / F.greatest(clean, F.lit(1e-9)))
 
 
 def counterfactual_study(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +173,8 @@ def tfidf_table(spark: SparkSession, sf_dir: str, max_features: int = 10_000) ->
 def cross_project_cv(spark: SparkSession, sf_dir: str, n_splits: int = 5, seed: int = 0,
                      val_frac: float = 0.15, n_boot: int = 10000) -> DataFrame:
     """Leave-groups-out CV: per fold, train on the other groups minus a 15 %
-    share of validation groups, pick the threshold on those groups, test on
-    the held-out fold; mean F1 with bootstrap CI per threshold kind and a
+    share of validation groups, pick the threshold on those groups (on all
+    training rows if they hold one class only), test on the held-out fold; mean F1 with bootstrap CI per threshold kind and a
     paired Wilcoxon test calibrated vs fixed 0.5 (R3: J4, J6, K1, K2, M7,
     A10, A11). One model fit per fold is the only driver loop."""
     from ..operators import folds as fo
@@ -181,9 +185,8 @@ def cross_project_cv(spark: SparkSession, sf_dir: str, n_splits: int = 5, seed:
     rows = None
     for k in range(n_splits):
         tr_full = a.filter(F.col("fold") != k)
-        vg = fo.validation_groups_fraction(tr_full, val_frac, seed + k).filter("is_val").select("project")
-        va = tr_full.join(vg, "project", "left_semi").withColumn("side", F.lit("val"))
-        tr = tr_full.join(vg, "project", "left_anti")
+        tr, va = fo.validation_by_fraction(tr_full, val_frac, seed + k)
+        va = va.withColumn("side", F.lit("val"))
         te = a.filter(F.col("fold") == k).withColumn("side", F.lit("test"))
         pt, _, _ = md.fit_score(tr.drop("seed", "fold"), va.unionByName(te).drop("seed", "fold"),
                                 "lr")

@@ -78,6 +78,18 @@ def test_more_groups_than_any_list_follow_the_same_rule(spark):
     assert {r["project"]: r["fold"] for r in fo.group_folds(df, 5, [3]).collect()} == want
 
 
+def test_validation_groups_of_one_class_fall_back_to_all_rows(spark):
+    def split(rows):
+        df = spark.createDataFrame(rows, "row_id long, project string, label int")
+        train, val = fo.validation_by_fraction(df, 0.3, 0)
+        return {r["row_id"] for r in train.collect()}, {r["row_id"] for r in val.collect()}
+    mixed = [(i, f"p{i % 4}", i // 4 % 2) for i in range(16)]
+    train, val = split(mixed)
+    assert len(val) == 4 and train | val == set(range(16)) and not train & val
+    train, val = split([(i, p, 0) for i, p, _ in mixed])
+    assert len(train) == 12 and val == set(range(16))
+
+
 def test_best_predictor_prefers_the_first_of_equals(spark):
     def best(rows):
         return [tuple(r) for r in st.best_predictor(
