@@ -547,7 +547,27 @@ def q_bootstrap(spark, d):
     return st.bootstrap_ci(runs, ["model"], "f1_gap", ["seed", "fold"])
 
 
-@register("wilcoxon_paired", None)
+def _pairs_sql() -> str:
+    return f"""
+_wp AS (SELECT a.seed, a.fold, a.f1_source - b.f1_source AS _d FROM runs a JOIN runs b
+   ON a.seed = b.seed AND a.fold = b.fold WHERE a.model = 'm0' AND b.model = 'm1'),
+_wr AS (SELECT _d, rank() OVER (ORDER BY abs(_d)) + (COUNT(*) OVER (PARTITION BY abs(_d)) - 1) / 2.0{D} AS _r
+   FROM _wp WHERE _d <> 0)"""
+
+
+# p: all 2^n sign patterns are listed and those of a sum up to W counted.
+@register("wilcoxon_paired", W(PT_SQL + "," + oq.transfer_runs("pt", with_projects=False)
+                               + "," + _pairs_sql(), f"""
+_ws AS (SELECT COUNT(*) AS n, SUM(CASE WHEN _d > 0 THEN _r ELSE 0.0 END) AS w_plus,
+  SUM(CASE WHEN _d < 0 THEN _r ELSE 0.0 END) AS w_minus, list(CAST(2 * _r AS BIGINT)) AS _x FROM _wr),
+_wl AS (SELECT COUNT(*) AS _low FROM (SELECT s.w_plus, s.w_minus,
+    list_sum(list_transform(range(0, s.n), lambda i: s._x[i + 1] * ((b.b >> i) & 1))) AS _sum
+  FROM _ws s, LATERAL (SELECT unnest(range(0, 1::BIGINT << s.n)) AS b) b)
+  WHERE _sum <= 2 * least(w_plus, w_minus))
+SELECT 'm0_vs_m1' AS test, s.n, s.w_plus, s.w_minus, least(s.w_plus, s.w_minus) AS statistic,
+  CASE WHEN s.n > 0 AND (SELECT COUNT(*) FROM _wp) >= 5
+       THEN least(1.0{D}, 2.0{D} * l._low / CAST(1::BIGINT << s.n AS DOUBLE)) END AS p_value
+FROM _ws s, _wl l"""))
 def q_wilcoxon(spark, d):
     runs = tr.threshold_transfer_runs(ptm.transfer_pt(spark, d).drop("logit0", "logit1"),
                                       with_projects=False)
@@ -588,10 +608,20 @@ def q_best_predictor(spark, d):
     return st.best_predictor(st.spearman(dr_, _DRIFT_METRICS, "f1_gap"), _DRIFT_METRICS)
 
 
-@register("spearman_pvalues", None)
+# p: the density of Student's t over the angle atan(t / sqrt(df)), summed by Simpson's
+# rule over 2,000 steps from the observed angle to pi / 2.
+@register("spearman_pvalues", _RANKED_SQL + f"""
+, _ang AS (SELECT metric, n, n_distinct, rho, n - 2 AS df,
+  CASE WHEN n > 2 AND abs(rho) < 1 THEN atan(abs(rho) / sqrt(1 - rho * rho)) END AS a FROM _rho),
+_simp AS (SELECT g.metric, SUM(CASE WHEN r.i IN (0, 2000) THEN 1 WHEN r.i % 2 = 1 THEN 4 ELSE 2 END
+    * pow(greatest(cos(g.a + r.i * (pi() / 2 - g.a) / 2000.0{D}), 0.0{D}), g.df - 1)) * (pi() / 2 - g.a) / 6000.0{D} AS _area
+  FROM _ang g CROSS JOIN range(0, 2001) r(i) WHERE g.a IS NOT NULL GROUP BY g.metric, g.a)
+SELECT g.metric, g.n, g.n_distinct, g.rho, CASE WHEN g.rho IS NULL OR g.n <= 2 THEN NULL WHEN abs(g.rho) >= 1 THEN 0.0{D}
+  ELSE round(2 * s._area * exp(lgamma((g.df + 1) / 2.0{D}) - lgamma(g.df / 2.0{D})) / sqrt(pi()), 9) END AS p_value
+FROM _ang g LEFT JOIN _simp s ON g.metric = s.metric""".replace("\n, _ang AS", ",\n_ang AS", 1))
 def q_spearman_p(spark, d):
     dr_ = rp.drift_report(ptm.transfer_pt(spark, d))
-    return st.spearman(dr_, _DRIFT_METRICS, "f1_gap")
+    return st.spearman(dr_, _DRIFT_METRICS, "f1_gap").withColumn("p_value", F.round("p_value", 9))
 
 
 @register("gap_shift_fit", W(PT_SQL + "," + _drift_sql(), """
@@ -721,14 +751,6 @@ def q_weight_sweep(spark, d):
     return sd.weight_sweep(spark, d)
 
 
-def _pairs_sql() -> str:
-    return f"""
-_wp AS (SELECT a.seed, a.fold, a.f1_source - b.f1_source AS _d FROM runs a JOIN runs b
-   ON a.seed = b.seed AND a.fold = b.fold WHERE a.model = 'm0' AND b.model = 'm1'),
-_wr AS (SELECT _d, rank() OVER (ORDER BY abs(_d)) + (COUNT(*) OVER (PARTITION BY abs(_d)) - 1) / 2.0{D} AS _r
-   FROM _wp WHERE _d <> 0)"""
-
-
 @register("wilcoxon_statistic", W(PT_SQL + "," + oq.transfer_runs("pt", with_projects=False)
                                   + "," + _pairs_sql(), """
 SELECT 'm0_vs_m1' AS test, COUNT(*) AS n, SUM(CASE WHEN _d > 0 THEN _r ELSE 0.0 END) AS w_plus,
