@@ -11,6 +11,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import n_lines
 from .models import TfidfModel, linear_score, term_counts
 
 # Sink calls neutralised by the counterfactual.
@@ -117,3 +118,16 @@ def make_linear_scorer(tf: TfidfModel, weights: DataFrame, intercept: float, id_
     def scorer(df: DataFrame, text_col: str, name: str) -> DataFrame:
         return linear_score(tf, weights, intercept, df, text_col, id_col, name)
     return scorer
+
+
+def make_call_scorer(weights: dict, scale: float = 10.0, bias: float = -1.0):
+    """A fixed scorer for checks: logistic of the weighted calls in a text
+    (name, then an opening bracket) per line."""
+    def scorer(df: DataFrame, text_col: str, name: str) -> DataFrame:
+        z = F.lit(0.0)
+        for call, weight in weights.items():
+            n = F.regexp_count(F.col(text_col), F.lit(rf"\b{call}\("))
+            z = z + F.lit(float(weight)) * n.cast("double")
+        z = F.lit(bias) + F.lit(scale) * z / n_lines(F.col(text_col)).cast("double")
+        return df.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    return scorer

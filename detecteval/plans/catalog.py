@@ -667,19 +667,36 @@ def q_tfidf(spark, d):
 
 @register("token_drift", None)
 def q_token_drift(spark, d):
-    c = fx.corpus(spark, d).select("row_id", "func")
+    c = fx.code_corpus(spark, d).select("row_id", "func")
     return pe.token_drift(pe.perturb(c, ("rename", "deadcode", "whitespace", "whitespace_safe")))
 
 
 @register("perturbations", None)
 def q_perturbations(spark, d):
-    c = fx.corpus(spark, d).select("row_id", "func")
+    c = fx.code_corpus(spark, d).select("row_id", "func")
     p = pe.perturb(c, ("rename", "deadcode", "whitespace", "whitespace_safe"), n_variants=2)
     return p.select("row_id", "kind", "variant", F.length("func").alias("n_chars"),
                     F.length("func_perturbed").alias("n_chars_perturbed"),
                     F.sha2("func_perturbed", 256).alias("digest"))
 
 
+@register("edited_texts", W(oq.edits(), """
+SELECT row_id, kind, length(func_perturbed) AS n_chars, sha256(func_perturbed) AS digest FROM _edits"""))
+def q_edited_texts(spark, d):
+    p = pe.perturb(fx.code_corpus(spark, d).select("row_id", "func"), ("rename", "deadcode"))
+    return p.select("row_id", "kind", F.length("func_perturbed").cast("long").alias("n_chars"),
+                    F.sha2("func_perturbed", 256).alias("digest"))
+
+
+@register("token_drift_edits", W(oq.edits(), f"""
+_td AS (SELECT kind, CAST({oq.tokens('func')} <> {oq.tokens('func_perturbed')} AS INTEGER) AS _c,
+  CAST({oq.tokens('func', False)} <> {oq.tokens('func_perturbed', False)} AS INTEGER) AS _c2 FROM _edits)
+SELECT kind, COUNT(*) AS n, SUM(_c) AS n_changed, avg(_c) AS frac_changed,
+  SUM(_c2) AS n_changed_no_blank, avg(_c2) AS frac_changed_no_blank FROM _td GROUP BY kind"""))
+def q_token_drift_edits(spark, d):
+    return pe.token_drift(pe.perturb(fx.code_corpus(spark, d).select("row_id", "func"), ("rename", "deadcode")))
+
+
 #: Classifier sizes of the registered baseline query: 200 trees of depth 30 and 200
 #: boosting rounds, the library's defaults, take minutes on the smallest tables.
 BASELINE_SETTINGS = {"trees": 20, "depth": 10, "rounds": 10}
@@ -710,6 +727,22 @@ def q_counterfactual(spark, d):
     return sd.counterfactual_study(spark, d)
 
 
+@register("counterfactual_fixed", W(fx.sql_code(), f"""
+_cb AS (SELECT row_id, label, func, {oq.call_score('func', sd.CALL_WEIGHTS)} AS p_before FROM code),
+_cx AS (SELECT c.*, replace(c.func, s.sink, '/*' || s.sink || '*/safe_noop') AS _cf FROM _cb c
+  JOIN (VALUES {", ".join(f"('{x}')" for x in sd.ex.SINKS)}) AS s(sink) ON contains(c.func, s.sink)),
+_cd AS (SELECT label, row_id, p_before, {oq.call_score('_cf', sd.CALL_WEIGHTS)} AS p_after FROM _cx),
+_cr AS (SELECT label, row_id, max(CAST(p_before >= 0.5 AND p_after < 0.5 AS INTEGER)) AS _f,
+  max(p_before - p_after) AS _md, COUNT(*) AS _n FROM _cd GROUP BY label, row_id),
+_cn AS (SELECT label, COUNT(*) AS n_tested FROM code GROUP BY label)
+SELECT r.label, n.n_tested, COUNT(*) AS n_with_sink, SUM(r._f) AS n_flipped, SUM(r._n) AS sinks_found,
+  round(max(r._md), 9) AS max_delta, SUM(r._f){D} / n.n_tested{D} AS flip_rate_all,
+  SUM(r._f){D} / COUNT(*){D} AS flip_rate_with_sink
+FROM _cr r JOIN _cn n ON r.label = n.label GROUP BY r.label, n.n_tested"""))
+def q_counterfactual_fixed(spark, d):
+    return sd.counterfactual_fixed(spark, d)
+
+
 @register("attributions", None)
 def q_attributions(spark, d):
     return sd.attribution_study(spark, d)
@@ -731,8 +764,7 @@ def q_cross_project_cv(spark, d):
 
 def q_external_scorer(spark, d):
     from ..operators import models as md_
-    from ..sources.synthetic import code_for_rows
-    code = code_for_rows(fx.corpus(spark, d).select("row_id", "func", "label", "project"))
+    code = fx.code_corpus(spark, d).select("row_id", "func", "label", "project")
     pt = md_.score_with(code, md_.lexicon_predict, keep=("label", "project"))
     return cv.compute_metrics(pt.withColumn("model", F.lit("lexicon")), ["model"])
 
@@ -761,18 +793,6 @@ def q_wilcoxon_stat(spark, d):
     return q_wilcoxon(spark, d).drop("p_value")
 
 
-def _code_sql() -> str:
-    from ..sources.synthetic import SAFE_BODY, SINK_STATEMENTS
-    nl = "' || chr(10) || '"
-    sinks = ", ".join(f"'{x}'" for x in SINK_STATEMENTS)
-    h = sql_hash("0", "'sink'", "row_id")
-    safe = SAFE_BODY.replace("\n", nl)
-    return f"""
-_code AS (SELECT row_id, label, project, 'int func_' || CAST(row_id AS VARCHAR) || '(char *src, int len) {{' || chr(10) ||
-  CASE WHEN label = 1 THEN '  char buf[10];' || chr(10) || '  ' || (list_value({sinks}))[CAST({h} % 4 AS INTEGER) + 1]
-       || chr(10) || '  return 0;' ELSE '{safe}' END || chr(10) || '}}' AS func FROM corpus)"""
-
-
 def _lexicon_sql() -> str:
     from ..operators.models import LEXICON
     z = "-1.0::DOUBLE"
@@ -782,8 +802,8 @@ def _lexicon_sql() -> str:
 
 
 @register("external_scorer_metrics", W(",".join([
-    _code_sql(),
-    f"_xs AS (SELECT 'lexicon' AS model, row_id, label, least(greatest(1.0::DOUBLE / (1.0::DOUBLE + exp(-{_lexicon_sql()})), 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS score FROM _code)",
+    fx.sql_code(),
+    f"_xs AS (SELECT 'lexicon' AS model, row_id, label, least(greatest(1.0::DOUBLE / (1.0::DOUBLE + exp(-{_lexicon_sql()})), 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS score FROM code)",
     oq.score_table("_agg", "_xs", ["model"]), oq.curve("_cur", "_agg", ["model"]),
     f"_th AS (SELECT DISTINCT model, 0.5{D} AS threshold FROM _agg)",
     oq.confusion("_m", "_agg", "_th", ["model"], extra=[]),

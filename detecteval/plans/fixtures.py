@@ -44,6 +44,36 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess(raw_corpus(spark, sf_dir))
 
 
+#: Calls of the code fixture; a line of length n becomes a statement with call n % 8.
+FIXTURE_CALLS = ["strcpy", "strlen", "fgets", "memcpy", "abs", "sprintf", "gets", "toupper"]
+
+
+def statements(text):
+    """Text as C-like code, whatever its label: every line stays as a comment and
+    declares its first run of ASCII letters (x without one) by one call."""
+    calls = F.array(*[F.lit(c) for c in FIXTURE_CALLS])
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda ln: F.concat(
+        F.lit("  /* "), ln, F.lit(" */ int "),
+        F.coalesce(F.nullif(F.regexp_extract(ln, "[A-Za-z]+", 0), F.lit("")), F.lit("x")), F.lit(" = "),
+        F.element_at(calls, F.length(ln) % len(FIXTURE_CALLS) + 1), F.lit("("),
+        F.length(ln).cast("string"), F.lit(");"))), "\n")
+
+
+def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared corpus with its texts as code (:func:`statements`)."""
+    return corpus(spark, sf_dir).withColumn("func", statements(F.col("func")))
+
+
+def sql_code(name: str = "code") -> str:
+    """DuckDB CTE of :func:`code_corpus`."""
+    calls = ", ".join(f"'{c}'" for c in FIXTURE_CALLS)
+    return f"""
+{name} AS (SELECT * REPLACE (array_to_string(list_transform(string_split(func, chr(10)), lambda ln:
+   '  /* ' || ln || ' */ int ' || coalesce(nullif(regexp_extract(ln, '[A-Za-z]+'), ''), 'x') || ' = '
+   || (list_value({calls}))[length(ln) % {len(FIXTURE_CALLS)} + 1] || '(' || CAST(length(ln) AS VARCHAR) || ');'),
+   chr(10)) AS func) FROM corpus)"""
+
+
 def score_expr(label_col="label", id_cols=("row_id",), model_col="model"):
     h = H(0, F.concat(F.lit("score"), F.col(model_col)), *[F.col(c) for c in id_cols])
     return ((F.lit(300) * F.col(label_col) + h % 701).cast("double") / F.lit(1000.0))

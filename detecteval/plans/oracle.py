@@ -11,7 +11,10 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from ..functions.hashing import sql_hash
+from ..functions.hashing import py_hash, sql_hash
+from ..functions.text import WS_CLASS_SQL
+from ..operators import perturb
+from . import fixtures as fx
 
 D = "::DOUBLE"
 
@@ -271,3 +274,55 @@ runs AS (SELECT r.*, p.per_project_thr_std, p.per_project_thr_min, p.per_project
    coalesce(p.n_projects_with_gap_gt_01, 0) AS n_projects_with_gap_gt_01
    FROM _truns_out r LEFT JOIN _proll p ON {on(keys, 'r', 'p')})"""
     return s
+
+
+# Word characters of the text edits (letters, marks, digits, connectors).
+_WORD = "\\p{L}\\p{M}\\p{Nd}\\p{Pc}"
+
+
+def tokens(col: str, blanks: bool = True) -> str:
+    """Token list of a text: word, punctuation and (optional) blank runs."""
+    ws = WS_CLASS_SQL[1:-2]
+    return f"regexp_extract_all({col}, '[{_WORD}]+|[^{_WORD}{ws}]+{'|[' + ws + ']+' if blanks else ''}')"
+
+
+def call_score(col: str, weights: dict) -> str:
+    """Fixed call scorer: 1 / (1 + exp(1 - 10 * weighted calls / lines))."""
+    z = f"0.0{D}"
+    for call, w in weights.items():
+        z = f"({z} + {float(w)!r}{D} * len(regexp_extract_all({col}, '\\b{call}\\('))::DOUBLE)"
+    return f"(1.0{D} / (1.0{D} + exp(-(-1.0{D} + 10.0{D} * {z} / len(string_split({col}, chr(10)))::DOUBLE))))"
+
+
+def edits(seed: int = 0, n_inserts: int = 3) -> str:
+    """CTE ``_edits`` (row_id, kind, func, func_perturbed): rename one name after
+    the other by recursion, dead code by positions (X1, X2), over ``code``."""
+    ws = WS_CLASS_SQL[:-1]
+    decl = f"(?:{'|'.join(perturb.TYPE_KW)}){ws}+\\**{ws}*([A-Za-z_][{_WORD}]*)"
+    lib = ", ".join(f"'{x}'" for x in perturb.LIB_CALLS)
+    edge = f"[^{_WORD}]"
+
+    def once(t: str) -> str:
+        return (f"regexp_replace({t}, '(^|{edge})' || names[i + 1] || '($|{edge})', "
+                "'\\1v' || i || '\\2', 'g')")
+    ins = ""
+    for n in reversed(range(n_inserts)):
+        at = py_hash(seed, "dead_point", n)
+        kind = py_hash(seed, "dead_snippet", n) % len(perturb.DEAD_CODE_TEMPLATES)
+        text = perturb.DEAD_CODE_TEMPLATES[kind].format(n=f"_{seed}_{n}")
+        ins += (f" || CASE WHEN _pts[{at} % len(_pts) + 1] = i THEN "
+                f"[regexp_extract(ln, '^{ws}*') || '{text}'] ELSE []::VARCHAR[] END")
+    return f"""{fx.sql_code()},
+_en AS (SELECT DISTINCT row_id, name FROM (SELECT row_id, unnest(regexp_extract_all(func, '{decl}', 1)) AS name FROM code)
+  WHERE name NOT IN ({lib})),
+_el AS (SELECT row_id, list(name ORDER BY {sql_hash(str(seed), "'rename'", 'name')}, name) AS names FROM _en GROUP BY row_id),
+_er AS (SELECT c.row_id, 0 AS i, coalesce(l.names, []::VARCHAR[]) AS names, c.func AS t FROM code c
+          LEFT JOIN _el l ON c.row_id = l.row_id
+  UNION ALL SELECT row_id, i + 1, names, {once(once('t'))} FROM _er WHERE i < len(names)),
+_ed AS (SELECT row_id, string_split(func, chr(10)) AS _ln FROM code),
+_ep AS (SELECT *, list_filter(range(1, len(_ln) + 1), lambda i: regexp_matches(_ln[i], '[;{{]{ws}*$')) AS _pts FROM _ed),
+_ei AS (SELECT row_id, CASE WHEN len(_pts) = 0 THEN array_to_string(_ln, chr(10)) ELSE array_to_string(flatten(
+  list_transform(_ln, lambda ln, i: [ln]{ins})), chr(10)) END AS t FROM _ep),
+_edits AS (SELECT c.row_id, 'rename' AS kind, c.func, r.t AS func_perturbed FROM code c
+    JOIN _er r ON c.row_id = r.row_id WHERE r.i = len(r.names)
+  UNION ALL SELECT c.row_id, 'deadcode', c.func, e.t FROM code c JOIN _ei e ON c.row_id = e.row_id)"""

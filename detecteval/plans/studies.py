@@ -16,17 +16,16 @@ from ..operators import explain as ex
 from ..operators import models as md
 from ..operators import perturb as pe
 from ..operators.sampling import downsample_positives, random_split
-from ..sources.synthetic import code_for_rows
 from ..session import checkpoint
 from . import fixtures as fx
 
 ROUND = 9
+#: Weights of the fixed call scorer.
+CALL_WEIGHTS = {c: md.LEXICON[c] for c in ex.SINKS}
 
 
 def _split_corpus(spark: SparkSession, sf_dir: str, code: bool = False) -> DataFrame:
-    c = fx.corpus(spark, sf_dir).select("row_id", "func", "label", "project", "cwe")
-    if code:
-        c = code_for_rows(c)
+    c = (fx.code_corpus if code else fx.corpus)(spark, sf_dir).select("row_id", "func", "label", "project", "cwe")
     return checkpoint(random_split(c, seed=0))
 
 
@@ -92,7 +91,7 @@ def robustness(spark: SparkSession, sf_dir: str, kinds=("rename", "deadcode", "w
                n_variants: int = 2) -> DataFrame:
     """F1 under each perturbation vs clean, absolute and relative drop, mean
     over variants, token drift share (R5: X1-X6, A19, A21)."""
-    pt, thr, tf, m, s = fit_protocol(spark, sf_dir, "lr", code=False)
+    pt, thr, tf, m, s = fit_protocol(spark, sf_dir, "lr", code=True)
     weights = md.linear_weights(tf, m)
     scorer = ex.make_linear_scorer(tf, weights, float(m.intercept))
     test = s.filter(F.col("split") == "test").select("row_id", "func", "label", "cwe")
@@ -118,7 +117,7 @@ def per_category_robustness(spark: SparkSession, sf_dir: str, top: int = 10,
     """Ten most frequent categories (blank counted, then dropped), >= 10 rows:
     F1 clean and per perturbation kind, with the drop from the clean F1
     (R12: A20, W2)."""
-    pt, thr, tf, m, s = fit_protocol(spark, sf_dir, "lr")
+    pt, thr, tf, m, s = fit_protocol(spark, sf_dir, "lr", code=True)
     scorer = ex.make_linear_scorer(tf, md.linear_weights(tf, m), float(m.intercept))
     test = s.filter(F.col("split") == "test").select("row_id", "func", "label", "cwe")
     cats = test.groupBy("cwe").count().orderBy(F.col("count").desc(), F.col("cwe")).limit(top) \
@@ -148,6 +147,14 @@ def counterfactual_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.flip_rates(cf, pos)
 
 
+def counterfactual_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sink removal on every row of the code corpus under the fixed call scorer:
+    flip rates by label (E3, E4)."""
+    c = fx.code_corpus(spark, sf_dir).select("row_id", "label", "func")
+    cf = ex.counterfactual_sink_removal(c, ex.make_call_scorer(CALL_WEIGHTS))
+    return ex.flip_rates(cf, c, ["label"]).withColumn("max_delta", F.round("max_delta", ROUND))
+
+
 def attribution_study(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Top-k occlusion and integrated-gradient terms for all positives of the test split
     (R7: E5, E6, W1, W3)."""
