@@ -45,6 +45,12 @@ _SAFE_OPS = {
 _DECL = "(?U)(?:" + "|".join(TYPE_KW) + ")\\s+\\**\\s*([A-Za-z_]\\w*)"
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row: an expression named
+    inside a lambda would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def rename_variables(text: Column, seed: int = 0) -> Column:
     """Names after a C type keyword, minus library calls, renamed to vN at
     word boundaries, one after another (X1, D11). Order of names is by
@@ -63,26 +69,31 @@ def insert_dead_code(text: Column, n_inserts: int = 3, seed: int = 0) -> Column:
     keeping the line's indentation; unchanged when there is no such line
     (X2). Later inserts on the same line come first, as sequential
     insertion gives."""
-    lines = F.split(text, "\n", -1)
     ends = "[;{]" + WS_CLASS[:-1] + "*$"
-    pts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1),
-                   lambda i: F.element_at(lines, i + 1).rlike(ends))
-    npts = F.size(pts)
-    ins = []
-    for k in range(n_inserts):
-        h_pt = py_hash(seed, "dead_point", k)
-        h_sn = py_hash(seed, "dead_snippet", k)
-        snippet = DEAD_CODE_TEMPLATES[h_sn % len(DEAD_CODE_TEMPLATES)].format(n=f"_{seed}_{k}")
-        ins.append(F.struct(F.lit(k).alias("k"),
-                            F.element_at(pts, (F.lit(h_pt) % npts).cast("int") + 1).alias("at"),
-                            F.lit(snippet).alias("s")))
-    ins_desc = F.array(*reversed(ins))
     lead = "^" + WS_CLASS[:-1] + "*"
-    out = F.flatten(F.transform(lines, lambda ln, i: F.concat(
-        F.array(ln),
-        F.transform(F.filter(ins_desc, lambda x: x["at"] == i),
-                    lambda x: F.concat(F.regexp_extract(ln, lead, 0), x["s"])))))
-    return F.when(npts > 0, F.array_join(out, "\n")).otherwise(text)
+
+    def inserts(pts: Column) -> Column:
+        out = []
+        for k in reversed(range(n_inserts)):
+            h_pt = py_hash(seed, "dead_point", k)
+            h_sn = py_hash(seed, "dead_snippet", k)
+            snippet = DEAD_CODE_TEMPLATES[h_sn % len(DEAD_CODE_TEMPLATES)].format(n=f"_{seed}_{k}")
+            out.append(F.struct(F.element_at(pts, (F.lit(h_pt) % F.size(pts)).cast("int") + 1).alias("at"),
+                                F.lit(snippet).alias("s")))
+        return F.array(*out)
+
+    def insert(lines: Column, ins: Column) -> Column:
+        return F.array_join(F.flatten(F.transform(lines, lambda ln, i: F.concat(
+            F.array(ln),
+            F.transform(F.filter(ins, lambda x: x["at"] == i),
+                        lambda x: F.concat(F.regexp_extract(ln, lead, 0), x["s"]))))), "\n")
+
+    def edit(lines: Column) -> Column:
+        flags = F.transform(lines, lambda ln, i: F.when(ln.rlike(ends), i))
+        return _bind(F.filter(flags, lambda i: i.isNotNull()), lambda pts: F.when(
+            F.size(pts) > 0, _bind(inserts(pts), lambda ins: insert(lines, ins))))
+
+    return F.coalesce(_bind(F.split(text, "\n", -1), edit), text)
 
 
 def perturb_whitespace(text: Column, seed: int = 0, mode: str = "naive") -> Column:
@@ -104,12 +115,11 @@ def perturb_whitespace(text: Column, seed: int = 0, mode: str = "naive") -> Colu
         F.pmod(F.xxhash64(F.lit(seed), F.lit("ws_line"), i), F.lit(1000)) < 300,
         F.array(ln, F.lit(""))).otherwise(F.array(ln))))
     out = F.array_join(lines, "\n")
-    pieces = F.split(out, "[ \t]+", -1)
-    n = F.size(pieces)
-    return F.array_join(F.transform(pieces, lambda p, j: F.when(
-        j < n - 1, F.concat(p, F.repeat(F.lit(" "), (F.lit(1) + F.pmod(
-            F.xxhash64(F.lit(seed), F.lit("ws_run"), j), F.lit(3))).cast("int"))))
-        .otherwise(p)), "")
+    return _bind(F.split(out, "[ \t]+", -1), lambda pieces: F.array_join(F.transform(
+        pieces, lambda p, j: F.when(
+            j < F.size(pieces) - 1, F.concat(p, F.repeat(F.lit(" "), (F.lit(1) + F.pmod(
+                F.xxhash64(F.lit(seed), F.lit("ws_run"), j), F.lit(3))).cast("int"))))
+        .otherwise(p)), ""))
 
 
 PERTURBATIONS = {
