@@ -106,7 +106,7 @@ def robustness(spark: SparkSession, sf_dir: str, kinds=("rename", "deadcode", "w
     per = cv.compute_metrics(ps, ["kind", "variant"], thr).select("kind", "variant", "f1")
     agg = per.groupBy("kind").agg(F.round(F.avg("f1"), ROUND).alias("f1"))
     drift = pe.token_drift(p, ["kind"])
-    out = agg.withColumn("clean_f1", F.lit(float(clean_f1))).join(drift, "kind")
+    out = agg.withColumn("clean_f1", F.lit(round(float(clean_f1), ROUND))).join(drift, "kind")
     return out.withColumn("abs_drop", F.col("clean_f1") - F.col("f1")) \
         .withColumn("rel_drop_pct", F.lit(100.0) * (F.col("clean_f1") - F.col("f1"))
                     / F.greatest(F.col("clean_f1"), F.lit(1e-9)))
