@@ -9,7 +9,12 @@ by a hash of its doc_id.
 Targets are parameters. A value without a target belongs to ``*``, whose share
 is what the named ones leave, so the cells are at most the product of the
 targets' sizes whatever the data hold; only their totals come to the driver. A
-target whose value has no tokens is left out and the others are scaled up.
+target whose value has no tokens is left out and the others are scaled up. Where
+the named ones leave nothing but ``*`` has tokens, it keeps the share of all
+tokens that it has, and the others are scaled down to the rest: no class is
+dropped because it has no name. (``sql`` gives such a ``*`` the share 0; the two
+differ on tables with tokens in it only.) Shares that the draw will miss, for
+want of tokens, are logged.
 
 Defined cases: null text has 0 tokens, a null source or language belongs to
 ``*``; an empty document has its cell's probability, and a cell without tokens
@@ -17,6 +22,7 @@ has 0. Rows that share a doc_id are kept or dropped together.
 """
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +32,7 @@ from ..functions.hashing import H, TWO32, sql_hash
 
 REST = "*"
 ROUNDS = 40
+DIMENSIONS = ("source", "lang", "topic")
 
 #: Topic of a text: the first rule whose mark it contains, else ``prose``.
 TOPIC_RULES = [("table", " | "), ("contact", "@"), ("legal", "icense")]
@@ -62,23 +69,50 @@ def shares(target: dict) -> dict:
     return {**target, REST: max(left, 0.0)}
 
 
+def _sums(weight: dict, d: int) -> dict:
+    """Total weight of each value of dimension ``d``."""
+    sums: dict = {}
+    for c, w in weight.items():
+        sums.setdefault(c[d], []).append(w)
+    return {v: math.fsum(w) for v, w in sums.items()}
+
+
+def goals_of(own: dict, targets: dict) -> list[dict]:
+    """The share that each value with tokens is raked to, by dimension."""
+    goals = []
+    for d, name in enumerate(DIMENSIONS):
+        held = _sums(own, d)
+        present = {v: s for v, s in shares(targets[name]).items() if held.get(v, 0.0) > 0}
+        scale = math.fsum(present.values())
+        goal = {v: s / scale for v, s in present.items()} if scale > 0 else {}
+        if REST in present and present[REST] <= 1e-9:
+            rest = held[REST] / math.fsum(held.values()) if scale > 1e-9 else 1.0
+            goal = {**{v: s * (1.0 - rest) for v, s in goal.items()}, REST: rest}
+        goals.append(goal)
+    return goals
+
+
+def missed(cells: list[tuple], chances: dict, targets: dict, budget: float, slack: float = 0.01) -> list[tuple]:
+    """(dimension, value, wanted, expected) shares of the budget that differ by more than ``slack``."""
+    own = {c[:3]: float(c[3]) for c in cells}
+    total = budget * math.fsum(own.values())
+    drawn = {c: n * chances[c] for c, n in own.items()}
+    out = []
+    for d, goal in enumerate(goals_of(own, targets)):
+        got = _sums(drawn, d)
+        out += [(DIMENSIONS[d], v, s, got[v] / total) for v, s in goal.items() if total > 0 and abs(got[v] / total - s) > slack]
+    return out
+
+
 def rake(cells: list[tuple], targets: dict, budget: float, rounds: int = ROUNDS) -> dict:
     """Probability of each cell. ``cells``: (source, lang, topic, tokens)."""
     own = {c[:3]: float(c[3]) for c in cells}
     total = budget * math.fsum(own.values())
     weight = {c: n * budget for c, n in own.items()}
-    goals = []
-    for d, name in enumerate(("source", "lang", "topic")):
-        goal = shares(targets[name])
-        present = {v: s for v, s in goal.items() if any(n > 0 for c, n in own.items() if c[d] == v)}
-        scale = math.fsum(present.values())
-        goals.append({v: s / scale for v, s in present.items()} if scale > 0 else {})
+    goals = goals_of(own, targets)
     for _ in range(rounds):
         for d, goal in enumerate(goals):
-            sums: dict = {}
-            for c, w in weight.items():
-                sums.setdefault(c[d], []).append(w)
-            sums = {v: math.fsum(w) for v, w in sums.items()}
+            sums = _sums(weight, d)
             weight = {c: w * goal.get(c[d], 0.0) * total / sums[c[d]] if sums[c[d]] > 0 else 0.0
                       for c, w in weight.items()}
         weight = {c: min(w, own[c]) for c, w in weight.items()}
@@ -92,14 +126,22 @@ def mix(docs: DataFrame, targets: dict = TARGETS, budget: float = BUDGET, seed:
     probability and kept; with ``carry`` the named columns instead of doc_id."""
     rows = docs.select(*([docs[c] for c in carry] if carry else [docs[key].alias("doc_id")]),
                        docs[key].alias("__key"), _classed(docs[source], targets["source"]).alias("source_class"),
-                       _classed(docs[lang], targets["lang"]).alias("lang_class"), topic(docs[text], rules).alias("__topic"),
+                       _classed(docs[lang], targets["lang"]).alias("lang_class"),
+                       topic(docs[text], rules).alias("__topic"),
                        tokens(docs[text]).alias("__tokens"))
     cells = (rows.groupBy("source_class", "lang_class", "__topic").agg(F.sum("__tokens").alias("n")).collect())
-    chances = rake([(r[0], r[1], r[2], r[3]) for r in sorted(cells, key=lambda r: r[:3])], targets, budget)
+    of = {r[:3]: (r[0], r[1], r[2] if r[2] in targets["topic"] else REST) for r in cells}
+    held: dict = {}
+    for r in cells:
+        held[of[r[:3]]] = held.get(of[r[:3]], 0) + r[3]
+    classes = [(*c, n) for c, n in sorted(held.items())]
+    chances = rake(classes, targets, budget)
+    for miss in missed(classes, chances, targets, budget):
+        logging.getLogger(__name__).warning("%s %s: share %.4f wanted, %.4f expected", *miss)
     spark = docs.sparkSession
-    table = spark.createDataFrame([(*c, round(p, 9)) for c, p in chances.items()],
+    table = spark.createDataFrame([(*c, round(chances[k], 9)) for c, k in of.items()],
                                   "source_class string, lang_class string, __topic string, probability double")
-    out = rows.join(F.broadcast(table), ["source_class", "lang_class", "__topic"])  # as small as the targets
+    out = rows.join(F.broadcast(table), ["source_class", "lang_class", "__topic"])  # as small as the targets and rules
     draw = H(seed, "mix", F.col("__key")) / F.lit(float(TWO32))
     return (out.withColumn("kept", draw < F.col("probability"))
             .withColumnsRenamed({"__topic": "topic", "__tokens": "n_tokens"}).drop("__key"))

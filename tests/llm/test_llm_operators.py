@@ -204,6 +204,26 @@ def test_raking_of_odd_rows(spark, odd):
     assert raking.mix(odd.limit(0)).count() == 0
 
 
+def test_raking_keeps_unknown_languages(spark, caplog):
+    """Null and fifth languages keep their share of the tokens, also where a source has no other; misses are logged."""
+    langs, sources = ["en"] * 5 + ["de", "fr", "es", None, "it"], ["src0", "src2", "web", "web", "web"]
+    rows = [(i, "some words of prose here", langs[i // 5 % 10], sources[i % 5]) for i in range(4000)]
+    rows += [(4000 + i, "some words of prose here", None, "src1") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = raking.mix(docs).collect()
+    rest = [r for r in out if r.lang_class == "*"]
+    assert len(rest) == 1200 and all(r.probability > 0.01 for r in rest)
+    kept = [r for r in out if r.kept]
+    assert {rows[r.doc_id][2] for r in kept} == {None, "it", "en", "de", "fr", "es"}
+    assert abs(sum(r.lang_class == "*" for r in kept) / len(kept) - 1200 / 4400) < 0.04
+    assert abs(sum(r.source_class == "src1" for r in kept) / len(kept) - 0.08) < 0.03
+    assert not [m for m in caplog.messages if m.startswith(("lang", "source"))]
+    raking.mix(docs.where("source = 'src1' or lang = 'en'")).collect()
+    assert any(m.startswith("source") for m in caplog.messages)
+    unnamed = raking.mix(docs, targets={**raking.TARGETS, "topic": {"table": 1.0}}).collect()
+    assert {r.topic for r in unnamed} == {"prose"} and any(r.kept for r in unnamed)
+
+
 def test_revisits_resolve_to_the_latest_earlier_response(spark):
     schema = ("record_id long, url string, time long, status int, etag string, last_modified string, digest string, "
               "headers map<string,string>, extra int")
