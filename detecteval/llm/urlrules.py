@@ -6,8 +6,11 @@ fits are judged by the *path-template tree* of their host. Path segments become
 tokens (numbers, hexadecimal names, dates by their shape; others stay literal).
 Level by level, the literal children of a node turn into a wildcard where they
 are many and rare, and into one merged branch where their pages are distributed
-over (next token, label) as those of their siblings (chi-square test, each
-branch against all its siblings together, so the work is one row a branch). A
+over next tokens as those of their siblings, and their labelled pages over
+labels as their siblings' labelled ones (two chi-square tests, each branch
+against all its siblings together, so the work is one row a branch). A branch
+without labels has nothing to differ in by label, merges by its structure and
+takes the purity of what it is merged with. A
 template is rejected when its labelled purity, smoothed towards the share of
 all labelled pages, reaches ``reject``. Labels are the rules' verdicts.
 
@@ -67,30 +70,39 @@ CHI2_95 = [3.841, 5.991, 7.815, 9.488, 11.070, 12.592, 14.067, 15.507, 16.919, 1
            41.337, 42.557, 43.773]
 
 
-def _generalised(tree: DataFrame, level: int, many: int, rare: float) -> DataFrame:
-    """``tree`` (host, tokens, node, label, n) with the level's token, literal,
-    wildcard or merged, added to the node."""
-    rows = (tree.withColumn("token", F.get("tokens", F.lit(level)))
-            .withColumn("next", F.coalesce(F.get("tokens", F.lit(level + 1)), F.lit("<end>"))))
-    rows = rows.withColumn("literal", F.col("token").isNotNull() & ~F.col("token").rlike(r"^(<.*|\*\*|/)$"))
-    kind = F.when(F.col("next").rlike("^<"), F.col("next")).otherwise("<name>")
-    cells = checkpoint(rows.where("literal").groupBy("host", "node", "token", kind.alias("kind"),
-                                                     F.coalesce("label", F.lit("none")).alias("mark"))
-                       .agg(F.sum("n").alias("o")))
+def _tested(cells: DataFrame, over: str) -> DataFrame:
+    """(host, node, token, b, total, children, unlike): whether a branch's pages
+    are spread over the values of ``over`` unlike those of all its siblings."""
+    cells = cells.groupBy("host", "node", "token", over).agg(F.sum("o").alias("o"))
     branch = cells.groupBy("host", "node", "token").agg(F.sum("o").alias("b"))
     node = branch.groupBy("host", "node").agg(F.sum("b").alias("total"), F.count(F.lit(1)).alias("children"))
-    of_kind = cells.groupBy("host", "node", "kind", "mark").agg(F.sum("o").alias("k"))
+    of_kind = cells.groupBy("host", "node", over).agg(F.sum("o").alias("k"))
     kinds = of_kind.groupBy("host", "node").agg(F.count(F.lit(1)).alias("kinds"))
     # chi-square of a branch against the mix of all its siblings: sum o^2 / e - b over its own cells
-    test = (cells.join(of_kind, ["host", "node", "kind", "mark"]).join(branch, ["host", "node", "token"])
+    test = (cells.join(of_kind, ["host", "node", over]).join(branch, ["host", "node", "token"])
             .join(node, ["host", "node"]).join(kinds, ["host", "node"])
             .groupBy("host", "node", "token", "total", "children", "b", "kinds")
             .agg((F.sum(F.col("o") * F.col("o") * F.col("total") / (F.col("k") * F.col("b"))) - F.first("b")).alias("chi2")))
     free = F.least(F.greatest(F.col("kinds") - 1, F.lit(1)), F.lit(len(CHI2_95))).cast("int")
     point = F.element_at(F.array(*[F.lit(x) for x in CHI2_95]), free)
+    return test.select("host", "node", "token", "b", "total", "children", (F.col("chi2") > point).alias("unlike"))
+
+
+def _generalised(tree: DataFrame, level: int, many: int, rare: float) -> DataFrame:
+    """``tree`` (host, tokens, node, label, n) with the level's token, literal,
+    wildcard or merged, added to the node."""
+    rows = (tree.withColumn("token", F.get("tokens", F.lit(level)))
+            .withColumn("next", F.coalesce(F.get("tokens", F.lit(level + 1)), F.lit("<end>"))))
+    rows = rows.withColumn("literal", F.col("token").isNotNull() & ~F.col("token").rlike(r"^(<.*|\*\*|/)$"))
+    kind = F.when(F.col("next").rlike("^<"), F.col("next")).otherwise("<name>")
+    cells = checkpoint(rows.where("literal").groupBy("host", "node", "token", kind.alias("kind"), "label")
+                       .agg(F.sum("n").alias("o")))
+    build = _tested(cells, "kind").withColumnRenamed("unlike", "other_build")
+    marks = _tested(cells.where("label is not null"), "label").select("host", "node", "token", F.col("unlike").alias("other_label"))
+    alike = ~F.col("other_build") & ~F.coalesce("other_label", F.lit(False))
     chosen = (F.when((F.col("children") >= many) & (F.col("b") < rare * F.col("total")), "<*>")
-              .when((F.col("children") > 1) & (F.col("chi2") <= point), "<~>").otherwise(F.col("token")))
-    names = test.select("host", "node", "token", chosen.alias("name"))
+              .when((F.col("children") > 1) & alike, "<~>").otherwise(F.col("token")))
+    names = build.join(marks, ["host", "node", "token"], "left").select("host", "node", "token", chosen.alias("name"))
     return (rows.join(names, ["host", "node", "token"], "left")
             .withColumn("node", F.when(F.col("token").isNull(), F.col("node"))
                         .otherwise(F.concat_ws("/", "node", F.coalesce("name", "token"))))

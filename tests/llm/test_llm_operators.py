@@ -286,6 +286,20 @@ def test_templates_spread_labelled_purity(spark):
     assert tree[("bad",)] > 0.8 > 0.3 > tree[("good",)]
 
 
+def test_pages_without_a_rule_follow_their_siblings(spark):
+    """Unruled branches built like blocked ones are blocked; those like allowed ones, or built otherwise, are not."""
+    urls = [f"http://a.example.com/{part}/{i}" for part in ("de", "en") for i in range(60)]
+    urls += [f"http://b.example.org/{part}/{i}" for part in ("fr", "en") for i in range(60)]
+    urls += [f"http://a.example.com/team/{name}" for name in ("ann", "bo", "cy")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: r for r in urlrules.judge(pages).collect()}
+    unruled = {u: r.verdict for u, r in got.items() if r.rule is None}
+    assert len(unruled) == 123
+    for u, verdict in unruled.items():
+        assert verdict == ("block" if "a.example.com/en/" in u else "allow"), (u, got[u])
+    assert got["http://a.example.com/en/7"].template == got["http://a.example.com/de/7"].template == "/<~>/<number>"
+
+
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 24))
