@@ -11,8 +11,10 @@ labels as their siblings' labelled ones (two chi-square tests, each branch
 against all its siblings together, so the work is one row a branch). A branch
 without labels has nothing to differ in by label, merges by its structure and
 takes the purity of what it is merged with. A
-template is rejected when its labelled purity, smoothed towards the share of
-all labelled pages, reaches ``reject``. Labels are the rules' verdicts.
+template is rejected when it has labelled pages and both the blocked share of
+these and its purity, that share smoothed towards the one of all labelled pages,
+reach ``reject``; without any its purity is not evidence, and it is allowed.
+Labels are the rules' verdicts.
 
 The tree is built over the distinct (host, tokens, label) with their counts,
 not over pages. Depth: segments beyond ``depth`` are one token ``**``.
@@ -110,8 +112,9 @@ def _generalised(tree: DataFrame, level: int, many: int, rare: float) -> DataFra
 
 
 def template_tree(pages: DataFrame, depth: int = 3, many: int = 16, rare: float = 1 / 16, strength: float = 10.0) -> DataFrame:
-    """(host, tokens, template, purity) of every (host, tokens) of ``pages``
-    (host, tokens, label), purity being the smoothed share of ``block``."""
+    """(host, tokens, template, purity, own) of every (host, tokens) of ``pages``
+    (host, tokens, label), purity being the smoothed share of ``block`` and own
+    the plain one, null without labelled pages."""
     tree = checkpoint(pages.groupBy("host", "tokens", "label").agg(F.count(F.lit(1)).alias("n"))
                       .withColumn("node", F.lit("")))
     for level in range(depth):
@@ -124,8 +127,9 @@ def template_tree(pages: DataFrame, depth: int = 3, many: int = 16, rare: float
     bad, good = whole[0] or 0, whole[1] or 0
     prior = bad / (bad + good) if bad + good else 0.0
     purity = (F.col("bad") + strength * prior) / (F.col("bad") + F.col("good") + strength)
+    own = F.when(F.col("bad") + F.col("good") > 0, F.col("bad") / (F.col("bad") + F.col("good")))
     return (tree.select("host", "tokens", "node").distinct()
-            .join(counts.select("host", "node", purity.alias("purity")), ["host", "node"])
+            .join(counts.select("host", "node", purity.alias("purity"), own.alias("own")), ["host", "node"])
             .withColumnRenamed("node", "template"))
 
 
@@ -138,6 +142,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id",
     rows = rows.withColumns({"rule": rule, "ruled": verdict, "tokens": path_tokens(F.col("path"), depth)})
     tree = checkpoint(template_tree(rows.select("host", "tokens", F.col("ruled").alias("label")), depth=depth, **options))
     out = rows.join(tree, ["host", "tokens"])
+    guilty = (F.col("own") >= reject) & (F.col("purity") >= reject)  # null without labelled pages
     return out.select(key, "host", "path", "rule",
-                      F.coalesce("ruled", F.when(F.col("purity") >= reject, "block").otherwise("allow")).alias("verdict"),
+                      F.coalesce("ruled", F.when(guilty, "block").otherwise("allow")).alias("verdict"),
                       "template", F.round("purity", 9).alias("purity"))

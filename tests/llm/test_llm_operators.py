@@ -300,6 +300,22 @@ def test_pages_without_a_rule_follow_their_siblings(spark):
     assert got["http://a.example.com/en/7"].template == got["http://a.example.com/de/7"].template == "/<~>/<number>"
 
 
+def test_blocked_hosts_do_not_condemn_others(spark):
+    """Where nearly all labelled pages are blocked, templates without blocked pages of their own are still allowed."""
+    urls = [f"http://spam.net/x/{i}" for i in range(900)] + [f"http://clean.edu/a/{i}" for i in range(30)]
+    urls += ["http://q.org/fr/index", "http://q.org/fr/index?page=2"]
+    rules = [*urlrules.RULES[:1], ("allow", "q.org", "/fr/index")]
+    urls += [f"http://q.org/fr/{i}" for i in range(20)] + [f"http://a.example.com/en/{i}" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: r for r in urlrules.judge(pages, rules).collect()}
+    assert all(r.verdict == ("block" if r.host == "spam.net" else "allow") for r in got.values())
+    assert got["http://clean.edu/a/3"].rule is None and got["http://clean.edu/a/3"].purity > 0.8
+    # one allowed page is evidence for its template, however large the prior
+    tree = urlrules.template_tree(spark.createDataFrame(
+        [("n", ["x"], "block")] * 900 + [("c", ["y"], "allow"), ("c", ["y"], None)], "host string, tokens array<string>, label string"))
+    assert {r.host: r.own for r in tree.collect()} == {"n": 1.0, "c": 0.0}
+
+
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 24))
