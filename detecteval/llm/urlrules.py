@@ -17,7 +17,10 @@ reach ``reject``; without any its purity is not evidence, and it is allowed.
 Labels are the rules' verdicts.
 
 The tree is built over the distinct (host, tokens, label) with their counts,
-not over pages. Depth: segments beyond ``depth`` are one token ``**``.
+not over pages. It goes as deep as the paths do: a round takes every node over
+the tokens that its rows share (one path, or prefixes of it: nothing to choose)
+to its next branching and settles that level; rows that end leave the work. So
+there are as many rounds as a path has branchings, however many segments.
 
 Defined cases: null, or no ``://``: host, path and template are empty. Without
 any labelled page nothing is rejected.
@@ -59,11 +62,10 @@ def _shape(s: Column) -> Column:
             .when(s.rlike(r"^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]"), "<hex>").otherwise(s))
 
 
-def path_tokens(path: Column, depth: int) -> Column:
+def path_tokens(path: Column) -> Column:
     """Tokens of the path's segments; a path without any has the token ``/``."""
     parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _shape)
-    cut = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
-    return F.when(F.size(parts) == 0, F.array(F.lit("/"))).otherwise(cut)
+    return F.when(F.size(parts) == 0, F.array(F.lit("/"))).otherwise(parts)
 
 
 #: 95 % points of the chi-square distribution for 1 to 30 degrees of freedom.
@@ -90,12 +92,30 @@ def _tested(cells: DataFrame, over: str) -> DataFrame:
     return test.select("host", "node", "token", "b", "total", "children", (F.col("chi2") > point).alias("unlike"))
 
 
-def _generalised(tree: DataFrame, level: int, many: int, rare: float) -> DataFrame:
-    """``tree`` (host, tokens, node, label, n) with the level's token, literal,
-    wildcard or merged, added to the node."""
-    rows = (tree.withColumn("token", F.get("tokens", F.lit(level)))
-            .withColumn("next", F.coalesce(F.get("tokens", F.lit(level + 1)), F.lit("<end>"))))
-    rows = rows.withColumn("literal", F.col("token").isNotNull() & ~F.col("token").rlike(r"^(<.*|\*\*|/)$"))
+def _tail(tokens, start) -> Column:
+    return F.slice(tokens, start + 1, F.greatest(F.size(tokens) - start, F.lit(0)))
+
+
+def _to_branching(tree: DataFrame) -> DataFrame:
+    """``tree`` with the tokens up to each node's first branching moved from
+    ``rest`` to the node: those in which all rows agree with the longest one."""
+    longest = tree.groupBy("host", "node").agg(F.max(F.struct(F.size("rest").alias("n"), "rest"))["rest"].alias("longest"))
+    same = F.zip_with("rest", F.slice("longest", F.lit(1), F.size("rest")), lambda a, b: a == b)
+    apart = F.array_position(same, F.lit(False))  # 1-based, 0 where the row is a prefix of the longest
+    shared = (tree.join(longest, ["host", "node"]).groupBy("host", "node")
+              .agg(F.min(F.when(apart > 0, apart - 1)).alias("shared")))
+    take = F.least(F.size("rest"), F.coalesce("shared", F.size("rest"))).cast("int")
+    return (tree.join(shared, ["host", "node"]).withColumn("take", take)
+            .select("host", "tokens", _tail(F.col("rest"), F.col("take")).alias("rest"),
+                    F.concat_ws("/", "node", F.slice("rest", F.lit(1), F.col("take"))).alias("node"), "label", "n"))
+
+
+def _generalised(tree: DataFrame, many: int, rare: float) -> DataFrame:
+    """``tree`` (host, tokens, rest, node, label, n) with the first token of
+    ``rest``, literal, wildcard or merged, moved to the node."""
+    rows = (tree.withColumn("token", F.get("rest", F.lit(0)))
+            .withColumn("next", F.coalesce(F.get("rest", F.lit(1)), F.lit("<end>"))))
+    rows = rows.withColumn("literal", ~F.col("token").rlike(r"^(<.*|/)$"))
     kind = F.when(F.col("next").rlike("^<"), F.col("next")).otherwise("<name>")
     cells = checkpoint(rows.where("literal").groupBy("host", "node", "token", kind.alias("kind"), "label")
                        .agg(F.sum("n").alias("o")))
@@ -106,21 +126,26 @@ def _generalised(tree: DataFrame, level: int, many: int, rare: float) -> DataFra
               .when((F.col("children") > 1) & alike, "<~>").otherwise(F.col("token")))
     names = build.join(marks, ["host", "node", "token"], "left").select("host", "node", "token", chosen.alias("name"))
     return (rows.join(names, ["host", "node", "token"], "left")
-            .withColumn("node", F.when(F.col("token").isNull(), F.col("node"))
-                        .otherwise(F.concat_ws("/", "node", F.coalesce("name", "token"))))
-            .select("host", "tokens", "node", "label", "n"))
+            .select("host", "tokens", _tail(F.col("rest"), F.lit(1)).alias("rest"),
+                    F.concat_ws("/", "node", F.coalesce("name", "token")).alias("node"), "label", "n"))
 
 
-def template_tree(pages: DataFrame, depth: int = 3, many: int = 16, rare: float = 1 / 16, strength: float = 10.0) -> DataFrame:
+def template_tree(pages: DataFrame, many: int = 16, rare: float = 1 / 16, strength: float = 10.0) -> DataFrame:
     """(host, tokens, template, purity, own) of every (host, tokens) of ``pages``
     (host, tokens, label), purity being the smoothed share of ``block`` and own
     the plain one, null without labelled pages."""
+    ended = F.size("rest") == 0
+    columns = ["host", "tokens", "node", "label", "n"]
     tree = checkpoint(pages.groupBy("host", "tokens", "label").agg(F.count(F.lit(1)).alias("n"))
-                      .withColumn("node", F.lit("")))
-    for level in range(depth):
-        tree = checkpoint(_generalised(tree, level, many, rare))
-    # what is below the depth, and segments of fewer levels, are in the node already or are the tail
-    tree = tree.withColumn("node", F.when(F.size("tokens") > depth, F.concat_ws("/", "node", F.lit("**"))).otherwise(F.col("node")))
+                      .select("host", "tokens", F.col("tokens").alias("rest"), F.lit("").alias("node"), "label", "n"))
+    done = tree.where(ended).select(columns)
+    while not (tree := tree.where(~ended)).isEmpty():
+        tree = checkpoint(_to_branching(tree))
+        done = done.unionByName(tree.where(ended).select(columns))
+        if not (tree := tree.where(~ended)).isEmpty():
+            tree = checkpoint(_generalised(tree, many, rare))
+            done = done.unionByName(tree.where(ended).select(columns))
+    tree = checkpoint(done)
     counts = tree.groupBy("host", "node").agg(F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0)).alias("bad"),
                                               F.sum(F.when(F.col("label") == "allow", F.col("n")).otherwise(0)).alias("good"))
     whole = counts.agg(F.sum("bad"), F.sum("good")).first()
@@ -133,14 +158,14 @@ def template_tree(pages: DataFrame, depth: int = 3, many: int = 16, rare: float
             .withColumnRenamed("node", "template"))
 
 
-def judge(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id", depth: int = 3,
-          reject: float = 0.8, **options) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id", reject: float = 0.8,
+          **options) -> DataFrame:
     """Every row's key, host, path, rule, verdict, template and purity."""
     host, path = host_and_path(pages[url])
     rows = pages.select(pages[key].alias(key), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict, "tokens": path_tokens(F.col("path"), depth)})
-    tree = checkpoint(template_tree(rows.select("host", "tokens", F.col("ruled").alias("label")), depth=depth, **options))
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "tokens": path_tokens(F.col("path"))})
+    tree = checkpoint(template_tree(rows.select("host", "tokens", F.col("ruled").alias("label")), **options))
     out = rows.join(tree, ["host", "tokens"])
     guilty = (F.col("own") >= reject) & (F.col("purity") >= reject)  # null without labelled pages
     return out.select(key, "host", "path", "rule",

@@ -316,6 +316,24 @@ def test_blocked_hosts_do_not_condemn_others(spark):
     assert {r.host: r.own for r in tree.collect()} == {"n": 1.0, "c": 0.0}
 
 
+def test_templates_reach_the_end_of_deep_paths(spark):
+    """Branches, dates and rules below the third segment are judged apart; nested paths end in one round."""
+    urls = [f"http://d.io/a/b/c/{part}/{i}" for part in ("bad", "good") for i in range(40)]
+    urls += [f"http://d.io/a/b/c/calm{j}/x/y/{i}" for j in range(2) for i in range(30)]
+    urls += [f"http://n.io/2024/05/{i % 28 + 1}/{a}{b}" for i, (a, b) in enumerate((a, b) for a in "klmnop" for b in "uvwxyz")]
+    urls += ["http://t.io" + "/z" * n for n in range(1, 120)]
+    rules = [("block", "d.io", "/a/b/c/bad/"), ("allow", "d.io", "/a/b/c/good/")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: r for r in urlrules.judge(pages, rules).collect()}
+    assert len(got) == len(urls)
+    bad, good = got["http://d.io/a/b/c/bad/1"], got["http://d.io/a/b/c/good/1"]
+    assert (bad.template, good.template) == ("/a/b/c/bad/<number>", "/a/b/c/good/<number>")
+    assert bad.purity > 0.8 and good.purity < 0.2
+    assert all(r.verdict == "allow" for u, r in got.items() if "calm" in u)
+    assert {r.template for u, r in got.items() if "n.io" in u} == {"/<number>/<number>/<number>/<*>"}
+    assert all(got["http://t.io" + "/z" * n].template == "/z" * n for n in (1, 3, 119))
+
+
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 24))
