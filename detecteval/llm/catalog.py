@@ -41,7 +41,7 @@ def op4(spark, sf_dir):
 
 
 def op5(spark, sf_dir):
-    out = revisit.resolve(revisit.records_of_pages(table(spark, sf_dir, "pages")).where("url is not null"))
+    out = revisit.resolve(revisit.records_of_pages(table(spark, sf_dir, "pages")))
     return out.withColumn("headers", revisit.flat(F.col("headers")))
 
 

@@ -56,6 +56,9 @@ def resolve(records: DataFrame, buckets: int = 64) -> DataFrame:
     response = F.when((F.col("status") == 200) & F.col("time").isNotNull() & F.col("canonical_url").isNotNull(),
                       F.struct("record_id", "etag", "last_modified", "digest", "headers"))
     rows = rows.withColumn("bucket", F.coalesce(at, F.lit(0))).withColumn("response", response)
+    nothing = F.when(F.lit(False), F.col("response"))
+    nowhere = rows.where("canonical_url is null and status = 304")
+    rows = rows.where("canonical_url is not null")
     inside = rows.withColumn("near", F.expr(
         "last(response, true) over (partition by canonical_url, bucket order by time, record_id "
         "rows between unbounded preceding and 1 preceding)"))
@@ -66,6 +69,7 @@ def resolve(records: DataFrame, buckets: int = 64) -> DataFrame:
         .alias("far"))
     asked = inside.where((F.col("status") == 304)).drop("response")
     found = (asked.join(carried, ["canonical_url", "bucket"], "left")
+             .unionByName(nowhere.withColumns({"near": nothing, "far": nothing}).drop("response"))
              .withColumn("hit", F.when(F.col("time").isNotNull(), F.coalesce("near", "far"))))
     hit = F.col("hit")
     same = (F.when(F.col("etag").isNotNull(), F.coalesce(_bare_tag(F.col("etag")) == _bare_tag(hit["etag"]), F.lit(False)))

@@ -255,6 +255,15 @@ def test_revisits_resolve_to_the_latest_earlier_response(spark):
             assert got[i].headers == {**(hit[7] or {}), **allowed}
 
 
+def test_revisits_of_null_urls_are_in_the_query(spark, tmp_dir):
+    pages = [(i, None if i % 3 == 0 else f"http://x.example/{i % 5}", f"text {i % 4}") for i in range(60)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_dir}/pages.parquet")
+    got = catalog.op5(spark, tmp_dir).collect()
+    assert sorted(r.record_id for r in got) == [2 * i + 1 for i in range(60)]
+    lost = [r for r in got if r.canonical_url is None]
+    assert len(lost) == 20 and {(r.verdict, r.response_id, r.headers) for r in lost} == {("no_response", None, None)}
+
+
 def test_url_rules_and_templates(spark):
     urls = ["http://a.example.net/en/1", "https://A.EXAMPLE.NET/EN/1?x=/en/", "http://net/", "http://xnet/a", "http://b.net",
             "http://example.com/de/x#y", "http://my-example.com/de/", "x://q.org/fr/a?b", None, "no scheme", "://", "a://b://c/d",
