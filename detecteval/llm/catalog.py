@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, cws, language, neardup, quality, raking, revisit, toxicity, urlrules
+from . import (ann, bpe, cws, decontam, language, neardup, phrases, quality, raking, revisit, toxicity, urlrules,
+               whiten)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +75,18 @@ def op10(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12(spark, sf_dir):
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13(spark, sf_dir):
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_learned_partitions": (op1, None),
     "op2_weighted_sampling": (op2, None),
@@ -85,4 +98,7 @@ QUERIES = {
     "op8_hamming_join": (op8, None),
     "op9_path_templates": (op9, None),
     "op10_byte_bpe": (op10, None),
+    "op11_suffix_phrases": (op11, phrases.SQL),
+    "op12_prefix_decontamination": (op12, decontam.SQL),
+    "op13_refined_whitening": (op13, None),
 }
