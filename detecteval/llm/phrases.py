@@ -6,15 +6,18 @@ most; a phrase occurs once for every suffix that it begins.
 
 1. Each task reads texts and hands over its distinct suffixes with their numbers
    (a combiner, so a hot phrase is one row a batch). They are *routed by their
-   leading words*: ranges of (lang, suffix), so that a hot leading word spreads
-   over as many ranges as its suffixes need, and equal suffixes meet.
-2. In each range a *multikey three-way quicksort* works on pointers to the
-   suffixes: all open partitions are split at once by a pivot word of the current
-   depth into less, equal and greater; an equal partition is a phrase, the sum of
-   its numbers its count, and goes on at the next depth, down to ``most`` words.
-   A partition whose numbers sum to less than ``least`` is abandoned - but not
-   one whose words also lead the first or last suffix of the range, because the
-   rest of it may lie in the next range; those counts are added up afterwards.
+   leading words*: the ranges between suffixes taken from a sample of texts, one
+   range for each shuffle partition. The sample only balances the ranges. A hot
+   leading word spreads over as many ranges as its suffixes need, and equal
+   suffixes meet.
+2. A task takes its range in order, in chunks of bounded size. In each a *multikey
+   three-way quicksort* works on pointers to the suffixes: all open partitions are
+   split at once by a pivot word of the current depth into less, equal and greater;
+   an equal partition is a phrase, the sum of its numbers its count, and goes on at
+   the next depth, down to ``most`` words. A partition whose numbers sum to less
+   than ``least`` is abandoned - but not one whose words also lead the first or last
+   suffix of the chunk, because the rest of it may lie in the next one; those counts
+   are added up afterwards.
 3. Cuts, scores and the test for longer phrases are joins of the frequent phrases.
 
 Defined cases: null text counts as empty; a null lang is ``und`` (and one with a
@@ -31,11 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .arrays import lower_ascii, map_batches, ragged, split_words, text_pieces
+from .arrays import lower_ascii, map_batches, ragged, text_pieces
 
 MOST, LEAST, TOP, HELD_BY = 3, 10, 2000, 50
-PIECE_BYTES = 12 << 20
-RANGE_CHARS = 6 << 20
+PIECE_BYTES = 4 << 20
+CHUNK_ROWS = 1 << 19
+SAMPLE_CHARS, SAMPLED_A_RANGE = 16 << 20, 32
 
 _ENDING = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 _CUT = np.zeros(256, bool)
@@ -46,14 +50,28 @@ _GAP[[0x20, 0x09]] = True
 
 # -- suffixes of a piece of texts -----------------------------------------------
 
-def _word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Number of each word in byte order, from 1, and the words themselves."""
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word; texts end words."""
+    word = ~_GAP[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts, ends = word.copy(), word.copy()
+    starts[1:] &= ~word[:-1] | edge[1:-1]
+    ends[:-1] &= ~word[1:] | edge[1:-1]
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     lengths = ends - starts
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-    flat = data[ragged(starts, lengths)]
-    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-    coded = words.dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[ragged(starts, lengths)])])
+
+
+def _ranked(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of each value, from 1, in the byte order that they have with a space
+    after them (so rows of numbers sort as the joined suffixes), and the distinct values."""
+    coded = values.dictionary_encode()
+    order = pc.sort_indices(pc.binary_join_element_wise(coded.dictionary, *_ENDING)).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(1, len(order) + 1)
     return rank[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
@@ -62,57 +80,85 @@ def _word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 def _distinct(columns: list[np.ndarray], high: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows in order, and how often each occurs. Values are below ``high``."""
     width = max(1, int(high).bit_length())
-    if width * len(columns) <= 63:
-        packed = columns[0].astype(np.int64)
-        for c in columns[1:]:
-            packed = (packed << width) | c
+    packed, bits = columns[0].astype(np.int64), width
+    for c in columns[1:]:
+        if bits + width > 63:  # number the rows so far anew
+            packed = np.unique(packed, return_inverse=True)[1]
+            bits = len(packed).bit_length()
+        packed = (packed << width) | c
+        bits += width
+    order = np.argsort(packed, kind="stable") if width * len(columns) > 63 else None
+    if order is None:
         packed.sort()
-        new = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
-        times = np.diff(np.append(new, len(packed)))
-        packed = packed[new]
-        mask = (1 << width) - 1
-        return [(packed >> (width * (len(columns) - 1 - k))) & mask for k in range(len(columns))], times
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
-
-
-def suffixes(docs: DataFrame, text: str, lang: str, most: int) -> DataFrame:
-    """lang, suffix (words, each followed by a space), times."""
+    else:
+        packed = packed[order]
+    new = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+    times = np.diff(np.append(new, len(packed)))
+    if order is not None:
+        return [c[order[new]] for c in columns], times
+    packed, mask = packed[new], (1 << width) - 1
+    return [(packed >> (width * (len(columns) - 1 - k))) & mask for k in range(len(columns))], times
+
+
+def suffixes(docs: DataFrame, text: str, lang: str, most: int, borders: list[str] = ()) -> DataFrame:
+    """range, lang, suffix (words, each followed by a space), times. The range of a
+    suffix is the number of ``borders`` (suffixes in byte order) that are not after it."""
+    ends = [b.split(" ")[:-1] for b in borders]
+    flat = pa.array([w for words in ends for w in words], pa.large_string())
+    at = np.cumsum([0] + [len(w) for w in ends])
+    own_shape = [np.array([at[i] + k if k < len(w) else -1 for i, w in enumerate(ends)], np.int64) for k in range(most)]
+
     def run(batch):
         for p in text_pieces(batch.column(1), PIECE_BYTES):
             data = lower_ascii(p.data)
-            words = split_words(data, p.offsets, _GAP[data])
-            n = len(words.starts)
+            starts, stops = _spans(data, p.offsets)
+            n = len(starts)
             if not n:
                 continue
-            ids, names = _word_ids(data, words.starts, words.ends)
+            ids, names = _ranked(pa.concat_arrays([_strings(data, starts, stops), flat]))
+            ids, lead = ids[:n], ids[n:]
             # the number of a word's stretch: texts and cuts both end one
-            cuts = np.concatenate(([0], np.cumsum(_CUT[data])))[words.starts]
-            cuts += np.repeat(np.arange(p.hi - p.lo), np.diff(words.offsets))
+            inside = np.diff(np.searchsorted(starts, p.offsets))
+            cuts = np.cumsum(_CUT[data])[starts] + np.repeat(np.arange(p.hi - p.lo), inside)
             langs = batch.column(0).slice(p.lo, p.hi - p.lo).dictionary_encode()
-            own = np.repeat(langs.indices.to_numpy(), np.diff(words.offsets))
-            columns = [own, ids]
+            own = np.repeat(langs.indices.to_numpy(), inside)
+            columns = [ids]
             for k in range(1, most):
                 nxt = np.zeros(n, np.int64)
                 if k < n:
                     nxt[:n - k] = np.where(cuts[k:] == cuts[:n - k], ids[k:], 0)
                 columns.append(nxt)
-            (own, *ids), times = _distinct(columns, max(len(names), len(langs.dictionary)) + 1)
+            if len(lead):  # borders sort before the suffixes that equal them: their lang is 0
+                columns = [np.append(c, np.where(shape < 0, 0, lead[shape])) for c, shape in zip(columns, own_shape)]
+            (*ids, own), times = _distinct([*columns, np.append(own + 1, np.zeros(len(borders), np.int64))],
+                                           max(len(names), len(langs.dictionary)) + 1)
+            border = own == 0
+            where = np.cumsum(np.where(border, times, 0))[~border]
+            ids, own, times = [c[~border] for c in ids], own[~border], times[~border]
             for lo in range(0, len(own), 200_000):
                 part = [pa.array(c[lo:lo + 200_000] - 1) for c in ids]
                 spelled = [names.take(pc.if_else(pc.less(c, 0), None, c)) for c in part]
                 joined = pc.binary_join_element_wise(*spelled, *_ENDING, null_handling="skip")
                 yield pa.RecordBatch.from_arrays(
-                    [langs.dictionary.take(pa.array(own[lo:lo + 200_000])), joined.cast(pa.string()),
-                     pa.array(times[lo:lo + 200_000])], names=["lang", "suffix", "times"])
+                    [pa.array(where[lo:lo + 200_000].astype(np.int32)),
+                     langs.dictionary.take(pa.array(own[lo:lo + 200_000] - 1)), joined.cast(pa.string()),
+                     pa.array(times[lo:lo + 200_000])], names=["range", "lang", "suffix", "times"])
     return map_batches(docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text]), run,
-                       "lang string, suffix string, times long")
+                       "range int, lang string, suffix string, times long")
+
+
+def range_borders(docs: DataFrame, text: str, lang: str, most: int, ranges: int) -> list[str]:
+    """At most ``ranges`` - 1 suffixes, in the order of their words, that cut the
+    suffixes of a sample of texts (about ``SAMPLE_CHARS`` code points, drawn by hash)
+    evenly; about ``SAMPLED_A_RANGE`` suffixes for each range reach the driver."""
+    chars = docs.agg(F.sum(F.length(docs[text]))).first()[0] or 0
+    drawn = docs.where(F.pmod(F.xxhash64(docs[text]), F.lit(max(1, chars // SAMPLE_CHARS))) == 0)
+    rows = min(chars, SAMPLE_CHARS) // 6
+    some = F.pmod(F.xxhash64("suffix", F.lit(1)), F.lit(max(1, rows // (SAMPLED_A_RANGE * ranges)))) == 0
+    found = suffixes(drawn, text, lang, most).where(some).select("suffix").toArrow()["suffix"].to_pylist()
+    found.sort(key=str.encode)
+    picked = [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
+    return sorted(set(picked), key=str.encode)
 
 
 # -- multikey quicksort ------------------------------------------------------------
@@ -140,21 +186,21 @@ def _split(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndar
     return out, borders
 
 
-def multikey_quicksort(columns: list[np.ndarray], weights: np.ndarray, least: int, keep: list[tuple] = ()
+def multikey_quicksort(columns: list[np.ndarray], weights: np.ndarray, least: int, keep: list[list[int]] = ()
                        ) -> list[tuple[np.ndarray, np.ndarray]]:
     """Counts of the leading words of weighted suffixes.
 
-    ``columns[d]`` holds the key of word d of each suffix, -1 past its end. For each
-    depth: a member of every phrase found there, and the phrase's weight. Partitions
-    lighter than ``least`` are abandoned unless the leading keys ``keep`` (tuples of
-    keys, full depth) are in them."""
+    ``columns[0]`` is the lang of each suffix, ``columns[d]`` its word d, -1 past its
+    end. For each depth: a member of every partition found there (a lang; a phrase of
+    d words), and its weight. Partitions lighter than ``least`` are abandoned, but no
+    lang, and none whose words lead one of ``keep``."""
     depths = len(columns)
-    held = np.zeros(len(weights), np.int64)  # depth down to which a suffix shares its words with one of ``keep``
+    held = np.zeros(len(weights), np.int64)  # how many words a suffix shares with one of ``keep``
     for lead in keep:
         same = np.ones(len(weights), bool)
-        for d in range(depths):
-            same &= (columns[d] == lead[d]) & (columns[d] >= 0)
-            held = np.maximum(held, np.where(same, d + 1, 0))
+        for d in range(1, depths):
+            same &= (columns[d] == lead[d - 1]) & (columns[d] >= 0)
+            held = np.maximum(held, np.where(same, d, 0))
     rows = np.arange(len(weights))
     found = []
     starts, ends = (np.array([0]), np.array([len(rows)])) if len(rows) else (np.zeros(0, np.int64),) * 2
@@ -169,7 +215,7 @@ def multikey_quicksort(columns: list[np.ndarray], weights: np.ndarray, least: in
             starts = ends - sizes
             rows, borders = _split(keys, starts, ends, rows)
             total = np.concatenate(([0], np.cumsum(weights[rows])))
-            marked = np.concatenate(([0], np.cumsum(held[rows] > d)))
+            marked = np.concatenate(([0], np.cumsum(held[rows] >= d)))
             lo, hi = borders[:, :-1].ravel(), borders[:, 1:].ravel()
             kind = np.tile([0, 1, 2], len(borders))
             live = (hi > lo) & ((total[hi] - total[lo] >= least) | (marked[hi] > marked[lo]))
@@ -192,62 +238,58 @@ def multikey_quicksort(columns: list[np.ndarray], weights: np.ndarray, least: in
     return found
 
 
-def _count_range(most: int, least: int):
-    """The phrases of one range of suffixes, with what of them lies in it."""
+def _phrases_of(lang: pa.Array, suffix: pa.Array, weights: np.ndarray, most: int, least: int):
+    """The phrases of one chunk of sorted suffixes, with what of them lies in it."""
+    lang = lang.dictionary_encode()
+    own, names = lang.indices.to_numpy().astype(np.int64), lang.dictionary
+    lists = pc.split_pattern(suffix, " ")
+    length = np.diff(lists.offsets.to_numpy()) - 1  # the last one is empty
+    coded = lists.flatten().dictionary_encode()
+    flat, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    begin = np.concatenate(([0], np.cumsum(length + 1)))[:-1]
+    columns = [own] + [np.where(length > d, flat[np.minimum(begin + d, len(flat) - 1)], -1) for d in range(most)]
+    edges = [[int(c[i]) for c in columns[1:]] for i in (0, len(own) - 1)]
+    for d, (member, total) in enumerate(multikey_quicksort(columns, weights, least, edges)):
+        for lo in range(0, len(member), 100_000):
+            m = member[lo:lo + 100_000]
+            parts = [words.take(pa.array(columns[1 + j][m])) for j in range(d)]
+            phrase = pc.binary_join_element_wise(*parts, " ") if d else pa.array([""] * len(m))
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(own[m])), pa.array(np.full(len(m), d, np.int32)), phrase,
+                 pa.array(total[lo:lo + 100_000])], names=["lang", "size", "phrase", "times"])
+
+
+def _count_chunks(most: int, least: int, chunk_rows: int):
+    """Over the sorted suffixes of a range, chunk by chunk."""
+    def whole(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        lang, suffix, times = (table.column(c).combine_chunks() for c in ("lang", "suffix", "times"))
+        yield from _phrases_of(lang, suffix, times.to_numpy(), most, least)
+
     def run(batches):
-        lang, suffix, times = [], [], []
+        held, rows = [], 0
         for b in batches:
             if b.num_rows:
-                lang.append(b.column(0).dictionary_encode())
-                suffix.append(b.column(1))
-                times.append(b.column(2).to_numpy())
-        if not suffix:
-            return
-        langs = pa.chunked_array(lang).unify_dictionaries().combine_chunks()
-        langs = langs.chunk(0) if isinstance(langs, pa.ChunkedArray) else langs
-        own, names = langs.indices.to_numpy().astype(np.int64), langs.dictionary
-        suffix = pa.chunked_array(suffix)
-        weights = np.concatenate(times)
-        lists = pc.split_pattern(suffix, " ").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0)
-        length = np.diff(lists.offsets.to_numpy()) - 1  # the last one is empty
-        coded = lists.flatten().dictionary_encode()
-        flat, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        begin = np.concatenate(([0], np.cumsum(length + 1)))[:-1]
-        columns = [own] + [np.where(length > d, flat[np.minimum(begin + d, len(flat) - 1)], -1) for d in range(most)]
-        # the first and last suffix of the range, in the order of the routing
-        by_bytes = sorted(range(len(names)), key=lambda i: names[i].as_py().encode())
-        keep = []
-        for end, pick in ((by_bytes[0], pc.min), (by_bytes[-1], pc.max)):
-            at = np.flatnonzero(own == end)
-            edge = pick(suffix.take(pa.array(at)))
-            keep.append(int(at[np.flatnonzero(pc.equal(suffix.take(pa.array(at)), edge)
-                                              .to_numpy(zero_copy_only=False))[0]]))
-        leads = [tuple(int(c[i]) for c in columns) for i in keep]
-        found = multikey_quicksort(columns, weights, least, leads)
-        for d, (member, total) in enumerate(found):
-            if not d:  # the words of each lang: no partition of it is left out
-                total = np.zeros(len(names), np.int64)
-                np.add.at(total, own, weights)
-                member = np.array([int(np.flatnonzero(own == k)[0]) for k in range(len(names))])
-            for lo in range(0, len(member), 100_000):
-                m = member[lo:lo + 100_000]
-                parts = [words.take(pa.array(columns[1 + j][m])) for j in range(d)]
-                phrase = pc.binary_join_element_wise(*parts, " ") if d else pa.array([""] * len(m))
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(own[m])), pa.array(np.full(len(m), d, np.int32)), phrase,
-                     pa.array(total[lo:lo + 100_000])], names=["lang", "size", "phrase", "times"])
+                held.append(b.select(["lang", "suffix", "times"]))
+                rows += b.num_rows
+            if rows >= chunk_rows:
+                yield from whole(held)
+                held, rows = [], 0
+        if held:
+            yield from whole(held)
     return run
 
 
-def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST, least: int = LEAST) -> DataFrame:
+def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST, least: int = LEAST,
+             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """lang, size, phrase, times: all phrases of 1 to ``most`` words that occur
     ``least`` times; size 0 (phrase "") has the number of words of each lang."""
-    chars = docs.agg(F.sum(F.length(docs[text]))).first()[0] or 0
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(chars) // RANGE_CHARS))
-    routed = suffixes(docs, text, lang, most).repartitionByRange(ranges, "lang", "suffix")
-    parts = routed.mapInArrow(_count_range(most, least), "lang string, size int, phrase string, times long")
+    docs = docs.select(docs[text].alias("text"), docs[lang].alias("lang"))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    borders = range_borders(docs, "text", "lang", most, ranges)
+    routed = (suffixes(docs, "text", "lang", most, borders).repartitionById(ranges, "range")
+              .sortWithinPartitions("suffix", "lang"))
+    parts = routed.mapInArrow(_count_chunks(most, least, chunk_rows), "lang string, size int, phrase string, times long")
     return (parts.groupBy("lang", "size", "phrase").agg(F.sum("times").alias("times"))
             .where((F.col("size") == 0) | (F.col("times") >= least)))
 
