@@ -38,7 +38,7 @@ from .arrays import lower_ascii, map_batches, ragged, text_pieces
 
 MOST, LEAST, TOP, HELD_BY = 3, 10, 2000, 50
 PIECE_BYTES = 4 << 20
-CHUNK_ROWS = 1 << 19
+CHUNK_ROWS = 1 << 18
 SAMPLE_CHARS, SAMPLED_A_RANGE = 16 << 20, 32
 
 _ENDING = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())

@@ -76,6 +76,7 @@ def eigenvectors(a: np.ndarray, rounds: int = 30, kind=np.longdouble) -> tuple[n
     for _ in range(rounds):
         r = eye - x.T @ x
         s = x.T @ (a @ x)
+        s = (s + s.T) / 2  # else a small gap turns rounding into lost orthogonality
         values = np.diagonal(s) / (1 - np.diagonal(r))
         off = s - np.diag(np.diagonal(s))
         error = 2 * (np.sqrt((off * off).sum()) + norm * np.sqrt((r * r).sum()))
@@ -95,7 +96,8 @@ def eigenvectors(a: np.ndarray, rounds: int = 30, kind=np.longdouble) -> tuple[n
                 x[:, at] = x[:, at] @ np.linalg.eigh(part)[1].astype(kind)
         if np.abs(step).max() < small:
             break
-    x = x + x @ (eye - x.T @ x) / 2
+    for _ in range(3):
+        x = x + x @ (eye - x.T @ x) / 2
     values = np.einsum("ij,ij->j", x, a @ x)
     order = np.argsort(-values, kind="stable")
     x, values = x[:, order], values[order]
