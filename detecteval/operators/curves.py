@@ -205,3 +205,26 @@ def compute_metrics(pt: DataFrame, keys: Sequence[str], threshold: float = 0.5,
     m = metrics_from_confusion(confusion_at(agg, thr, keys, score))
     cur = pr_curve(pt, keys, score, label, n_buckets, agg=agg)
     return m.join(curve_summary(cur, keys), keys, "left")
+
+
+def metrics_at(pt: DataFrame, thresholds: DataFrame, keys: Sequence[str], score: str = "score",
+               label: str = "label") -> DataFrame:
+    """Metric rows at each row of ``thresholds`` (``keys``, threshold and extra
+    columns such as a kind), with AP and AUC of the key (A1-A4)."""
+    agg = materialised_score_table(pt, keys, score, label)
+    m = metrics_from_confusion(confusion_at(agg, thresholds, keys, score))
+    return m.join(curve_summary(pr_curve(pt, keys, score, label, agg=agg), keys), list(keys), "left")
+
+
+def protocol_metrics(pt: DataFrame, keys: Sequence[str], test: DataFrame | None = None) -> DataFrame:
+    """Test metrics at 0.5 and at the threshold of largest F1 on the validation side
+    (0.5 without one). ``pt`` has a ``side``; ``test`` replaces its test rows."""
+    keys = list(keys)
+    test = pt.where("side = 'test'") if test is None else test
+    best = threshold_max_f1(pr_curve(pt.where("side = 'val'"), keys), keys, name="_best")
+    kinds = (test.select(*keys).distinct().join(best, keys, "left")
+             .withColumn("_t", F.explode(F.array(
+                 F.struct(F.lit("fixed_05").alias("thr_kind"), F.lit(0.5).alias("threshold")),
+                 F.struct(F.lit("calibrated").alias("thr_kind"), F.coalesce("_best", F.lit(0.5)).alias("threshold")))))
+             .select(*keys, "_t.thr_kind", "_t.threshold"))
+    return metrics_at(test, checkpoint(kinds), keys)

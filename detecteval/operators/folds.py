@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import H, TWO32
-from .sampling import stratified_take
+from .sampling import stratified_take, take_k_by_hash
 
 RANK_BUCKETS = 4096
 
@@ -160,6 +160,45 @@ def validation_by_fraction(df: DataFrame, frac: float = 0.15, seed=0, group_col:
     return df.join(groups, group_col, "left_anti"), (val if n and 0 < pos < n else df)
 
 
+def source_groups(df: DataFrame, folds: DataFrame, group_col: str = "project") -> DataFrame:
+    """``(seed, k, group, n, n_pos)``: the groups outside fold k, for every fold k of
+    the seed. The fold numbers are a list of n_splits, exploded beside each group."""
+    ks = sorted(r[0] for r in folds.select("fold").distinct().collect())
+    return (folds.join(group_sizes(df, group_col), group_col)
+            .withColumn("k", F.explode(F.array(*[F.lit(int(x)) for x in ks])))
+            .where("k <> fold").select("seed", "k", group_col, "n", "n_pos"))
+
+
+def chosen_groups(src: DataFrame, size, salt: str, group_col: str = "project") -> DataFrame:
+    """The first ``size`` (a Column over ``_n``, the number of groups) groups of every
+    (seed, k) by hash; ranks come from bucket counts, so no task sees all groups."""
+    quota = (src.groupBy("seed", "k").agg(F.count(F.lit(1)).alias("_n"))
+             .select("seed", "k", size.cast("long").alias("_take")))
+    hashed = src.withColumn("_h", H(F.col("seed") + F.col("k"), salt, F.col(group_col)))
+    return take_k_by_hash(hashed, ["seed", "k"], quota, id_col=group_col, k_col="_take").drop("_h")
+
+
+def cross_group_sides(df: DataFrame, folds: DataFrame, frac: float = 0.15, group_col: str = "project",
+                      id_col: str = "row_id") -> DataFrame:
+    """``(seed, fold, row_id, side)`` of leave-groups-out runs with J6 validation, all
+    (seed, fold) in one job: the fold's rows test, ``round(frac * groups)`` of the other
+    groups (half-even, at least 1) validate, the rest train. Where the validation
+    groups hold one class only, all other rows of that (seed, fold) validate too."""
+    src = source_groups(df, folds, group_col)
+    take = F.greatest(F.bround(F.col("_n") * F.lit(frac), 0), F.lit(1))
+    val = chosen_groups(src, take, "val_frac", group_col)
+    short = (val.groupBy("seed", "k").agg(F.sum("n_pos").alias("_p"), F.sum("n").alias("_n"))
+             .where("_p = 0 or _p = _n").select("seed", "k", F.lit(True).alias("_all")))
+    marked = (src.select("seed", "k", group_col)
+              .join(val.select("seed", "k", group_col, F.lit(True).alias("_val")), ["seed", "k", group_col], "left")
+              .join(short, ["seed", "k"], "left"))
+    sides = F.when(F.col("_val"), F.array(F.lit("val"))).when(
+        F.col("_all"), F.array(F.lit("train"), F.lit("val"))).otherwise(F.array(F.lit("train")))
+    rows = df.select(id_col, group_col)
+    return (rows.join(marked, group_col).select("seed", F.col("k").alias("fold"), id_col, F.explode(sides).alias("side"))
+            .unionByName(rows.join(folds, group_col).select("seed", "fold", id_col, F.lit("test").alias("side"))))
+
+
 def validation_split(df: DataFrame, folds: DataFrame, group_col: str = "project",
                      min_pos: int = 3, fallback_test_size: float = 0.2) -> DataFrame:
     """Validation rows of every (seed, fold).
@@ -172,19 +211,8 @@ def validation_split(df: DataFrame, folds: DataFrame, group_col: str = "project"
     Returns the validation rows with every input column plus ``seed, fold``.
     """
     cols = df.columns
-    sizes = group_sizes(df, group_col)
-    fg = folds.join(sizes, group_col)
-    k_all = fg.select("fold").distinct().withColumnRenamed("fold", "k")
-    # Source groups of every (seed, k): group-level table, bounded by
-    # groups x seeds x folds.
-    src = (fg.join(F.broadcast(k_all), F.col("fold") != F.col("k"))
-           .select("seed", "k", group_col, "n", "n_pos"))
-    w = Window.partitionBy("seed", "k").orderBy(
-        H(F.col("seed") + F.col("k"), "val", F.col(group_col)), F.col(group_col))
-    cnt = F.count(F.lit(1)).over(Window.partitionBy("seed", "k"))
-    src = src.withColumn("_rk", F.row_number().over(w)).withColumn("_m", F.greatest(
-        F.floor(cnt / 5), F.lit(1)))
-    vg = src.filter(F.col("_rk") <= F.col("_m"))
+    src = source_groups(df, folds, group_col)
+    vg = chosen_groups(src, F.greatest(F.floor(F.col("_n") / 5), F.lit(1)), "val", group_col)
     chk = vg.groupBy("seed", "k").agg(F.sum("n_pos").alias("_p"), F.sum("n").alias("_n"))
     chk = chk.withColumn("ok", (F.col("_p") >= min_pos) & (F.col("_p") < F.col("_n")))
     good = vg.join(chk.filter("ok").select("seed", "k"), ["seed", "k"])

@@ -5,24 +5,26 @@ exact formula of the reference (top ``max_features`` terms by corpus count,
 sublinear tf ``1 + ln tf``, smooth idf ``ln((1+n)/(1+df)) + 1``, L2 norm);
 Spark's ``IDF`` omits the ``+1`` and is not used. The vocabulary is fitted
 on training rows only and is bounded by ``max_features`` (broadcast with a
-proven bound). Vectors for Spark ML are assembled per row from arrays that
-the JVM already built.
+proven bound). Vectors for Spark ML come from arrays that the JVM built, by
+way of a written table (:func:`sparse_vectors`).
 """
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Optional, Sequence
 
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import word_tokens
 from .sampling import hard_balance
-from ..session import checkpoint
+from ..session import checkpoint, ensure_checkpoint_dir
 
 
 @dataclass
@@ -47,9 +49,8 @@ def fit_tfidf(train: DataFrame, max_features: int = 10_000, text_col: str = "fun
     w = Window.orderBy(F.col("term"))  # over <= max_features rows
     vocab = top.select("term", (F.row_number().over(w) - 1).alias("idx"),
                        (F.ln(F.lit(float(1 + n_docs)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    vocab = vocab.cache()
-    size = vocab.count()
-    return TfidfModel(vocab, size)
+    vocab = checkpoint(vocab)
+    return TfidfModel(vocab, vocab.count())
 
 
 def transform_tfidf(model: TfidfModel, df: DataFrame, text_col: str = "func",
@@ -63,29 +64,37 @@ def transform_tfidf(model: TfidfModel, df: DataFrame, text_col: str = "func",
                                        (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
-def to_vectors(long: DataFrame, size: int, id_col: str = "row_id") -> DataFrame:
-    """``(row_id, features)`` sparse vectors; rows without terms get none."""
-    g = long.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_e"))
+#: The struct that stands for a sparse vector in storage.
+_SPARSE = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
-    @F.udf(VectorUDT())
-    def vec(e):
-        return SparseVector(size, [x[0] for x in e], [x[1] for x in e])
 
-    return g.select(id_col, vec("_e").alias("features"))
+def sparse_vectors(df: DataFrame, size: int, name: str = "features", idx: str = "idx", val: str = "val") -> DataFrame:
+    """``df`` with its arrays ``idx`` (rising) and ``val`` as one Spark ML vector.
+
+    A vector is stored as a struct, so the arrays are written in that shape to the
+    shared folder of ``spark.checkpoint.dir`` and read back under the vector's type:
+    no Python function touches a row, and the lineage is cut."""
+    spark = df.sparkSession
+    place = f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    flat = df.withColumn(name, F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(int(size)).alias("size"), F.col(idx).alias("indices"),
+        F.col(val).alias("values")).cast(_SPARSE)).drop(idx, val)
+    flat.write.parquet(place)
+    fields = [StructField(f.name, VectorUDT(), True) if f.name == name else f for f in flat.schema.fields]
+    return spark.read.schema(StructType(fields)).parquet(place)
 
 
 def features(model: TfidfModel, df: DataFrame, label: str = "label", id_col: str = "row_id",
              text_col: str = "func") -> DataFrame:
-    v = to_vectors(transform_tfidf(model, df, text_col, id_col), model.size, id_col)
+    """Rows without the text, with the ``features`` vector (empty for rows without a known term)."""
+    long = transform_tfidf(model, df, text_col, id_col)
+    arrays = (long.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_e"))
+              .select(id_col, F.col("_e.idx").alias("idx"), F.col("_e.weight").alias("val")))
     base = df.drop(text_col) if text_col in df.columns else df
-    out = base.join(v, id_col, "left")
-    size = int(model.size)  # capture a plain int, not the model
-
-    @F.udf(VectorUDT())
-    def empty(_):
-        return SparseVector(size, [], [])
-
-    return out.withColumn("features", F.coalesce(F.col("features"), empty(F.col(id_col))))
+    out = base.join(arrays, id_col, "left").withColumns({
+        "idx": F.coalesce("idx", F.array().cast("array<int>")),
+        "val": F.coalesce("val", F.array().cast("array<double>"))})
+    return sparse_vectors(out, model.size)
 
 
 def class_weight_col(label: str = "label", w1: float = 1.0, w0: float = 1.0):
@@ -117,15 +126,14 @@ def fit_score(train: DataFrame, score_on: DataFrame, name: str = "lr", w1: float
     if balance:
         train = hard_balance(train, seed)
     tf = fit_tfidf(train, max_features)
-    # Iterative fits re-read their input many times: cut the lineage once.
-    tr = checkpoint(features(tf, train).withColumn("w", class_weight_col("label", w1)))
+    # Iterative fits re-read their input many times: ``features`` is a written table.
+    tr = features(tf, train).withColumn("w", class_weight_col("label", w1))
     clf = make_classifier(name, **(settings or {}))
     if name == "lr":
         total = tr.agg(F.sum("w")).first()[0] or 1.0  # the loss is a weighted mean
         clf = clf.setRegParam(1.0 / (reg_c * total))
     m = clf.fit(tr.withColumn("label", F.col("label").cast("double")))
-    te = checkpoint(features(tf, score_on))
-    sc = m.transform(te)
+    sc = m.transform(features(tf, score_on))
     sc = sc.withColumn("score", vector_to_array("probability")[1]) \
         .withColumn("_raw", vector_to_array("rawPrediction"))
     sc = sc.withColumn("logit0", F.lit(0.0)).withColumn(
@@ -155,12 +163,6 @@ def linear_score(tf: TfidfModel, weights: DataFrame, intercept: float, df: DataF
     return out.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z")))).drop("_z")
 
 
-def evaluate(pt: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
-    """Score-and-measure."""
-    from .curves import compute_metrics
-    return compute_metrics(pt, keys, threshold)
-
-
 def score_with(df: DataFrame, predict, text_col: str = "func", id_col: str = "row_id",
                keep: Sequence[str] = ("label",)) -> DataFrame:
     """Bring-your-own scorer (E1): ``predict(pandas.Series of text) ->

@@ -707,9 +707,59 @@ def q_simple_baselines(spark, d):
     return sd.simple_baselines(spark, d, settings=BASELINE_SETTINGS)
 
 
-@register("weight_balance_grid", None)
+_SPLIT_OF = ("CASE WHEN row_id IN (SELECT row_id FROM _st) THEN 'test' "
+             "WHEN row_id IN (SELECT row_id FROM _sv) THEN 'val' ELSE 'train' END")
+
+
+def _plan_sql(fits) -> str:
+    return "(VALUES " + ", ".join(f"({i}, {t}, {float(w)!r}{D})" for i, (t, w) in enumerate(fits)) + ") AS pp(fit, task, w1)"
+
+
+def _down_sql(name: str, src: str) -> str:
+    """Test rows of each fit with positives down-sampled to 95:5."""
+    return f"""
+{name}_n AS (SELECT fit, SUM(1 - label) AS neg, SUM(label) AS pos FROM {src} GROUP BY fit),
+{name} AS (SELECT t.* EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY fit, label ORDER BY {_h('0', 'downsample')}, row_id) AS r
+   FROM {src}) t JOIN {name}_n n USING (fit)
+   WHERE label = 0 OR r <= least(CAST(floor({0.05 / 0.95!r}{D} * neg) AS BIGINT), pos))"""
+
+
+def _rounded_scores(plan: str) -> str:
+    return f"""
+_pl AS (SELECT * FROM {plan}),
+{oq.keyed_logistic('_mem', '_pl')},
+_pr AS (SELECT fit, row_id, round(margin, 6) AS margin, round(score, 6) AS score FROM _lp)"""
+
+
+_METRIC_COLS = "threshold, tp, fp, fn, tn, precision, recall, f1, pred_pos_rate, base_pos_rate, collapsed, round(pr_auc, 9) AS pr_auc, roc_auc"
+_GRID = [(t, w) for t in (0, 1) for w in (1.0, 30.0)]
+
+
+def _grid_sql() -> str:
+    return W(_split_sql() + f""",
+_sp AS (SELECT row_id, label, {_SPLIT_OF} AS side FROM _s0),
+_gb AS (SELECT row_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_h('0', 'balance')}, row_id) AS r
+   FROM _sp WHERE side = 'train') WHERE r <= (SELECT CASE WHEN COUNT(*) < 2 THEN 0 ELSE min(n) END
+   FROM (SELECT COUNT(*) AS n FROM _sp WHERE side = 'train' GROUP BY label))),
+_mem AS (SELECT 0 AS task, row_id, label, side, side = 'train' AS train FROM _sp
+   UNION ALL SELECT 1, row_id, label, side, side = 'train' FROM _sp WHERE side <> 'train' OR row_id IN (SELECT row_id FROM _gb)),
+{_rounded_scores(_plan_sql(_GRID))},
+_pt AS (SELECT r.*, m.label, m.side FROM _pr r JOIN _pl USING (fit) JOIN _mem m ON m.task = _pl.task AND m.row_id = r.row_id),
+_te AS (SELECT * FROM _pt WHERE side = 'test'),
+{_down_sql('_dn', '_te')},
+_tk AS (SELECT *, 'natural' AS test_kind FROM _te UNION ALL SELECT *, 'downsampled' FROM _dn),
+_vk AS (SELECT p.*, test_kind FROM _pt p CROSS JOIN (VALUES ('natural'), ('downsampled')) AS tk(test_kind) WHERE side = 'val'),
+{oq.protocol_metrics('_vk', '_tk', ['fit', 'test_kind'])},
+_dg AS (SELECT fit, test_kind, round(avg(margin), 9) AS logit_pos_mean, 0.0{D} AS logit_neg_mean,
+   round(avg(margin), 9) AS margin_mean, round(stddev_pop(margin), 9) AS margin_std, stddev_pop(margin) < 1e-3{D} AS is_constant,
+   avg(CASE WHEN margin > 0 THEN 1.0{D} ELSE 0.0{D} END) AS frac_predicts_pos FROM _tk GROUP BY fit, test_kind)""", f"""
+SELECT CASE fit {' '.join(f"WHEN {i} THEN 'balance={bool(t)},w1={w}'" for i, (t, w) in enumerate(_GRID))} END AS cell,
+  test_kind, thr_kind, {_METRIC_COLS}, _dg.* EXCLUDE (fit, test_kind) FROM _pm JOIN _dg USING (fit, test_kind)""")
+
+
+@register("weight_balance_grid", _grid_sql())
 def q_weight_grid(spark, d):
-    return sd.weight_balance_grid(spark, d)
+    return sd.weight_balance_grid(spark, d).withColumn("pr_auc", F.round("pr_auc", 9))
 
 
 @register("robustness", None)
@@ -757,6 +807,18 @@ def q_top_projects(spark, d):
     return tr.top_projects(tr.per_project(p, tr.run_thresholds(curve, RK), RK), RK, 20)
 
 
+@register("cross_project_runs", W(oq.folds("corpus") + "," + oq.cross_group_members() + f""",
+_mem AS (SELECT CAST(seed * 5 + fold AS INTEGER) AS task, row_id, any_value(label) AS label, bool_or(side = 'train') AS train
+   FROM _xs GROUP BY seed, fold, row_id),
+{_rounded_scores(_plan_sql([(i, 1.0) for i in range(15)]))},
+_pt AS (SELECT r.*, x.label, x.side FROM _pr r JOIN _xs x ON x.seed * 5 + x.fold = r.fit AND x.row_id = r.row_id),
+_te AS (SELECT * FROM _pt WHERE side = 'test'), _va AS (SELECT * FROM _pt WHERE side = 'val'),
+{oq.protocol_metrics('_va', '_te', ['fit'])}""", f"""
+SELECT CAST(fit // 5 AS INTEGER) AS seed, CAST(fit % 5 AS INTEGER) AS fold, thr_kind, {_METRIC_COLS} FROM _pm"""))
+def q_cross_project_runs(spark, d):
+    return sd.cross_project_runs(spark, d).withColumn("pr_auc", F.round("pr_auc", 9))
+
+
 @register("cross_project_cv", None)
 def q_cross_project_cv(spark, d):
     return sd.cross_project_cv(spark, d)
@@ -778,9 +840,17 @@ def q_project_codes(spark, d):
     return ordinal_codes(sizes, "project").select("project", "code", "n_rows")
 
 
-@register("weight_sweep", None)
+@register("weight_sweep", W(_split_sql() + f""",
+_sp AS (SELECT row_id, label, {_SPLIT_OF} AS side FROM _s0),
+_mem AS (SELECT 0 AS task, row_id, label, side, side = 'train' AS train FROM _sp),
+{_rounded_scores(_plan_sql([(0, w) for w in sd.SWEEP_WEIGHTS]))},
+_pt AS (SELECT r.*, m.label, m.side FROM _pr r JOIN _mem m USING (row_id)),
+_te AS (SELECT * FROM _pt WHERE side = 'test'), _va AS (SELECT * FROM _pt WHERE side = 'val'),
+{_down_sql('_dn', '_te')},
+{oq.protocol_metrics('_va', '_dn', ['fit'])}""", f"""
+SELECT (list_value({", ".join(f"{w!r}{D}" for w in sd.SWEEP_WEIGHTS)}))[fit + 1] AS w1, thr_kind, {_METRIC_COLS} FROM _pm"""))
 def q_weight_sweep(spark, d):
-    return sd.weight_sweep(spark, d)
+    return sd.weight_sweep(spark, d).withColumn("pr_auc", F.round("pr_auc", 9))
 
 
 @register("wilcoxon_statistic", W(PT_SQL + "," + oq.transfer_runs("pt", with_projects=False)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from typing import Sequence
 
 from ..functions.hashing import py_hash, sql_hash
-from ..functions.text import WS_CLASS_SQL
+from ..functions.text import WORD_RUN, WS_CLASS_SQL
 from ..operators import perturb
 from . import fixtures as fx
 
@@ -326,3 +326,89 @@ _ei AS (SELECT row_id, CASE WHEN len(_pts) = 0 THEN array_to_string(_ln, chr(10)
 _edits AS (SELECT c.row_id, 'rename' AS kind, c.func, r.t AS func_perturbed FROM code c
     JOIN _er r ON c.row_id = r.row_id WHERE r.i = len(r.names)
   UNION ALL SELECT c.row_id, 'deadcode', c.func, e.t FROM code c JOIN _ei e ON c.row_id = e.row_id)"""
+
+
+def keyed_tfidf(members: str, max_features: int = 10_000) -> str:
+    """CTE ``_lx`` (task, row_id, idx, x): TF-IDF rows under the vocabulary of the
+    training rows of each task. ``members`` has task, row_id, train."""
+    return f"""
+_lt AS (SELECT row_id, term, COUNT(*) AS tf FROM (
+  SELECT row_id, unnest(regexp_extract_all(lower(func), '{WORD_RUN.replace(chr(92) * 2, chr(92))}')) AS term FROM corpus)
+  GROUP BY row_id, term),
+_ls AS (SELECT task, term, SUM(tf) AS cnt, COUNT(*) AS df FROM _lt JOIN {members} USING (row_id) WHERE train GROUP BY task, term),
+_ln AS (SELECT task, COUNT(*) AS n FROM {members} WHERE train GROUP BY task),
+_lb AS (SELECT * FROM _ls QUALIFY row_number() OVER (PARTITION BY task ORDER BY cnt DESC, term) <= {max_features}),
+_lv AS (SELECT task, term, row_number() OVER (PARTITION BY task ORDER BY term) - 1 AS idx,
+   ln((1 + n){D} / (1.0{D} + df)) + 1.0{D} AS idf FROM _lb JOIN _ln USING (task)),
+_lw AS (SELECT m.task, m.row_id, v.idx, (1.0{D} + ln(t.tf{D})) * v.idf AS w
+   FROM {members} m JOIN _lt t USING (row_id) JOIN _lv v ON v.task = m.task AND v.term = t.term),
+_lx AS (SELECT task, row_id, idx, w / sqrt(SUM(w * w) OVER (PARTITION BY task, row_id)) AS x FROM _lw)"""
+
+
+def keyed_logistic(members: str, plan: str, steps: int = 1500) -> str:
+    """CTE ``_lp`` (fit, row_id, margin, score): all fits of ``plan`` (fit, task, w1) by
+    accelerated gradient steps on the training rows' coefficients (w = sum of beta_j x_j,
+    through the kernel matrix), with the step 1 / L of the largest row sum of the weighted
+    kernel. ``members``: task, row_id, train, label. The optimum is unique, so this needs
+    nothing of the solver it checks but enough ``steps``."""
+    return f"""{keyed_tfidf(members)},
+_lk AS (SELECT a.task, a.row_id AS i, b.row_id AS j, SUM(a.x * b.x) AS k FROM _lx a JOIN _lx b USING (task, idx)
+   JOIN {members} m ON m.task = b.task AND m.row_id = b.row_id AND m.train GROUP BY a.task, a.row_id, b.row_id),
+_lr AS (SELECT a.task, a.row_id, any_value(a.train) AS train, any_value(a.label) AS label,
+   list(coalesce(k, 0.0{D}) ORDER BY b.row_id) AS krow, list(b.label ORDER BY b.row_id) AS labels
+   FROM {members} a JOIN {members} b ON b.task = a.task AND b.train
+   LEFT JOIN _lk ON _lk.task = a.task AND _lk.i = a.row_id AND _lk.j = b.row_id GROUP BY a.task, a.row_id),
+_lf AS (SELECT p.fit, r.row_id, row_number() OVER (PARTITION BY p.fit ORDER BY r.row_id) AS pos, r.label AS y, r.krow,
+   CASE WHEN r.label = 1 THEN p.w1 ELSE 1.0{D} END AS s,
+   list_sum(list_transform(r.krow, lambda k, i: sqrt((CASE WHEN r.label = 1 THEN p.w1 ELSE 1.0{D} END)
+     * (CASE WHEN r.labels[i] = 1 THEN p.w1 ELSE 1.0{D} END)) * (k + 1.0{D}))) AS row_sum
+   FROM _lr r JOIN {plan} p ON p.task = r.task WHERE r.train),
+_ll AS (SELECT fit, 1.0{D} + 0.25{D} * max(row_sum) AS L, COUNT(*) AS n FROM _lf GROUP BY fit),
+_li AS (SELECT fit, 0 AS t, list_transform(range(0, n), lambda i: 0.0{D}) AS beta,
+   list_transform(range(0, n), lambda i: 0.0{D}) AS v, 0.0{D} AS b, 0.0{D} AS bv, L,
+   (sqrt(L) - 1.0{D}) / (sqrt(L) + 1.0{D}) AS m FROM _ll
+  UNION ALL
+  SELECT fit, t + 1, nb, list_transform(nb, lambda x, i: x + m * (x - beta[i])), nbb, nbb + m * (nbb - b), L, m
+  FROM (SELECT *, list_transform(v, lambda x, i: x - (x + rl[i]) / L) AS nb, bv - rs / L AS nbb
+    FROM (SELECT z.fit, z.t, any_value(z.beta) AS beta, any_value(z.v) AS v, any_value(z.b) AS b, any_value(z.bv) AS bv,
+            any_value(z.L) AS L, any_value(z.m) AS m, list(r ORDER BY pos) AS rl, SUM(r) AS rs
+          FROM (SELECT z.*, f.pos, f.s * (1.0{D} / (1.0{D} + exp(-(list_dot_product(f.krow, z.v) + z.bv))) - f.y) AS r
+                FROM _li z JOIN _lf f USING (fit) WHERE z.t < {steps}) z GROUP BY z.fit, z.t))),
+_lp AS (SELECT z.fit, r.row_id, list_dot_product(r.krow, z.beta) + z.b AS margin,
+   1.0{D} / (1.0{D} + exp(-(list_dot_product(r.krow, z.beta) + z.b))) AS score
+   FROM _li z JOIN {plan} p USING (fit) JOIN _lr r ON r.task = p.task WHERE z.t = {steps})"""
+
+
+def protocol_metrics(val: str, test: str, keys: Sequence[str]) -> str:
+    """CTE ``_pm``: mirror of ``curves.protocol_metrics``; both inputs have keys, label, score."""
+    kk = k(keys)
+    return f"""
+{score_table('_pva', val, keys)},
+{curve('_pvc', '_pva', keys)},
+{score_table('_pta', test, keys)},
+{curve('_ptc', '_pta', keys)},
+_pth AS (SELECT {k(keys, 'a')}, kind AS thr_kind, CASE WHEN kind = 'fixed_05' THEN 0.5{D} ELSE coalesce(b.best, 0.5{D}) END AS threshold
+   FROM (SELECT DISTINCT {kk} FROM _pta) a CROSS JOIN (VALUES ('fixed_05'), ('calibrated')) AS q(kind)
+   LEFT JOIN {thr_max_f1('_pvc', keys, 'best')} b ON {on(keys, 'a', 'b')}),
+{confusion('_pmc', '_pta', '_pth', keys, extra=['thr_kind'])},
+{curve_summary('_pms', '_ptc', keys)},
+_pm AS (SELECT c.*, s.pr_auc, s.roc_auc FROM _pmc c LEFT JOIN _pms s ON {on(keys, 'c', 's')})"""
+
+
+def cross_group_members(src: str = "corpus", folds_name: str = "folds", frac: float = 0.15) -> str:
+    """CTE ``_xs`` (seed, fold, row_id, label, side): mirror of ``folds.cross_group_sides``."""
+    h = sql_hash("seed + k", "'val_frac'", "project")
+    return f"""
+_xg AS (SELECT project, COUNT(*) AS n, SUM(label) AS n_pos FROM {src} GROUP BY project),
+_xo AS (SELECT f.seed, q.k, f.project, g.n, g.n_pos FROM {folds_name} f JOIN _xg g USING (project)
+   JOIN (SELECT DISTINCT fold AS k FROM {folds_name}) q ON q.k <> f.fold),
+_xv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, k ORDER BY {h}, project) AS r,
+   COUNT(*) OVER (PARTITION BY seed, k) AS c FROM _xo) WHERE r <= greatest(round_even(c * {frac}{D}, 0), 1)),
+_xb AS (SELECT seed, k FROM _xv GROUP BY seed, k HAVING SUM(n_pos) = 0 OR SUM(n_pos) = SUM(n)),
+_xs AS (SELECT f.seed, f.fold, c.row_id, c.label, 'test' AS side FROM {src} c JOIN {folds_name} f USING (project)
+   UNION ALL SELECT o.seed, o.k, c.row_id, c.label, 'train' FROM {src} c JOIN _xo o USING (project)
+     ANTI JOIN _xv v ON v.seed = o.seed AND v.k = o.k AND v.project = o.project
+   UNION ALL SELECT v.seed, v.k, c.row_id, c.label, 'val' FROM {src} c JOIN _xv v USING (project)
+   UNION ALL SELECT o.seed, o.k, c.row_id, c.label, 'val' FROM {src} c JOIN _xo o USING (project)
+     JOIN _xb b ON b.seed = o.seed AND b.k = o.k
+     ANTI JOIN _xv v ON v.seed = o.seed AND v.k = o.k AND v.project = o.project)"""

@@ -1,8 +1,9 @@
 """Model-backed studies (rows-only checks): baselines, weight/balance grids,
 perturbation robustness, counterfactuals and attributions (R1-R7, R12, R14).
 
-Models are Spark ML fits on TF-IDF features of the driver corpus; only the
-``fit`` calls loop on the driver, one per configuration.
+Logistic regressions of all configurations and folds are fitted in one keyed job
+(``operators.logistic``); forests, boosting and the linear models of the text studies
+are Spark ML fits on TF-IDF features, one per model.
 """
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from ..operators import curves as cv
 from ..operators import explain as ex
 from ..operators import models as md
 from ..operators import perturb as pe
-from ..operators.sampling import downsample_positives, random_split
+from ..operators.sampling import downsample_positives, hard_balance, random_split
 from ..session import checkpoint
 from . import fixtures as fx
 
@@ -71,19 +72,50 @@ def simple_baselines(spark: SparkSession, sf_dir: str, models=("lr", "rf", "gbt"
     return out
 
 
-def weight_balance_grid(spark: SparkSession, sf_dir: str, weights=(1.0, 30.0),
-                        balances=(False, True)) -> DataFrame:
-    """Balance x class-weight grid with logit diagnostics (R1, R2, R6; K5, M5, M6)."""
+def _plan(spark: SparkSession, fits: Sequence[tuple]) -> DataFrame:
+    """(fit, task, w1) of a literal list of (task, w1)."""
+    return spark.createDataFrame([(i, t, float(w)) for i, (t, w) in enumerate(fits)], "fit int, task int, w1 double")
+
+
+def _rounded(pt: DataFrame) -> DataFrame:
+    """Scores on a grid of six digits: the fits agree to about 1e-9 however they were
+    found, so ties and thresholds do not hang on the last bits."""
+    return checkpoint(pt.withColumn("score", F.round("score", 6)).withColumn("margin", F.round("margin", 6)))
+
+
+def _test_kinds(pt: DataFrame, kinds: Sequence[str], keys: Sequence[str] = ("fit",), ratio: float = 0.05) -> DataFrame:
+    """Test rows as they are (natural) and with positives down-sampled to 95:5."""
+    test = pt.where("side = 'test'")
+    parts = {"natural": test, "downsampled": downsample_positives(test, ratio, 0, keys)}
+    out = [parts[k].withColumn("test_kind", F.lit(k)) for k in kinds]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def weight_balance_grid(spark: SparkSession, sf_dir: str, weights=(1.0, 30.0), balances=(False, True),
+                        tol: float = 1e-8) -> DataFrame:
+    """Balance x class weight x test kind, with logit diagnostics (R1, R2; K5, M5,
+    M6). Every cell is one fit of a single keyed job; a balanced task has the
+    vocabulary of its own rows."""
+    from ..operators.logistic import run_protocol
     from ..operators.losses import logit_diagnostics
-    out = None
-    for b in balances:
-        for w in weights:
-            pt, thr, *_ = fit_protocol(spark, sf_dir, "lr", w, b)
-            test = pt.filter(F.col("split") == "test").withColumn("cell", F.lit(f"balance={b},w1={w}"))
-            m = _metrics_row(test, thr, ["cell"]).join(logit_diagnostics(test, ["cell"]), "cell")
-            m = m.withColumn("balance", F.lit(b)).withColumn("w1", F.lit(w))
-            out = m if out is None else out.unionByName(m)
-    return out
+    s = _split_corpus(spark, sf_dir)
+    train = s.where("split = 'train'").select("row_id", "label")
+    other = s.where("split <> 'train'").select("row_id", F.col("split").alias("side"))
+    sides = None
+    for task, balanced in enumerate(balances):
+        rows = hard_balance(train, 0) if balanced else train
+        part = (rows.select("row_id", F.lit("train").alias("side")).unionByName(other)
+                .select(F.lit(task).alias("task"), "row_id", "side"))
+        sides = part if sides is None else sides.unionByName(part)
+    fits = [(task, w) for task in range(len(balances)) for w in weights]
+    pt = _rounded(run_protocol(s.select("row_id", "label", "func"), checkpoint(sides), _plan(spark, fits), tol=tol))
+    test = checkpoint(_test_kinds(pt, ("natural", "downsampled")))
+    both = pt.where("side = 'val'").withColumn("test_kind", F.explode(F.array(F.lit("natural"), F.lit("downsampled"))))
+    keys = ["fit", "test_kind"]
+    m = cv.protocol_metrics(both, keys, test).join(
+        logit_diagnostics(test.select(*keys, "label", F.lit(0.0).alias("logit0"), F.col("margin").alias("logit1")), keys), keys)
+    cells = F.create_map(*[F.lit(x) for i, (t, w) in enumerate(fits) for x in (i, f"balance={balances[t]},w1={w}")])
+    return m.withColumn("cell", cells[F.col("fit")]).drop("fit")
 
 
 def robustness(spark: SparkSession, sf_dir: str, kinds=("rename", "deadcode", "whitespace",
@@ -177,42 +209,43 @@ def tfidf_table(spark: SparkSession, sf_dir: str, max_features: int = 10_000) ->
     return md.transform_tfidf(tf, c)
 
 
-def cross_project_cv(spark: SparkSession, sf_dir: str, n_splits: int = 5, seed: int = 0,
-                     val_frac: float = 0.15, n_boot: int = 10000) -> DataFrame:
-    """Leave-groups-out CV: per fold, train on the other groups minus a 15 %
-    share of validation groups, pick the threshold on those groups (on all
-    training rows if they hold one class only), test on the held-out fold; mean F1 with bootstrap CI per threshold kind and a
-    paired Wilcoxon test calibrated vs fixed 0.5 (R3: J4, J6, K1, K2, M7,
-    A10, A11). One model fit per fold is the only driver loop."""
+def cross_project_runs(spark: SparkSession, sf_dir: str, n_splits: int = 5, seeds: Sequence[int] = (0, 1, 2),
+                       val_frac: float = 0.15, tol: float = 1e-8) -> DataFrame:
+    """Leave-groups-out runs (R3): for every (seed, fold) a logistic regression on the
+    other groups minus the validation groups, its threshold from those (J6), metrics on
+    the held-out groups at 0.5 and at that threshold. All vocabularies, fits and
+    thresholds are keyed by (seed, fold) in one job each."""
     from ..operators import folds as fo
+    from ..operators.logistic import run_protocol
+    c = checkpoint(fx.corpus(spark, sf_dir).select("row_id", "func", "label", "project"))
+    folds = checkpoint(fo.group_folds(c.select("project", "label"), n_splits, list(seeds)))
+    place = F.create_map(*[F.lit(x) for i, seed in enumerate(seeds) for x in (int(seed), i * n_splits)])
+    sides = fo.cross_group_sides(c, folds, val_frac).select(
+        (place[F.col("seed")] + F.col("fold")).cast("int").alias("task"), "row_id", "side")
+    fits = len(seeds) * n_splits
+    pt = _rounded(run_protocol(c.select("row_id", "label", "func"), checkpoint(sides),
+                               _plan(spark, [(i, 1.0) for i in range(fits)]), tol=tol))
+    m = cv.protocol_metrics(pt, ["fit"])
+    seed = F.element_at(F.array(*[F.lit(int(x)) for x in seeds]), (F.floor(F.col("fit") / n_splits) + 1).cast("int"))
+    return m.select(seed.alias("seed"), (F.col("fit") % n_splits).alias("fold"), *[x for x in m.columns if x != "fit"])
+
+
+def cross_project_cv(spark: SparkSession, sf_dir: str, n_splits: int = 5, seeds: Sequence[int] = (0, 1, 2),
+                     n_boot: int = 10000) -> DataFrame:
+    """Summary of :func:`cross_project_runs` over seeds and folds (R3, R14: J4, J6, K1,
+    K2, K4, M7, A10, A11, A13): for each threshold kind and metric (f1, recall) mean,
+    standard deviation and bootstrap interval, and the paired Wilcoxon test of the two
+    kinds."""
     from ..operators import stats as st
-    c = checkpoint(fx.corpus(spark, sf_dir).select("row_id", "func", "label", "project", "cwe"))
-    f = checkpoint(fo.group_folds(c.select("project", "label"), n_splits, [seed]))
-    a = c.join(f, "project")
-    rows = None
-    for k in range(n_splits):
-        tr_full = a.filter(F.col("fold") != k)
-        tr, va = fo.validation_by_fraction(tr_full, val_frac, seed + k)
-        va = va.withColumn("side", F.lit("val"))
-        te = a.filter(F.col("fold") == k).withColumn("side", F.lit("test"))
-        pt, _, _ = md.fit_score(tr.drop("seed", "fold"), va.unionByName(te).drop("seed", "fold"),
-                                "lr")
-        pt = checkpoint(pt)
-        thr = _val_threshold(pt.filter(F.col("side") == "val"))
-        m = _metrics_row(pt.filter(F.col("side") == "test").withColumn("fold", F.lit(k)), thr, ["fold"])
-        rows = m if rows is None else rows.unionByName(m)
-    raw = checkpoint(rows.withColumn("seed", F.lit(seed)))
-    ci = st.bootstrap_ci(raw, ["thr_kind"], "f1", ["seed", "fold"], n_boot=n_boot)
-    a_ = raw.filter(F.col("thr_kind") == "calibrated").select("seed", "fold", F.col("f1").alias("a"))
-    b_ = raw.filter(F.col("thr_kind") == "fixed_05").select("seed", "fold", F.col("f1").alias("b"))
-    wx = st.wilcoxon(a_.join(b_, ["seed", "fold"]).withColumn("test", F.lit("calibrated_vs_fixed")),
-                     ["test"], "a", "b").select(F.col("statistic").alias("wilcoxon_w"),
-                                                F.col("p_value").alias("wilcoxon_p"),
-                                                F.col("n").alias("wilcoxon_n")).collect()
-    w = wx[0] if wx else None
-    return ci.withColumn("wilcoxon_w", F.lit(w["wilcoxon_w"] if w else None).cast("double")) \
-        .withColumn("wilcoxon_p", F.lit(w["wilcoxon_p"] if w else None).cast("double")) \
-        .withColumn("wilcoxon_n", F.lit(w["wilcoxon_n"] if w else 0).cast("long"))
+    runs = checkpoint(cross_project_runs(spark, sf_dir, n_splits, seeds))
+    long = runs.select("seed", "fold", "thr_kind", F.expr("stack(2, 'f1', f1, 'recall', recall) as (metric, value)"))
+    ci = st.bootstrap_ci(long, ["metric", "thr_kind"], "value", ["seed", "fold"], n_boot=n_boot)
+    spread = long.groupBy("metric", "thr_kind").agg(F.round(F.stddev_pop("value"), ROUND).alias("std"))
+    pairs = (long.groupBy("metric", "seed", "fold").pivot("thr_kind", ["calibrated", "fixed_05"]).agg(F.first("value")))
+    paired = st.wilcoxon(pairs, ["metric"], "calibrated", "fixed_05").select(
+        "metric", F.col("statistic").alias("wilcoxon_w"), F.col("p_value").alias("wilcoxon_p"),
+        F.col("n").alias("wilcoxon_n"))
+    return ci.join(spread, ["metric", "thr_kind"]).join(paired, "metric", "left")
 
 
 # Class weights of the weight sweep.
@@ -220,27 +253,15 @@ SWEEP_WEIGHTS = [1.0, 10.0, 20.0, 30.0, 50.0, 100.0]
 
 
 def weight_sweep(spark: SparkSession, sf_dir: str, weights: Sequence[float] = SWEEP_WEIGHTS,
-                 test_ratio: float = 0.05) -> DataFrame:
+                 test_ratio: float = 0.05, tol: float = 1e-8) -> DataFrame:
     """Logistic regression per positive-class weight, evaluated on a 95:5
-    down-sampled test set at 0.5 and at the validation threshold (R6: M5,
-    J8). Features are built once and shared by every fit."""
-    from pyspark.ml.functions import vector_to_array
+    down-sampled test set at 0.5 and at the validation threshold (R6: M5, J8). One
+    keyed job fits all weights."""
+    from ..operators.logistic import run_protocol
     s = _split_corpus(spark, sf_dir)
-    train = s.filter(F.col("split") == "train")
-    tf = md.fit_tfidf(train)
-    tr = checkpoint(md.features(tf, train))
-    rest = checkpoint(md.features(tf, s.filter(F.col("split") != "train")))
-    out = None
-    for w1 in weights:
-        weighted = tr.withColumn("w", md.class_weight_col("label", w1))
-        total = weighted.agg(F.sum("w")).first()[0] or 1.0
-        m = md.make_classifier("lr").setRegParam(1.0 / total).fit(
-            weighted.withColumn("label", F.col("label").cast("double")))
-        pt = checkpoint(m.transform(rest).withColumn("score", vector_to_array("probability")[1])
-                        .select("row_id", "label", "split", "score"))
-        thr = _val_threshold(pt.filter(F.col("split") == "val"))
-        test = downsample_positives(pt.filter(F.col("split") == "test"), test_ratio, 0) \
-            .withColumn("w1", F.lit(float(w1)))
-        r = _metrics_row(test, thr, ["w1"])
-        out = r if out is None else out.unionByName(r)
-    return out
+    sides = s.select(F.lit(0).alias("task"), "row_id", F.col("split").alias("side"))
+    pt = _rounded(run_protocol(s.select("row_id", "label", "func"), sides,
+                               _plan(spark, [(0, w) for w in weights]), tol=tol))
+    test = checkpoint(_test_kinds(pt, ["downsampled"], ratio=test_ratio).drop("test_kind"))
+    m = cv.protocol_metrics(pt, ["fit"], test)
+    return m.withColumn("w1", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("fit") + 1)).drop("fit")
