@@ -6,8 +6,10 @@ for pairs is a *multi-index Hamming join*: the MinHash signature has 64 symbols
 of 16 bits, cut into 16 chunks of 4. Two signatures that differ in at most 31
 symbols agree, by the pigeonhole principle, in some chunk up to one symbol, so
 the keys "chunk without one symbol" (64 for each document) find every pair
-within that distance. A pair of similarity 0.75 is expected to differ in 16
-symbols; more than 31 have a probability of 4e-6.
+within that distance. Pairs found that are further apart are not thrown away: every
+pair that shares a key is decided by its sets. A pair of similarity 0.75 agrees in
+3 symbols of a chunk with probability 0.74, so it shares no key with probability
+0.26 ** 16, about 5e-10.
 
 Steps, each a Spark job that splits hot groups:
 
@@ -17,21 +19,23 @@ Steps, each a Spark job that splits hot groups:
    key spreads over tasks. One pass links each row to the one before it and to
    the first of its size class: as many candidates as rows, not all pairs.
    Rows without a partner of fitting size go.
-3. Candidates within the distance are confirmed on full sets, and connected
-   components give each class a label.
-4. All pairs of one key whose labels still differ are compared by signature
-   (hot keys in blocks of ``block_rows`` rows, block against block), each pair
-   under the first key it shares only. A pair within the distance must also
-   pass an exact bound: the shingles of a set are counted in 512 cells, and the
-   sum of the smaller counts is never below the size of the intersection. What
-   is left is confirmed on full sets. So no link between components is lost,
-   and neither a group that step 3 has joined nor one of unlinked look-alikes
-   comes out as all its pairs.
+3. Each row's two candidates of nearest signature are confirmed on full sets, and
+   connected components give each class a label.
+4. All pairs of one key whose labels still differ are compared (hot keys in
+   blocks of ``block_rows`` rows, block against block), each pair under the first
+   key it shares only, by an exact bound: the shingles of a set are counted in 512
+   cells, and the sum of the smaller counts is never below the size of the
+   intersection. What is left is confirmed on full sets. So no link between
+   components is lost, and neither a group that step 3 has joined nor one of
+   unlinked look-alikes comes out as all its pairs.
+
+The large intermediate tables are written as compressed columns and deleted as soon
+as the next one stands.
 
 Defined cases: a text without words has an empty set, size 0, and is linked
 with nothing; null text counts as empty. Rows that share a doc_id count as one
-document. A null doc_id takes no part: component_id null, kept true.
-Extra columns are ignored.
+document: all their sets are in one component. A null doc_id takes no part:
+component_id null, kept true. Extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -40,10 +44,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, discard, written
 from .arrays import distinct_per_text, lower_ascii, map_batches, shingles, split_words, stream, text_pieces
 
 SYMBOLS, CHUNK, ERRORS = 64, 4, 1
@@ -70,26 +74,41 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """doc_id, n_shingles, set digest (d1, d2), signature and cell counts of each document."""
+    """doc_id, n_shingles, set digest (d1, d2) and signature of each document."""
     def run(batch):
         for p in text_pieces(batch.column(1)):
             sets = text_sets(p, size)
             n = np.array([len(s) for s in sets], np.int64)
-            digest = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                               for s in sets])
+            digest = np.array([_digest(s) for s in sets])
             full = np.flatnonzero(n)
             sig = [None] * len(sets)
-            cells = [np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS),
-                                FULL_CELL).astype(np.uint8).tobytes() for s in sets]
             if len(full):
                 for i, row in zip(full.tolist(), minhash([sets[i] for i in full])):
                     sig[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(p.lo, p.hi - p.lo), pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                 pa.array(sig, pa.binary()), pa.array(cells, pa.binary())],
-                names=["doc_id", "n_shingles", "d1", "d2", "sig", "cells"])
+                 pa.array(sig, pa.binary())],
+                names=["doc_id", "n_shingles", "d1", "d2", "sig"])
     return map_batches(docs.select(docs[key].cast("long").alias("doc_id"), docs[text]), run,
-                       "doc_id long, n_shingles long, d1 long, d2 long, sig binary, cells binary")
+                       "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+
+
+def cell_counts(texts: DataFrame, size: int) -> DataFrame:
+    """id, set digest and cell counts of each text's set."""
+    def run(batch):
+        for p in text_pieces(batch.column(1)):
+            sets = text_sets(p, size)
+            cells = [np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS),
+                                FULL_CELL).astype(np.uint8).tobytes() for s in sets]
+            digest = np.array([_digest(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.lo, p.hi - p.lo), pa.array(digest[:, 0]),
+                                              pa.array(digest[:, 1]), pa.array(cells, pa.binary())],
+                                             names=["id", "d1", "d2", "cells"])
+    return map_batches(texts.select("id", "text"), run, "id long, d1 long, d2 long, cells binary")
+
+
+def _digest(own: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
@@ -195,18 +214,20 @@ def _key_runs(rows: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, _RUNS))
 
 
-def _within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in at most MAX_DISTANCE symbols."""
+def _nearest(pairs: DataFrame, classes: DataFrame, most: int = 2) -> DataFrame:
+    """For each b the ``most`` pairs (a, b) of nearest signatures, ties to smaller a.
+    The others are not lost: step 4 looks at every pair that is not yet connected."""
     left = classes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
     right = classes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
 
     def run(batch):
         far = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(axis=1)
-        keep = np.flatnonzero(far <= MAX_DISTANCE)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))],
-                                         names=["a", "b"])
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b"), run,
-                       "a long, b long")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int32))],
+                                         names=["a", "b", "far"])
+    measured = map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b"), run,
+                           "a long, b long, far int").groupBy("a", "b").agg(F.min("far").alias("far"))
+    order = F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))
+    return measured.withColumn("place", order).where(F.col("place") <= most).select("a", "b")
 
 
 def _likely(docs: DataFrame, wanted: DataFrame, most_bits: int = 1 << 24) -> DataFrame:
@@ -231,7 +252,7 @@ def _likely(docs: DataFrame, wanted: DataFrame, most_bits: int = 1 << 24) -> Dat
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group_rows: int = 256) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity.
+    """The pairs (a, b) whose full sets reach the similarity, checkpointed.
 
     A pair travels as one row with the text of b next to the text of a; the
     pairs of one a are dealt into groups of about ``group_rows``, and each task
@@ -240,7 +261,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group_ro
     dealt = pairs.join(sizes, "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / group_rows)).alias("part"))
     wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = checkpoint(_likely(docs, wanted).join(wanted, "id"))
+    texts = written(_likely(docs, wanted).join(wanted, "id"))
     rows = (dealt.join(texts.withColumnRenamed("id", "b"), "b")
             .select("a", "part", F.lit(1).alias("role"), F.col("b").alias("id"), "text")
             .unionByName(dealt.select("a", "part").distinct()
@@ -265,8 +286,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group_ro
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())],
                                              names=["a", "b"])
 
-    return (rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
-            .mapInArrow(run, "a long, b long").distinct())
+    found = checkpoint(rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
+                       .mapInArrow(run, "a long, b long").distinct())
+    discard(texts)
+    return found
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -303,9 +326,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key with different components, fitting sizes and signatures
-    within the distance, unless the cell counts rule them out. ``rows``: key, i, j
-    (blocks that meet), s (own block), n, id, component, sig, cells."""
+    """Pairs of one key with different components and fitting sizes, unless the cell
+    counts rule them out. ``rows``: key, i, j (blocks that meet), s (own block), n,
+    id, component, sig, cells."""
     def run(batches):
         held = None
         for batch in batches:
@@ -329,8 +352,6 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
                 x, y = cand[test], other[test]
                 for lo in range(0, len(x), 20_000):
                     u, w = x[lo:lo + 20_000], y[lo:lo + 20_000]
-                    ok = (sig[u] != sig[w]).sum(axis=1) <= MAX_DISTANCE
-                    u, w = u[ok], w[ok]
                     ok = _first_shared_key(sig[u], sig[w]) == key[u] >> 48
                     u, w = u[ok], w[ok]
                     ok = _may_link(cells[u], cells[w], n[u], n[w], percent)
@@ -354,17 +375,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """One row per input row: doc_id, n_shingles, component_id (the smallest
     doc_id reachable over links), kept (doc_id = component_id)."""
     docs = docs.select(docs[key].alias(key), docs[text].alias(text))
-    signed = checkpoint(signatures(docs, text, key, size))
-    classes = checkpoint(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
-                         .agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    signed = written(signatures(docs, text, key, size))
+    classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
+                      .agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig")))
     sources = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    runs = checkpoint(_key_runs(_key_rows(classes), percent))
+    runs = written(_key_runs(_key_rows(classes), percent))
     over = runs.where("edge").selectExpr("id as b", "lag(id) over (partition by key order by n, id) as a")
     near = (runs.selectExpr("id as b", "explode(array(first, prev)) as a").unionByName(over)
             .where("a is not null and a <> b")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    first = checkpoint(_within_distance(near, classes))
-    links = checkpoint(confirm(first, sources, size, percent))
+    first = checkpoint(_nearest(near, classes))
+    links = confirm(first, sources, size, percent)
     labels = components(links)
 
     labelled = (runs.select("key", "n", "id").join(labels, "id", "left")
@@ -372,18 +393,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     mixed = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                          F.count(F.lit(1)).alias("members"))
              .where("lo < hi").select("key", F.ceil(F.col("members") / block_rows).alias("blocks")))
-    own = signed.select(F.col("doc_id").alias("id"), "d1", "d2", "cells").dropDuplicates(["id", "d1", "d2"])
-    cells = classes.select("id", "d1", "d2", "sig").join(own, ["id", "d1", "d2"]).select("id", "sig", "cells")
-    blocks = (labelled.join(mixed, "key").join(cells, "id")
+    open_rows = written(labelled.join(mixed, "key"))
+    wanted = checkpoint(open_rows.select("id").distinct())
+    cells = written(cell_counts(_likely(sources, wanted).join(wanted, "id"), size).dropDuplicates(["id", "d1", "d2"]))
+    facts = classes.join(cells, ["id", "d1", "d2"]).select("id", "n", "sig", "cells")
+    blocks = (open_rows.join(facts, ["id", "n"])
               .withColumn("s", F.pmod(F.xxhash64("id"), "blocks"))
               .withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
               .withColumn("i", F.least("s", "t")).withColumn("j", F.greatest("s", "t")))
     second = checkpoint(_pairs_across(blocks, percent).join(first, ["a", "b"], "left_anti"))
+    discard(runs, open_rows, cells)
     more = confirm(second, sources, size, percent)
-    final = components(links.unionByName(more))
-    # rows that share a doc_id but differ in text are one document
-    own = (signed.join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left")
-           .join(final, "id", "left")
-           .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
-                   .alias("component_id")))
-    return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # rows that share a doc_id but differ in text are one document: its sets are linked
+    member = signed.join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left")
+    several = (signed.where("doc_id is not null").groupBy("doc_id")
+               .agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi"))
+               .where("lo <> hi").select("doc_id"))
+    shared = checkpoint(member.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct())
+    final = components(links.unionByName(more).unionByName(shared.where("b is not null")))
+    joined = (shared.select(F.col("a").alias("doc_id")).distinct()
+              .join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+              .select("doc_id", F.coalesce("component", "doc_id").alias("own")))
+    out = (member.join(final, "id", "left").join(joined, "doc_id", "left")
+           .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(),
+                                                  F.coalesce("own", "component", "id", "doc_id")).alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
