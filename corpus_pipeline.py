@@ -5,6 +5,11 @@ Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
 with the columns of the documents table; the last returns the token digests of
 all that is left. Between stages the documents are written as Parquet and read
 again. Models are fitted on the stage's own input, whatever labels it has.
+
+Defined cases, for every stage: null text counts as empty; nulls in other columns are
+kept as they are; repeated rows are decided one by one; an empty table gives an empty
+table; columns beyond those of documents are dropped. Without labels of both kinds the
+classifiers keep every document.
 """
 from __future__ import annotations
 
@@ -15,7 +20,7 @@ from pyspark.sql import functions as F
 
 from detecteval.llm import bpe, neardup, quality, raking, toxicity
 from detecteval.llm.catalog import table, vocabulary_path
-from detecteval.session import ensure_checkpoint_dir, ensure_importable
+from detecteval.session import ensure_checkpoint_dir, ensure_importable, remove_folder, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,9 +40,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (the smallest doc_id)."""
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates: the one of smallest doc_id (null ids
+    last), the first in the table of several. Each row is its own document here, also
+    where a doc_id repeats or is null, so no text goes that has no kept near-duplicate,
+    and of equal rows one stays. Rows without words all stay."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())  # ``docs`` is a table as read: stable numbers
+    found = written(neardup.near_duplicates(rows, key="__row").where("n_shingles > 0")
+                    .select(F.col("doc_id").alias("__row"), "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    group = (found.join(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                        .select("component_id"), "component_id")
+             .join(rows.select("__row", "doc_id"), "__row"))
+    kept = group.groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.__row").alias("__row"))
+    gone = group.select("__row").join(kept, "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*COLUMNS)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,14 +75,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other; each one's documents are written to the
-    shared folder of ``spark.checkpoint.dir`` and read again."""
+    shared folder of ``spark.checkpoint.dir`` and read again. A stage's table goes
+    as soon as the next one stands; that of the last but one stays for the result."""
     ensure_importable(spark)
     folder = f"{ensure_checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{i}-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+        if i:
+            remove_folder(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
