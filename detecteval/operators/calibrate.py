@@ -4,10 +4,13 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import grid_counts, grid_value
+from ..session import checkpoint
+from .grid import grid_counts, grid_step
 
 
 def ppr_threshold(agg: DataFrame, keys: Sequence[str], target: float = 0.057,
@@ -26,76 +29,67 @@ def ppr_threshold(agg: DataFrame, keys: Sequence[str], target: float = 0.057,
 def density_valley_threshold(pt: DataFrame, keys: Sequence[str], score: str = "score",
                              bw: float = 0.05, lo: float = 0.01, hi: float = 0.99,
                              n: int = 1000, inner_lo: float = 0.05, inner_hi: float = 0.95,
-                             digits: int | None = 4,
-                             agg: DataFrame | None = None) -> DataFrame:
+                             digits: int = 4, agg: DataFrame | None = None) -> DataFrame:
     """Minimum of a Gaussian KDE (bandwidth ``bw * stddev_samp``) on the grid,
     restricted to (inner_lo, inner_hi); 0.5 when degenerate (T2, D9).
 
-    Scores are rounded to ``digits`` decimals (None: not at all) at every
-    size, so a key has at most 10^digits distinct ones; each emits one row per
-    inner grid point, and densities are summed per grid point. The standard
-    deviation is that of the scores as given.
+    Scores are rounded to ``digits`` decimals at every size, so the histogram of a key
+    has at most 10^digits + 1 cells. One task takes a key's histogram and sums the
+    kernel over it for all grid points; no row is paired with the grid. The standard
+    deviation is that of the scores as given, from the score table ``agg`` (keys,
+    score, pos, neg) where the caller has one.
     """
     keys = list(keys)
-    # ``agg`` (a score table of ``pt``: keys, score, pos, neg) saves the
-    # per-score count over the raw rows when the caller already has it.
     per_score = (agg.select(*keys, F.col(score), (F.col("pos") + F.col("neg")).alias("_c"))
                  if agg is not None else
                  pt.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c")))
-    s = F.col(score) if digits is None else F.round(F.col(score), digits)
-    stats = pt.groupBy(*keys).agg(F.stddev_samp(score).alias("_sd"), F.count(F.lit(1)).alias("_n"))
-    cnt = per_score.groupBy(*keys, s.alias("_s")).agg(F.sum("_c").alias("_c"))
-    j = cnt.join(stats, keys)
-    j = j.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    x = grid_value(F.col("j"), lo, hi, n)
-    j = j.withColumn("_x", x).filter((F.col("_x") > inner_lo) & (F.col("_x") < inner_hi))
-    sig = F.lit(float(bw)) * F.col("_sd")
-    z = (F.col("_x") - F.col("_s")) / sig
-    dens = j.groupBy(*keys, "j", "_x").agg(
-        F.sum(F.col("_c").cast("double") * F.exp(F.lit(-0.5) * z * z)).alias("_dens"),
-        F.first("_sd").alias("_sd"), F.first("_n").alias("_n"))
-    r = dens.groupBy(*keys).agg(F.min_by("_x", F.struct("_dens", "j")).alias("_t"),
-                                F.first("_sd").alias("_sd"), F.first("_n").alias("_n"))
-    ok = (F.col("_n") >= 2) & F.col("_sd").isNotNull() & (F.col("_sd") > 0)
-    return r.select(*keys, F.when(ok, F.col("_t")).otherwise(F.lit(0.5)).alias("thr_valley"))
+    off = F.col(score) - F.lit(0.5)  # moments about the middle of the scores' range
+    hist = per_score.groupBy(*keys, F.round(F.col(score), digits).alias("_s")).agg(
+        F.sum("_c").alias("_c"), F.sum(F.col("_c") * off).alias("_m1"), F.sum(F.col("_c") * off * off).alias("_m2"))
+    grid = np.arange(n) * grid_step(lo, hi, n) + lo
+    grid[-1] = hi
+    grid = grid[(grid > inner_lo) & (grid < inner_hi)]
+    kinds = {f.name: f.dataType.simpleString() for f in hist.schema}
 
+    def valley(pdf):
+        pdf = pdf.sort_values("_s")
+        c, s = pdf["_c"].to_numpy(np.float64), pdf["_s"].to_numpy(np.float64)
+        rows, m1, m2 = c.sum(), pdf["_m1"].sum(), pdf["_m2"].sum()
+        var = (m2 - m1 * m1 / rows) / (rows - 1) if rows >= 2 else 0.0
+        best = 0.5
+        if var > 1e-15 and len(grid):
+            z = 1 / (bw * np.sqrt(var))
+            density = [float((c * np.exp(-0.5 * ((x - s) * z) ** 2)).sum()) for x in grid]
+            best = float(grid[int(np.argmin(density))])
+        return pd.DataFrame([[*pdf[keys].iloc[0], best]], columns=[*keys, "thr_valley"])
 
-def _nll_expr(T, label: str = "label", margin: str = "margin", eps: float = 1e-7):
-    p = 1.0 / (1.0 + F.exp(-F.col(margin) / T))
-    p = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    y = F.col(label).cast("double")
-    return -(y * F.ln(p) + (1 - y) * F.ln(1 - p))
+    return hist.groupBy(*keys).applyInPandas(valley, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", thr_valley double")
 
 
 def fit_temperature(cal: DataFrame, keys: Sequence[str], label: str = "label",
                     margin: str = "margin", lo: float = 0.1, hi: float = 10.0,
-                    points: int = 64, rounds: int = 3) -> DataFrame:
-    """Temperature minimising the mean NLL of ``sigmoid(margin/T)`` on the
-    labelled calibration rows, per group (T3).
+                    sections: int = 32, rounds: int = 6, digits: int = 6) -> DataFrame:
+    """Temperature T in [lo, hi] of least NLL of ``sigmoid(margin / T)`` on the labelled
+    calibration rows, per group (T3), rounded to ``digits``.
 
-    Each round evaluates ``points`` temperatures in one aggregation over the
-    calibration rows (a log-spaced grid, then refined around the best point);
-    only the tiny per-group grid crosses rounds.
+    The NLL is convex in 1/T, so its derivative ``sum((sigmoid(margin/T) - y) * margin)``
+    falls through zero once as T grows. Each round is one aggregation that gives the
+    derivative at ``sections`` points between the group's bounds; the bounds close in on
+    the change of sign by ``sections + 1`` times. Without a change of sign T is the bound
+    that the NLL falls towards; with margins of 0 only, the lower one.
     """
     keys = list(keys)
-    groups = cal.select(*keys).distinct()
-    bounds = groups.withColumn("_lo", F.lit(math.log(lo))).withColumn("_hi", F.lit(math.log(hi)))
-    best = None
+    cal = checkpoint(cal.select(*keys, F.col(margin).alias("_m"), F.col(label).cast("double").alias("_y")))
+    bounds = cal.select(*keys).distinct().withColumn("_lo", F.lit(math.log(lo))).withColumn("_hi", F.lit(math.log(hi)))
     for _ in range(rounds):
-        rows = cal.join(bounds, keys).withColumn(
-            "_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        rows = rows.withColumn("_T", F.exp(F.col("_lo") + (F.col("_hi") - F.col("_lo"))
-                                           * F.col("_i") / F.lit(points - 1)))
-        nll = rows.groupBy(*keys, "_i", "_T") \
-            .agg(F.avg(_nll_expr(F.col("_T"), label, margin)).alias("_nll"))
-        best = nll.groupBy(*keys).agg(F.min_by("_T", F.struct("_nll", "_i")).alias("T"),
-                                      F.min("_nll").alias("nll"))
-        step = (F.col("_hi") - F.col("_lo")) / F.lit(points - 1)
-        bounds = (bounds.join(best, keys)
-                  .select(*keys,
-                          F.greatest(F.log(F.col("T")) - step, F.lit(math.log(lo))).alias("_lo"),
-                          F.least(F.log(F.col("T")) + step, F.lit(math.log(hi))).alias("_hi")))
-    return best
+        at = [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(i / (sections + 1)) for i in range(1, sections + 1)]
+        slope = [F.sum((F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_m") * F.exp(-x))) - F.col("_y")) * F.col("_m")) for x in at]
+        above = sum(((g > 0).cast("int") for g in slope), F.lit(0))
+        step = (F.col("_hi") - F.col("_lo")) / F.lit(sections + 1)
+        bounds = checkpoint(cal.join(bounds, keys).groupBy(*keys, "_lo", "_hi").agg(above.alias("_k"))
+                            .select(*keys, (F.col("_lo") + step * F.col("_k")).alias("_lo"),
+                                    (F.col("_lo") + step * (F.col("_k") + 1)).alias("_hi")))
+    return bounds.select(*keys, F.round(F.exp((F.col("_lo") + F.col("_hi")) / 2), digits).alias("T"))
 
 
 def apply_temperature(df: DataFrame, temps: DataFrame, keys: Sequence[str],

@@ -314,11 +314,61 @@ def q_gap_closed(spark, d):
     return rp.gap_closed(rp.adaptive_thresholds(ptm.transfer_pt(spark, d)))
 
 
-@register("temperature_scaling", None)
+def _temperature_sql() -> str:
+    """CTE ``temps``: calibration draws, bisection on the derivative of the NLL, F1 of the rest."""
+    kk = RK + ["cal_size"]
+    keys = oq.k(kk)
+    return ",".join([f"""
+_tz AS (SELECT {RKS}, row_id, label, ln((score + 0.0005{D}) / (1.0005{D} - score)) AS margin, CAST(cal_size AS INTEGER) AS cal_size
+   FROM pt CROSS JOIN (VALUES (20), (50), (100), (200)) s(cal_size) WHERE side = 'test'),
+_tz2 AS (SELECT z.* FROM _tz z JOIN (SELECT {keys} FROM _tz GROUP BY {keys} HAVING COUNT(*) >= cal_size + 100) n
+   ON {oq.on(kk, 'z', 'n')})""",
+        oq.stratified_take("_tcal", "_tz2", kk, "cal_size", "seed + fold", "calibration", kk + ["row_id"]), f"""
+_td AS (SELECT z.*, c.row_id IS NOT NULL AS cal FROM _tz2 z LEFT JOIN _tcal c ON {oq.on(kk + ['row_id'], 'z', 'c')}),
+_tb AS (SELECT DISTINCT {keys}, 0 AS i, ln(0.1{D}) AS lo, ln(10.0{D}) AS hi FROM _td WHERE cal
+  UNION ALL
+  SELECT {keys}, i + 1, CASE WHEN g > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN g > 0 THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT {oq.k(kk, 'b')}, b.i, b.lo, b.hi,
+          SUM((1.0{D} / (1.0{D} + exp(-d.margin * exp(-(b.lo + b.hi) / 2))) - d.label) * d.margin) AS g
+        FROM _tb b JOIN _td d ON {oq.on(kk, 'b', 'd')} WHERE d.cal AND b.i < 48 GROUP BY {oq.k(kk, 'b')}, b.i, b.lo, b.hi)),
+_tt AS (SELECT {keys}, round(exp((lo + hi) / 2), 6) AS T FROM _tb WHERE i = 48),
+_ts AS (SELECT d.*, t.T, round(1.0{D} / (1.0{D} + exp(-d.margin / t.T)), 9) AS score FROM _td d JOIN _tt t ON {oq.on(kk, 'd', 't')})""",
+        oq.score_table("_tca", "(SELECT * FROM _ts WHERE cal)", kk), oq.curve("_tcu", "_tca", kk),
+        oq.score_table("_tea", "(SELECT * FROM _ts WHERE NOT cal)", kk),
+        f"_tth2 AS {oq.thr_max_f1('_tcu', kk)}",
+        oq.confusion("_tme", "_tea", "_tth2", kk, extra=[]), f"""
+temps AS (SELECT {oq.k(kk, 'm')}, t.T, m.threshold, m.f1, m.recall, m.precision FROM _tme m JOIN _tt t ON {oq.on(kk, 'm', 't')})"""])
+
+
+@register("temperature_scaling", W(EV_PT_SQL + "," + _temperature_sql(), "SELECT * FROM temps"))
 def q_temperature(spark, d):
     return rp.temperature_study(ptm.events_transfer_pt(spark, d))
 
 
+_FEW_SQL = f" UNION ALL SELECT {RKS}, 'temperature_k' || cal_size AS method, f1 FROM temps"
+_EVENTS_ADAPTIVE = EV_PT_SQL + "," + _adaptive_sql() + "," + _temperature_sql()
+
+
+@register("events_method_summary", W(_EVENTS_ADAPTIVE, f"""
+SELECT method, round(avg(f1), 9) AS mean_f1, round(stddev_pop(f1), 9) AS std_f1, min(f1) AS min_f1,
+  max(f1) AS max_f1, COUNT(*) AS n FROM ({_LONG_SQL}{_FEW_SQL}) GROUP BY method"""))
+def q_events_methods(spark, d):
+    pt = ptm.events_transfer_pt(spark, d)
+    return rp.method_summary(rp.adaptive_thresholds(pt), few=rp.temperature_study(pt))
+
+
+@register("events_gap_closed", W(_EVENTS_ADAPTIVE, f"""
+SELECT l.method, round(avg(100.0{D} * (l.f1 - a.f1_source_calibrated) / (a.f1_oracle - a.f1_source_calibrated)), 9) AS mean_gap_closed_pct,
+  round(stddev_pop(100.0{D} * (l.f1 - a.f1_source_calibrated) / (a.f1_oracle - a.f1_source_calibrated)), 9) AS std_gap_closed_pct,
+  COUNT(*) AS n
+FROM ({_LONG_SQL}{_FEW_SQL}) l JOIN adaptive a ON {oq.on(RK, 'l', 'a')}
+WHERE l.method NOT IN ('source_calibrated', 'oracle') AND a.f1_oracle - a.f1_source_calibrated > 0.01{D}
+GROUP BY l.method"""))
+def q_events_gap_closed(spark, d):
+    pt = ptm.events_transfer_pt(spark, d)
+    return rp.gap_closed(rp.adaptive_thresholds(pt), few=rp.temperature_study(pt))
+
+
 # ------------------------------------------------------------ drift
 def _drift_sql() -> str:
     kk = RK

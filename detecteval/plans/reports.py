@@ -14,6 +14,7 @@ from ..operators import calibrate as cb
 from ..operators import cost as co
 from ..operators import curves as cv
 from ..operators import drift as dr
+from ..session import checkpoint
 from . import transfer as tr
 
 RUN_KEYS = ["model", "seed", "fold"]
@@ -99,15 +100,19 @@ def adaptive_thresholds(pt: DataFrame, keys: Sequence[str] = RUN_KEYS,
     return t.select(*keys, "thr_source", "thr_oracle", "thr_ppr", "thr_valley").join(wide, keys)
 
 
-def method_long(adaptive: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
-    """One row per (run, method) with its F1 (stack/unpivot, S11)."""
-    return adaptive.unpivot(list(keys), [f"f1_{m}" for m in METHODS], "method", "f1") \
+def method_long(adaptive: DataFrame, keys: Sequence[str] = RUN_KEYS, few: DataFrame | None = None) -> DataFrame:
+    """One row per (run, method) with its F1 (stack/unpivot, S11). ``few`` adds the
+    few-label methods of :func:`temperature_study`, one for each calibration size."""
+    out = adaptive.unpivot(list(keys), [f"f1_{m}" for m in METHODS], "method", "f1") \
         .withColumn("method", F.expr("substr(method, 4)"))
+    if few is None:
+        return out
+    return out.unionByName(few.select(*keys, F.concat(F.lit("temperature_k"), F.col("cal_size")).alias("method"), "f1"))
 
 
-def method_summary(adaptive: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+def method_summary(adaptive: DataFrame, keys: Sequence[str] = RUN_KEYS, few: DataFrame | None = None) -> DataFrame:
     """Mean, population std, min, max, count of F1 per method."""
-    return method_long(adaptive, keys).groupBy("method").agg(
+    return method_long(adaptive, keys, few).groupBy("method").agg(
         F.round(F.avg("f1"), ROUND).alias("mean_f1"),
         F.round(F.stddev_pop("f1"), ROUND).alias("std_f1"),
         F.min("f1").alias("min_f1"), F.max("f1").alias("max_f1"),
@@ -115,10 +120,10 @@ def method_summary(adaptive: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataF
 
 
 def gap_closed(adaptive: DataFrame, keys: Sequence[str] = RUN_KEYS,
-               min_gap: float = 0.01) -> DataFrame:
+               min_gap: float = 0.01, few: DataFrame | None = None) -> DataFrame:
     """Share of the source->oracle F1 gap each method recovers, over runs
     with a gap above ``min_gap`` (A22)."""
-    lg = method_long(adaptive, keys).filter(~F.col("method").isin("source_calibrated", "oracle"))
+    lg = method_long(adaptive, keys, few).filter(~F.col("method").isin("source_calibrated", "oracle"))
     base = adaptive.select(*keys, "f1_source_calibrated", "f1_oracle") \
         .filter(F.col("f1_oracle") - F.col("f1_source_calibrated") > min_gap)
     j = lg.join(base, list(keys))
@@ -140,11 +145,11 @@ def temperature_study(pt: DataFrame, sizes: Sequence[int] = (20, 50, 100, 200),
     keys = list(keys)
     test = pt.filter(F.col("side") == "test").withColumn(
         "margin", F.col("logit1") - F.col("logit0"))
-    d = calibration_draw(test, sizes, F.col("seed") + F.col("fold"), keys)
+    d = checkpoint(calibration_draw(test, sizes, F.col("seed") + F.col("fold"), keys)
+                   .select(*keys, "cal_size", "part", "label", "margin"))
     kk = keys + ["cal_size"]
     temps = cb.fit_temperature(d.filter(F.col("part") == "cal"), kk)
-    scaled = cb.apply_temperature(d, temps, kk, name="score_t").drop("score") \
-        .withColumnRenamed("score_t", "score")
+    scaled = cb.apply_temperature(d, temps, kk, name="score").withColumn("score", F.round("score", ROUND))
     cal_curve = cv.pr_curve(scaled.filter(F.col("part") == "cal"), kk)
     thr = cv.threshold_max_f1(cal_curve, kk)
     ev = cv.score_table(scaled.filter(F.col("part") == "eval"), kk)
