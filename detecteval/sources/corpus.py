@@ -12,6 +12,8 @@ from typing import Iterable, Optional
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_blocks import read_csv
+
 REQUIRED_COLS = ["func", "label", "project", "cwe"]
 UNIFIED_COLS = ["row_id"] + REQUIRED_COLS
 
@@ -72,14 +74,14 @@ def _content_id(df: DataFrame) -> Column:
 
 
 def _row_id_from_file(df: DataFrame) -> Column:
-    """Hash of the file's path and the row's content."""
-    return F.xxhash64(F.col("_metadata.file_path"), _content_id(df))
+    """Hash of the file's name and the row's content."""
+    return F.xxhash64(F.col("_metadata.file_name"), _content_id(df))
 
 
 def load_csv_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Wide CSV corpus with drifting column names, multi-line quoted code."""
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("quote", '"').option("escape", '"').csv(path))
+    """Wide CSV corpus with drifting column names, multi-line quoted code (S1). Files are
+    read in byte blocks by many tasks; ``row_id`` is the record's place."""
+    raw = read_csv(spark, path)
     code = first_present(raw, CSV_CODE_ALIASES)
     label = first_present(raw, CSV_LABEL_ALIASES)
     if code is None or label is None:
@@ -87,7 +89,7 @@ def load_csv_corpus(spark: SparkSession, path: str) -> DataFrame:
     proj = first_present(raw, CSV_PROJECT_ALIASES)
     cwe = first_present(raw, CSV_CWE_ALIASES)
     out = raw.select(
-        _row_id_from_file(raw).alias("row_id"),
+        F.col("_number").alias("row_id"),
         F.col(f"`{code}`").alias("func"),
         F.col(f"`{label}`").alias("label"),
         (F.col(f"`{proj}`") if proj else derive_project(raw)).alias("project"),
@@ -98,18 +100,17 @@ def load_csv_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def load_json_or_csv_corpus(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of records, or CSV, chosen by file suffix."""
-    if path.endswith(".json"):
+    if path.lower().endswith(".json"):
         raw = spark.read.option("multiLine", True).json(path)
     else:
-        raw = (spark.read.option("header", True).option("multiLine", True)
-               .option("escape", '"').csv(path))
+        raw = read_csv(spark, path)
     code = first_present(raw, JSON_CODE_ALIASES)
     label = first_present(raw, JSON_LABEL_ALIASES)
     if code is None or label is None:
         raise ValueError(f"no code/label column among {raw.columns}")
     proj = first_present(raw, JSON_PROJECT_ALIASES)
     out = raw.select(
-        _row_id_from_file(raw).alias("row_id"),
+        (F.col("_number") if "_number" in raw.columns else _row_id_from_file(raw)).alias("row_id"),
         F.col(f"`{code}`").alias("func"),
         F.col(f"`{label}`").alias("label"),
         (F.col(f"`{proj}`") if proj else F.lit("UNKNOWN")).alias("project"),
@@ -145,7 +146,7 @@ def load_dataset(spark: SparkSession, name: str, path: Optional[str] = None, **k
         "synthetic": lambda: synthetic_corpus(spark, **kw),
     }
     if name not in loaders:
-        raise ValueError(f"Unknown dataset '{name}'")
+        raise ValueError(f"no corpus loader is called {name!r}; known: {sorted(loaders)}")
     return loaders[name]()
 
 

@@ -72,3 +72,74 @@ def test_follow_latest_stream(spark, tmp_dir):
     snaps = sorted((int(d.split("=")[1]), d) for d in os.listdir(out) if d.startswith("_epoch="))
     latest = spark.read.parquet(os.path.join(out, snaps[-1][1])).orderBy("model").collect()
     assert [r["f1"] for r in latest] == [5.0, 1.2]
+
+
+def _awkward_csv(path, rows, seed):
+    """Quotes, commas and line breaks in random places; stray quotes in unquoted fields."""
+    import csv
+    import random
+    rng = random.Random(seed)
+    parts = ["x", "é", ",", '"', "\n", '""', "\n\n", " ", "if (a) {\n", "\t", "中"]
+    out = []
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        f.write("func,label,note\n")
+        w = csv.writer(f, lineterminator="\n")
+        for i in range(rows):
+            text = "f" + "".join(rng.choice(parts) for _ in range(rng.randrange(0, 40))) + ";"
+            if i % 50 == 7:
+                text = "long " + 'a "line"\n' * 300 + "end"
+            if i % 10 == 3:
+                f.write(f'a 5" pipe {i},1,"q\n\n""{i}"\n')
+                out.append((f'a 5" pipe {i}', "1", f'q\n\n"{i}'))
+                if i % 20 == 3:
+                    f.write("\n")
+            else:
+                w.writerow([text, i % 2, f"n{i}"])
+                out.append((text, str(i % 2), f"n{i}"))
+    return out
+
+
+def test_csv_blocks_equal_one_task(spark, tmp_dir):
+    from detecteval.sources import csv_blocks as cb
+    place = os.path.join(tmp_dir, "csvs")
+    os.mkdir(place)
+    want = []
+    for k in range(2):
+        want += _awkward_csv(os.path.join(place, f"part{k}.csv"), 400, k)
+    numbers = {}
+    for size in ("700b", "5k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0b")
+        try:
+            got = cb.read_csv(spark, place).orderBy("_number").collect()
+            blocks = cb.block_table(cb._lines(spark, place))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [(r["func"], r["label"], r["note"]) for r in got] == want
+        numbers[size] = [r["_number"] for r in got], len(blocks)
+    assert numbers["700b"][0] == numbers["5k"][0] == numbers["128m"][0]
+    assert numbers["700b"][1] > 50 > numbers["128m"][1]
+    one = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(place)
+    assert sorted((r["func"], r["label"], r["note"]) for r in one.collect()) == sorted(want)
+
+
+def test_csv_blocks_windows_line_ends_and_headers_only(spark, tmp_dir):
+    from detecteval.sources import csv_blocks as cb
+    p = os.path.join(tmp_dir, "w.csv")
+    with open(p, "w", newline="") as f:
+        f.write('func,label\r\n"a\r\nb",1\r\n\r\nc,0\r\n"open ""end"""')
+    rows = [(r["func"], r["label"]) for r in cb.read_csv(spark, p).orderBy("_number").collect()]
+    assert rows == [("a\nb", "1"), ("c", "0"), ('open "end"', None)]
+    q = os.path.join(tmp_dir, "h.csv")
+    with open(q, "w") as f:
+        f.write("func,label\n")
+    assert cb.read_csv(spark, q).count() == 0
+
+
+def test_equal_csv_rows_have_ids_of_their_own(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "same.csv")
+    with open(p, "w") as f:
+        f.write("func,label\n" + "int a;,1\n" * 5)
+    ids = [r["row_id"] for r in load_dataset(spark, "csv", p).collect()]
+    assert len(ids) == 5 and len(set(ids)) == 5
