@@ -3,9 +3,9 @@
 All edits are built from Spark's regex and higher-order array functions,
 so they run inside whole-stage code generation over whole texts. Random
 choices are seeded hashes (``H`` for the few per-name / per-insert draws,
-``xxhash64`` for the per-line and per-blank-run draws): the reference seeds
-one generator per call, so draws depend on the seed and on positions (line,
-run, insert number), not on the row; that is kept.
+``position_draw`` for the per-line and per-blank-run draws): one seed makes one
+sequence of draws, which depend on positions (line, run, insert number), not on
+the row.
 """
 from __future__ import annotations
 
@@ -96,6 +96,28 @@ def insert_dead_code(text: Column, n_inserts: int = 3, seed: int = 0) -> Column:
     return F.coalesce(_bind(F.split(text, "\n", -1), edit), text)
 
 
+DRAW_PRIME = (1 << 31) - 1
+
+
+def draw_terms(seed: int, salt: str) -> tuple[int, int, int]:
+    return tuple(py_hash(seed, salt, k) % (DRAW_PRIME - 1) + 1 for k in range(3))
+
+
+def position_draw(i: Column, seed: int, salt: str) -> Column:
+    """Draw number ``i`` (from 0) of a seed and salt: a quadratic polynomial modulo a
+    prime, plain integer arithmetic in the loop over lines and runs."""
+    a, b, c = (F.lit(x).cast("long") for x in draw_terms(seed, salt))
+    i = i.cast("long")
+    return ((i + a) % DRAW_PRIME) * ((i * b + c) % DRAW_PRIME) % DRAW_PRIME
+
+
+def sql_position_draw(i: str, seed: int, salt: str) -> str:
+    """DuckDB text of :func:`position_draw`."""
+    a, b, c = draw_terms(seed, salt)
+    i = f"CAST({i} AS BIGINT)"
+    return f"(((({i} + {a}) % {DRAW_PRIME}) * (({i} * {b} + {c}) % {DRAW_PRIME})) % {DRAW_PRIME})"
+
+
 def perturb_whitespace(text: Column, seed: int = 0, mode: str = "naive") -> Column:
     """Pad operators with p=.5 each, a blank line after a line with p=.3,
     every run of blanks becomes 1-3 spaces (X3). ``mode='naive'`` pads
@@ -108,17 +130,14 @@ def perturb_whitespace(text: Column, seed: int = 0, mode: str = "naive") -> Colu
                 out = F.replace(out, F.lit(op), F.lit(f" {op} "))
             else:
                 out = F.regexp_replace(out, _SAFE_OPS[op], f" {op} ")
-    # Per-line and per-run draws use the JVM-native xxhash64 of (seed, salt,
-    # position): one call per line / blank run, no md5 in the hot loop.
     lines = F.split(out, "\n", -1)
     lines = F.flatten(F.transform(lines, lambda ln, i: F.when(
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("ws_line"), i), F.lit(1000)) < 300,
-        F.array(ln, F.lit(""))).otherwise(F.array(ln))))
+        position_draw(i, seed, "ws_line") % 1000 < 300, F.array(ln, F.lit(""))).otherwise(F.array(ln))))
     out = F.array_join(lines, "\n")
     return _bind(F.split(out, "[ \t]+", -1), lambda pieces: F.array_join(F.transform(
         pieces, lambda p, j: F.when(
-            j < F.size(pieces) - 1, F.concat(p, F.repeat(F.lit(" "), (F.lit(1) + F.pmod(
-                F.xxhash64(F.lit(seed), F.lit("ws_run"), j), F.lit(3))).cast("int"))))
+            j < F.size(pieces) - 1, F.concat(p, F.repeat(F.lit(" "), (
+                F.lit(1) + position_draw(j, seed, "ws_run") % 3).cast("int"))))
         .otherwise(p)), ""))
 
 

@@ -817,6 +817,48 @@ def q_robustness(spark, d):
     return sd.robustness(spark, d)
 
 
+def _fixed_f1(name: str, src: str, keys) -> str:
+    """Confusion counts and metrics of the fixed call scorer at 0.5 by ``keys``."""
+    return f"""
+{name}_t AS (SELECT {oq.k(keys)}, label, {oq.call_score('func_perturbed', sd.CALL_WEIGHTS)} >= 0.5{D} AS hit FROM {src}),
+{name}_c AS (SELECT {oq.k(keys)}, CAST(SUM(CASE WHEN hit THEN label ELSE 0 END) AS BIGINT) AS tp,
+   CAST(SUM(CASE WHEN hit THEN 1 - label ELSE 0 END) AS BIGINT) AS fp, CAST(SUM(CASE WHEN hit THEN 0 ELSE label END) AS BIGINT) AS fn,
+   CAST(SUM(CASE WHEN hit THEN 0 ELSE 1 - label END) AS BIGINT) AS tn FROM {name}_t GROUP BY {oq.k(keys)}),
+{name} AS (SELECT *, {oq.metric_cols()} FROM {name}_c)"""
+
+
+@register("robustness_fixed", W(oq.all_edits(), f"""
+_src AS (SELECT e.kind, e.variant, e.func_perturbed, c.label FROM _ev e JOIN code c USING (row_id)
+   UNION ALL SELECT 'clean', 0, func, label FROM code),
+{_fixed_f1('_rf', '_src', ['kind', 'variant'])},
+_per AS (SELECT kind, round(avg(f1), 9) AS f1, COUNT(*) AS n_variants FROM _rf GROUP BY kind)
+SELECT p.kind, p.f1, p.n_variants, b.f1 AS clean_f1, b.f1 - p.f1 AS abs_drop,
+  100.0{D} * (b.f1 - p.f1) / greatest(b.f1, 1e-9{D}) AS rel_drop_pct
+FROM _per p, (SELECT f1 FROM _per WHERE kind = 'clean') b WHERE p.kind <> 'clean'"""))
+def q_robustness_fixed(spark, d):
+    return sd.robustness_fixed(spark, d)
+
+
+@register("category_robustness_fixed", W(oq.all_edits(1), f"""
+_cat AS (SELECT cwe FROM (SELECT cwe, COUNT(*) AS n FROM code GROUP BY cwe ORDER BY n DESC, cwe LIMIT 10) WHERE cwe <> '' AND n >= 10),
+_src AS (SELECT c.cwe, e.kind, e.func_perturbed, c.label FROM _ev e JOIN code c USING (row_id) JOIN _cat USING (cwe)
+   UNION ALL SELECT cwe, 'clean', func, label FROM code JOIN _cat USING (cwe)),
+{_fixed_f1('_rf', '_src', ['cwe', 'kind'])}
+SELECT m.cwe, m.kind, m.tp, m.fp, m.fn, m.tn, m.f1, m.recall, m.precision, b.f1 AS clean_f1, b.f1 - m.f1 AS abs_drop,
+  100.0{D} * (b.f1 - m.f1) / greatest(b.f1, 1e-9{D}) AS rel_drop_pct
+FROM _rf m JOIN _rf b ON b.cwe = m.cwe AND b.kind = 'clean'"""))
+def q_category_robustness_fixed(spark, d):
+    return sd.category_robustness_fixed(spark, d)
+
+
+@register("whitespace_edits", W(oq.all_edits(), """
+SELECT row_id, variant, length(func_perturbed) AS n_chars, sha256(func_perturbed) AS digest FROM _ev WHERE kind = 'whitespace'"""))
+def q_whitespace_edits(spark, d):
+    p = pe.perturb(fx.code_corpus(spark, d).select("row_id", "func"), ("whitespace",), n_variants=2)
+    return p.select("row_id", "variant", F.length("func_perturbed").cast("long").alias("n_chars"),
+                    F.sha2("func_perturbed", 256).alias("digest"))
+
+
 @register("per_category_robustness", None)
 def q_per_category(spark, d):
     return sd.per_category_robustness(spark, d)

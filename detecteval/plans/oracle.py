@@ -9,6 +9,7 @@ integers; floating sums are rounded to 9 digits on both sides.
 """
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from ..functions.hashing import py_hash, sql_hash
@@ -412,3 +413,32 @@ _xs AS (SELECT f.seed, f.fold, c.row_id, c.label, 'test' AS side FROM {src} c JO
    UNION ALL SELECT o.seed, o.k, c.row_id, c.label, 'val' FROM {src} c JOIN _xo o USING (project)
      JOIN _xb b ON b.seed = o.seed AND b.k = o.k
      ANTI JOIN _xv v ON v.seed = o.seed AND v.k = o.k AND v.project = o.project)"""
+
+
+def whitespace_edit(seed: int, name: str) -> str:
+    """CTE ``name`` (row_id, func, t): the naive whitespace edit of ``code``."""
+    out = "func"
+    for j, op in enumerate(perturb.WS_OPERATORS):
+        if py_hash(seed, "ws_op", j) / 4294967296.0 < 0.5:
+            out = f"replace({out}, '{op}', ' {op} ')"
+    line, run = (perturb.sql_position_draw("i - 1", seed, x) for x in ("ws_line", "ws_run"))
+    return f"""
+{name}_l AS (SELECT row_id, func, array_to_string(flatten(list_transform(string_split({out}, chr(10)), lambda ln, i:
+   CASE WHEN {line} % 1000 < 300 THEN [ln, ''] ELSE [ln] END)), chr(10)) AS t FROM code),
+{name}_p AS (SELECT row_id, func, regexp_split_to_array(t, '[ \t]+') AS pieces FROM {name}_l),
+{name} AS (SELECT row_id, func, array_to_string(list_transform(pieces, lambda p, i:
+   CASE WHEN i < len(pieces) THEN p || repeat(' ', 1 + {run} % 3) ELSE p END), '') AS t FROM {name}_p)"""
+
+
+def all_edits(variants: int = 2, seed: int = 0) -> str:
+    """CTE ``_ev`` (row_id, kind, variant, func, func_perturbed) over ``code``: rename,
+    dead code and whitespace for every variant (X1-X5, A21)."""
+    ctes, parts = [], []
+    for v in range(variants):
+        text = re.sub(r"\b_e(n|l|r|d|p|i|dits)\b", rf"_e\1_{v}", edits(seed + v))
+        if v:
+            text = text[text.index(f"_en_{v} AS"):]
+        ctes += [text, whitespace_edit(seed + v, f"_ww_{v}")]
+        parts += [f"SELECT row_id, kind, {v} AS variant, func, func_perturbed FROM _edits_{v}",
+                  f"SELECT row_id, 'whitespace', {v}, func, t FROM _ww_{v}"]
+    return ",\n".join(ctes) + ",\n_ev AS (" + " UNION ALL ".join(parts) + ")"

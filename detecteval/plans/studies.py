@@ -144,6 +144,44 @@ def robustness(spark: SparkSession, sf_dir: str, kinds=("rename", "deadcode", "w
                     / F.greatest(F.col("clean_f1"), F.lit(1e-9)))
 
 
+#: Edits whose draws SQL can state.
+FIXED_KINDS = ("rename", "deadcode", "whitespace")
+
+
+def _drops(m: DataFrame, clean) -> DataFrame:
+    return m.withColumn("abs_drop", clean - F.col("f1")).withColumn(
+        "rel_drop_pct", F.lit(100.0) * F.col("abs_drop") / F.greatest(clean, F.lit(1e-9)))
+
+
+def robustness_fixed(spark: SparkSession, sf_dir: str, n_variants: int = 2) -> DataFrame:
+    """F1 of the fixed call scorer on every row of the code corpus under each edit, mean
+    over variants, absolute and relative drop from the clean F1 (R5: X1-X5, A19, A21)."""
+    c = fx.code_corpus(spark, sf_dir).select("row_id", "label", "func")
+    score = ex.make_call_scorer(CALL_WEIGHTS)
+    p = pe.perturb(c, FIXED_KINDS, seed=0, n_variants=n_variants).drop("func")
+    clean = c.select("row_id", "label", F.lit("clean").alias("kind"), F.lit(0).alias("variant"), F.col("func").alias("func_perturbed"))
+    m = cv.compute_metrics(score(clean.unionByName(p), "func_perturbed", "score"), ["kind", "variant"], 0.5)
+    per = m.groupBy("kind").agg(F.round(F.avg("f1"), ROUND).alias("f1"), F.count(F.lit(1)).alias("n_variants"))
+    base = per.where("kind = 'clean'").select(F.col("f1").alias("clean_f1"), F.lit(list(FIXED_KINDS)).alias("kind"))
+    base = base.withColumn("kind", F.explode("kind"))
+    return _drops(per.join(base, "kind"), F.col("clean_f1"))
+
+
+def category_robustness_fixed(spark: SparkSession, sf_dir: str, top: int = 10, min_rows: int = 10) -> DataFrame:
+    """The same per category: the ten most frequent ones (blank counted, then dropped) of
+    at least ``min_rows`` rows, with the drops from the category's clean F1 (R12: A20, W2)."""
+    c = fx.code_corpus(spark, sf_dir).select("row_id", "label", "cwe", "func")
+    cats = c.groupBy("cwe").count().orderBy(F.col("count").desc(), F.col("cwe")).limit(top) \
+        .filter((F.col("cwe") != "") & (F.col("count") >= min_rows)).select("cwe")
+    t = c.join(F.broadcast(cats), "cwe")  # ten rows at most
+    p = pe.perturb(t, FIXED_KINDS, seed=0).drop("func", "variant")
+    clean = t.select(*[x for x in t.columns if x != "func"], F.lit("clean").alias("kind"), F.col("func").alias("func_perturbed"))
+    scored = ex.make_call_scorer(CALL_WEIGHTS)(clean.unionByName(p.select(*clean.columns)), "func_perturbed", "score")
+    m = cv.compute_metrics(scored, ["cwe", "kind"], 0.5).select("cwe", "kind", "tp", "fp", "fn", "tn", "f1", "recall", "precision")
+    base = m.where("kind = 'clean'").select("cwe", F.col("f1").alias("clean_f1"))
+    return _drops(m.join(base, "cwe"), F.col("clean_f1"))
+
+
 def per_category_robustness(spark: SparkSession, sf_dir: str, top: int = 10,
                             min_rows: int = 10) -> DataFrame:
     """Ten most frequent categories (blank counted, then dropped), >= 10 rows:
