@@ -890,6 +890,42 @@ def q_attributions(spark, d):
     return sd.attribution_study(spark, d)
 
 
+def _attribution_sql() -> str:
+    tfidf = CATALOG["tfidf"][1]
+    head = tfidf[tfidf.index("_tok AS"):tfidf.index("_w AS")].rstrip().rstrip(",")
+    b = f"{sd.FIXED_INTERCEPT!r}{D}"
+    sig = lambda x: f"(1.0{D} / (1.0{D} + exp(-({x}))))"
+    return W(head + f""",
+_au AS (SELECT c.row_id, c.term, (1.0{D} + ln(c.tf{D})) * v.idf AS u,
+   CASE WHEN c.tf > 1 THEN (1.0{D} + ln((c.tf - 1){D})) * v.idf ELSE 0.0{D} END AS u2,
+   CAST({_h('0', 'coef').replace('row_id', 'c.term')} % 2001 - 1000 AS DOUBLE) / 250.0{D} AS coef
+   FROM _tc c JOIN _voc v ON c.term = v.term),
+_as AS (SELECT *, SUM(u * u) OVER (PARTITION BY row_id) AS n2, SUM(u * coef) OVER (PARTITION BY row_id) AS dot FROM _au),
+_az AS (SELECT *, {b} + dot / sqrt(n2) AS z, n2 - u * u + u2 * u2 AS n2m FROM _as),
+_av AS (SELECT row_id, term, 'occlusion' AS method, round({sig('z')} - {sig(f"{b} + CASE WHEN n2m > 0 THEN (dot - coef * u + coef * u2) / sqrt(n2m) ELSE 0.0{D} END")}, 9) AS value FROM _az
+  UNION ALL SELECT row_id, term, 'integrated_gradients', round(coef * u / sqrt(n2) * CASE WHEN abs(z - {b}) > 1e-12{D}
+    THEN ({sig('z')} - {sig(b)}) / (z - {b}) ELSE {sig(b)} * (1.0{D} - {sig(b)}) END, 9) FROM _az)""", """
+SELECT row_id, term, value, method, row_number() OVER (PARTITION BY method, row_id ORDER BY abs(value) DESC, term) AS rank
+FROM _av QUALIFY rank <= 10""")
+
+
+@register("attributions_fixed", _attribution_sql())
+def q_attributions_fixed(spark, d):
+    return sd.attributions_fixed(spark, d)
+
+
+@register("counterfactual_examples", W(fx.sql_code(), f"""
+_cb AS (SELECT row_id, label, cwe, func, {oq.call_score('func', sd.CALL_WEIGHTS)} AS p_before FROM code),
+_cx AS (SELECT c.*, s.sink, replace(c.func, s.sink, '/*' || s.sink || '*/safe_noop') AS _cf FROM _cb c
+  JOIN (VALUES {", ".join(f"('{x}')" for x in sd.ex.SINKS)}) AS s(sink) ON contains(c.func, s.sink)),
+_cd AS (SELECT sink, row_id, label, cwe, p_before, {oq.call_score('_cf', sd.CALL_WEIGHTS)} AS p_after FROM _cx),
+_ce AS (SELECT sink, row_id, label, cwe, p_before >= 0.5 AND p_after < 0.5 AS flipped, round(p_before, 9) AS p_before,
+  round(p_after, 9) AS p_after, round(p_before - p_after, 9) AS delta FROM _cd)
+SELECT *, row_number() OVER (PARTITION BY sink ORDER BY delta DESC, row_id) AS rank FROM _ce QUALIFY rank <= 5"""))
+def q_counterfactual_examples(spark, d):
+    return sd.counterfactual_examples(spark, d)
+
+
 @register("top_projects", W(EV_PT_SQL + "," + oq.transfer_runs("pt"), f"""
 SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {RKS} ORDER BY f1_gap DESC, project) AS rank
   FROM per_project) WHERE rank <= 20"""))

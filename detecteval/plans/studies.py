@@ -12,6 +12,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import H
 from ..operators import curves as cv
 from ..operators import explain as ex
 from ..operators import models as md
@@ -225,6 +226,35 @@ def counterfactual_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.flip_rates(cf, c, ["label"]).withColumn("max_delta", F.round("max_delta", ROUND))
 
 
+#: Intercept of the weight table of :func:`attributions_fixed`.
+FIXED_INTERCEPT = 0.25
+
+
+def attributions_fixed(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """Top-k occlusion and integrated-gradient terms of every row under a stored weight
+    table instead of a fitted one: a term's weight is ``(H(0, coef, term) % 2001 - 1000)
+    / 250`` (E5, E6, W1). Values are rounded before they are ranked."""
+    c = fx.corpus(spark, sf_dir).select("row_id", "func")
+    tf = md.fit_tfidf(c)
+    w = tf.vocab.select("term", "idx", ((H(0, "coef", F.col("term")) % 2001 - 1000).cast("double") / F.lit(250.0)).alias("coef"))
+    parts = {"occlusion": ex.occlusion_linear(tf, w, FIXED_INTERCEPT, c).withColumn("value", F.round("delta", ROUND)),
+             "integrated_gradients": ex.integrated_gradients_linear(tf, w, FIXED_INTERCEPT, c).withColumn(
+                 "value", F.round("attribution", ROUND))}
+    out = [ex.top_k_by_abs(t.select("row_id", "term", "value"), k, "value").withColumn("method", F.lit(m))
+           for m, t in parts.items()]
+    return out[0].unionByName(out[1])
+
+
+def counterfactual_examples(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """For each sink the ``k`` rows whose score falls most when the sink is removed, under
+    the fixed call scorer: a report of examples (R7, R12: E3, W3)."""
+    c = fx.code_corpus(spark, sf_dir).select("row_id", "label", "cwe", "func")
+    cf = ex.counterfactual_sink_removal(c, ex.make_call_scorer(CALL_WEIGHTS)).select(
+        "sink", "row_id", "label", "cwe", "flipped", *[F.round(x, ROUND).alias(x) for x in ("p_before", "p_after", "delta")])
+    w = Window.partitionBy("sink").orderBy(F.desc("delta"), "row_id")
+    return cf.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def attribution_study(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Top-k occlusion and integrated-gradient terms for all positives of the test split
     (R7: E5, E6, W1, W3)."""
