@@ -90,9 +90,8 @@ def main() -> None:
              .config("spark.driver.memory", "16g")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="de-bench-", dir="/tmp"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    spark.sparkContext.setCheckpointDir(
+        spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="de-bench-", dir="/tmp"))
     names = sys.argv[1:] or list(QUERIES)
     times = {}
     for n in names:
