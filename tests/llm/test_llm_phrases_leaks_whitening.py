@@ -259,7 +259,7 @@ def test_whitening_against_exact_sums(spark, vectors):
     sign = {}
     for r in sorted(got, key=lambda r: -abs(r.whitened)):
         deviation, z = want[r.vec_id][0]
-        assert r.deviation == deviation
+        assert r.deviation == (deviation if deviation < 2 ** 63 else None)
         c = r.component - 1
         sign.setdefault(c, np.sign(r.whitened * z[c]))
         assert abs(r.whitened - sign[c] * z[c]) < 1e-6 * max(1, abs(z[c]))
