@@ -37,7 +37,7 @@ from ..session import checkpoint
 from .arrays import lower_ascii, map_batches, ragged, text_pieces
 
 MOST, LEAST, TOP, HELD_BY = 3, 10, 2000, 50
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 CHUNK_ROWS = 1 << 18
 SAMPLE_CHARS, SAMPLED_A_RANGE = 16 << 20, 32
 
@@ -135,14 +135,14 @@ def suffixes(docs: DataFrame, text: str, lang: str, most: int, borders: list[str
             border = own == 0
             where = np.cumsum(np.where(border, times, 0))[~border]
             ids, own, times = [c[~border] for c in ids], own[~border], times[~border]
-            for lo in range(0, len(own), 200_000):
-                part = [pa.array(c[lo:lo + 200_000] - 1) for c in ids]
+            for lo in range(0, len(own), 100_000):
+                part = [pa.array(c[lo:lo + 100_000] - 1) for c in ids]
                 spelled = [names.take(pc.if_else(pc.less(c, 0), None, c)) for c in part]
                 joined = pc.binary_join_element_wise(*spelled, *_ENDING, null_handling="skip")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where[lo:lo + 200_000].astype(np.int32)),
-                     langs.dictionary.take(pa.array(own[lo:lo + 200_000] - 1)), joined.cast(pa.string()),
-                     pa.array(times[lo:lo + 200_000])], names=["range", "lang", "suffix", "times"])
+                    [pa.array(where[lo:lo + 100_000].astype(np.int32)),
+                     langs.dictionary.take(pa.array(own[lo:lo + 100_000] - 1)), joined.cast(pa.string()),
+                     pa.array(times[lo:lo + 100_000])], names=["range", "lang", "suffix", "times"])
     return map_batches(docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text]), run,
                        "range int, lang string, suffix string, times long")
 
