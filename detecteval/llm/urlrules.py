@@ -17,21 +17,30 @@ reach ``reject``; without any its purity is not evidence, and it is allowed.
 Labels are the rules' verdicts.
 
 The tree is built over the distinct (host, tokens, label) with their counts,
-not over pages. It goes as deep as the paths do: a round takes every node over
-the tokens that its rows share (one path, or prefixes of it: nothing to choose)
-to its next branching and settles that level; rows that end leave the work. So
-there are as many rounds as a path has branchings, however many segments.
+not over pages, and goes as deep as the paths do. A node whose paths hold at most
+``WHOLE`` bytes is settled with all that is below it by one task (``grow``); the
+tasks hold many such nodes. Larger nodes are settled a level at a time over all
+tasks: a round takes every one over the tokens that its rows share (one path, or
+prefixes of it: nothing to choose) to its next branching and settles that level.
+Both ways give the same tree, so the rounds end when the nodes are small, however
+many branchings a path has below.
 
 Defined cases: null, or no ``://``: host, path and template are empty. Without
 any labelled page nothing is rejected.
 """
 from __future__ import annotations
 
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
+#: Bytes of paths (16 more a token) of a node that one task settles to its leaves.
+WHOLE = 8 << 20
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -86,7 +95,7 @@ def _tested(cells: DataFrame, over: str) -> DataFrame:
     test = (cells.join(of_kind, ["host", "node", over]).join(branch, ["host", "node", "token"])
             .join(node, ["host", "node"]).join(kinds, ["host", "node"])
             .groupBy("host", "node", "token", "total", "children", "b", "kinds")
-            .agg((F.sum(F.col("o") * F.col("o") * F.col("total") / (F.col("k") * F.col("b"))) - F.first("b")).alias("chi2")))
+            .agg((F.sum(F.col("o").cast("double") * F.col("o") / F.col("k") * F.col("total") / F.col("b")) - F.first("b")).alias("chi2")))
     free = F.least(F.greatest(F.col("kinds") - 1, F.lit(1)), F.lit(len(CHI2_95))).cast("int")
     point = F.element_at(F.array(*[F.lit(x) for x in CHI2_95]), free)
     return test.select("host", "node", "token", "b", "total", "children", (F.col("chi2") > point).alias("unlike"))
@@ -115,8 +124,8 @@ def _generalised(tree: DataFrame, many: int, rare: float) -> DataFrame:
     ``rest``, literal, wildcard or merged, moved to the node."""
     rows = (tree.withColumn("token", F.get("rest", F.lit(0)))
             .withColumn("next", F.coalesce(F.get("rest", F.lit(1)), F.lit("<end>"))))
-    rows = rows.withColumn("literal", ~F.col("token").rlike(r"^(<.*|/)$"))
-    kind = F.when(F.col("next").rlike("^<"), F.col("next")).otherwise("<name>")
+    rows = rows.withColumn("literal", ~F.col("token").startswith("<") & (F.col("token") != "/"))
+    kind = F.when(F.col("next").startswith("<"), F.col("next")).otherwise("<name>")
     cells = checkpoint(rows.where("literal").groupBy("host", "node", "token", kind.alias("kind"), "label")
                        .agg(F.sum("n").alias("o")))
     build = _tested(cells, "kind").withColumnRenamed("unlike", "other_build")
@@ -130,21 +139,129 @@ def _generalised(tree: DataFrame, many: int, rare: float) -> DataFrame:
                     F.concat_ws("/", "node", F.coalesce("name", "token")).alias("node"), "label", "n"))
 
 
-def template_tree(pages: DataFrame, many: int = 16, rare: float = 1 / 16, strength: float = 10.0) -> DataFrame:
+# -- a whole small node in one task ----------------------------------------------
+
+def _unlike(cells: dict) -> tuple[dict, int]:
+    """``cells``: (branch, kind) -> pages. For each branch (its pages, whether they are
+    spread unlike those of all its siblings), and the pages of all."""
+    size: dict = {}
+    of_kind: dict = {}
+    for (token, kind), o in cells.items():
+        size[token] = size.get(token, 0) + o
+        of_kind[kind] = of_kind.get(kind, 0) + o
+    total = sum(size.values())
+    chi2 = {token: -float(b) for token, b in size.items()}
+    for (token, kind), o in cells.items():
+        chi2[token] += float(o) * o / of_kind[kind] * total / size[token]
+    point = CHI2_95[min(max(len(of_kind) - 1, 1), len(CHI2_95)) - 1]
+    return {token: (b, chi2[token] > point) for token, b in size.items()}, total
+
+
+def _names(rows: list, at: int, many: int, rare: float) -> dict:
+    """Name of each literal token at position ``at`` of the paths of a node."""
+    built: dict = {}
+    marked: dict = {}
+    for path, label, n, _ in rows:
+        token = path[at]
+        if token.startswith("<") or token == "/":
+            continue
+        follows = path[at + 1] if at + 1 < len(path) else "<end>"
+        key = token, follows if follows.startswith("<") else "<name>"
+        built[key] = built.get(key, 0) + n
+        if label is not None:
+            marked[token, label] = marked.get((token, label), 0) + n
+    build, total = _unlike(built)
+    marks, _ = _unlike(marked)
+    names = {}
+    for token, (b, other_build) in build.items():
+        if len(build) >= many and b < rare * total:
+            names[token] = "<*>"
+        elif len(build) > 1 and not other_build and not marks.get(token, (0, False))[1]:
+            names[token] = "<~>"
+    return names
+
+
+def grow(rows: list, node: str = "", at: int = 0, many: int = 16, rare: float = 1 / 16) -> list:
+    """(template, row) of every row (path, label, pages, anything) under ``node``,
+    whose paths are settled up to position ``at``."""
+    out, work = [], [(node, at, rows)]
+    while work:
+        node, at, rows = work.pop()
+        out += [(node, r) for r in rows if len(r[0]) == at]
+        rows = [r for r in rows if len(r[0]) > at]
+        if not rows:
+            continue
+        # over the tokens in which all agree with the longest path
+        longest = max((r[0] for r in rows), key=lambda p: (len(p), p[at:]))
+        shared = len(longest)
+        for path, *_ in rows:
+            end = min(len(path), shared)
+            if path[at:end] != longest[at:end]:
+                shared = next(i for i in range(at, end) if path[i] != longest[i])
+        out += [("/".join([node, *r[0][at:]]), r) for r in rows if len(r[0]) <= shared]
+        rows = [r for r in rows if len(r[0]) > shared]
+        if not rows:
+            continue
+        node = "/".join([node, *longest[at:shared]])
+        names = _names(rows, shared, many, rare)
+        below: dict = {}
+        for r in rows:
+            below.setdefault(names.get(r[0][shared], r[0][shared]), []).append(r)
+        work += [(f"{node}/{name}", shared + 1, part) for name, part in below.items()]
+    return out
+
+
+def _grown(tree: DataFrame, many: int, rare: float) -> DataFrame:
+    """``tree`` (host, tokens, rest, node, label, n), of small nodes, to its leaves."""
+    columns = ["host", "tokens", "node", "label", "n"]
+    rows = (tree.select("host", "node", "tokens", (F.size("tokens") - F.size("rest")).alias("at"), "label", "n")
+            .repartition("host", "node").sortWithinPartitions("host", "node"))
+    schema = pa.schema([("host", pa.string()), ("tokens", pa.list_(pa.string())), ("node", pa.string()),
+                        ("label", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        each = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        held = []
+        for (host, node), group in groupby(each, key=lambda r: r[:2]):
+            group = list(group)
+            paths = [(r[2], r[4], r[5], None) for r in group]
+            held += [(host, r[0], name, r[1], r[2]) for name, r in grow(paths, node, group[0][3], many, rare)]
+            if len(held) >= 10_000:
+                yield from _batches(held)
+                held = []
+        yield from _batches(held)
+
+    def _batches(held):
+        for lo in range(0, len(held), 10_000):
+            part = list(zip(*held[lo:lo + 10_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, schema)], schema=schema)
+    return rows.mapInArrow(run, "host string, tokens array<string>, node string, label string, n long").select(columns)
+
+
+def template_tree(pages: DataFrame, many: int = 16, rare: float = 1 / 16, strength: float = 10.0,
+                  whole: int = WHOLE) -> DataFrame:
     """(host, tokens, template, purity, own) of every (host, tokens) of ``pages``
     (host, tokens, label), purity being the smoothed share of ``block`` and own
     the plain one, null without labelled pages."""
     ended = F.size("rest") == 0
     columns = ["host", "tokens", "node", "label", "n"]
-    tree = checkpoint(pages.groupBy("host", "tokens", "label").agg(F.count(F.lit(1)).alias("n"))
-                      .select("host", "tokens", F.col("tokens").alias("rest"), F.lit("").alias("node"), "label", "n"))
+    weight = F.sum(F.octet_length(F.array_join("tokens", "/")) + 16 * F.size("tokens"))
+    tree = pages.groupBy("host", "tokens", "label").agg(F.count(F.lit(1)).alias("n")).select(
+        "host", "tokens", F.col("tokens").alias("rest"), F.lit("").alias("node"), "label", "n")
+    tree = checkpoint(tree)
     done = tree.where(ended).select(columns)
-    while not (tree := tree.where(~ended)).isEmpty():
+    tree = tree.where(~ended)
+    while True:
+        tree = checkpoint(tree.join(tree.groupBy("host", "node").agg(weight.alias("weight")), ["host", "node"]))
+        done = done.unionByName(_grown(tree.where(F.col("weight") <= whole), many, rare))
+        tree = tree.where(F.col("weight") > whole).drop("weight")
+        if tree.isEmpty():
+            break
         tree = checkpoint(_to_branching(tree))
         done = done.unionByName(tree.where(ended).select(columns))
-        if not (tree := tree.where(~ended)).isEmpty():
-            tree = checkpoint(_generalised(tree, many, rare))
-            done = done.unionByName(tree.where(ended).select(columns))
+        tree = checkpoint(_generalised(tree.where(~ended), many, rare))
+        done = done.unionByName(tree.where(ended).select(columns))
+        tree = tree.where(~ended)
     tree = checkpoint(done)
     counts = tree.groupBy("host", "node").agg(F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0)).alias("bad"),
                                               F.sum(F.when(F.col("label") == "allow", F.col("n")).otherwise(0)).alias("good"))
