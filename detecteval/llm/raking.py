@@ -12,9 +12,8 @@ targets' sizes whatever the data hold; only their totals come to the driver. A
 target whose value has no tokens is left out and the others are scaled up. Where
 the named ones leave nothing but ``*`` has tokens, it keeps the share of all
 tokens that it has, and the others are scaled down to the rest: no class is
-dropped because it has no name. (``sql`` gives such a ``*`` the share 0; the two
-differ on tables with tokens in it only.) Shares that the draw will miss, for
-want of tokens, are logged.
+dropped because it has no name; ``sql`` states the same rule. Shares that the
+draw will miss, for want of tokens, are logged.
 
 Defined cases: null text has 0 tokens, a null source or language belongs to
 ``*``; an empty document has its cell's probability, and a cell without tokens
@@ -156,8 +155,12 @@ def sql(targets: dict = TARGETS, budget: float = BUDGET, seed: int = SEED, round
     marks = " ".join(f"WHEN contains(text, '{m}') THEN '{n}'" for n, m in TOPIC_RULES)
     goal = lambda name: ", ".join(f"('{v}', {s!r}::DOUBLE)" for v, s in shares(targets[name]).items())
     goals = "".join(f""",
-g_{n}(v, share) AS (SELECT v, s / sum(s) OVER () FROM (VALUES {goal(n)}) t(v, s)
-  WHERE v IN (SELECT {c} FROM cells WHERE tok > 0))""" for n, c in (("source", "source_class"), ("lang", "lang_class"), ("topic", "topic")))
+g_{n}(v, share) AS (
+  SELECT v, CASE WHEN v = '{REST}' AND s <= 1e-9 THEN rest ELSE s / scale * (1 - rest) END
+  FROM (SELECT v, s, sum(s) OVER () AS scale, CASE WHEN sum(s) OVER () > 1e-9 THEN
+            coalesce(max(CASE WHEN v = '{REST}' AND s <= 1e-9 THEN held END) OVER () / sum(held) OVER (), 0) ELSE 1 END AS rest
+        FROM (VALUES {goal(n)}) t(v, s) JOIN (SELECT {c} AS v, sum(tok) AS held FROM cells GROUP BY {c}) h USING (v) WHERE held > 0))"""
+        for n, c in (("source", "source_class"), ("lang", "lang_class"), ("topic", "topic")))
     scale = lambda x, c, g: f"CASE WHEN sum({x}) OVER (PARTITION BY {c}) > 0 THEN {x} * {g} * total / sum({x}) OVER (PARTITION BY {c}) ELSE 0 END"
     return f"""WITH RECURSIVE d AS (
   SELECT doc_id, {_sql_case('source', targets['source'])} AS source_class, {_sql_case('lang', targets['lang'])} AS lang_class,

@@ -127,11 +127,11 @@ k AS (SELECT *, CASE WHEN regexp_matches(url, '{_SCHEME}') THEN host || path ||
     ELSE url END AS canonical_url, page_id * 10 + 5 + 10 * (turn % 4000) AS asked FROM u),
 a AS (SELECT canonical_url, page_id * 10 AS time, page_id * 2 AS record_id, 200 AS status, tag, day, digest, size, turn, asked FROM k
   UNION ALL SELECT canonical_url, asked, page_id * 2 + 1, 304, tag, day, digest, size, turn, asked FROM k),
-w AS (SELECT *, last_value(CASE WHEN status = 200 THEN {{'id': record_id, 'tag': tag, 'day': day, 'digest': digest, 'size': size}} END IGNORE NULLS)
+w AS (SELECT *, last_value(CASE WHEN status = 200 AND canonical_url IS NOT NULL THEN {{'id': record_id, 'tag': tag, 'day': day, 'digest': digest, 'size': size}} END IGNORE NULLS)
     OVER (PARTITION BY canonical_url ORDER BY time, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hit FROM a),
 v AS (SELECT *, CASE WHEN hit IS NULL THEN 'no_response' WHEN turn % 5 = 4 THEN 'no_validator'
     WHEN CASE WHEN turn % 5 < 2 THEN tag = hit.tag WHEN turn % 5 = 2 THEN day = hit.day ELSE digest = hit.digest END THEN 'resolved'
-    ELSE 'mismatch' END AS verdict FROM w WHERE status = 304 AND canonical_url IS NOT NULL)
+    ELSE 'mismatch' END AS verdict FROM w WHERE status = 304)
 SELECT record_id, canonical_url, hit.id AS response_id, verdict, CASE WHEN verdict = 'resolved' THEN
   'cache-control=max-age=90;content-length=' || hit.size || ';content-type=text/html;date=' || CAST(asked AS VARCHAR) || ';etag=' || hit.tag END AS headers
 FROM v"""

@@ -7,6 +7,7 @@ import re
 import sys
 
 import numpy as np
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,21 @@ def test_sql_oracles(spark, name):
     assert ok, message
 
 
+def test_sql_of_raking_keeps_values_without_a_target(spark, tmp_dir):
+    """Null and fifth languages, a source that has no other, and null text: the SQL draws as the operator does."""
+    langs = ["en", "de", "fr", "es", None, "it"]
+    rows = [(i, None if i % 97 == 0 else "some words " * (i % 7) + (" | " if i % 5 == 0 else "") + ("a@b" if i % 11 == 0 else ""),
+             langs[i % 6], ["src0", "src1", "web", None][i % 4]) for i in range(1500)]
+    docs = spark.createDataFrame(rows + [(9000 + i, "words", None, "src2") for i in range(80)],
+                                 "doc_id long, text string, lang string, source string")
+    for name, part in (("all", docs), ("unnamed", docs.where("lang is null")), ("named", docs.where("lang in ('en', 'de')"))):
+        part.write.parquet(f"{tmp_dir}/raking-{name}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_dir}/raking-{name}/documents.parquet/*.parquet')")
+        ok, _, message = compare(raking.mix(part), con, raking.sql())
+        assert ok, (name, message)
+
+
 def test_raking_of_odd_rows(spark, odd):
     out = raking.mix(odd).collect()
     assert len(out) == 13 and all(0 <= r.probability <= 1 for r in out)
@@ -262,6 +278,10 @@ def test_revisits_of_null_urls_are_in_the_query(spark, tmp_dir):
     assert sorted(r.record_id for r in got) == [2 * i + 1 for i in range(60)]
     lost = [r for r in got if r.canonical_url is None]
     assert len(lost) == 20 and {(r.verdict, r.response_id, r.headers) for r in lost} == {("no_response", None, None)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_dir}/pages.parquet/*.parquet')")
+    ok, _, message = compare(catalog.op5(spark, tmp_dir), con, catalog.QUERIES["op5_revisits"][1])
+    assert ok, message
 
 
 def test_url_rules_and_templates(spark):
