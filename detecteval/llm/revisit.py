@@ -3,10 +3,13 @@
 A revisit record (status 304) has no body; it stands for the latest earlier
 full response of its canonical URL. This is an as-of join: by canonical URL, to
 the last response before it in (time, record id). A URL may hold a third of all
-records, so the join has two levels. Times are cut into ``buckets`` ranges of
-about equally many records; within (URL, range) a window looks back, and each
-range's last response is carried into the later ranges of its URL over a table
-of one row for each (URL, range).
+records, so the join has two levels. The records of URLs that hold more than one
+part in ``buckets`` of all (fewer than ``buckets`` URLs) are cut by time into ranges
+of about that size; within (URL, range) a window looks back, and each range's last
+response is carried into the later ranges of its URL over a table of one row for
+each (URL, range). So a window holds about one part in ``buckets`` of the table at
+most, whatever its size; ``buckets`` follows the shuffle partitions unless given.
+Only records of one URL and one time are never parted.
 
 The response found must agree with the revisit's validator: the entity tag
 (weak comparison) if it has one, else the modification date, else the payload
@@ -15,13 +18,19 @@ digest. A resolved revisit gets the response's headers, updated by those that a
 
 Defined cases: a null or relative URL is its own canonical form (null matches
 nothing); a null time is never before or after anything; records that tie in
-time go by record id.
+time go by record id, a null id first (it is returned like any other). Repeated
+records count one by one, extra columns are ignored, an empty table gives no rows.
 """
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 #: Headers that a 304 may update in the stored response.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 _SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*://"
@@ -43,22 +52,54 @@ def _bare_tag(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve(records: DataFrame, buckets: int = 64) -> DataFrame:
+def _as_number(records: DataFrame, column: str) -> Column:
+    """A number that never falls as ``column`` rises."""
+    kind = records.schema[column].dataType.typeName()
+    time = F.col(column)
+    return (F.unix_date(time) if kind == "date" else time.cast("timestamp") if kind == "timestamp_ntz" else time).cast("double")
+
+
+def _range_of(time: Column, edges: list[float]) -> Column:
+    """How many of the rising ``edges`` are not after ``time``, looked up in two steps."""
+    if not edges:
+        return F.lit(0)
+    step = math.isqrt(len(edges)) + 1
+    heads = F.size(F.filter(F.lit(np.array(edges[::step])), lambda e: e <= time))
+    first = F.greatest((heads - 1) * step, F.lit(0))
+    inside = F.size(F.filter(F.slice(F.lit(np.array(edges)), first + 1, F.lit(step)), lambda e: e <= time))
+    return F.when(heads == 0, 0).otherwise(first + inside)
+
+
+def _edges(rows: DataFrame, buckets: int) -> list[float]:
+    """Times that cut the records (canonical_url, at) of the largest URLs into ranges of
+    a ``buckets``-th of all records; fewer than ``buckets`` of them, none without such URLs."""
+    total = rows.count()
+    hot = checkpoint(rows.groupBy("canonical_url").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * buckets > total))
+    parts = math.ceil((hot.agg(F.sum("n")).first()[0] or 0) * buckets / max(total, 1))
+    if parts < 2:
+        return []
+    cut = F.percentile_approx("at", [i / parts for i in range(1, parts)], 20 * parts)
+    found = rows.join(F.broadcast(hot.select("canonical_url")), "canonical_url").agg(cut.alias("e"))  # < buckets URLs
+    return sorted(set(found.first()["e"] or []))
+
+
+def resolve(records: DataFrame, buckets: int | None = None) -> DataFrame:
     """``records``: record_id, url, time, status, etag, last_modified, digest,
     headers (map). One row per revisit (status 304): record_id, canonical_url,
     response_id, verdict (resolved, mismatch, no_validator, no_response) and
     headers (null unless resolved). Responses are records of status 200."""
+    buckets = buckets or 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "time", "status", "etag",
-                          "last_modified", "digest", "headers").where("status in (200, 304)")
-    edges = rows.agg(F.percentile_approx("time", [i / buckets for i in range(1, buckets)], 10000).alias("e")).first()["e"]
-    edges = sorted(set(edges or []))
-    at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("time"))) if edges else F.lit(0)
-    response = F.when((F.col("status") == 200) & F.col("time").isNotNull() & F.col("canonical_url").isNotNull(),
-                      F.struct("record_id", "etag", "last_modified", "digest", "headers"))
-    rows = rows.withColumn("bucket", F.coalesce(at, F.lit(0))).withColumn("response", response)
+                          "last_modified", "digest", "headers", _as_number(records, "time").alias("at"))
+    placed = F.col("canonical_url").isNotNull() & F.col("time").isNotNull()
+    edges = _edges(rows.where(F.col("status").isin(200, 304) & placed).select("canonical_url", "at"), buckets)
+    rows = (rows.where(F.col("status").isin(200, 304))
+            .withColumn("bucket", F.coalesce(_range_of(F.col("at"), edges), F.lit(0))).drop("at"))
+    response = F.when((F.col("status") == 200) & placed, F.struct("record_id", "etag", "last_modified", "digest", "headers"))
+    rows = rows.withColumn("response", response)
     nothing = F.when(F.lit(False), F.col("response"))
-    nowhere = rows.where("canonical_url is null and status = 304")
-    rows = rows.where("canonical_url is not null")
+    nowhere = rows.where(~placed & (F.col("status") == 304))  # beside the windows, however many they are
+    rows = rows.where(placed)
     inside = rows.withColumn("near", F.expr(
         "last(response, true) over (partition by canonical_url, bucket order by time, record_id "
         "rows between unbounded preceding and 1 preceding)"))
@@ -70,7 +111,7 @@ def resolve(records: DataFrame, buckets: int = 64) -> DataFrame:
     asked = inside.where((F.col("status") == 304)).drop("response")
     found = (asked.join(carried, ["canonical_url", "bucket"], "left")
              .unionByName(nowhere.withColumns({"near": nothing, "far": nothing}).drop("response"))
-             .withColumn("hit", F.when(F.col("time").isNotNull(), F.coalesce("near", "far"))))
+             .withColumn("hit", F.coalesce("near", "far")))
     hit = F.col("hit")
     same = (F.when(F.col("etag").isNotNull(), F.coalesce(_bare_tag(F.col("etag")) == _bare_tag(hit["etag"]), F.lit(False)))
             .when(F.col("last_modified").isNotNull(), F.coalesce(F.col("last_modified") == hit["last_modified"], F.lit(False)))

@@ -271,6 +271,32 @@ def test_revisits_resolve_to_the_latest_earlier_response(spark):
             assert got[i].headers == {**(hit[7] or {}), **allowed}
 
 
+def test_ranges_follow_the_largest_url(spark):
+    """Ranges are cut only where a URL holds many records, and cut them evenly, at every number of ranges."""
+    hot = [("hot", float(i * i)) for i in range(2000)]
+    rows = spark.createDataFrame(hot + [(f"u{i}", 5.0) for i in range(4000)], "canonical_url string, at double")
+    assert revisit._edges(rows.where("canonical_url <> 'hot'"), 32) == []
+    assert revisit._edges(rows.limit(0), 32) == []
+    for buckets in (3, 32, 700):
+        edges = revisit._edges(rows, buckets)
+        placed = rows.select("canonical_url", "at", revisit._range_of(F.col("at"), edges).alias("k")).collect()
+        assert all(r.k == sum(e <= r.at for e in edges) for r in placed)
+        assert max(collections.Counter((r.canonical_url, r.k) for r in placed).values()) <= 6000 / buckets * 1.3 + 2
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "double", "decimal(20,3)"])
+def test_revisits_by_times_of_other_kinds(spark, kind):
+    rows = [(i, "http://hot.example/a", i // 2, 200 if i % 4 == 0 else 304, '"a"') for i in range(400)]
+    records = spark.createDataFrame(rows + [(None, "http://hot.example/a", None, 304, '"a"')], "record_id long, url string, day int, status int, etag string")
+    time = F.date_add(F.lit("2024-01-01").cast("date"), F.col("day"))
+    records = records.select("*", (time if kind in ("date", "timestamp") else F.col("day")).cast(kind).alias("time"),
+                             F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+                             F.lit(None).cast("map<string,string>").alias("headers"), F.lit("clash").alias("bucket"))
+    got = {r.record_id: (r.response_id, r.verdict) for r in revisit.resolve(records, buckets=16).collect()}
+    assert got == {None: (None, "no_response"), **{i: (i - i % 4, "resolved") for i in range(400) if i % 4}}
+    assert revisit.resolve(records.limit(0)).count() == 0
+
+
 def test_revisits_of_null_urls_are_in_the_query(spark, tmp_dir):
     pages = [(i, None if i % 3 == 0 else f"http://x.example/{i % 5}", f"text {i % 4}") for i in range(60)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_dir}/pages.parquet")
