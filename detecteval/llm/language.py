@@ -11,7 +11,9 @@ of words. The prediction is the language of the largest proportion, which is
 also the score.
 
 The trigram model is fitted on a bounded sample of labelled rows, ``per_language``
-rows of each language, chosen by hash; prediction reads every whole text.
+rows of each language, chosen by hash, for the ``most_languages`` values of ``lang``
+with the most rows (ties by name); a dirty column of more values has no more than
+that in the model. Prediction reads every whole text.
 
 Defined cases: null text or text without letters is ``und`` with score 0; ties
 go to the language first in order; without labelled rows all texts are ``und``.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, Piece, codepoints, text_pieces
+from .arrays import PIECE_BYTES, U64, Piece, codepoints, text_pieces
 from .bpe import LETTER, classes_of
 
 CELLS = 1 << 15
@@ -82,15 +84,16 @@ class Model(NamedTuple):
 
 
 def fit(docs: DataFrame, text: str, lang: str, key: str, where: Column | None = None,
-        per_language: int = 3000, smoothing: float = 0.5) -> Model:
+        per_language: int = 3000, smoothing: float = 0.5, most_languages: int = 256) -> Model:
     """Trigram model of the labelled rows that meet ``where``. About
     ``per_language`` rows of each language are read (all, if there are fewer);
-    the counts, languages x 32,768 cells at most, come to the driver."""
+    the counts, ``most_languages`` x 32,768 cells at most, come to the driver."""
     rows = docs.select(docs[key].cast("string").alias("k"), docs[text].alias("text"), docs[lang].alias("lang"))
     rows = (rows if where is None else docs.where(where).select(
         F.col(key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")))
     rows = rows.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((CELLS, 0), np.float32))
@@ -196,8 +199,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
 
     def run(batches):
         model = shared.value
+        piece = PIECE_BYTES * 8 // max(8, len(model.languages))  # words x languages at a time
         for batch in batches:
-            for p in text_pieces(batch.column(1)):
+            for p in text_pieces(batch.column(1), piece):
                 names, score, share = predict_piece(model, p)
                 sets = [[{"lang": model.languages[j], "share": float(row[j])}
                          for j in np.argsort(-row, kind="stable") if row[j] >= least] for row in share]
