@@ -7,6 +7,7 @@ longest text, never by the number of rows). A null text counts as empty.
 """
 from __future__ import annotations
 
+import ctypes
 from typing import Callable, Iterator, NamedTuple
 
 import numpy as np
@@ -48,6 +49,15 @@ def text_pieces(column: pa.Array, max_bytes: int = PIECE_BYTES) -> Iterator[Piec
         lo = hi
 
 
+def give_back_memory() -> None:
+    """Hand what the allocators keep of freed memory back to the system. For the driver
+    after a fit: its process lives on beside the JVM for as long as the application."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_batches(df, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str):
     """``mapInArrow`` with one function per batch (a batch may give several)."""
     def run(batches):
