@@ -50,21 +50,31 @@ def text_pieces(column: pa.Array, max_bytes: int = PIECE_BYTES) -> Iterator[Piec
 
 
 def give_back_memory() -> None:
-    """Hand what the allocators keep of freed memory back to the system. For the driver
-    after a fit: its process lives on beside the JVM for as long as the application."""
+    """Hand what the allocators keep of freed memory back to the system, for processes
+    that live on beside a JVM: the driver after a fit, workers after a task."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:
         trim(0)
 
 
-def map_batches(df, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str):
+def released(run):
+    """``run`` for ``mapInArrow``, giving the worker's freed memory back at the task's end."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back_memory()
+    return whole
+
+
+def map_batches(df, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, release: bool = False):
     """``mapInArrow`` with one function per batch (a batch may give several)."""
     def run(batches):
         for b in batches:
             if b.num_rows:
                 yield from fn(b)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run) if release else run, schema)
 
 
 def char_counts(p: Piece) -> np.ndarray:

@@ -42,13 +42,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, discard, written
-from .arrays import distinct_per_text, lower_ascii, map_batches, shingles, split_words, stream, text_pieces
+from .arrays import (PIECE_BYTES, distinct_per_text, lower_ascii, map_batches, released, shingles, split_words,
+                     stream, text_pieces)
 
 SYMBOLS, CHUNK, ERRORS = 64, 4, 1
 CELLS, FULL_CELL = 512, 255
@@ -76,7 +76,7 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
 def signatures(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
     """doc_id, n_shingles, set digest (d1, d2) and signature of each document."""
     def run(batch):
-        for p in text_pieces(batch.column(1)):
+        for p in text_pieces(batch.column(1), PIECE_BYTES // 2):
             sets = text_sets(p, size)
             n = np.array([len(s) for s in sets], np.int64)
             digest = np.array([_digest(s) for s in sets])
@@ -90,13 +90,13 @@ def signatures(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
                  pa.array(sig, pa.binary())],
                 names=["doc_id", "n_shingles", "d1", "d2", "sig"])
     return map_batches(docs.select(docs[key].cast("long").alias("doc_id"), docs[text]), run,
-                       "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+                       "doc_id long, n_shingles long, d1 long, d2 long, sig binary", release=True)
 
 
 def cell_counts(texts: DataFrame, size: int) -> DataFrame:
     """id, set digest and cell counts of each text's set."""
     def run(batch):
-        for p in text_pieces(batch.column(1)):
+        for p in text_pieces(batch.column(1), PIECE_BYTES // 2):
             sets = text_sets(p, size)
             cells = [np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS),
                                 FULL_CELL).astype(np.uint8).tobytes() for s in sets]
@@ -104,7 +104,7 @@ def cell_counts(texts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.lo, p.hi - p.lo), pa.array(digest[:, 0]),
                                               pa.array(digest[:, 1]), pa.array(cells, pa.binary())],
                                              names=["id", "d1", "d2", "cells"])
-    return map_batches(texts.select("id", "text"), run, "id long, d1 long, d2 long, cells binary")
+    return map_batches(texts.select("id", "text"), run, "id long, d1 long, d2 long, cells binary", release=True)
 
 
 def _digest(own: np.ndarray) -> np.ndarray:
@@ -154,7 +154,7 @@ def _key_rows(classes: DataFrame) -> DataFrame:
             ids, n = (np.repeat(b.column(c).to_numpy(), SYMBOLS) for c in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(n), pa.array(ids)],
                                              names=["key", "n", "id"])
-    return map_batches(classes.select("id", "n", "sig"), run, "key long, n long, id long")
+    return map_batches(classes.select("id", "n", "sig"), run, "key long, n long, id long", release=True)
 
 
 def _size_class(n: np.ndarray, percent: int) -> np.ndarray:
@@ -211,7 +211,7 @@ def _key_runs(rows: DataFrame, percent: int) -> DataFrame:
              pa.array(prev, mask=~same), pa.array(edge)], names=["key", "n", "id", "first", "prev", "edge"])
 
     return (rows.repartitionByRange("key", "n", "id").sortWithinPartitions("key", "n", "id")
-            .mapInArrow(run, _RUNS))
+            .mapInArrow(released(run), _RUNS))
 
 
 def _nearest(pairs: DataFrame, classes: DataFrame, most: int = 2) -> DataFrame:
@@ -225,30 +225,23 @@ def _nearest(pairs: DataFrame, classes: DataFrame, most: int = 2) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int32))],
                                          names=["a", "b", "far"])
     measured = map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b"), run,
-                           "a long, b long, far int").groupBy("a", "b").agg(F.min("far").alias("far"))
+                           "a long, b long, far int", release=True).groupBy("a", "b").agg(F.min("far").alias("far"))
     order = F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))
     return measured.withColumn("place", order).where(F.col("place") <= most).select("a", "b")
 
 
 def _likely(docs: DataFrame, wanted: DataFrame, most_bits: int = 1 << 24) -> DataFrame:
     """``docs`` without most rows whose id is not wanted, so that few texts
-    travel to the join that follows and decides. A bit map of hashed ids, of
-    ``most_bits`` bits (2 MB) at most, whatever the number of ids; with far more
-    ids than bits it lets all rows pass."""
+    travel to the join that follows and decides. A bit map of hashed ids in rows of
+    64 bits, of ``most_bits`` bits (262,144 rows) at most, whatever the number of ids; with far
+    more ids than bits it lets all rows pass."""
     bits = min(most_bits, 1 << max(16, (16 * wanted.count()).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = (wanted.select(place.alias("p")).selectExpr("p div 64 as w", "shiftleft(1L, cast(p % 64 as int)) as b")
-             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
-    table = np.zeros(bits // 64, np.uint64)
-    table[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def may_be(at: pd.Series) -> pd.Series:
-        p = at.fillna(0).to_numpy(dtype=np.int64)
-        return pd.Series((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return docs.where(may_be(place))
+    words = (wanted.select(place.alias("p")).selectExpr("p div 64 as __w", "shiftleft(1L, cast(p % 64 as int)) as b")
+             .groupBy("__w").agg(F.bit_or("b").alias("__b")))
+    return (docs.withColumn("__p", place).withColumn("__w", F.expr("__p div 64"))
+            .join(F.broadcast(words), "__w")  # bits / 64 rows at most
+            .where("(__b & shiftleft(1L, cast(__p % 64 as int))) <> 0").select(*docs.columns))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group_rows: int = 256) -> DataFrame:
@@ -274,7 +267,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group_ro
             group = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             role, ids = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             found_a, found_b = [], []
-            for p in text_pieces(batch.column(4)):
+            for p in text_pieces(batch.column(4), PIECE_BYTES // 2):
                 for r, own in zip(range(p.lo, p.hi), text_sets(p, size)):
                     if group[r] != at:
                         at, anchors = group[r], []
@@ -287,7 +280,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, group_ro
                                              names=["a", "b"])
 
     found = checkpoint(rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
-                       .mapInArrow(run, "a long, b long").distinct())
+                       .mapInArrow(released(run), "a long, b long").distinct())
     discard(texts)
     return found
 
@@ -367,7 +360,8 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
 
     order = ["key", "i", "j", "n", "id"]
     return (rows.select("key", "i", "j", "s", "n", "id", "component", "sig", "cells")
-            .repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct())
+            .repartition("key", "i", "j").sortWithinPartitions(*order)
+            .mapInArrow(released(run), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5,
