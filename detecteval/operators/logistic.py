@@ -32,8 +32,12 @@ def keyed_vocabulary(counts: DataFrame, trained: DataFrame, max_features: int, i
     """``(task, term, idx, idf)``: for each task the ``max_features`` terms that its
     training rows hold most often (ties by term), numbered by term."""
     n = trained.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
-    stats = (counts.join(trained, id_col).groupBy("task", "term")
-             .agg(F.sum("tf").alias("_cnt"), F.count(F.lit(1)).alias("_df")))
+    # rows that train the same tasks are added up before their tasks are told apart
+    own = trained.groupBy(id_col).agg(F.array_sort(F.collect_list("task")).alias("_tasks"))
+    stats = (counts.join(own, id_col).groupBy("_tasks", "term")
+             .agg(F.sum("tf").alias("_cnt"), F.count(F.lit(1)).alias("_df"))
+             .select(F.explode("_tasks").alias("task"), "term", "_cnt", "_df").groupBy("task", "term")
+             .agg(F.sum("_cnt").alias("_cnt"), F.sum("_df").alias("_df")))
     order = [F.desc("_cnt"), F.asc("term")]
     best = stats.withColumn("_s", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
     for keys in (["task", "_s"], ["task"]):  # first inside hash buckets: no task sees all terms
@@ -46,21 +50,58 @@ def keyed_vocabulary(counts: DataFrame, trained: DataFrame, max_features: int, i
 
 def keyed_tfidf(texts: DataFrame, members: DataFrame, max_features: int = 10_000, text_col: str = "func",
                 id_col: str = "row_id") -> DataFrame:
-    """``members`` (task, row_id, train) with ``idx`` and ``val``, the row's
-    L2-normalised TF-IDF under the vocabulary of its task, in the order of ``idx``;
-    both empty for rows without a term of it."""
+    """``members`` (task, row_id, train and any other columns) with ``idx`` and ``val``,
+    the row's L2-normalised TF-IDF under the vocabulary of its task, in the order of
+    ``idx``; both empty for rows without a term of it.
+
+    A row's terms are collected once, whatever the number of its tasks. The driver and
+    each Python task hold the vocabularies: ``tasks x max_features`` terms at most."""
     counts = checkpoint(term_counts(texts, text_col, id_col))
-    vocabulary = keyed_vocabulary(counts, members.where("train").select("task", id_col), max_features, id_col)
-    weight = (F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf")
-    rows = (counts.join(members.select("task", id_col), id_col).join(vocabulary, ["task", "term"])
-            .groupBy("task", id_col).agg(F.array_sort(F.collect_list(F.struct("idx", weight.alias("w")))).alias("_e")))
-    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    rows = (rows.withColumn("_norm", norm)
-            .select("task", id_col, F.col("_e.idx").alias("idx"),
-                    F.transform("_e", lambda x: x["w"] / F.col("_norm")).alias("val")))
-    return members.join(rows, ["task", id_col], "left").withColumns({
-        "idx": F.coalesce("idx", F.array().cast("array<int>")),
-        "val": F.coalesce("val", F.array().cast("array<double>"))})
+    trained = members.where("train").select("task", id_col).distinct()
+    known = keyed_vocabulary(counts, trained, max_features, id_col).toArrow()
+    names = known["term"].to_pylist()
+    terms = sorted(set(names), key=lambda x: x.encode())  # as Spark orders them: idx rises with the number
+    number = {t: i for i, t in enumerate(terms)}
+    at, many = np.array([number[t] for t in names], np.int64), len(terms)
+    task_of, idx_of, idf_of = (known[c].to_numpy() for c in ("task", "idx", "idf"))
+    books = {}
+    for t in np.unique(task_of):
+        place, idf = np.full(many, -1, np.int32), np.zeros(many)
+        mine = task_of == t
+        place[at[mine]], idf[at[mine]] = idx_of[mine], idf_of[mine]
+        books[int(t)] = place, idf
+    spark = texts.sparkSession
+    numbered = spark.createDataFrame(list(enumerate(terms)), "_t int, term string")
+    entries = (counts.join(F.broadcast(numbered), "term").groupBy(id_col)
+               .agg(F.array_sort(F.collect_list(F.struct("_t", "tf"))).alias("_e"))
+               .select(id_col, F.col("_e._t").alias("_t"), F.col("_e.tf").alias("_tf")))
+    shared = spark.sparkContext.broadcast(books)
+    keep = members.columns
+
+    def weigh(batches):
+        for batch in batches:
+            column = {c: batch.column(c) for c in (*keep, "_t", "_tf")}
+            task = column["task"].to_numpy(zero_copy_only=False)
+            for t in np.unique(task):
+                rows = np.flatnonzero(task == t)
+                (off, term), (_, tf) = (_lists(column[c].take(pa.array(rows))) for c in ("_t", "_tf"))
+                term, tf = term[off[0]:off[-1]], tf[off[0]:off[-1]]
+                place, idf = shared.value.get(int(t)) or (np.full(many, -1, np.int32), np.zeros(many))
+                row = np.repeat(np.arange(len(rows)), np.diff(off))
+                known = place[term] >= 0
+                row, term, tf = row[known], term[known], tf[known]
+                val = (1.0 + np.log(tf.astype(np.float64))) * idf[term]
+                val = val / np.sqrt(np.bincount(row, weights=val * val, minlength=len(rows)))[row]
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(rows))))), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [column[c].take(pa.array(rows)) for c in keep]
+                    + [pa.ListArray.from_arrays(offsets, pa.array(place[term])), pa.ListArray.from_arrays(offsets, pa.array(val))],
+                    names=[*keep, "idx", "val"])
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+    joined = members.join(entries, id_col, "left").withColumns({
+        "_t": F.coalesce("_t", F.array().cast("array<int>")), "_tf": F.coalesce("_tf", F.array().cast("array<bigint>"))})
+    return joined.select(*keep, "_t", "_tf").mapInArrow(
+        weigh, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", idx array<int>, val array<double>")
 
 
 # -- one pass over the rows ----------------------------------------------------------
@@ -92,25 +133,67 @@ def _margins(w: np.ndarray, fits, cells, values, pair) -> np.ndarray:
     return np.bincount(pair, weights=values * w.ravel()[cells], minlength=len(fits)) + w[fits, -1]
 
 
-def _totals(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(loss, gradient) of every fit at ``w``, without the penalty: each task adds up
-    its rows, blocks of coefficients are then added up over the tasks."""
+#: A piece of rows that train the same fits, as the bytes of numpy arrays.
+_PIECE = {"fits": np.int32, "at": np.int64, "idx": np.int32, "val": np.float64, "label": np.float64, "w": np.float64}
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """The rows in pieces of about ``CELLS`` cells, each of rows that train the same fits:
+    steps read plain arrays and take nothing apart. Pieces are dealt out evenly."""
+    def run(batches):
+        for batch in batches:
+            (at, idx), (_, val), (fat, fit), (_, w) = (_lists(batch.column(c)) for c in ("idx", "val", "fit", "w"))
+            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
+            kinds: dict[bytes, list[int]] = {}
+            for r in range(batch.num_rows):
+                kinds.setdefault(fit[fat[r]:fat[r + 1]].astype(np.int32).tobytes(), []).append(r)
+            for fits, own in kinds.items():
+                own, many = np.array(own), len(fits) // 4
+                ends = np.cumsum(at[own + 1] - at[own])
+                lo = 0
+                while lo < len(own):
+                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, side="right")))
+                    mine = own[lo:hi]
+                    n = at[mine + 1] - at[mine]
+                    start = np.concatenate(([0], np.cumsum(n)))
+                    flat = np.arange(start[-1]) + np.repeat(at[mine] - start[:-1], n)
+                    piece = {"fits": np.frombuffer(fits, np.int32), "at": start, "idx": idx[flat], "val": val[flat],
+                             "label": label[mine], "w": w[fat[mine][:, None] + np.arange(many)].ravel()}
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([piece[c].astype(kind).tobytes()], pa.binary()) for c, kind in _PIECE.items()], names=list(_PIECE))
+                    lo = hi
+    return rows.select("label", "idx", "val", "fit", "w").mapInArrow(
+        run, ", ".join(f"{c} binary" for c in _PIECE)).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _totals(pieces: DataFrame, w: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(loss, gradient) of every fit marked in ``open_`` at ``w``, without the penalty: each
+    task adds up its pieces, blocks of coefficients are then added up over the tasks."""
     n, width = w.shape
-    shared = rows.sparkSession.sparkContext.broadcast(w)
+    shared = pieces.sparkSession.sparkContext.broadcast((w, open_))
 
     def local(batches):
         total = np.zeros(n * width + n)
+        w, open_ = shared.value
         for batch in batches:
-            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
-            sat, weights = _lists(batch.column("w"))
-            weights = weights[sat[0]:sat[-1]]
-            for part, row, fits, cells, values, pair in _pairs(batch, width):
-                z = _margins(shared.value, fits, cells, values, pair)
-                y, s = label[row], weights[part]
-                rest = s * (np.exp(-np.logaddexp(0, -z)) - y)
-                total[:n * width] += np.bincount(cells, weights=values * rest[pair], minlength=n * width)
-                total[width - 1:n * width:width] += np.bincount(fits, weights=rest, minlength=n)
-                total[n * width:] += np.bincount(fits, weights=s * (np.logaddexp(0, z) - y * z), minlength=n)
+            for i in range(batch.num_rows):
+                piece = {c: np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _PIECE.items()}
+                idx, val, y = piece["idx"], piece["val"], piece["label"]
+                terms = np.diff(piece["at"])
+                full = terms > 0
+                weights = piece["w"].reshape(len(y), -1)
+                for j, f in enumerate(piece["fits"]):
+                    if not open_[f]:
+                        continue
+                    z = np.full(len(y), w[f, -1])
+                    if len(idx):
+                        z[full] += np.add.reduceat(val * w[f, :-1][idx], piece["at"][:-1][full])
+                    s = weights[:, j]
+                    rest = s * (np.exp(-np.logaddexp(0, -z)) - y)
+                    own = total[f * width:(f + 1) * width]
+                    own[:-1] += np.bincount(idx, weights=val * np.repeat(rest, terms), minlength=width - 1)
+                    own[-1] += rest.sum()
+                    total[n * width + f] += (s * (np.logaddexp(0, z) - y * z)).sum()
         yield from _blocks({k // BLOCK: total[k:k + BLOCK] for k in range(0, len(total), BLOCK)})
 
     def merged(batches):
@@ -126,7 +209,7 @@ def _totals(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                                           pa.array([x.tobytes() for x in total.values()], pa.binary())],
                                          names=["block", "data"])
     blocks = -(-(n * width + n) // BLOCK)
-    got = (rows.select("label", "idx", "val", "fit", "w").mapInArrow(local, "block int, data binary")
+    got = (pieces.mapInArrow(local, "block int, data binary")
            .repartition(blocks, "block").mapInArrow(merged, "block int, data binary").collect())
     shared.destroy()
     total = np.concatenate([np.frombuffer(r.data) for r in sorted(got, key=lambda r: r.block)])
@@ -136,7 +219,7 @@ def _totals(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- solver ----------------------------------------------------------------------------
 
 def minimise(value: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, tol: float,
-             max_steps: int, history: int = 10) -> np.ndarray:
+             max_steps: int, history: int = 30) -> np.ndarray:
     """L-BFGS with halved steps over all rows of ``start`` at once: ``value`` gives
     losses and gradients. A row rests once its largest gradient entry is ``tol`` or less."""
     w = start
@@ -188,12 +271,18 @@ def fit_keyed(rows: DataFrame, fits: int, size: int, c: float = 1.0, tol: float
     with its weight in each (``w`` array<double>). ``size`` bounds ``idx``; it is
     ``max_features`` at most, so what the driver holds does not grow with the rows.
     A fit without rows gets zeros."""
-    rows = checkpoint(rows.select(F.col("label").cast("int").alias("label"), "idx", "val", "fit", "w"))
+    pieces = checkpoint(_packed(rows.select(F.col("label").cast("int").alias("label"), "idx", "val", "fit", "w")))
+    plain = np.append(np.ones(size), 0) / c
+    last: list[np.ndarray] = []  # the points of the step before, their losses and gradients
 
     def value(w):
-        loss, gradient = _totals(rows, w)
-        plain = np.append(np.ones(size), 0) / c
-        return loss + (w * w * plain).sum(axis=1) / 2, gradient + w * plain
+        open_ = (w != last[0]).any(axis=1) if last else np.ones(fits, bool)
+        loss, gradient = _totals(pieces, w, open_)
+        loss, gradient = loss + (w * w * plain).sum(axis=1) / 2, gradient + w * plain
+        if last:  # a fit that stays where it was keeps its figures
+            loss, gradient = np.where(open_, loss, last[1]), np.where(open_[:, None], gradient, last[2])
+        last[:] = w.copy(), loss, gradient
+        return loss.copy(), gradient.copy()
     return minimise(value, np.zeros((fits, size + 1)), tol, max_steps)
 
 
@@ -226,14 +315,16 @@ def run_protocol(texts: DataFrame, sides: DataFrame, plan: DataFrame, max_featur
     val or test; a row may stand on several sides. ``plan``: (fit, task, w1), fits
     numbered from 0, w1 the weight of positives; a bounded list."""
     fits = plan.count()
-    members = sides.groupBy("task", id_col).agg(F.max(F.col("side") == "train").alias("train"))
-    rows = keyed_tfidf(texts, members, max_features, text_col, id_col)
+    members = sides.groupBy("task", id_col).agg(
+        F.max(F.col("side") == "train").alias("train"),
+        F.filter(F.collect_list("side"), lambda x: x != "train").alias("sides"))
     per_task = plan.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("fit", "w1"))).alias("_p"))
-    rows = checkpoint(rows.join(per_task, "task").join(texts.select(id_col, "label"), id_col)
-                      .withColumn("fit", F.col("_p.fit"))
-                      .withColumn("w", F.transform("_p", lambda p: F.when(F.col("label") == 1, p["w1"]).otherwise(1.0)))
-                      .drop("_p"))
+    members = (members.join(F.broadcast(per_task), "task").join(texts.select(id_col, "label"), id_col)
+               .withColumn("fit", F.col("_p.fit"))
+               .withColumn("w", F.transform("_p", lambda p: F.when(F.col("label") == 1, p["w1"]).otherwise(1.0)))
+               .drop("_p"))
+    rows = checkpoint(keyed_tfidf(texts, checkpoint(members), max_features, text_col, id_col))
     size = (rows.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1
     coefficients = fit_keyed(rows.where("train"), fits, size, tol=tol)
-    others = sides.where("side <> 'train'").select("task", id_col, "side")
-    return score_keyed(rows.join(others, ["task", id_col]), coefficients, [id_col, "label", "side"])
+    scored = score_keyed(rows.where(F.size("sides") > 0), coefficients, [id_col, "label", "sides"])
+    return scored.select(id_col, "label", F.explode("sides").alias("side"), "fit", "margin", "score")
