@@ -54,14 +54,30 @@ def _bind(value: Column, body) -> Column:
 def rename_variables(text: Column, seed: int = 0) -> Column:
     """Names after a C type keyword, minus library calls, renamed to vN at
     word boundaries, one after another (X1, D11). Order of names is by
-    seeded hash (not a process-dependent set order)."""
+    seeded hash (not a process-dependent set order). The text is taken apart into
+    words once, whatever the number of names: a name is always a whole word, and a
+    word goes where the renames lead it (a declared ``v0`` may be renamed twice)."""
     names = F.array_distinct(F.regexp_extract_all(text, F.lit(_DECL), 1))
     names = F.array_except(names, F.array(*[F.lit(x) for x in LIB_CALLS]))
-    keyed = F.array_sort(F.transform(names, lambda n: F.struct(
-        H(seed, "rename", n).alias("h"), n.alias("name"))))
-    idx = F.transform(keyed, lambda x, i: F.struct(x["name"].alias("name"), i.alias("i")))
-    return F.aggregate(idx, text, lambda acc, x: F.regexp_replace(
-        acc, F.concat(F.lit("(?U)\\b"), x["name"], F.lit("\\b")), F.concat(F.lit("v"), x["i"].cast("string"))))
+    keyed = F.transform(F.array_sort(F.transform(names, lambda n: F.struct(
+        H(seed, "rename", n).alias("h"), n.alias("name")))), lambda x: x["name"])
+
+    def fresh(i):
+        return F.concat(F.lit("v"), i.cast("string"))
+
+    def target(order, i):
+        later = F.transform(order, lambda n, j: F.struct(n.alias("name"), j.alias("j")))
+        return F.aggregate(later, fresh(i), lambda acc, x: F.when(
+            (x["j"] > i) & (x["name"] == acc), fresh(x["j"])).otherwise(acc))
+
+    def renamed(order):
+        again = F.exists(order, lambda n: n.rlike("^v[0-9]+$"))
+        goals = F.when(again, F.transform(order, lambda _, i: target(order, i))).otherwise(
+            F.transform(order, lambda _, i: fresh(i)))
+        words = F.regexp_extract_all(text, F.lit("(?U)\\w+|\\W+"), 0)
+        return _bind(F.map_from_arrays(order, goals), lambda goal: F.array_join(F.transform(
+            words, lambda x: F.coalesce(F.try_element_at(goal, x), x)), ""))
+    return _bind(keyed, lambda order: F.when(F.size(order) > 0, renamed(order)).otherwise(text))
 
 
 def insert_dead_code(text: Column, n_inserts: int = 3, seed: int = 0) -> Column:
