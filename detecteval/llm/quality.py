@@ -3,15 +3,14 @@
 Pairs of a good and a bad labelled document are preferences. The model gives
 each document a strength, linear in features of its whole text, and the
 probability that one beats another is the logistic function of the difference;
-the weights minimise the logistic loss on *feature differences*. The cut is a
-quantile of the strengths of the training rows, the one at which they are
-split best; the score is the logistic function of the strength, shifted so that
+the weights minimise the logistic loss on *feature differences* over every pair
+of a good and a bad training row. The cut is the strength at which all training
+rows are split best; the score is the logistic function of the strength, shifted so that
 the cut has the score ``CUT``.
 
 Features (DataFrame functions, whole text): shares of capitals, digits, signs
 and white space, distinct words per word, distinct lines per line, mean word
-length, log length, the share of immediately repeated words. Labelled rows are
-a documented, bounded sample (``rows_per_label``); scoring covers every row.
+length, log length, the share of immediately repeated words. Fit and scores cover every row.
 
 Defined cases: an empty or null text has the features of "", and a score like
 any other; without labels of both kinds every score is 0.5.
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard, written
 from .arrays import Piece, char_counts, released, split_words, text_pieces
 
 CUT = 0.3
@@ -129,21 +129,106 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, steps: int = 30
     return Model(mean, scale, w, float(grid[best[len(best) // 2]]), float(max(strength.std(), 1e-6) / 2), True)
 
 
+def _cells(table: DataFrame, model: Model, reach: float, cells: int, moments: bool) -> dict[tuple[int, int], np.ndarray]:
+    """{(label, cell): sums} over all rows, in even cells of the strength between -reach
+    and reach (the outer ones take what lies beyond): the number of rows and, with
+    ``moments``, the sums of the standardised features and of their products."""
+    width = len(FEATURES)
+
+    def local(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            z = (x - model.mean) / model.scale
+            cell = np.clip(np.floor(((z * model.weights).sum(axis=1) + reach) * (cells / (2 * reach))), 0, cells - 1)
+            data = np.ones((len(y), 1))
+            if moments:
+                data = np.concatenate((data, z, (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)), axis=1)
+            found, back = np.unique(y * cells + cell.astype(np.int64), return_inverse=True)
+            sums = np.zeros((len(found), data.shape[1]))
+            np.add.at(sums, back, data)
+            for k, part in zip(found.tolist(), sums):
+                total[k] = total[k] + part if k in total else part
+        yield from _sums(total)
+
+    def merged(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(data)
+                total[k] = total[k] + part if k in total else part
+        yield from _sums(total)
+
+    def _sums(total):
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()),
+                                          pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["cell", "data"])
+    got = (table.mapInArrow(local, "cell long, data binary").repartition("cell")
+           .mapInArrow(merged, "cell long, data binary").collect())  # two labels times ``cells`` rows at most
+    return {divmod(r["cell"], cells): np.frombuffer(r["data"]) for r in got}
+
+
+def fit_all_pairs(table: DataFrame, cells: int = 1024, fine: int = 65_536, steps: int = 40, l2: float = 1e-3) -> Model:
+    """Bradley-Terry weights from *every* pair of a good row and a bad one of ``table``
+    (y, x), in work linear in the rows.
+
+    The loss of a pair hangs on the difference of two strengths, so rows of one label
+    and one narrow cell of the strength stand together by their mean strength: a Newton
+    step is one job that adds up each cell's rows, features and products of features,
+    and arithmetic over pairs of cells on the driver. The cut is the edge of ``fine``
+    even cells that splits all rows best."""
+    width = len(FEATURES)
+    blank = Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, False)
+    x = F.col("x")
+    row = table.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0), *[F.avg(x[i]) for i in range(width)],
+                    *[F.stddev_pop(x[i]) for i in range(width)]).first()
+    good, bad = row[0], row[1]
+    if not good or not bad:
+        return blank
+    model = blank._replace(mean=np.array(row[2:2 + width], float),
+                           scale=np.maximum(np.array(row[2 + width:], float), 1e-6), known=True)
+    w, spread, cov = np.zeros(width), 0.0, None
+    for _ in range(steps):  # Newton steps, damped; the loss is convex
+        got = _cells(table, model._replace(weights=w), max(8 * spread, 1e-6), cells, True)
+        n, total, square = [], [], []
+        for label in (1, 0):
+            data = np.array([v for (y, _), v in sorted(got.items(), key=lambda kv: kv[0]) if y == label])
+            n.append(data[:, 0])
+            total.append(data[:, 1:1 + width])
+            square.append(data[:, 1 + width:].reshape(-1, width, width))
+        if cov is None:
+            cov = (square[0].sum(axis=0) + square[1].sum(axis=0)) / (good + bad)
+        s = [(t / m[:, None]) @ w for t, m in zip(total, n)]
+        q = 1 / (1 + np.exp(np.clip(s[0][:, None] - s[1][None, :], -40, 40)))
+        c = q * (1 - q)
+        grad = -((q @ n[1]) @ total[0] - (n[0] @ q) @ total[1]) / (good * bad) + l2 * w
+        cross = total[0].T @ c @ total[1]
+        hess = (np.einsum("i,ijk->jk", c @ n[1], square[0]) + np.einsum("i,ijk->jk", n[0] @ c, square[1])
+                - cross - cross.T) / (good * bad) + l2 * np.eye(width)
+        move = np.linalg.solve(hess, grad)
+        w = w - move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-9))
+        spread = float(np.sqrt(max(w @ cov @ w, 0.0)))
+        if np.abs(move).max() < 1e-5:
+            break
+    reach = max(8 * spread, 1e-6)
+    model = model._replace(weights=w, spread=max(spread, 1e-6) / 2)
+    counts = np.zeros((2, fine))
+    for (y, cell), data in _cells(table, model, reach, fine, False).items():
+        counts[y, cell] = data[0]
+    below = np.concatenate((np.zeros((2, 1)), np.cumsum(counts, axis=1)), axis=1)[:, :-1]
+    loss = below[1] / good + 1 - below[0] / bad  # good rows under the edge and bad ones from it on, by their shares
+    best = np.flatnonzero(loss <= loss.min() + 1e-12)
+    return model._replace(cut=float(-reach + best[len(best) // 2] * (2 * reach / fine)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, where=None, text: str = "text", key: str = "doc_id",
-        label: str = "quality", rows_per_label: int = 4000) -> Model:
-    """Model of at most about ``rows_per_label`` rows of each label, drawn by
-    hash; their features (nine numbers a row) come to the driver. A document
-    with both labels counts with each of them, a repeated label once."""
+        label: str = "quality") -> Model:
+    """Model of every labelled row, all pairs of a good and a bad one. A document with
+    both labels counts with each of them, a repeated label once."""
     own = labels.select(labels[key].cast("long").alias("k"), labels[label].cast("int").alias("y")).where("y in (0, 1)")
     own = (own if where is None else own.where(where("k"))).distinct()
-    sizes = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("k", F.lit("quality sample")), F.lit(1_000_003)) / 1_000_003.0
-    share = F.when(F.col("y") == 1, min(1.0, rows_per_label / max(sizes.get(1, 0), 1))).otherwise(
-        min(1.0, rows_per_label / max(sizes.get(0, 0), 1)))
-    # at most two samples of rows_per_label ids, whatever the size of the table
-    chosen = own.where(draw < share)
     rows = (docs.select(docs[key].cast("long").alias("k"), docs[text].alias("text"))
-            .join(F.broadcast(chosen), "k").select("y", "text"))
+            .join(own, "k").select("y", "text"))
 
     def run(batches):
         for batch in batches:
@@ -152,11 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, text: str = "text", key:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.lo, p.hi - p.lo).cast(pa.int32()),
                                                   pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
-    table = rows.mapInArrow(run, "y int, x array<double>").toArrow()
-    y = table["y"].to_numpy()
-    x = np.array(table["x"].to_pylist(), float).reshape(len(y), len(FEATURES))
-    order = np.lexsort((*x.T, y))  # the same pairs whatever the order of rows
-    return fit_pairs(x[order], y[order])
+    table = written(rows.mapInArrow(released(run), "y int, x array<double>"))
+    model = fit_all_pairs(table)
+    discard(table)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
