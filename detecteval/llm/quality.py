@@ -227,17 +227,17 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, text: str = "text", key:
     both labels counts with each of them, a repeated label once."""
     own = labels.select(labels[key].cast("long").alias("k"), labels[label].cast("int").alias("y")).where("y in (0, 1)")
     own = (own if where is None else own.where(where("k"))).distinct()
-    rows = (docs.select(docs[key].cast("long").alias("k"), docs[text].alias("text"))
-            .join(own, "k").select("y", "text"))
+    rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("text")).where("k is not null")
+    rows = rows if where is None else rows.where(where("k"))
 
     def run(batches):
         for batch in batches:
             for p in text_pieces(batch.column(1)):
-                x = features(p)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.lo, p.hi - p.lo).cast(pa.int32()),
-                                                  pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.lo, p.hi - p.lo),
+                                                  pa.array(features(p).tolist(), pa.list_(pa.float64()))], names=["k", "x"])
 
-    table = written(rows.mapInArrow(released(run), "y int, x array<double>"))
+    # features meet the labels, not texts: a row takes the same few bytes to the join however long its text is
+    table = written(rows.mapInArrow(released(run), "k long, x array<double>").join(own, "k").select("y", "x"))
     model = fit_all_pairs(table)
     discard(table)
     return model
