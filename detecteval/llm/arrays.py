@@ -77,6 +77,19 @@ def map_batches(df, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], sc
     return df.mapInArrow(released(run) if release else run, schema)
 
 
+def sum_cells(parts):
+    """Sums of the arrays (binary of doubles, one length for each cell) of (cell long, data binary)."""
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for cell, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(data)
+                total[cell] = total[cell] + part if cell in total else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()),
+                                          pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["cell", "data"])
+    return parts.repartition("cell").mapInArrow(released(run), "cell long, data binary")
+
+
 def char_counts(p: Piece) -> np.ndarray:
     """Code points of each text."""
     lead = np.concatenate(([0], np.cumsum((p.data & 0xC0) != 0x80, dtype=np.int64)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import PIECE_BYTES, U64, Piece, codepoints, text_pieces
+from .arrays import PIECE_BYTES, U64, Piece, codepoints, sum_cells, text_pieces
 from .bpe import LETTER, classes_of
 
 CELLS = 1 << 15
@@ -84,9 +84,9 @@ class Model(NamedTuple):
 
 
 def fit(docs: DataFrame, text: str, lang: str, key: str, where: Column | None = None,
-        per_language: int = 3000, smoothing: float = 0.5, most_languages: int = 256) -> Model:
+        per_language: int | None = 3000, smoothing: float = 0.5, most_languages: int = 256) -> Model:
     """Trigram model of the labelled rows that meet ``where``. About
-    ``per_language`` rows of each language are read (all, if there are fewer);
+    ``per_language`` rows of each language are read (all, if there are fewer, or with None);
     the counts, ``most_languages`` x 32,768 cells at most, come to the driver."""
     rows = docs.select(docs[key].cast("string").alias("k"), docs[text].alias("text"), docs[lang].alias("lang"))
     rows = (rows if where is None else docs.where(where).select(
@@ -97,9 +97,13 @@ def fit(docs: DataFrame, text: str, lang: str, key: str, where: Column | None =
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((CELLS, 0), np.float32))
-    shares = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, per_language / sizes[l]))])
-    draw = F.pmod(F.xxhash64("k", F.lit("language sample")), F.lit(1_000_003)) / 1_000_003.0
-    chosen = rows.where(draw < shares[F.col("lang")]).select("lang", "text")
+    if per_language is None:
+        chosen = rows.where(F.col("lang").isin(languages)).select("lang", "text")
+    else:
+        shares = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, per_language / sizes[l]))])
+        draw = F.pmod(F.xxhash64("k", F.lit("language sample")), F.lit(1_000_003)) / 1_000_003.0
+        chosen = rows.where(draw < shares[F.col("lang")]).select("lang", "text")
+    index = {l: i for i, l in enumerate(languages)}
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -112,16 +116,13 @@ def fit(docs: DataFrame, text: str, lang: str, key: str, where: Column | None =
                 for l in set(names[p.lo:p.hi].tolist()):
                     mine = (names[p.lo:p.hi] == l)[doc]
                     totals[l] = totals.get(l, 0) + np.bincount(w.cells[mine], minlength=CELLS)
-        for l, n in totals.items():
-            cell = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([l] * len(cell), pa.string()), pa.array(cell), pa.array(n[cell])],
-                                             names=["lang", "cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([index[l] for l in totals], pa.int64()),
+                                          pa.array([x.astype(float).tobytes() for x in totals.values()], pa.binary())],
+                                         names=["cell", "data"])
 
-    table = (chosen.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell")
-             .agg(F.sum("n").alias("n")).toArrow().to_pandas())
     n = np.full((CELLS, len(languages)), smoothing)
-    index = {l: i for i, l in enumerate(languages)}
-    np.add.at(n, (table["cell"].to_numpy(), table["lang"].map(index).to_numpy(dtype=np.int64)), table["n"].to_numpy())
+    for r in sum_cells(chosen.mapInArrow(count, "cell long, data binary")).collect():  # one row of counts a language
+        n[:, r["cell"]] += np.frombuffer(r["data"])
     return Model(languages, np.log(n / n.sum(axis=0)).astype(np.float32))
 
 
