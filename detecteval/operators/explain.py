@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import n_lines
-from .models import TfidfModel, linear_score, term_counts
+from .models import IDX, RowTerms, TfidfModel, _tokens, by_term, coefficients, linear_score, numbers, per_row
 
 # Sink calls neutralised by the counterfactual.
 SINKS = ["strcpy", "gets", "sprintf", "memcpy", "strcat", "scanf"]
@@ -63,29 +65,27 @@ def flip_rates(cf: DataFrame, all_rows: DataFrame, keys: Sequence[str] = (),
                     .alias("flip_rate_with_sink"))
 
 
-def _unnormalised(tf: TfidfModel, df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    tc = term_counts(df, text_col, id_col)
-    j = tc.join(F.broadcast(tf.vocab), "term")
-    return j.withColumn("u", (F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf"))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-x))
 
 
 def occlusion_linear(tf: TfidfModel, weights: DataFrame, intercept: float, df: DataFrame,
                      text_col: str = "func", id_col: str = "row_id") -> DataFrame:
     """Importance of masking one occurrence of each term: p(full) - p(masked),
     exact for TF-IDF + logistic (E5). One row per (row, term)."""
-    j = _unnormalised(tf, df, text_col, id_col).join(F.broadcast(weights.select("idx", "coef")), "idx")
-    w = Window.partitionBy(id_col)
-    j = j.withColumn("_n2", F.sum(F.col("u") * F.col("u")).over(w)) \
-        .withColumn("_dot", F.sum(F.col("u") * F.col("coef")).over(w))
-    u2 = F.when(F.col("tf") > 1, (F.lit(1.0) + F.ln((F.col("tf") - 1).cast("double"))) * F.col("idf")) \
-        .otherwise(F.lit(0.0))
-    j = j.withColumn("_u2", u2)
-    z = F.lit(intercept) + F.col("_dot") / F.sqrt("_n2")
-    n2m = F.col("_n2") - F.col("u") * F.col("u") + F.col("_u2") * F.col("_u2")
-    zm = F.lit(intercept) + F.when(n2m > 0, (F.col("_dot") - F.col("coef") * F.col("u")
-                                              + F.col("coef") * F.col("_u2")) / F.sqrt(n2m)).otherwise(0.0)
-    sig = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
-    return j.select(id_col, "term", "tf", (sig(z) - sig(zm)).alias("delta"))
+    coef = coefficients(tf, weights)
+
+    def run(t: RowTerms):
+        t = t.only(~np.isnan(coef[t.idx]))
+        c = coef[t.idx]
+        n2, dot = t.total(t.u * t.u)[t.row], t.total(t.u * c)[t.row]
+        u2 = np.where(t.tf > 1, (1.0 + np.log(np.maximum(t.tf - 1, 1))) * t.idf, 0.0)
+        n2m = n2 - t.u * t.u + u2 * u2
+        zm = np.where(n2m > 0, (dot - c * t.u + c * u2) / np.sqrt(np.where(n2m > 0, n2m, 1.0)), 0.0)
+        delta = _sigmoid(intercept + dot / np.sqrt(n2)) - _sigmoid(intercept + zm)
+        return t.lists(t.idx, pa.int32()), t.lists(t.tf, pa.float64()), t.lists(delta, pa.float64())
+    arrays = per_row(tf, _tokens(df, text_col, id_col), [IDX, numbers("tf"), numbers("delta")], run)
+    return by_term(tf, arrays, id_col, "tf", "delta").select(id_col, "term", F.col("tf").cast("long").alias("tf"), "delta")
 
 
 def integrated_gradients_linear(tf: TfidfModel, weights: DataFrame, intercept: float,
@@ -94,17 +94,22 @@ def integrated_gradients_linear(tf: TfidfModel, weights: DataFrame, intercept: f
     """Exact integrated gradients from the all-zero baseline for a logistic
     model on TF-IDF features: ``w_i x_i (s(z) - s(b)) / (z - b)``; the
     attributions of a row sum to ``s(z) - s(b)`` (E6)."""
-    from .models import transform_tfidf
-    long = transform_tfidf(tf, df, text_col, id_col).join(F.broadcast(weights.select("idx", "coef")), "idx")
-    w = Window.partitionBy(id_col)
-    long = long.withColumn("_wx", F.col("weight") * F.col("coef")) \
-        .withColumn("_z", F.lit(intercept) + F.sum("_wx").over(w))
-    sig = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
-    b = F.lit(intercept)
-    ratio = F.when(F.abs(F.col("_z") - b) > 1e-12, (sig(F.col("_z")) - sig(b)) / (F.col("_z") - b)) \
-        .otherwise(sig(b) * (F.lit(1.0) - sig(b)))
-    return long.select(id_col, "term", (F.col("_wx") * ratio).alias("attribution"),
-                       (sig(F.col("_z")) - sig(b)).alias("delta_prob"))
+    coef = coefficients(tf, weights)
+    base = float(_sigmoid(np.float64(intercept)))
+
+    def run(t: RowTerms):
+        own = ~np.isnan(coef[t.idx])
+        wx = (t.weight() * coef[t.idx])[own]
+        t = t.only(own)
+        z = intercept + t.total(wx)
+        far = np.abs(z - intercept) > 1e-12
+        gain = _sigmoid(z) - base
+        ratio = np.where(far, gain / np.where(far, z - intercept, 1.0), base * (1.0 - base))
+        return (t.lists(t.idx, pa.int32()), t.lists(wx * ratio[t.row], pa.float64()),
+                t.lists(gain[t.row], pa.float64()))
+    rows = _tokens(df, text_col, id_col).where(F.col(id_col).isNotNull())
+    arrays = per_row(tf, rows, [IDX, numbers("attribution"), numbers("delta_prob")], run)
+    return by_term(tf, arrays, id_col, "attribution", "delta_prob").drop("idx")
 
 
 def top_k_by_abs(df: DataFrame, k: int = 10, value: str = "delta", id_col: str = "row_id",
