@@ -48,11 +48,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = written(neardup.near_duplicates(rows, key="__row").where("n_shingles > 0")
                     .select(F.col("doc_id").alias("__row"), "component_id"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    group = (found.join(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                        .select("component_id"), "component_id")
-             .join(rows.select("__row", "doc_id"), "__row"))
-    kept = group.groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.__row").alias("__row"))
-    gone = group.select("__row").join(kept, "__row", "left_anti")
+    member = found.join(rows.select("__row", "doc_id"), "__row")
+    group = member.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best")).where("n > 1")
+    gone = member.join(group, "component_id").where("__row <> best.__row").select("__row")
     return rows.join(gone, "__row", "left_anti").select(*COLUMNS)
 
 

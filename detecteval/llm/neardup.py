@@ -299,23 +299,22 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each linked id.
 
-    Alternating large-star and small-star: every round is a minimum per node
-    (partially aggregated) and a join, so no node's neighbours are collected;
-    rounds end when the edges stay as they are."""
+    Alternating large-star and small-star over edges from a node ``u`` to a smaller ``v``:
+    every step is a minimum per node (partially aggregated) and a join, so no node's
+    neighbours are collected. An edge remembers whether its round moved it; rounds end
+    when none has moved."""
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                        .where("u <> v").distinct())
-    state = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or now[0] == 0:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        state = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    moved = not edges.isEmpty()
+    while moved:
+        low = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))  # larger neighbours are never the least
+        large = edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.isnotnull("m").alias("moved"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = checkpoint(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                           .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"),
+                                            F.expr("moved or v <> m").alias("moved"))
+        rows = checkpoint(small.where("u <> v").groupBy("u", "v").agg(F.max("moved").alias("moved")))
+        edges, moved = rows.select("u", "v"), not rows.where("moved").isEmpty()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
@@ -404,7 +403,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                .agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi"))
                .where("lo <> hi").select("doc_id"))
     shared = checkpoint(member.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct())
-    final = components(links.unionByName(more).unionByName(shared.where("b is not null")))
+    # on from the stars of step 3, not from its links again
+    final = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+                       .unionByName(shared.where("b is not null")))
     joined = (shared.select(F.col("a").alias("doc_id")).distinct()
               .join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
               .select("doc_id", F.coalesce("component", "doc_id").alias("own")))

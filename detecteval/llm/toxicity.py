@@ -234,8 +234,9 @@ def train_all(table: DataFrame, totals, rounds: int = 3, passes: int = 2, chunk:
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((net, sums))  # twice the net's fixed size
         moves = _moves(table, shared, share, passes, chunk, [seed, turn])
-        for r in moves.collect():  # each touched cell once: the net's size at most
-            _move(net, sums, r["block"], r["data"])
+        for batch in moves.toArrow().to_batches():  # each touched cell once: the net's size at most
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _move(net, sums, block, data.as_buffer())
         shared.destroy()
     return net
 
