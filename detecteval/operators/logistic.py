@@ -2,11 +2,12 @@
 
 A *task* is a set of training rows with its own TF-IDF vocabulary (a fold, a
 balanced sample); a *fit* is a task with class weights. ``keyed_tfidf`` builds
-the features of all tasks in one pass, ``fit_keyed`` advances all fits together:
-every step is one job that gives the loss and the gradient of each fit at its own
-point, and the quasi-Newton update is array arithmetic over all fits. Driver and
-tasks hold ``fits x (max_features + 1)`` coefficients, whatever the number of rows;
-steps re-read the checkpointed features.
+the features of all tasks in one pass, ``shared_tfidf`` keeps them once a row for all
+tasks, and ``fit_keyed`` advances all fits together: every step is one job that gives
+each fit the loss and the gradient at its own point or a product with its curvature,
+and Newton steps by conjugate gradients are array arithmetic on the driver. Driver and
+tasks hold coefficients by fit and term of the vocabularies, whatever the number of
+rows; steps re-read the checkpointed features.
 
 The loss is ``|w|^2 / (2 C) + sum of weight * log-loss`` with a free intercept, so
 the optimum is unique and the solver only decides how soon it is met.
@@ -20,44 +21,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, written
 from .models import term_counts
 
 SALTS = 32
 BLOCK = 1 << 16  # coefficients in one row of a gradient
 CELLS = 1 << 21  # products held at once by a task
+PART_CELLS = 1 << 23  # cells of a task's pieces
+WIDE = 1 << 17  # numbers of a sum over terms held at once
+TOGETHER = 512  # rows of the same fits that get pieces of their own
 
 
 def keyed_vocabulary(counts: DataFrame, trained: DataFrame, max_features: int, id_col: str = "row_id") -> DataFrame:
     """``(task, term, idx, idf)``: for each task the ``max_features`` terms that its
-    training rows hold most often (ties by term), numbered by term."""
-    n = trained.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
-    # rows that train the same tasks are added up before their tasks are told apart
-    own = trained.groupBy(id_col).agg(F.array_sort(F.collect_list("task")).alias("_tasks"))
-    stats = (counts.join(own, id_col).groupBy("_tasks", "term")
-             .agg(F.sum("tf").alias("_cnt"), F.count(F.lit(1)).alias("_df"))
-             .select(F.explode("_tasks").alias("task"), "term", "_cnt", "_df").groupBy("task", "term")
-             .agg(F.sum("_cnt").alias("_cnt"), F.sum("_df").alias("_df")))
+    training rows hold most often (ties by term), numbered by term.
+
+    A term's sums for all tasks stand in one row; only terms that reach the count of a
+    task's last place are ranked."""
+    n = {r[0]: r[1] for r in trained.groupBy("task").agg(F.count(F.lit(1))).collect()}  # one row per task
+    tasks = sorted(n)
+    own = trained.groupBy(id_col).agg(F.collect_list("task").alias("_l")).select(
+        id_col, F.array(*[F.array_contains("_l", F.lit(t)) for t in tasks]).cast("array<boolean>").alias("_in"))
+    sums = [F.struct(F.lit(t).alias("task"), F.lit(n[t]).alias("_n"), F.sum(F.when(F.col("_in")[i], F.col("tf"))).alias("_cnt"),
+                     F.count(F.when(F.col("_in")[i], 1)).alias("_df")) for i, t in enumerate(tasks)]
+    kind = f"array<struct<task:{dict(trained.dtypes)['task']},_n:bigint,_cnt:bigint,_df:bigint>>"
+    stats = written(counts.join(own, id_col).groupBy("term").agg(F.array(*sums).cast(kind).alias("_s"))
+                    .select("term", F.filter("_s", lambda x: x["_df"] > 0).alias("_s")))
+    stats = stats.select("term", F.explode("_s").alias("_s")).select("term", "_s.*")
+    by_count = Window.partitionBy("task").orderBy(F.desc("_cnt"))
+    last = (stats.groupBy("task", "_cnt").agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_before", F.sum("_c").over(by_count) - F.col("_c")).where(F.col("_before") < max_features)
+            .groupBy("task").agg(F.min("_cnt").alias("_last")))
     order = [F.desc("_cnt"), F.asc("term")]
-    best = stats.withColumn("_s", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
+    best = (stats.join(F.broadcast(last), "task").where("_cnt >= _last").drop("_last")  # one row per task
+            .withColumn("_s", F.pmod(F.xxhash64("term"), F.lit(SALTS))))
     for keys in (["task", "_s"], ["task"]):  # first inside hash buckets: no task sees all terms
         best = (best.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
                 .where(F.col("_r") <= max_features))
     place = F.row_number().over(Window.partitionBy("task").orderBy("term")) - 1
     idf = F.ln((F.lit(1) + F.col("_n")).cast("double") / (F.lit(1.0) + F.col("_df"))) + F.lit(1.0)
-    return best.join(n, "task").select("task", "term", place.alias("idx"), idf.alias("idf"))
+    return best.select("task", "term", place.alias("idx"), idf.alias("idf"))
 
 
-def keyed_tfidf(texts: DataFrame, members: DataFrame, max_features: int = 10_000, text_col: str = "func",
-                id_col: str = "row_id") -> DataFrame:
-    """``members`` (task, row_id, train and any other columns) with ``idx`` and ``val``,
-    the row's L2-normalised TF-IDF under the vocabulary of its task, in the order of
-    ``idx``; both empty for rows without a term of it.
-
-    A row's terms are collected once, whatever the number of its tasks. The driver and
-    each Python task hold the vocabularies: ``tasks x max_features`` terms at most."""
+def _keyed_terms(texts: DataFrame, trained: DataFrame, max_features: int, text_col: str, id_col: str
+                 ) -> tuple[DataFrame, dict[int, tuple[np.ndarray, np.ndarray]], int]:
+    """The terms of all rows for all tasks: ``(row_id, _t, _tf)`` with each row's known terms
+    (numbers that rise as the terms do) and counts, the vocabulary of each task as arrays over
+    the numbers (place in the task's own vocabulary or -1, idf or 0), and how many numbers."""
     counts = checkpoint(term_counts(texts, text_col, id_col))
-    trained = members.where("train").select("task", id_col).distinct()
     known = keyed_vocabulary(counts, trained, max_features, id_col).toArrow()
     names = known["term"].to_pylist()
     terms = sorted(set(names), key=lambda x: x.encode())  # as Spark orders them: idx rises with the number
@@ -70,12 +81,30 @@ def keyed_tfidf(texts: DataFrame, members: DataFrame, max_features: int = 10_000
         mine = task_of == t
         place[at[mine]], idf[at[mine]] = idx_of[mine], idf_of[mine]
         books[int(t)] = place, idf
-    spark = texts.sparkSession
-    numbered = spark.createDataFrame(list(enumerate(terms)), "_t int, term string")
+    numbered = texts.sparkSession.createDataFrame(list(enumerate(terms)), "_t int, term string")
     entries = (counts.join(F.broadcast(numbered), "term").groupBy(id_col)
                .agg(F.array_sort(F.collect_list(F.struct("_t", "tf"))).alias("_e"))
                .select(id_col, F.col("_e._t").alias("_t"), F.col("_e.tf").alias("_tf")))
-    shared = spark.sparkContext.broadcast(books)
+    return entries, books, many
+
+
+def _with_terms(members: DataFrame, entries: DataFrame, id_col: str) -> DataFrame:
+    return members.join(entries, id_col, "left").withColumns({
+        "_t": F.coalesce("_t", F.array().cast("array<int>")), "_tf": F.coalesce("_tf", F.array().cast("array<bigint>"))
+    }).select(*members.columns, "_t", "_tf")
+
+
+def keyed_tfidf(texts: DataFrame, members: DataFrame, max_features: int = 10_000, text_col: str = "func",
+                id_col: str = "row_id") -> DataFrame:
+    """``members`` (task, row_id, train and any other columns) with ``idx`` and ``val``,
+    the row's L2-normalised TF-IDF under the vocabulary of its task, in the order of
+    ``idx``; both empty for rows without a term of it.
+
+    A row's terms are collected once, whatever the number of its tasks. The driver and
+    each Python task hold the vocabularies: ``tasks x max_features`` terms at most."""
+    trained = members.where("train").select("task", id_col).distinct()
+    entries, books, many = _keyed_terms(texts, trained, max_features, text_col, id_col)
+    shared = texts.sparkSession.sparkContext.broadcast(books)
     keep = members.columns
 
     def weigh(batches):
@@ -98,12 +127,49 @@ def keyed_tfidf(texts: DataFrame, members: DataFrame, max_features: int = 10_000
                     + [pa.ListArray.from_arrays(offsets, pa.array(place[term])), pa.ListArray.from_arrays(offsets, pa.array(val))],
                     names=[*keep, "idx", "val"])
     kinds = {f.name: f.dataType.simpleString() for f in members.schema}
-    joined = members.join(entries, id_col, "left").withColumns({
-        "_t": F.coalesce("_t", F.array().cast("array<int>")), "_tf": F.coalesce("_tf", F.array().cast("array<bigint>"))})
-    return joined.select(*keep, "_t", "_tf").mapInArrow(
+    return _with_terms(members, entries, id_col).mapInArrow(
         weigh, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", idx array<int>, val array<double>")
 
 
+def shared_tfidf(texts: DataFrame, members: DataFrame, trained: DataFrame, max_features: int = 10_000,
+                 text_col: str = "func", id_col: str = "row_id") -> tuple[DataFrame, dict[int, np.ndarray], int]:
+    """The TF-IDF of :func:`keyed_tfidf` with a row's terms stored once for all its tasks.
+
+    ``members``: row_id, an array ``tasks`` and any other columns; ``trained``: (task, row_id).
+    Returns ``members`` with ``idx``, ``val`` (sublinear counts over the terms of all
+    vocabularies) and ``scale`` (for each of ``tasks`` one over the norm of the row's weights),
+    then each task's idf over ``idx`` (0 for terms it does not have) and the bound of ``idx``:
+    the weight of a term for a task is ``val * idf * scale``."""
+    entries, books, many = _keyed_terms(texts, trained, max_features, text_col, id_col)
+    idfs = {t: idf for t, (_, idf) in books.items()}
+    shared = texts.sparkSession.sparkContext.broadcast(idfs)
+    keep = members.columns
+
+    def weigh(batches):
+        for batch in batches:
+            (off, term), (_, tf), (tat, task) = (_lists(batch.column(c)) for c in ("_t", "_tf", "tasks"))
+            term, tf, task = term[off[0]:off[-1]], tf[off[0]:off[-1]], task[tat[0]:tat[-1]]
+            val = 1.0 + np.log(tf.astype(np.float64))
+            row, owner = (np.repeat(np.arange(batch.num_rows), np.diff(x)) for x in (off, tat))
+            scale = np.zeros(len(task))
+            for t in np.unique(task):
+                if int(t) in shared.value:
+                    u = val * shared.value[int(t)][term]
+                    norm = np.sqrt(np.bincount(row, weights=u * u, minlength=batch.num_rows))
+                    mine = task == t
+                    scale[mine] = (1 / np.where(norm > 0, norm, np.inf))[owner[mine]]
+            terms, tasks = (pa.array(x - x[0], pa.int32()) for x in (off, tat))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep] + [pa.ListArray.from_arrays(terms, pa.array(term, pa.int32())),
+                                                   pa.ListArray.from_arrays(terms, pa.array(val)),
+                                                   pa.ListArray.from_arrays(tasks, pa.array(scale))],
+                names=[*keep, "idx", "val", "scale"])
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+    rows = _with_terms(members, entries, id_col).mapInArrow(
+        weigh, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", idx array<int>, val array<double>, scale array<double>")
+    return rows, idfs, many
+
+
 # -- one pass over the rows ----------------------------------------------------------
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,68 +199,112 @@ def _margins(w: np.ndarray, fits, cells, values, pair) -> np.ndarray:
     return np.bincount(pair, weights=values * w.ravel()[cells], minlength=len(fits)) + w[fits, -1]
 
 
-#: A piece of rows that train the same fits, as the bytes of numpy arrays.
-_PIECE = {"fits": np.int32, "at": np.int64, "idx": np.int32, "val": np.float64, "label": np.float64, "w": np.float64}
+#: A piece of rows, as the bytes of numpy arrays: ``order`` sorts its cells by ``idx``; label, w
+#: and scale stand by row, w and scale for each fit of the piece (w is 0 where a row does not train it).
+_PIECE = {"fits": np.int32, "at": np.int64, "idx": np.int32, "val": np.float64, "order": np.int32, "label": np.float64,
+          "w": np.float64, "scale": np.float64}
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """The rows in pieces of about ``CELLS`` cells, each of rows that train the same fits:
-    steps read plain arrays and take nothing apart. Pieces are dealt out evenly."""
+def _packed(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows in pieces of at most about ``CELLS`` cells: steps read plain arrays and take
+    nothing apart. Rows that train the same fits stand together where a batch has
+    ``TOGETHER`` of them, the others share pieces. Pieces are dealt out evenly."""
     def run(batches):
         for batch in batches:
-            (at, idx), (_, val), (fat, fit), (_, w) = (_lists(batch.column(c)) for c in ("idx", "val", "fit", "w"))
+            (at, idx), (_, val), (fat, fit), (_, w), (_, scale) = (
+                _lists(batch.column(c)) for c in ("idx", "val", "fit", "w", "scale"))
             label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
-            kinds: dict[bytes, list[int]] = {}
+            alike: dict[bytes, list[int]] = {}
             for r in range(batch.num_rows):
-                kinds.setdefault(fit[fat[r]:fat[r + 1]].astype(np.int32).tobytes(), []).append(r)
-            for fits, own in kinds.items():
-                own, many = np.array(own), len(fits) // 4
+                alike.setdefault(fit[fat[r]:fat[r + 1]].astype(np.int32).tobytes(), []).append(r)
+            kinds = [own for own in alike.values() if len(own) >= TOGETHER]
+            kinds.append([r for own in alike.values() if len(own) < TOGETHER for r in own])
+            for own in map(np.array, filter(None, kinds)):
                 ends = np.cumsum(at[own + 1] - at[own])
                 lo = 0
                 while lo < len(own):
                     hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, side="right")))
                     mine = own[lo:hi]
-                    n = at[mine + 1] - at[mine]
-                    start = np.concatenate(([0], np.cumsum(n)))
-                    flat = np.arange(start[-1]) + np.repeat(at[mine] - start[:-1], n)
-                    piece = {"fits": np.frombuffer(fits, np.int32), "at": start, "idx": idx[flat], "val": val[flat],
-                             "label": label[mine], "w": w[fat[mine][:, None] + np.arange(many)].ravel()}
+                    start, flat = _spans(at, mine)
+                    many, pair = _spans(fat, mine)
+                    fits, place = np.unique(fit[pair], return_inverse=True)
+                    weight, size = np.zeros((2, len(mine), len(fits)))
+                    row = np.repeat(np.arange(len(mine)), np.diff(many))
+                    weight[row, place], size[row, place] = w[pair], scale[pair]
+                    piece = {"fits": fits, "at": start, "idx": idx[flat], "val": val[flat],
+                             "order": np.argsort(idx[flat], kind="stable"), "label": label[mine], "w": weight, "scale": size}
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([piece[c].astype(kind).tobytes()], pa.binary()) for c, kind in _PIECE.items()], names=list(_PIECE))
                     lo = hi
-    return rows.select("label", "idx", "val", "fit", "w").mapInArrow(
-        run, ", ".join(f"{c} binary" for c in _PIECE)).repartition(rows.sparkSession.sparkContext.defaultParallelism)
-
-
-def _totals(pieces: DataFrame, w: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(loss, gradient) of every fit marked in ``open_`` at ``w``, without the penalty: each
-    task adds up its pieces, blocks of coefficients are then added up over the tasks."""
-    n, width = w.shape
-    shared = pieces.sparkSession.sparkContext.broadcast((w, open_))
+    return rows.select("label", "idx", "val", "fit", "w", "scale").mapInArrow(
+        run, ", ".join(f"{c} binary" for c in _PIECE)).repartition(parts)
+
+
+def _spans(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, positions) of the cells of ``rows`` of lists with the offsets ``at``."""
+    n = at[rows + 1] - at[rows]
+    start = np.concatenate(([0], np.cumsum(n)))
+    return start, np.arange(start[-1]) + np.repeat(at[rows] - start[:-1], n)
+
+
+def _sums(table: np.ndarray, pick: np.ndarray, factor: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sum of ``factor * table[pick]`` over each of the spans that begin at ``start`` (none
+    empty), for all columns of ``table`` at once; ``WIDE`` numbers are held at a time."""
+    out = np.empty((len(start), table.shape[1]))
+    at = np.append(start, len(pick))
+    lo, most = 0, max(1, WIDE // table.shape[1])
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+        cells = table.take(pick[at[lo]:at[hi]], axis=0)
+        cells *= factor[at[lo]:at[hi], None]
+        np.add.reduceat(cells, at[lo:hi] - at[lo], axis=0, out=out[lo:hi])
+        lo = hi
+    return out
+
+
+def _totals(pieces: DataFrame, at: tuple[np.ndarray, np.ndarray], open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(loss, vector) of every fit marked in ``open_``, without the penalty; ``at`` holds the fits'
+    points and directions. The vector is the gradient at the point or, for a fit with a
+    direction other than 0, the product of the curvature at the point with the direction
+    (and no loss). Each task adds up its pieces, blocks of numbers are then added up over the tasks."""
+    n, width = at[0].shape
+    turned = at[1].any(axis=1)
+    shared = pieces.sparkSession.sparkContext.broadcast((at[0].T.copy(), at[1][turned].T.copy(), turned, open_))
+
+    def add(piece, total, losses):
+        points, directions, turned, open_ = shared.value
+        own = np.flatnonzero(open_[piece["fits"]])
+        if not len(own):
+            return
+        fits, y, start = piece["fits"][own], piece["label"][:, None], piece["at"]
+        s, scale = (piece[c].reshape(len(y), -1)[:, own] for c in ("w", "scale"))
+        full, bent = np.flatnonzero(np.diff(start)), turned[fits]
+        table = np.hstack([points[:, fits], directions[:, (np.cumsum(turned) - 1)[fits[bent]]]])
+        z = np.zeros((len(y), table.shape[1]))
+        if len(full):
+            z[full] = _sums(table[:-1], piece["idx"], piece["val"], start[full])
+        z = z * np.hstack([scale, scale[:, bent]]) + table[-1]
+        z, turn = z[:, :len(own)], z[:, len(own):]
+        p = np.exp(-np.logaddexp(0, -z))
+        rest = s * (p - y)
+        rest[:, bent] = (s * p * np.exp(-np.logaddexp(0, z)))[:, bent] * turn
+        flat = ~bent
+        losses[fits[flat]] += (s * (np.logaddexp(0, z) - y * z)).sum(axis=0)[flat]
+        total[-1, fits] += rest.sum(axis=0)
+        if len(full):
+            order = piece["order"]
+            by = piece["idx"][order]
+            first = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+            row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start))[order]
+            total[by[first][:, None], fits] += _sums(rest * scale, row, piece["val"][order], first)
 
     def local(batches):
-        total = np.zeros(n * width + n)
-        w, open_ = shared.value
+        total, losses = np.zeros((width, n)), np.zeros(n)
         for batch in batches:
             for i in range(batch.num_rows):
-                piece = {c: np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _PIECE.items()}
-                idx, val, y = piece["idx"], piece["val"], piece["label"]
-                terms = np.diff(piece["at"])
-                full = terms > 0
-                weights = piece["w"].reshape(len(y), -1)
-                for j, f in enumerate(piece["fits"]):
-                    if not open_[f]:
-                        continue
-                    z = np.full(len(y), w[f, -1])
-                    if len(idx):
-                        z[full] += np.add.reduceat(val * w[f, :-1][idx], piece["at"][:-1][full])
-                    s = weights[:, j]
-                    rest = s * (np.exp(-np.logaddexp(0, -z)) - y)
-                    own = total[f * width:(f + 1) * width]
-                    own[:-1] += np.bincount(idx, weights=val * np.repeat(rest, terms), minlength=width - 1)
-                    own[-1] += rest.sum()
-                    total[n * width + f] += (s * (np.logaddexp(0, z) - y * z)).sum()
-        yield from _blocks({k // BLOCK: total[k:k + BLOCK] for k in range(0, len(total), BLOCK)})
+                add({c: np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _PIECE.items()}, total, losses)
+        flat = np.append(total.T.ravel(), losses)
+        yield from _blocks({k // BLOCK: flat[k:k + BLOCK] for k in range(0, len(flat), BLOCK)})
 
     def merged(batches):
         total: dict[int, np.ndarray] = {}
@@ -218,92 +328,132 @@ def _totals(pieces: DataFrame, w: np.ndarray, open_: np.ndarray) -> tuple[np.nda
 
 # -- solver ----------------------------------------------------------------------------
 
-def minimise(value: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, tol: float,
-             max_steps: int, history: int = 30) -> np.ndarray:
-    """L-BFGS with halved steps over all rows of ``start`` at once: ``value`` gives
-    losses and gradients. A row rests once its largest gradient entry is ``tol`` or less."""
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    return (a * b).sum()  # BLAS would wake all cores of the driver for it
+
+
+def _newton(start: np.ndarray, tol: float, max_steps: int):
+    """Newton steps with halved lengths for one fit, as a generator: it yields a point and a
+    direction or None, is sent the loss and the gradient or curvature product there, and
+    returns the point whose largest gradient entry is ``tol`` or less. A step solves for its
+    direction by conjugate gradients, the closer the smaller the gradient has become."""
     w = start
-    f, g = value(w)
-    past: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for step in range(max_steps):
-        rest = np.abs(g).max(axis=1) <= tol
-        if rest.all():
+    f, g = yield w, None
+    first, still = max(np.sqrt(_dot(g, g)), 1e-300), 0
+    for _ in range(max_steps):
+        if np.abs(g).max() <= tol:
             break
-        d, alphas = g.copy(), []
-        for s, y, rho in reversed(past):
-            alphas.append(rho * (s * d).sum(axis=1))
-            d -= alphas[-1][:, None] * y
-        if past:
-            s, y, rho = past[-1]
-            d *= np.where(rho > 0, (s * y).sum(axis=1) / np.maximum((y * y).sum(axis=1), 1e-300), 1)[:, None]
-        for (s, y, rho), alpha in zip(past, reversed(alphas)):
-            d += s * (alpha - rho * (y * d).sum(axis=1))[:, None]
-        d = -d
-        slope = (g * d).sum(axis=1)
-        d = np.where((slope < 0)[:, None], d, -g)
-        slope = np.minimum(slope, (g * d).sum(axis=1))
-        size = np.where(step == 0, 1 / np.maximum(1, np.sqrt((g * g).sum(axis=1))), 1.0)
-        open_ = ~rest
-        new_w, new_f, new_g = w.copy(), f.copy(), g.copy()
+        size = _dot(g, g)
+        goal = size * min(0.1, np.sqrt(np.sqrt(size) / first)) ** 2
+        d, r = np.zeros_like(w), -g
+        p, rr = r, size
+        for _ in range(len(w)):
+            if rr <= goal:
+                break
+            bent = (yield w, p)[1]
+            curve = _dot(p, bent)
+            if not curve > 0:
+                break
+            d, r = d + rr / curve * p, r - rr / curve * bent
+            rr, old = _dot(r, r), rr
+            p = r + rr / old * p
+        if not d.any():
+            d = -g
+        slope, step = _dot(g, d), 1.0
         for _ in range(50):
-            trial = np.where(open_[:, None], w + size[:, None] * d, new_w)
-            ft, gt = value(trial)
-            good = open_ & (ft <= f + 1e-4 * size * slope + 1e-13 * np.abs(f))
-            new_w[good], new_f[good], new_g[good] = trial[good], ft[good], gt[good]
-            open_ &= ~good
-            if not open_.any():
+            ft, gt = yield w + step * d, None
+            if ft <= f + 1e-4 * step * slope + 1e-13 * abs(f):
                 break
-            size = np.where(open_, size / 2, size)
-        if open_[~rest].all():
-            break  # no row can go lower: rounding
-        s, y = new_w - w, new_g - g
-        sy = (s * y).sum(axis=1)
-        past = [*past, (s, y, np.where(sy > 1e-300, 1 / np.where(sy > 1e-300, sy, 1), 0.0))][-history:]
-        w, f, g = new_w, new_f, new_g
+            step /= 2
+        else:
+            break  # it can go no lower: rounding
+        same = f - ft <= 1e-13 * abs(f) and np.abs(gt).max() > np.abs(g).max() / 2
+        still = still + 1 if same else 0
+        w, f, g = w + step * d, ft, gt
+        if still == 3:
+            break  # neither loss nor gradient fall any more: rounding
     return w
 
 
-def fit_keyed(rows: DataFrame, fits: int, size: int, c: float = 1.0, tol: float = 1e-4, max_steps: int = 1000
-              ) -> np.ndarray:
+def minimise(value: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray,
+             tol: float, max_steps: int) -> np.ndarray:
+    """:func:`_newton` over all rows of ``start`` side by side: ``value`` takes points,
+    directions (0 where the gradient is asked for) and a mark of the rows that ask, and gives
+    losses and vectors. A row rests once its largest gradient entry is ``tol`` or less."""
+    out, runs, asked = start.copy(), {}, {}
+    for i, row in enumerate(start):
+        runs[i] = _newton(row, tol, max_steps)
+        asked[i] = next(runs[i])
+    while runs:
+        open_ = np.zeros(len(start), bool)
+        open_[list(runs)] = True
+        points, directions = out.copy(), np.zeros_like(out)
+        for i in runs:
+            points[i] = asked[i][0]
+            if asked[i][1] is not None:
+                directions[i] = asked[i][1]
+        loss, vector = value(points, directions, open_)
+        for i in list(runs):
+            try:
+                asked[i] = runs[i].send((loss[i], vector[i]))
+            except StopIteration as end:
+                out[i] = end.value
+                del runs[i]
+    return out
+
+
+def fit_keyed(rows: DataFrame, fits: int, size: int, c: float = 1.0, tol: float = 1e-4, max_steps: int = 1000,
+              factors: np.ndarray | None = None) -> np.ndarray:
     """Coefficients ``[fits, size + 1]`` (the intercept last) of ``fits`` regressions.
 
     ``rows``: label, idx, val, and the fits that the row trains (``fit`` array<int>)
-    with its weight in each (``w`` array<double>). ``size`` bounds ``idx``; it is
-    ``max_features`` at most, so what the driver holds does not grow with the rows.
-    A fit without rows gets zeros."""
-    pieces = checkpoint(_packed(rows.select(F.col("label").cast("int").alias("label"), "idx", "val", "fit", "w")))
+    with its weight in each (``w`` array<double>). ``size`` bounds ``idx``; what the driver
+    holds does not grow with the rows. Where fits see a row's terms by weights of their own,
+    ``rows`` has a ``scale`` for each of ``fit`` and ``factors`` is ``[fits, size]``: the row's
+    feature is ``val * factors * scale``. A fit without rows gets zeros."""
+    scale = F.col("scale") if "scale" in rows.columns else F.transform("fit", lambda x: F.lit(1.0))
+    rows = rows.select(F.col("label").cast("int").alias("label"), "idx", "val", "fit", "w", scale.alias("scale"))
+    cells = rows.agg(F.sum(F.size("idx").cast("long"))).first()[0] or 0
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-cells // PART_CELLS))
+    pieces = checkpoint(_packed(rows, parts))
     plain = np.append(np.ones(size), 0) / c
-    last: list[np.ndarray] = []  # the points of the step before, their losses and gradients
-
-    def value(w):
-        open_ = (w != last[0]).any(axis=1) if last else np.ones(fits, bool)
-        loss, gradient = _totals(pieces, w, open_)
-        loss, gradient = loss + (w * w * plain).sum(axis=1) / 2, gradient + w * plain
-        if last:  # a fit that stays where it was keeps its figures
-            loss, gradient = np.where(open_, loss, last[1]), np.where(open_[:, None], gradient, last[2])
-        last[:] = w.copy(), loss, gradient
-        return loss.copy(), gradient.copy()
+    factor = np.ones((fits, size + 1))
+    if factors is not None:
+        factor[:, :-1] = factors
+
+    def value(points, directions, open_):
+        loss, vector = _totals(pieces, (points * factor, directions * factor), open_)
+        turned = directions.any(axis=1)
+        penalty = np.where(turned, 0, (points * points * plain).sum(axis=1) / 2)
+        return loss + penalty, vector * factor + plain * np.where(turned[:, None], directions, points)
     return minimise(value, np.zeros((fits, size + 1)), tol, max_steps)
 
 
-def score_keyed(rows: DataFrame, coefficients: np.ndarray, keep: Sequence[str]) -> DataFrame:
-    """One row per input row and fit of its ``fit`` array: ``keep``, fit, margin, score."""
+def score_keyed(rows: DataFrame, coefficients: np.ndarray, keep: Sequence[str], each: Sequence[str] = ()) -> DataFrame:
+    """One row per input row and fit of its ``fit`` array: ``keep``, the element of each array
+    of ``each`` that goes with the fit, fit, margin, score. ``scale``, if there, is such an
+    array and multiplies the sum over the terms."""
     shared = rows.sparkSession.sparkContext.broadcast(coefficients)
-    keep = list(keep)
+    keep, each = list(keep), list(each)
+    scaled = ["scale"] if "scale" in rows.columns else []
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for _, row, fits, cells, values, pair in _pairs(batch, shared.value.shape[1]):
-                z = _margins(shared.value, fits, cells, values, pair)
+            flat = {c: batch.column(c).flatten() for c in (*each, *scaled)}
+            size = flat["scale"].to_numpy() if scaled else np.ones(len(batch.column("fit").flatten()))
+            for own, row, fits, cells, values, pair in _pairs(batch, shared.value.shape[1]):
+                z = _margins(shared.value, fits, cells, values * size[own][pair], pair)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).take(pa.array(row)) for c in keep]
+                    + [flat[c].slice(own.start, own.stop - own.start) for c in each]
                     + [pa.array(fits.astype(np.int32)), pa.array(z), pa.array(np.exp(-np.logaddexp(0, -z)))],
-                    names=[*keep, "fit", "margin", "score"])
+                    names=[*keep, *each, "fit", "margin", "score"])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select("idx", "val", "fit", *keep).mapInArrow(
-        run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", fit int, margin double, score double")
+    kinds |= {c: rows.schema[c].dataType.elementType.simpleString() for c in each}
+    return rows.select("idx", "val", "fit", *scaled, *keep, *each).mapInArrow(
+        run, ", ".join(f"{c} {kinds[c]}" for c in (*keep, *each)) + ", fit int, margin double, score double")
 
 
 def run_protocol(texts: DataFrame, sides: DataFrame, plan: DataFrame, max_features: int = 10_000, tol: float = 1e-4,
@@ -313,18 +463,33 @@ def run_protocol(texts: DataFrame, sides: DataFrame, plan: DataFrame, max_featur
 
     ``texts``: row_id, label and text. ``sides``: (task, row_id, side), side train,
     val or test; a row may stand on several sides. ``plan``: (fit, task, w1), fits
-    numbered from 0, w1 the weight of positives; a bounded list."""
-    fits = plan.count()
-    members = sides.groupBy("task", id_col).agg(
-        F.max(F.col("side") == "train").alias("train"),
-        F.filter(F.collect_list("side"), lambda x: x != "train").alias("sides"))
+    numbered from 0, w1 the weight of positives; a bounded list. A row's terms are stored
+    once, beside the list of its fits."""
+    of = [(r["fit"], r["task"]) for r in plan.select("fit", "task").collect()]
     per_task = plan.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("fit", "w1"))).alias("_p"))
-    members = (members.join(F.broadcast(per_task), "task").join(texts.select(id_col, "label"), id_col)
-               .withColumn("fit", F.col("_p.fit"))
-               .withColumn("w", F.transform("_p", lambda p: F.when(F.col("label") == 1, p["w1"]).otherwise(1.0)))
-               .drop("_p"))
-    rows = checkpoint(keyed_tfidf(texts, checkpoint(members), max_features, text_col, id_col))
-    size = (rows.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1
-    coefficients = fit_keyed(rows.where("train"), fits, size, tol=tol)
-    scored = score_keyed(rows.where(F.size("sides") > 0), coefficients, [id_col, "label", "sides"])
-    return scored.select(id_col, "label", F.explode("sides").alias("side"), "fit", "margin", "score")
+    own = (sides.groupBy("task", id_col).agg(F.collect_list("side").alias("_s"))
+           .join(F.broadcast(per_task), "task").select(id_col, "task", "_s", F.explode("_p").alias("_f"))
+           .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_f.fit", "task", "_f.w1", "_s"))).alias("_m")))
+    members = checkpoint(own.join(texts.select(id_col, "label"), id_col)
+                         .select(id_col, "label", F.col("_m.task").alias("tasks"), "_m"))
+    trained = (members.select(id_col, F.explode("_m").alias("_m")).where(F.array_contains("_m._s", "train"))
+               .select("_m.task", id_col).distinct())
+    rows, idfs, size = shared_tfidf(texts, members, trained, max_features, text_col, id_col)
+    rows = checkpoint(rows.withColumn("_m", F.zip_with("_m", "scale", lambda m, x: F.struct(
+        m["fit"].alias("fit"), m["w1"].alias("w1"), m["_s"].alias("s"), x.alias("scale")))).drop("tasks", "scale"))
+    train = F.filter("_m", lambda m: F.array_contains(m["s"], "train"))
+    other = F.flatten(F.transform("_m", lambda m: F.transform(
+        F.array_sort(F.array_remove(m["s"], "train")),
+        lambda side: F.struct(m["fit"].alias("fit"), side.alias("side"), m["scale"].alias("scale")))))
+    learnt = (rows.withColumn("_m", train).where(F.size("_m") > 0)
+              .select("label", "idx", "val", F.col("_m.fit").alias("fit"), F.col("_m.scale").alias("scale"),
+                      F.transform("_m", lambda m: F.when(F.col("label") == 1, m["w1"]).otherwise(1.0)).alias("w")))
+    factors = np.zeros((len(of), size))
+    for fit, task in of:
+        factors[fit] = idfs.get(task, 0)
+    coefficients = fit_keyed(learnt, len(of), size, tol=tol, factors=factors)
+    coefficients[:, :-1] *= factors
+    judged = rows.withColumn("_m", other).where(F.size("_m") > 0).select(
+        id_col, "label", "idx", "val", *[F.col(f"_m.{c}").alias(c) for c in ("fit", "side", "scale")])
+    scored = score_keyed(judged, coefficients, [id_col, "label"], ["side"])
+    return scored.select(id_col, "label", "side", "fit", "margin", "score")
