@@ -93,7 +93,8 @@ def fit_temperature(cal: DataFrame, keys: Sequence[str], label: str = "label",
 
 
 def apply_temperature(df: DataFrame, temps: DataFrame, keys: Sequence[str],
-                      margin: str = "margin", name: str = "score_scaled") -> DataFrame:
-    """``sigmoid(margin / T)`` = softmax of logits / T."""
-    return df.join(temps.select(*keys, "T"), keys).withColumn(
+                      margin: str = "margin", name: str = "score_scaled", carry: Sequence[str] = ()) -> DataFrame:
+    """``sigmoid(margin / T)`` = softmax of logits / T (P8). ``carry``: other columns of
+    ``temps`` that go with each row."""
+    return df.join(temps.select(*keys, *carry, "T"), keys).withColumn(
         name, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(margin) / F.col("T"))))
